@@ -20,12 +20,12 @@ FLAT_COLUMNS = [
 ]
 
 
-def posts_flat(posts: DataFrame) -> DataFrame:
+def posts_flat(posts: DataFrame, keep=()) -> DataFrame:
     """One row per post with the analytic columns.
 
     Missing sentiment becomes label ``UNKNOWN``, score 0.0, method
-    ``unknown``; missing engagement counts as 0.  ``content`` is not carried
-    (columns are pruned), read it from ``posts`` where a preview is needed.
+    ``unknown``; missing engagement counts as 0.  Raw columns named in
+    ``keep`` (e.g. ``content``, ``url``) are carried along unchanged.
     """
     sent = F.col("sentiment")
     label = F.coalesce(sent["label"], F.lit("UNKNOWN"))
@@ -52,15 +52,10 @@ def posts_flat(posts: DataFrame) -> DataFrame:
         C.weekday_name().alias("day_of_week"),
         F.to_date("timestamp").alias("date"),
         md["subreddit"].alias("subreddit"),
+        *[F.col(k) for k in keep],
     )
 
 
-def posts_with_text(posts: DataFrame) -> DataFrame:
-    """Flat columns plus the raw text fields (for previews and exports)."""
-    flat = posts_flat(posts)
-    return flat.join(posts.select("seq", "content", "title", "url"), "seq")
-
-
 def text_features(posts: DataFrame, text_col: str = "content") -> DataFrame:
     """P10: simple text features of each post, computed natively."""
     from chorus.functions import text as X

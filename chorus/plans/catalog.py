@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chorus.operators import aggregate as A
 from chorus.operators import project as P
 from chorus.operators import series as S
 from chorus.sources.fixture import fixture_posts, oracle
@@ -67,3 +68,570 @@ FROM flat GROUP BY date
 """))
 def q_daily_sentiment(spark, sf_dir):
     return rounded(S.daily_sentiment(flat(spark, sf_dir)))
+
+
+@register("time_grid_daily", oracle("""
+, b AS (SELECT date_trunc('day', ts) AS bucket, count(*) AS cnt, avg(sentiment_value) AS v,
+               sum(engagement_total) AS es FROM flat GROUP BY 1),
+  g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 DAY)) AS bucket FROM b)
+SELECT strftime(g.bucket, '%Y-%m-%d') AS date, CAST(coalesce(b.cnt, 0) AS BIGINT) AS count,
+       round(b.v, 6) AS v, round(coalesce(b.es, 0.0), 6) AS engagement_sum
+FROM g LEFT JOIN b USING (bucket)
+"""))
+def q_time_grid_daily(spark, sf_dir):
+    g = S.time_grid(flat(spark, sf_dir), "day")
+    return rounded(g.select(F.date_format("bucket", "yyyy-MM-dd").alias("date"), "count", "v", "engagement_sum"))
+
+
+@register("time_grid_hourly", oracle("""
+, b AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS cnt, avg(sentiment_value) AS v FROM flat GROUP BY 1),
+  g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM b)
+SELECT strftime(g.bucket, '%Y-%m-%d %H:%M:%S') AS hour, CAST(coalesce(b.cnt, 0) AS BIGINT) AS count,
+       round(b.v, 6) AS v
+FROM g LEFT JOIN b USING (bucket)
+"""))
+def q_time_grid_hourly(spark, sf_dir):
+    g = S.time_grid(flat(spark, sf_dir), "hour")
+    return rounded(g.select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("hour"), "count", "v"))
+
+
+@register("hourly_sentiment", oracle("""
+SELECT hour, round(avg(sentiment_value), 6) AS avg_sentiment, count(*) AS post_count,
+       round(avg(engagement_total), 6) AS avg_engagement
+FROM flat GROUP BY hour
+"""))
+def q_hourly_sentiment(spark, sf_dir):
+    return rounded(S.hourly_sentiment(flat(spark, sf_dir)))
+
+
+_GRID_SQL = """
+, b AS (SELECT date_trunc('day', ts) AS bucket, avg(sentiment_value) AS v FROM flat GROUP BY 1),
+  g0 AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 DAY)) AS bucket FROM b),
+  g AS (SELECT g0.bucket, b.v, row_number() OVER (ORDER BY g0.bucket) - 1 AS idx,
+               count(*) OVER () AS n_buckets, (SELECT count(*) FROM flat) AS n_posts
+        FROM g0 LEFT JOIN b USING (bucket))
+"""
+
+
+@register("daily_trend", oracle(_GRID_SQL + """
+SELECT strftime(bucket, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value,
+  round(avg(v) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ma_3,
+  round(avg(v) OVER (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma_7
+FROM g WHERE n_posts >= 3 AND n_buckets >= 2
+"""))
+def q_daily_trend(spark, sf_dir):
+    return rounded(S.daily_trend(flat(spark, sf_dir)))
+
+
+@register("trend_summary", oracle(_GRID_SQL + """
+, l AS (SELECT *,
+    lag(v, 1) OVER w AS v_1, lag(v, 2) OVER w AS v_2, lag(v, 3) OVER w AS v_3,
+    lag(v, 6) OVER w AS v_6, lag(v, 7) OVER w AS v_7,
+    v - lag(v, 1) OVER w AS diff
+  FROM g WINDOW w AS (ORDER BY idx)),
+  r AS (SELECT *,
+    avg(greatest(diff, 0.0)) OVER w14 AS avg_gain, avg(greatest(-diff, 0.0)) OVER w14 AS avg_loss,
+    count(diff) OVER w14 AS n_diff14,
+    count(*) FILTER (WHERE diff > 0) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS up_last3,
+    regr_slope(v, CAST(idx AS DOUBLE)) OVER () AS slope, count(v) OVER () AS n_values,
+    max(CASE WHEN idx = 0 THEN v END) OVER () AS v_first
+  FROM l WINDOW w14 AS (ORDER BY idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+  t AS (SELECT *, (n_posts >= 3 AND n_buckets >= 2) AS enough, v - v_2 AS recent,
+    CASE WHEN n_buckets > 1 THEN v - v_1 END AS m1, CASE WHEN n_buckets > 3 THEN v - v_3 END AS m3,
+    CASE WHEN n_buckets > 7 THEN v - v_7 END AS m7
+  FROM r WHERE idx = n_buckets - 1)
+SELECT
+  CASE WHEN NOT enough OR n_buckets < 3 OR n_values < 2 THEN 'insufficient_data'
+       WHEN abs(slope) < 0.05 AND abs(recent) < 0.1 THEN 'stable'
+       WHEN slope > 0.05 OR recent > 0.1 THEN 'improving' ELSE 'worsening' END AS overall_trend,
+  round(CASE WHEN enough THEN abs(v - v_first) ELSE 0.0 END, 6) AS trend_strength,
+  round(CASE WHEN enough THEN slope END, 6) AS slope,
+  round(CASE WHEN enough THEN (CASE WHEN n_buckets >= 7 THEN (v - v_6) / (v_6 + 0.001) * 100 ELSE 0.0 END) END, 6)
+    AS rate_of_change,
+  round(CASE WHEN enough THEN (CASE WHEN n_buckets < 14 THEN 50.0 WHEN n_diff14 < 14 THEN NULL
+       WHEN avg_loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + avg_gain / avg_loss) END) END, 6) AS rsi,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN m1 END, 6) AS momentum_1_day,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN m3 END, 6) AS momentum_3_day,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN m7 END, 6) AS momentum_7_day,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN
+        (CASE WHEN n_buckets >= 3 THEN (v - v_1) - (v_1 - v_2) ELSE 0.0 END) END, 6) AS acceleration,
+  CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN
+       (CASE WHEN (CASE WHEN n_buckets > 1 THEN m1 ELSE 0.0 END) + (CASE WHEN n_buckets > 3 THEN m3 ELSE 0.0 END)
+                  + (CASE WHEN n_buckets > 7 THEN m7 ELSE 0.0 END) > 0 THEN 'positive' ELSE 'negative' END)
+       END AS momentum_direction,
+  round(CASE WHEN n_posts >= 7 THEN (CASE WHEN n_buckets >= 3 THEN CAST(up_last3 AS DOUBLE) / 3.0 ELSE 0.5 END) END, 6)
+    AS trend_consistency,
+  CAST(n_buckets AS BIGINT) AS days
+FROM t
+"""))
+def q_trend_summary(spark, sf_dir):
+    return rounded(S.trend_summary(flat(spark, sf_dir)))
+
+
+@register("turning_points", oracle(_GRID_SQL + """
+, l AS (SELECT bucket, v, lag(v) OVER (ORDER BY idx) AS prev, lead(v) OVER (ORDER BY idx) AS nxt,
+               n_posts, n_buckets FROM g)
+SELECT strftime(bucket, '%Y-%m-%d') AS date,
+       CASE WHEN v > prev AND v > nxt THEN 'peak' ELSE 'trough' END AS type, round(v, 6) AS value
+FROM l WHERE n_posts >= 3 AND n_buckets >= 3 AND ((v > prev AND v > nxt) OR (v < prev AND v < nxt))
+"""))
+def q_turning_points(spark, sf_dir):
+    return rounded(S.turning_points(flat(spark, sf_dir)))
+
+
+@register("anomalies", oracle("""
+, d AS (SELECT CAST(ts AS DATE) AS day, avg(sentiment_value) AS v, count(*) AS post_count,
+               sum(engagement_total) AS es FROM flat GROUP BY 1),
+  s AS (SELECT *, avg(v) OVER () AS mu, stddev_samp(v) OVER () AS sd, sum(post_count) OVER () AS n FROM d),
+  z AS (SELECT *, (v - mu) / sd AS z FROM s WHERE n >= 6 AND sd <> 0)
+SELECT strftime(day, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value, round(z, 6) AS z_score,
+       CASE WHEN z > 0 THEN 'positive_spike' ELSE 'negative_spike' END AS type,
+       post_count, CAST(trunc(es) AS BIGINT) AS total_engagement,
+       CASE WHEN abs(z) > 3 THEN 'high' ELSE 'medium' END AS severity
+FROM z WHERE abs(z) > 2.0
+"""))
+def q_anomalies(spark, sf_dir):
+    return rounded(S.anomalies(flat(spark, sf_dir)))
+
+
+@register("volatility", oracle("""
+, dg AS (SELECT unnest(generate_series(min(date_trunc('day', ts)), max(date_trunc('day', ts)), INTERVAL 1 DAY)) AS b FROM flat),
+  dv AS (SELECT date_trunc('day', ts) AS b, avg(sentiment_value) AS v FROM flat GROUP BY 1),
+  d AS (SELECT dg.b, dv.v, lag(dv.v) OVER (ORDER BY dg.b) AS prev FROM dg LEFT JOIN dv USING (b)),
+  hg AS (SELECT unnest(generate_series(min(date_trunc('hour', ts)), max(date_trunc('hour', ts)), INTERVAL 1 HOUR)) AS b FROM flat),
+  hv AS (SELECT date_trunc('hour', ts) AS b, avg(sentiment_value) AS v FROM flat GROUP BY 1),
+  h AS (SELECT hg.b, hv.v, lag(hv.v) OVER (ORDER BY hg.b) AS prev FROM hg LEFT JOIN hv USING (b)),
+  dr AS (SELECT stddev_samp(CASE WHEN prev <> 0 THEN v / prev - 1 END) AS sd,
+                count(CASE WHEN prev <> 0 THEN v / prev - 1 END) AS n_r,
+                count(*) FILTER (WHERE prev = 0 AND v <> 0) AS n_inf FROM d),
+  hr AS (SELECT stddev_samp(CASE WHEN prev <> 0 THEN v / prev - 1 END) AS sd,
+                count(CASE WHEN prev <> 0 THEN v / prev - 1 END) AS n_r,
+                count(*) FILTER (WHERE prev = 0 AND v <> 0) AS n_inf FROM h),
+  o AS (SELECT stddev_samp(sentiment_value) AS sd, avg(sentiment_value) AS mu, count(*) AS n FROM flat)
+SELECT round(CASE WHEN o.n < 2 THEN 0.0 ELSE o.sd END, 6) AS overall,
+       round(CASE WHEN o.n < 2 THEN 0.0 WHEN dr.n_inf > 0 THEN NULL WHEN dr.n_r = 0 THEN 0.0 ELSE dr.sd END, 6) AS daily,
+       round(CASE WHEN o.n < 2 THEN 0.0 WHEN hr.n_inf > 0 THEN NULL WHEN hr.n_r = 0 THEN 0.0 ELSE hr.sd END, 6) AS hourly,
+       round(CASE WHEN o.n < 2 THEN NULL WHEN o.mu <> 0 THEN o.sd / abs(o.mu) ELSE 0.0 END, 6) AS coefficient_of_variation
+FROM o, dr, hr
+"""))
+def q_volatility(spark, sf_dir):
+    return rounded(S.volatility(flat(spark, sf_dir)))
+
+
+_HOUR_GRID_SQL = """
+, hv AS (SELECT date_trunc('hour', ts) AS b, count(*) AS c FROM flat GROUP BY 1),
+  hg AS (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS b FROM hv),
+  h AS (SELECT hg.b, coalesce(hv.c, 0) AS c FROM hg LEFT JOIN hv USING (b))
+"""
+
+
+@register("peak_hours", oracle(_HOUR_GRID_SQL + """
+SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, CAST(c AS BIGINT) AS post_count,
+       CAST(extract(hour FROM b) AS BIGINT) AS hour_of_day, dayname(b) AS day_of_week
+FROM h ORDER BY c DESC, b LIMIT 10
+"""))
+def q_peak_hours(spark, sf_dir):
+    return S.peak_hours(flat(spark, sf_dir))
+
+
+@register("peak_summary", oracle(_HOUR_GRID_SQL + """
+, hs AS (SELECT avg(c) AS avg_posts_per_hour, max(c) AS mx, sum(c) AS total,
+                sum(c) FILTER (WHERE rk <= 24) AS top24
+         FROM (SELECT c, row_number() OVER (ORDER BY c DESC, b) AS rk FROM h)),
+  dv AS (SELECT date_trunc('day', ts) AS b, count(*) AS c FROM flat GROUP BY 1),
+  pd AS (SELECT b, c FROM dv ORDER BY c DESC, b LIMIT 1)
+SELECT strftime(pd.b, '%Y-%m-%d') AS peak_date, CAST(pd.c AS BIGINT) AS peak_day_posts,
+       dayname(pd.b) AS peak_day_of_week, round(hs.avg_posts_per_hour, 6) AS avg_posts_per_hour,
+       CAST(hs.mx AS BIGINT) AS max_posts_per_hour, round(hs.top24 / hs.total, 6) AS activity_concentration
+FROM hs, pd
+"""))
+def q_peak_summary(spark, sf_dir):
+    return rounded(S.peak_summary(flat(spark, sf_dir)))
+
+
+@register("periodicity", oracle("""
+, p AS (SELECT 'hour' AS kind, hour AS key, avg(sentiment_value) AS a FROM flat GROUP BY hour
+        UNION ALL
+        SELECT 'weekday' AS kind, CAST(isodow(ts) - 1 AS BIGINT) AS key, avg(sentiment_value) AS a
+        FROM flat GROUP BY 2)
+SELECT kind, key, round(a, 6) AS avg_sentiment FROM p WHERE (SELECT count(*) FROM flat) >= 24
+"""))
+def q_periodicity(spark, sf_dir):
+    return rounded(S.periodicity(flat(spark, sf_dir)))
+
+
+@register("periodicity_summary", oracle("""
+, p AS (SELECT 'hour' AS kind, hour AS key, avg(sentiment_value) AS a FROM flat GROUP BY hour
+        UNION ALL
+        SELECT 'weekday' AS kind, CAST(isodow(ts) - 1 AS BIGINT) AS key, avg(sentiment_value) AS a
+        FROM flat GROUP BY 2)
+SELECT kind, round(var_samp(a), 6) AS strength,
+       arg_min(key, (-a, key)) AS most_positive, arg_min(key, (a, key)) AS most_negative
+FROM p WHERE (SELECT count(*) FROM flat) >= 24 GROUP BY kind
+"""))
+def q_periodicity_summary(spark, sf_dir):
+    return rounded(S.periodicity_summary(flat(spark, sf_dir)))
+
+
+@register("recent_distribution", oracle("""
+, r AS (SELECT sentiment, count(*) AS n FROM flat
+        WHERE ts >= (SELECT max(ts) FROM flat) - INTERVAL 3 DAY AND (SELECT count(*) FROM flat) >= 7
+        GROUP BY sentiment)
+SELECT sentiment, round(n / sum(n) OVER (), 6) AS share FROM r
+"""))
+def q_recent_distribution(spark, sf_dir):
+    return rounded(S.recent_distribution(flat(spark, sf_dir)))
+
+
+@register("forecast_indicators", oracle(_GRID_SQL + """
+, l AS (SELECT idx, n_buckets, v - lag(v) OVER (ORDER BY idx) AS diff FROM g),
+  tc AS (SELECT CASE WHEN max(n_buckets) >= 3 THEN CAST(count(*) FILTER (WHERE diff > 0 AND idx >= n_buckets - 3) AS DOUBLE) / 3.0
+                     ELSE 0.5 END AS trend_consistency FROM l),
+  o AS (SELECT sentiment_value, ts, row_number() OVER (ORDER BY ts, seq) - 1 AS rk, count(*) OVER () AS n FROM flat),
+  s AS (SELECT max(n) AS n,
+               stddev_samp(sentiment_value) FILTER (WHERE rk < n // 2) AS s1,
+               stddev_samp(sentiment_value) FILTER (WHERE rk >= n // 2) AS s2,
+               arg_max(sentiment_value, rk) AS last_v, arg_max(ts, rk) AS last_ts FROM o)
+SELECT round(tc.trend_consistency, 6) AS trend_consistency,
+       CASE WHEN s.n < 14 THEN 'unknown' WHEN s.s2 > s.s1 THEN 'increasing' ELSE 'decreasing' END AS volatility_trend,
+       round(s.last_v, 6) AS last_sentiment_value, strftime(s.last_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_update
+FROM s, tc WHERE s.n >= 7
+"""))
+def q_forecast_indicators(spark, sf_dir):
+    return rounded(S.forecast_indicators(flat(spark, sf_dir)))
+
+
+@register("timeline_percent", oracle("""
+SELECT date,
+  round(count_if(sentiment = 'POSITIVE') * 100.0 / count(*), 6) AS positive_pct,
+  round(count_if(sentiment = 'NEGATIVE') * 100.0 / count(*), 6) AS negative_pct,
+  round(count_if(sentiment = 'NEUTRAL') * 100.0 / count(*), 6) AS neutral_pct,
+  count(*) AS volume,
+  round((count_if(sentiment = 'POSITIVE') - count_if(sentiment = 'NEGATIVE')) / count(*), 6) AS sentiment_ratio
+FROM flat GROUP BY date
+"""))
+def q_timeline_percent(spark, sf_dir):
+    return rounded(S.timeline_percent(flat(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- A: aggregations
+
+@register("date_range", oracle("""
+SELECT count(*) AS total_posts, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS "end",
+       CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) + 1 AS BIGINT) AS days,
+       CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000) AS BIGINT) AS total_hours
+FROM flat
+"""))
+def q_date_range(spark, sf_dir):
+    return A.date_range(flat(spark, sf_dir))
+
+
+@register("by_platform", oracle("SELECT platform, count(*) AS count FROM flat GROUP BY platform"))
+def q_by_platform(spark, sf_dir):
+    return A.by_platform(flat(spark, sf_dir))
+
+
+@register("by_query", oracle("SELECT query, count(*) AS count FROM flat GROUP BY query"))
+def q_by_query(spark, sf_dir):
+    return A.by_query(flat(spark, sf_dir))
+
+
+@register("sentiment_distribution", oracle("""
+SELECT sentiment, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM flat), 6) AS percentage
+FROM flat GROUP BY sentiment
+"""))
+def q_sentiment_distribution(spark, sf_dir):
+    return rounded(A.sentiment_distribution(flat(spark, sf_dir)))
+
+
+@register("sentiment_summary", oracle("""
+, c AS (SELECT sentiment, count(*) AS n FROM flat GROUP BY sentiment)
+SELECT CAST(sum(n) AS BIGINT) AS total,
+       round((sum(n) FILTER (WHERE sentiment = 'POSITIVE') - sum(n) FILTER (WHERE sentiment = 'NEGATIVE')) / sum(n), 6)
+         AS sentiment_ratio,
+       arg_min(sentiment, (-n, sentiment)) AS dominant_sentiment
+FROM c
+"""))
+def q_sentiment_summary(spark, sf_dir):
+    return rounded(A.sentiment_summary(flat(spark, sf_dir)))
+
+
+@register("sentiment_by_platform", oracle(
+    "SELECT platform, sentiment, count(*) AS count FROM flat GROUP BY platform, sentiment"))
+def q_sentiment_by_platform(spark, sf_dir):
+    return A.sentiment_by(flat(spark, sf_dir), "platform")
+
+
+@register("sentiment_by_query", oracle(
+    "SELECT query, sentiment, count(*) AS count FROM flat GROUP BY query, sentiment"))
+def q_sentiment_by_query(spark, sf_dir):
+    return A.sentiment_by(flat(spark, sf_dir), "query")
+
+
+@register("engagement_stats", oracle("""
+SELECT CAST(sum(likes_m) AS BIGINT) AS total_likes, CAST(sum(shares_m) AS BIGINT) AS total_shares,
+       CAST(trunc(sum(engagement_total)) AS BIGINT) AS total_engagement,
+       round(avg(likes_m), 6) AS avg_likes, round(avg(shares_m), 6) AS avg_shares,
+       round(avg(engagement_total), 6) AS avg_engagement,
+       round(quantile_cont(engagement_total, 0.5), 6) AS median_engagement,
+       CAST(max(likes_m) AS BIGINT) AS max_likes, CAST(max(shares_m) AS BIGINT) AS max_shares,
+       CAST(trunc(max(engagement_total)) AS BIGINT) AS max_engagement,
+       round(stddev_samp(engagement_total), 6) AS engagement_std,
+       count(*) FILTER (WHERE engagement_total >
+           (SELECT avg(engagement_total) + stddev_samp(engagement_total) FROM flat)) AS high_engagement_posts,
+       count(*) FILTER (WHERE engagement_total = 0) AS zero_engagement_posts
+FROM flat
+"""))
+def q_engagement_stats(spark, sf_dir):
+    return rounded(A.engagement_stats(flat(spark, sf_dir)))
+
+
+_AUTHORS_SQL = ", a AS (SELECT author, count(*) AS posts FROM flat WHERE author IS NOT NULL GROUP BY author) "
+
+
+@register("author_stats", oracle(_AUTHORS_SQL + """
+SELECT count(*) AS unique_authors, round(avg(posts), 6) AS mean_posts,
+       round(quantile_cont(posts, 0.5), 6) AS median_posts, max(posts) AS max_posts,
+       round(stddev_samp(posts), 6) AS std_posts,
+       count(*) FILTER (WHERE posts = 1) AS single_post_authors,
+       count(*) FILTER (WHERE posts >= 10) AS prolific_authors,
+       round((SELECT sum(posts) FROM (SELECT posts FROM a ORDER BY posts DESC, author LIMIT 10))
+             / (SELECT count(*) FROM flat), 6) AS author_concentration
+FROM a
+"""))
+def q_author_stats(spark, sf_dir):
+    return rounded(A.author_stats(flat(spark, sf_dir)))
+
+
+@register("most_active_authors", oracle(_AUTHORS_SQL + "SELECT author, posts FROM a ORDER BY posts DESC, author LIMIT 20"))
+def q_most_active_authors(spark, sf_dir):
+    return A.most_active_authors(flat(spark, sf_dir))
+
+
+@register("content_stats", oracle("""
+SELECT round(avg(content_length), 6) AS avg_length, round(quantile_cont(content_length, 0.5), 6) AS median_length,
+       max(content_length) AS max_length, min(content_length) AS min_length,
+       count(*) FILTER (WHERE hashtag_count > 0) AS with_hashtags,
+       count(*) FILTER (WHERE mention_count > 0) AS with_mentions,
+       CAST(0 AS BIGINT) AS with_media, count(*) FILTER (WHERE has_title) AS with_title,
+       round(avg(CASE WHEN hashtag_count > 0 THEN 1.0 ELSE 0.0 END), 6) AS hashtag_usage_rate,
+       round(avg(CASE WHEN mention_count > 0 THEN 1.0 ELSE 0.0 END), 6) AS mention_usage_rate,
+       round(avg(hashtag_count), 6) AS avg_hashtags_per_post, round(avg(mention_count), 6) AS avg_mentions_per_post
+FROM flat
+"""))
+def q_content_stats(spark, sf_dir):
+    return rounded(A.content_stats(flat(spark, sf_dir)))
+
+
+@register("posts_by_hour", oracle("SELECT hour, count(*) AS count FROM flat GROUP BY hour"))
+def q_posts_by_hour(spark, sf_dir):
+    return A.posts_by_hour(flat(spark, sf_dir))
+
+
+@register("posts_by_day_of_week", oracle("""
+, d AS (SELECT * FROM (VALUES ('Monday', 0), ('Tuesday', 1), ('Wednesday', 2), ('Thursday', 3), ('Friday', 4),
+                              ('Saturday', 5), ('Sunday', 6)) t(day_of_week, day_index)),
+  c AS (SELECT day_of_week, count(*) AS n FROM flat GROUP BY 1)
+SELECT d.day_of_week, CAST(d.day_index AS BIGINT) AS day_index, coalesce(c.n, 0) AS count
+FROM d LEFT JOIN c USING (day_of_week)
+"""))
+def q_posts_by_day_of_week(spark, sf_dir):
+    return A.posts_by_day_of_week(flat(spark, sf_dir))
+
+
+@register("posts_by_date", oracle("SELECT date, count(*) AS count FROM flat GROUP BY date"))
+def q_posts_by_date(spark, sf_dir):
+    return A.posts_by_date(flat(spark, sf_dir))
+
+
+@register("temporal_summary", oracle("""
+SELECT (SELECT hour FROM flat GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 1) AS peak_hour,
+       (SELECT day_of_week FROM flat GROUP BY day_of_week ORDER BY count(*) DESC, day_of_week LIMIT 1) AS peak_day,
+       count(*) FILTER (WHERE day_of_week IN ('Saturday', 'Sunday')) AS weekend_posts,
+       count(*) FILTER (WHERE day_of_week NOT IN ('Saturday', 'Sunday')) AS weekday_posts,
+       count(*) FILTER (WHERE hour BETWEEN 0 AND 6) AS night_posts,
+       count(*) FILTER (WHERE hour BETWEEN 7 AND 18) AS day_posts,
+       count(*) FILTER (WHERE hour BETWEEN 19 AND 23) AS evening_posts
+FROM flat
+"""))
+def q_temporal_summary(spark, sf_dir):
+    return A.temporal_summary(flat(spark, sf_dir))
+
+
+@register("high_activity_hours", oracle("""
+, h AS (SELECT hour, count(*) AS count FROM flat GROUP BY hour)
+SELECT hour, count FROM h WHERE count > (SELECT avg(count) FROM h)
+"""))
+def q_high_activity_hours(spark, sf_dir):
+    return A.high_activity_hours(flat(spark, sf_dir))
+
+
+_TERMS_SQL = """
+, t AS (SELECT lower(x) AS term FROM (SELECT hashtag1 AS x FROM posts UNION ALL SELECT hashtag2 FROM posts) WHERE x IS NOT NULL),
+  m AS (SELECT lower(mention1) AS term FROM posts WHERE mention1 IS NOT NULL)
+"""
+
+
+@register("top_hashtags", oracle(_TERMS_SQL + """
+SELECT term, count(*) AS count FROM t GROUP BY term ORDER BY count DESC, term LIMIT 20
+"""))
+def q_top_hashtags(spark, sf_dir):
+    return A.top_terms(posts(spark, sf_dir), "hashtags")
+
+
+@register("hashtag_summary", oracle(_TERMS_SQL + """
+, c AS (SELECT term, count(*) AS n FROM t GROUP BY term)
+SELECT count(*) AS unique_terms, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_terms,
+       count(*) FILTER (WHERE n = 1) AS single_use, count(*) FILTER (WHERE n >= 10) AS frequent FROM c
+"""))
+def q_hashtag_summary(spark, sf_dir):
+    return A.term_summary(posts(spark, sf_dir), "hashtags", 10)
+
+
+@register("top_mentions", oracle(_TERMS_SQL + """
+SELECT term, count(*) AS count FROM m GROUP BY term ORDER BY count DESC, term LIMIT 20
+"""))
+def q_top_mentions(spark, sf_dir):
+    return A.top_terms(posts(spark, sf_dir), "mentions")
+
+
+@register("mention_summary", oracle(_TERMS_SQL + """
+, c AS (SELECT term, count(*) AS n FROM m GROUP BY term)
+SELECT count(*) AS unique_terms, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_terms,
+       count(*) FILTER (WHERE n = 1) AS single_use, count(*) FILTER (WHERE n >= 5) AS frequent FROM c
+"""))
+def q_mention_summary(spark, sf_dir):
+    return A.term_summary(posts(spark, sf_dir), "mentions", 5)
+
+
+@register("negative_users", oracle("""
+, u AS (SELECT author, count(*) AS post_count,
+               count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative_posts,
+               count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive_posts,
+               count(*) FILTER (WHERE sentiment = 'NEUTRAL') AS neutral_posts,
+               avg(score_m) AS avg_sentiment_score, arg_min(platform, seq) AS platform,
+               avg(engagement_total) AS avg_engagement
+        FROM flat WHERE author IS NOT NULL GROUP BY author)
+SELECT author, platform, post_count, round(negative_posts / post_count, 6) AS negative_ratio,
+       negative_posts, positive_posts, neutral_posts, round(avg_sentiment_score, 6) AS avg_sentiment_score,
+       round(avg_engagement, 6) AS avg_engagement
+FROM u WHERE post_count >= 3 AND negative_posts / post_count >= 0.6
+ORDER BY negative_posts / post_count DESC, author LIMIT 50
+"""))
+def q_negative_users(spark, sf_dir):
+    return rounded(A.negative_users(flat(spark, sf_dir)))
+
+
+@register("viral_posts", oracle("""
+, th AS (SELECT greatest(CASE WHEN count(*) < 10 THEN quantile_cont(engagement_total, 0.9)
+                              ELSE least(quantile_cont(engagement_total, 0.95),
+                                         avg(engagement_total) + 2 * stddev_samp(engagement_total)) END,
+                         2 * quantile_cont(engagement_total, 0.5)) AS t FROM flat)
+SELECT id, platform, author, CAST(trunc(engagement_total) AS BIGINT) AS engagement,
+       CAST(likes_m AS BIGINT) AS likes, CAST(shares_m AS BIGINT) AS shares, sentiment,
+       CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS content_preview,
+       strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, 'https://' || platform || '.example/' || id AS url
+FROM flat WHERE engagement_total >= (SELECT t FROM th)
+ORDER BY engagement_total DESC, seq LIMIT 20
+"""))
+def q_viral_posts(spark, sf_dir):
+    return A.viral_posts(P.posts_flat(posts(spark, sf_dir), keep=["content", "url"]))
+
+
+@register("sentiment_leaders", oracle("""
+, c AS (SELECT author, sentiment, count(*) AS n FROM flat WHERE author IS NOT NULL GROUP BY 1, 2),
+  d AS (SELECT author, arg_min(sentiment, (-n, sentiment)) AS dominant FROM c GROUP BY author),
+  u AS (SELECT author, sum(engagement_total) AS total, avg(engagement_total) AS avg_engagement, count(*) AS post_count
+        FROM flat WHERE author IS NOT NULL GROUP BY author),
+  j AS (SELECT u.*, d.dominant, row_number() OVER (PARTITION BY d.dominant ORDER BY u.total DESC, u.author) AS rank
+        FROM u JOIN d USING (author) WHERE u.post_count >= 2 AND d.dominant IN ('POSITIVE', 'NEGATIVE', 'NEUTRAL'))
+SELECT lower(dominant) AS sentiment, rank, author, CAST(trunc(total) AS BIGINT) AS total_engagement,
+       round(avg_engagement, 6) AS avg_engagement, post_count,
+       round(total / (SELECT sum(engagement_total) FROM flat), 6) AS influence_score
+FROM j WHERE rank <= 10
+"""))
+def q_sentiment_leaders(spark, sf_dir):
+    return rounded(A.sentiment_leaders(flat(spark, sf_dir)))
+
+
+_USERS_SQL = """
+, s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN'),
+  lc AS (SELECT author, sentiment, count(*) AS n FROM s GROUP BY 1, 2),
+  tl AS (SELECT author, max(n) AS top_n, arg_max(sentiment, n) AS top_label FROM lc GROUP BY author),
+  u AS (SELECT author, count(*) AS post_count,
+               count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive,
+               count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative,
+               count(*) FILTER (WHERE sentiment = 'NEUTRAL') AS neutral,
+               sum(engagement_total) AS total_engagement,
+               count(DISTINCT query) AS n_topics, count(DISTINCT subreddit) AS n_subreddits, min(seq) AS first_seq
+        FROM s GROUP BY author),
+  up AS (SELECT u.*, total_engagement / post_count AS avg_engagement,
+                (positive - negative) / post_count AS sentiment_score,
+                positive / post_count AS positivity_ratio, negative / post_count AS negativity_ratio,
+                CASE WHEN tl.top_n / post_count >= 0.7 THEN tl.top_label
+                     WHEN tl.top_n / post_count >= 0.4 THEN 'MIXED' ELSE 'NEUTRAL' END AS user_type
+         FROM u JOIN tl USING (author))
+"""
+
+
+@register("user_patterns", oracle(_USERS_SQL + """
+SELECT author, post_count, positive, negative, neutral, round(total_engagement, 6) AS total_engagement,
+       round(avg_engagement, 6) AS avg_engagement, round(sentiment_score, 6) AS sentiment_score,
+       round(positivity_ratio, 6) AS positivity_ratio, round(negativity_ratio, 6) AS negativity_ratio,
+       user_type, n_topics, n_subreddits, first_seq
+FROM up
+"""))
+def q_user_patterns(spark, sf_dir):
+    return rounded(A.user_patterns(flat(spark, sf_dir)))
+
+
+@register("user_topic_counts", oracle("""
+SELECT author, query AS term, count(*) AS count FROM flat
+WHERE sentiment <> 'UNKNOWN' AND query IS NOT NULL AND length(query) > 0 GROUP BY 1, 2
+"""))
+def q_user_topic_counts(spark, sf_dir):
+    return A.user_term_counts(flat(spark, sf_dir), "topic")
+
+
+@register("user_subreddit_counts", oracle("""
+SELECT author, subreddit AS term, count(*) AS count FROM flat
+WHERE sentiment <> 'UNKNOWN' AND subreddit IS NOT NULL AND length(subreddit) > 0 GROUP BY 1, 2
+"""))
+def q_user_subreddit_counts(spark, sf_dir):
+    return A.user_term_counts(flat(spark, sf_dir), "subreddit")
+
+
+@register("engagement_heatmap", oracle("""
+SELECT dayname(ts) AS day, CAST(extract(hour FROM ts) AS BIGINT) AS hour,
+       round(avg(coalesce(likes, 0) + coalesce(retweets, 0)), 6) AS avg_engagement
+FROM posts GROUP BY 1, 2
+"""))
+def q_engagement_heatmap(spark, sf_dir):
+    return rounded(A.engagement_heatmap(posts(spark, sf_dir)))
+
+
+@register("topic_sentiment_heatmap", oracle("""
+, s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN'),
+  u AS (SELECT author, count(*) AS post_count, min(seq) AS first_seq FROM s GROUP BY author
+        HAVING count(*) >= 2 ORDER BY first_seq LIMIT 30)
+SELECT s.author, u.post_count, s.query AS topic, round(avg(s.sentiment_value), 6) AS avg_sentiment, count(*) AS posts
+FROM s JOIN u USING (author) GROUP BY s.author, u.post_count, s.query
+"""))
+def q_topic_sentiment_heatmap(spark, sf_dir):
+    return rounded(A.topic_sentiment_heatmap(flat(spark, sf_dir)))
+
+
+@register("user_leaderboards", oracle(_USERS_SQL + """
+, b AS (
+  SELECT 'most_posts' AS board, author, CAST(post_count AS DOUBLE) AS value, first_seq FROM up WHERE post_count >= 2
+  UNION ALL SELECT 'most_positive', author, positivity_ratio, first_seq FROM up
+    WHERE post_count >= 3 AND positivity_ratio > 0.5
+  UNION ALL SELECT 'most_negative', author, negativity_ratio, first_seq FROM up
+    WHERE post_count >= 3 AND negativity_ratio > 0.5
+  UNION ALL SELECT 'top_engagement', author, avg_engagement, first_seq FROM up WHERE post_count >= 2),
+  r AS (SELECT board, row_number() OVER (PARTITION BY board ORDER BY value DESC, first_seq) AS rank, author, value FROM b)
+SELECT board, rank, author, round(value, 6) AS value FROM r WHERE rank <= 20
+"""))
+def q_user_leaderboards(spark, sf_dir):
+    return rounded(A.user_leaderboards(flat(spark, sf_dir)))

@@ -168,8 +168,8 @@ SELECT p.*,
   CAST(CASE WHEN p.platform = 'reddit' THEN p.score ELSE p.likes END AS DOUBLE) AS likes_m,
   CAST(CASE WHEN p.platform = 'reddit' THEN p.num_comments ELSE p.retweets END AS DOUBLE) AS shares_m,
   CAST(CASE WHEN p.platform = 'reddit' THEN 0 ELSE p.replies END AS DOUBLE) AS replies_m,
-  CASE WHEN p.sentiment = 'UNKNOWN' THEN 0.0 ELSE p.sentiment_score END AS score_m,
-  CASE p.sentiment WHEN 'POSITIVE' THEN 1.0 WHEN 'NEGATIVE' THEN -1.0 ELSE 0.0 END AS sentiment_value,
+  CAST(CASE WHEN p.sentiment = 'UNKNOWN' THEN 0 ELSE p.sentiment_score END AS DOUBLE) AS score_m,
+  CAST(CASE p.sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END AS DOUBLE) AS sentiment_value,
   CAST(length(p.content) AS BIGINT) AS content_length,
   (p.title IS NOT NULL AND length(p.title) > 0) AS has_title,
   CAST((p.hashtag1 IS NOT NULL)::INT + (p.hashtag2 IS NOT NULL)::INT AS BIGINT) AS hashtag_count,
