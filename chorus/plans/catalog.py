@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chorus.functions import text as X
 from chorus.operators import aggregate as A
+from chorus.operators import dedup as D
 from chorus.operators import project as P
 from chorus.operators import series as S
 from chorus.sources.fixture import fixture_posts, oracle
@@ -635,3 +637,147 @@ SELECT board, rank, author, round(value, 6) AS value FROM r WHERE rank <= 20
 """))
 def q_user_leaderboards(spark, sf_dir):
     return rounded(A.user_leaderboards(flat(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- P: text projections
+
+def _sql_norm(expr: str) -> str:
+    """The P7 chain in DuckDB syntax (same RE2-compatible classes)."""
+    t = f"lower(coalesce({expr}, ''))"
+    t = f"regexp_replace({t}, '{X.URL}', '', 'g')"
+    t = f"regexp_replace({t}, '{X.MENTION}', '', 'g')"
+    t = f"regexp_replace({t}, '{X.HASHTAG}', '\\1', 'g')"
+    t = f"regexp_replace({t}, '{X.NOT_WORD_OR_SPACE}', ' ', 'g')"
+    return f"trim(regexp_replace({t}, '{X.SPACE}+', ' ', 'g'))"
+
+
+def _sql_count(expr: str, pattern: str) -> str:
+    return f"CAST(len(regexp_extract_all({expr}, '{pattern}')) AS BIGINT)"
+
+
+@register("content_hash", oracle(f"""
+SELECT seq, sha256({_sql_norm('content')}) AS content_hash, length({_sql_norm('content')}) AS normalized_length
+FROM posts
+"""))
+def q_content_hash(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    norm = X.normalize_content("content")
+    return p.select("seq", F.sha2(norm, 256).alias("content_hash"), F.char_length(norm).alias("normalized_length"))
+
+
+@register("text_features", oracle(f"""
+SELECT seq,
+  regexp_matches(content, '{X.URL}') AS has_urls,
+  {_sql_count('content', X.MENTION)} AS num_mentions,
+  {_sql_count('content', X.HASHTAG)} AS num_hashtags,
+  {_sql_count('content', X.EMOJI_RANGES)} AS num_emojis,
+  CAST(length(content) AS BIGINT) AS text_length,
+  {_sql_count('content', X.NON_SPACE + '+')} AS num_words,
+  {_sql_count('content', '!')} AS exclamation_marks,
+  {_sql_count('content', '[?]')} AS question_marks,
+  round({_sql_count('content', X.UPPER)} / greatest(length(content), 1), 6) AS all_caps_ratio
+FROM posts
+"""))
+def q_text_features(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    t = F.coalesce(F.col("content"), F.lit(""))
+    return rounded(p.select("seq", *X.text_feature_columns(t)))
+
+
+@register("clean_text", oracle(f"""
+SELECT seq, md5(c) AS cleaned_md5, CAST(length(c) AS BIGINT) AS cleaned_length
+FROM (SELECT seq, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        CASE WHEN title IS NOT NULL AND length(title) > 0 THEN title || ' ' || content ELSE content END,
+        '{X.URL}', '', 'g'), '@({X.WORD}+)', '\\1', 'g'), '{X.HASHTAG}', '\\1', 'g'), '{X.SPACE}+', ' ', 'g')) AS c
+      FROM posts)
+"""))
+def q_clean_text(spark, sf_dir):
+    from chorus.functions import columns as C
+    p = posts(spark, sf_dir)
+    c = X.clean_text(C.scoring_text())
+    return p.select("seq", F.md5(c).alias("cleaned_md5"), F.char_length(c).cast("bigint").alias("cleaned_length"))
+
+
+@register("post_entities", oracle(f"""
+SELECT seq,
+  array_to_string(CASE WHEN hashtag1 IS NOT NULL OR hashtag2 IS NOT NULL
+                       THEN list_filter([hashtag1, hashtag2], lambda x: x IS NOT NULL)
+                       ELSE regexp_extract_all(content, '{X.HASHTAG}', 1) END, '|') AS hashtags,
+  array_to_string(CASE WHEN mention1 IS NOT NULL THEN [mention1]
+                       ELSE regexp_extract_all(content, '@({X.WORD}+)', 1) END, '|') AS mentions,
+  array_to_string(regexp_extract_all(content, '{X.URL_STRICT.replace("'", "''")}', 0), '|') AS urls
+FROM posts
+"""))
+def q_post_entities(spark, sf_dir):
+    from chorus.sources.ingest import with_entities
+    return with_entities(posts(spark, sf_dir)).select(
+        "seq", F.array_join("metadata.hashtags", "|").alias("hashtags"),
+        F.array_join("metadata.mentions", "|").alias("mentions"),
+        F.array_join("metadata.urls", "|").alias("urls"))
+
+
+# --------------------------------------------------------------------------- D: de-duplication
+
+_DEDUP_SQL = f"""
+, k AS (SELECT seq, platform || ':' || id AS id_key, sha256({_sql_norm('content')}) AS hash_key, query FROM posts),
+  r AS MATERIALIZED (SELECT * FROM (
+    WITH RECURSIVE rounds(it, seq, id_key, hash_key, st) AS (
+      SELECT 0, seq, id_key, hash_key, 0 FROM k
+      UNION ALL
+      SELECT it + 1, seq, id_key, hash_key,
+             CASE WHEN st <> 0 THEN st WHEN win THEN 1
+                  WHEN max(win::INT) OVER (PARTITION BY id_key) = 1
+                    OR max(win::INT) OVER (PARTITION BY hash_key) = 1 THEN 2
+                  ELSE 0 END
+      FROM (SELECT *, st = 0 AND seq = min(CASE WHEN st = 0 THEN seq END) OVER (PARTITION BY id_key)
+                             AND seq = min(CASE WHEN st = 0 THEN seq END) OVER (PARTITION BY hash_key) AS win,
+                   count(*) FILTER (WHERE st = 0) OVER () AS n_und
+            FROM rounds) x
+      WHERE n_und > 0)
+    SELECT * FROM rounds) y
+    QUALIFY it = max(it) OVER ()),
+  t AS (SELECT r.seq, r.st = 1 AS kept, r.id_key, r.hash_key,
+               min(CASE WHEN r.st = 1 THEN r.seq END) OVER (PARTITION BY r.id_key) AS id_seq FROM r),
+  tagged AS (SELECT t.seq, t.kept, CASE WHEN t.kept THEN NULL WHEN t.id_seq < t.seq THEN 'exact_id' ELSE 'content' END
+                    AS dup_type, k.query FROM t JOIN k USING (seq))
+"""
+
+
+@register("dedup_flags", oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
+def q_dedup_flags(spark, sf_dir):
+    return D.deduplicate(posts(spark, sf_dir)).select("seq", "kept", "dup_type")
+
+
+@register("dedup_stats", oracle(_DEDUP_SQL + """
+SELECT count(*) AS total_posts, count(*) FILTER (WHERE kept) AS unique_posts,
+       count(*) FILTER (WHERE NOT kept) AS duplicates_removed,
+       round(count(*) FILTER (WHERE NOT kept) / count(*), 6) AS duplicate_rate,
+       count(*) FILTER (WHERE dup_type = 'exact_id') AS exact_id_duplicates,
+       count(*) FILTER (WHERE dup_type = 'content') AS content_duplicates,
+       CAST(0 AS BIGINT) AS fuzzy_duplicates,
+       count(*) FILTER (WHERE dup_type IN ('content', 'fuzzy')) AS cross_query_duplicates
+FROM tagged
+"""))
+def q_dedup_stats(spark, sf_dir):
+    return rounded(D.dedup_stats(D.deduplicate(posts(spark, sf_dir))))
+
+
+@register("dedup_by_query", oracle(_DEDUP_SQL + """
+SELECT query, count(*) AS duplicates FROM tagged WHERE NOT kept GROUP BY query
+"""))
+def q_dedup_by_query(spark, sf_dir):
+    return D.dedup_by_query(D.deduplicate(posts(spark, sf_dir)))
+
+
+@register("dedup_cross_flags", oracle(_DEDUP_SQL + """
+, kk AS (SELECT t.id_key, t.hash_key, k.query, p.platform FROM t JOIN k USING (seq) JOIN posts p USING (seq) WHERE t.kept),
+  dd AS (SELECT t.seq, p.id, p.platform, k.query, tg.dup_type, t.id_key, t.hash_key
+         FROM t JOIN k USING (seq) JOIN posts p USING (seq) JOIN tagged tg USING (seq) WHERE NOT t.kept)
+SELECT dd.seq, dd.id, dd.platform, dd.query, dd.dup_type,
+       CASE WHEN dd.dup_type = 'exact_id' THEN a.platform ELSE b.platform END <> dd.platform AS cross_platform,
+       CASE WHEN dd.dup_type = 'exact_id' THEN a.query ELSE b.query END <> dd.query AS cross_query,
+       dd.dup_type = 'content' AS compat_cross_platform
+FROM dd LEFT JOIN kk a ON a.id_key = dd.id_key LEFT JOIN kk b ON b.hash_key = dd.hash_key
+"""))
+def q_dedup_cross_flags(spark, sf_dir):
+    return D.cross_duplicate_flags(D.deduplicate(posts(spark, sf_dir)))
