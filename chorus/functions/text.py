@@ -23,6 +23,7 @@ HTTP_URL = rf"https?://{NON_SPACE}+"
 URL_STRICT = r"https?://[^\s<>\"{}|\\^`\[\]]+"
 MENTION = rf"@{WORD}+"
 UPPER = r"\p{Lu}"
+DIGITS = r"\p{Nd}+"
 HASHTAG = rf"#({WORD}+)"
 
 # Emoji names used by the emoji score, with their code points.
@@ -77,11 +78,18 @@ def text_hash(text) -> Column:
 
 
 def demojize(text) -> Column:
-    """Replace the listed emoji by `` :name: `` (space delimited)."""
+    """Replace the listed emoji by `` name `` (space delimited).
+
+    One character-class scan decides whether any listed emoji occurs; only
+    those texts pay for the replacements.
+    """
     t = _c(text)
-    for name, cp in {**POSITIVE_EMOJI, **NEGATIVE_EMOJI}.items():
-        t = F.replace(t, F.lit(cp), F.lit(f" {name.strip(':')} "))
-    return t
+    listed = {**POSITIVE_EMOJI, **NEGATIVE_EMOJI}
+    replaced = t
+    for name, cp in listed.items():
+        replaced = F.replace(replaced, F.lit(cp), F.lit(f" {name.strip(':')} "))
+    any_listed = "[" + "".join(listed.values()) + "]"
+    return F.when(t.rlike(any_listed), replaced).otherwise(t)
 
 
 def clean_text(text) -> Column:

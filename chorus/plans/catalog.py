@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from chorus.functions import text as X
 from chorus.operators import aggregate as A
 from chorus.operators import dedup as D
+from chorus.operators import filters as FL
+from chorus.operators import network as G
+from chorus.operators import keywords as W
+from chorus.operators import sentiment as N
 from chorus.operators import project as P
 from chorus.operators import series as S
 from chorus.sources.fixture import fixture_posts, oracle
@@ -781,3 +785,496 @@ FROM dd LEFT JOIN kk a ON a.id_key = dd.id_key LEFT JOIN kk b ON b.hash_key = dd
 """))
 def q_dedup_cross_flags(spark, sf_dir):
     return D.cross_duplicate_flags(D.deduplicate(posts(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- N: sentiment scoring
+
+def _sql_values(name: str, d: dict) -> str:
+    rows = ", ".join(f"('{k}', CAST({float(v)} AS DOUBLE))" for k, v in d.items())
+    return f"{name}(w, v) AS (SELECT * FROM (VALUES {rows}))"
+
+
+def _sql_clean(expr: str) -> str:
+    t = expr
+    for name, cp in {**X.POSITIVE_EMOJI, **X.NEGATIVE_EMOJI}.items():
+        t = f"replace({t}, '{cp}', ' {name.strip(':')} ')"
+    t = f"regexp_replace({t}, '{X.URL}', '', 'g')"
+    t = f"regexp_replace({t}, '@({X.WORD}+)', '\\1', 'g')"
+    t = f"regexp_replace({t}, '{X.HASHTAG}', '\\1', 'g')"
+    return f"trim(regexp_replace({t}, '{X.SPACE}+', ' ', 'g'))"
+
+
+def _sql_emoji(expr: str) -> str:
+    p = " + ".join(f"CAST(contains({expr}, '{cp}') AS INT)" for cp in X.POSITIVE_EMOJI.values())
+    n = " + ".join(f"CAST(contains({expr}, '{cp}') AS INT)" for cp in X.NEGATIVE_EMOJI.values())
+    return f"CASE WHEN ({p}) + ({n}) > 0 THEN (({p}) - ({n})) / (({p}) + ({n})) ELSE 0.0 END"
+
+
+_SCORES_SQL = f"""
+, {_sql_values('lex', N.OPINION_WORDS)}, {_sql_values('val', N.VALENCE_WORDS)},
+  tx AS (SELECT seq, CASE WHEN title IS NOT NULL AND length(title) > 0 THEN title || ' ' || coalesce(content, '')
+                          ELSE coalesce(content, '') END AS txt FROM posts),
+  cl AS (SELECT seq, txt, lower({_sql_clean('txt')}) AS low FROM tx),
+  tk AS (SELECT seq, unnest(CASE WHEN length(low) = 0 THEN []::VARCHAR[] ELSE string_split_regex(low, '{X.SPACE}+') END)
+         AS tok FROM cl),
+  ag AS (SELECT tk.seq, count(*) AS n, count(*) FILTER (WHERE lex.v > 0) AS pos, count(*) FILTER (WHERE lex.v < 0) AS neg,
+                coalesce(sum(val.v), 0.0) AS s, count(val.v) AS m
+         FROM tk LEFT JOIN lex ON lex.w = tk.tok LEFT JOIN val ON val.w = tk.tok GROUP BY tk.seq),
+  parts AS (SELECT cl.seq,
+     coalesce(ag.s, 0.0) / sqrt(coalesce(ag.s, 0.0) * coalesce(ag.s, 0.0) + {N.VALENCE_ALPHA}) AS vader,
+     CASE WHEN coalesce(ag.m, 0) > 0 THEN ag.s / ag.m / 4.0 ELSE 0.0 END AS textblob,
+     CASE WHEN coalesce(ag.n, 0) > 0 THEN (ag.pos - ag.neg) / ag.n ELSE 0.0 END AS lexicon,
+     {_sql_emoji('cl.txt')} AS emoji,
+     CAST(len(regexp_extract_all(cl.txt, '!')) - len(regexp_extract_all(cl.txt, '[?]')) AS DOUBLE) AS emphasis
+   FROM cl LEFT JOIN ag USING (seq)),
+  sc AS (SELECT *, (vader + textblob + lexicon) / 3 + 0.1 * emoji + 0.02 * emphasis AS combined FROM parts)
+"""
+
+
+@register("sentiment_scores", oracle(_SCORES_SQL + """
+SELECT seq, CASE WHEN combined >= 0.05 THEN 'POSITIVE' WHEN combined <= -0.05 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
+       round(abs(combined), 6) AS score, round(combined, 6) AS compound, round(vader, 6) AS vader,
+       round(textblob, 6) AS textblob, round(lexicon, 6) AS lexicon, round(emoji, 6) AS emoji,
+       round(emphasis, 6) AS emphasis
+FROM sc
+"""))
+def q_sentiment_scores(spark, sf_dir):
+    s = N.score_posts(posts(spark, sf_dir))
+    d = F.col("sentiment.details")
+    return rounded(s.select("seq", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"),
+                            F.col("sentiment.compound").alias("compound"),
+                            *[d[k].alias(k) for k in ("vader", "textblob", "lexicon", "emoji", "emphasis")]))
+
+
+@register("scored_label_counts", oracle(_SCORES_SQL + """
+SELECT count(*) FILTER (WHERE combined >= 0.05) AS positive, count(*) FILTER (WHERE combined <= -0.05) AS negative,
+       count(*) FILTER (WHERE combined > -0.05 AND combined < 0.05) AS neutral
+FROM sc
+"""))
+def q_scored_label_counts(spark, sf_dir):
+    return N.label_counts(P.posts_flat(N.score_posts(posts(spark, sf_dir))))
+
+
+@register("vader_labels", oracle(_SCORES_SQL + """
+SELECT seq, CASE WHEN vader >= 0.05 THEN 'POSITIVE' WHEN vader <= -0.05 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
+       round(abs(vader), 6) AS score FROM sc
+"""))
+def q_vader_labels(spark, sf_dir):
+    s = N.vader_only(posts(spark, sf_dir))
+    return rounded(s.select("seq", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score")))
+
+
+@register("label_counts", oracle("""
+SELECT count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive, count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative,
+       count(*) FILTER (WHERE sentiment = 'NEUTRAL') AS neutral FROM flat
+"""))
+def q_label_counts(spark, sf_dir):
+    return N.label_counts(flat(spark, sf_dir))
+
+
+@register("canonical_labels", oracle("""
+, raw AS (SELECT seq, CASE seq % 4 WHEN 0 THEN sentiment WHEN 1 THEN ' ' || lower(sentiment) || ' '
+                               WHEN 2 THEN left(sentiment, 3) ELSE left(sentiment, 2) END AS raw_label FROM posts)
+SELECT seq, raw_label,
+       CASE upper(trim(raw_label)) WHEN 'POS' THEN 'POSITIVE' WHEN 'NEG' THEN 'NEGATIVE' WHEN 'NE' THEN 'NEUTRAL'
+            ELSE upper(trim(raw_label)) END AS label,
+       CASE upper(trim(raw_label)) WHEN 'POSITIVE' THEN 1.0 WHEN 'POS' THEN 1.0 WHEN 'NEGATIVE' THEN -1.0
+            WHEN 'NEG' THEN -1.0 ELSE 0.0 END::DOUBLE AS label_value
+FROM raw
+"""))
+def q_canonical_labels(spark, sf_dir):
+    from chorus.functions import columns as C
+    f = fixture_flat_labels(spark, sf_dir)
+    lab = C.canonical_label("raw_label")
+    return f.select("seq", "raw_label", lab.alias("label"), C.label_value(lab).alias("label_value"))
+
+
+def fixture_flat_labels(spark, sf_dir):
+    from chorus.sources.fixture import fixture_flat
+    f = fixture_flat(spark, sf_dir)
+    s = F.col("sentiment")
+    raw = (F.when(F.col("seq") % 4 == 0, s).when(F.col("seq") % 4 == 1, F.concat(F.lit(" "), F.lower(s), F.lit(" ")))
+            .when(F.col("seq") % 4 == 2, F.substring(s, 1, 3)).otherwise(F.substring(s, 1, 2)))
+    return f.select("seq", raw.alias("raw_label"))
+
+
+# --------------------------------------------------------------------------- W: keywords
+
+_SQL_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(
+    {w for w in (*W.ENGLISH_STOPWORDS, *W.EXTRA_STOPWORDS) if len(w) >= W.MIN_WORD_LENGTH}))
+
+_KEYWORDS_SQL = f"""
+, kt AS (SELECT seq, sentiment, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            coalesce(title, '') || ' ' || coalesce(content, ''), '{X.HTTP_URL}', '', 'g'), '{X.MENTION}', '', 'g'),
+            '{X.HASHTAG}', '\\1', 'g'), '{X.NOT_WORD_OR_SPACE}', ' ', 'g'), '{X.DIGITS}', '', 'g')) AS t FROM posts),
+  kw AS (SELECT seq, sentiment, word FROM (SELECT seq, sentiment, unnest(string_split_regex(t, '{X.SPACE}+')) AS word FROM kt)
+         WHERE length(word) >= 3 AND word NOT IN ({_SQL_STOP}))
+"""
+
+
+@register("word_frequencies", oracle(_KEYWORDS_SQL + """
+SELECT word, count(*) AS count FROM kw GROUP BY word
+HAVING count(*) >= CASE WHEN (SELECT count(*) FROM posts) > 20 THEN 2 ELSE 1 END
+"""))
+def q_word_frequencies(spark, sf_dir):
+    return W.word_frequencies(posts(spark, sf_dir))
+
+
+@register("word_frequencies_negative", oracle(_KEYWORDS_SQL + """
+SELECT word, count(*) AS count FROM kw WHERE sentiment = 'NEGATIVE' GROUP BY word
+HAVING count(*) >= CASE WHEN (SELECT count(*) FROM posts WHERE sentiment = 'NEGATIVE') > 20 THEN 2 ELSE 1 END
+"""))
+def q_word_frequencies_negative(spark, sf_dir):
+    return W.word_frequencies(posts(spark, sf_dir), "NEGATIVE")
+
+
+@register("top_words", oracle(_KEYWORDS_SQL + """
+, f AS (SELECT word, count(*) AS count FROM kw GROUP BY word
+        HAVING count(*) >= CASE WHEN (SELECT count(*) FROM posts) > 20 THEN 2 ELSE 1 END)
+SELECT word, count FROM f ORDER BY count DESC, word LIMIT 100
+"""))
+def q_top_words(spark, sf_dir):
+    return W.top_words(posts(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- G: graphs
+
+_MENTION_SQL = """
+, me AS (SELECT author, mention1 AS mention, count(*) AS count,
+                array_to_string(list_sort(list_distinct(list(CASE WHEN platform = 'reddit' AND length(subreddit) > 0
+                                                                  THEN subreddit END))), '|') AS subreddits,
+                min(seq) AS first_seq
+         FROM posts WHERE mention1 IS NOT NULL GROUP BY author, mention1),
+  mg AS (SELECT least(author, mention) AS src, greatest(author, mention) AS dst,
+                arg_max(count, first_seq) AS weight, arg_max(subreddits, first_seq) AS subreddits
+         FROM me WHERE count >= 2 GROUP BY 1, 2)
+"""
+
+
+@register("mention_edges", oracle(_MENTION_SQL + "SELECT author, mention, count, subreddits, first_seq FROM me"))
+def q_mention_edges(spark, sf_dir):
+    e = G.mention_edges(posts(spark, sf_dir))
+    return e.select("author", "mention", "count", F.array_join("subreddits", "|").alias("subreddits"), "first_seq")
+
+
+@register("mention_graph", oracle(_MENTION_SQL + "SELECT src, dst, weight, subreddits FROM mg"))
+def q_mention_graph(spark, sf_dir):
+    g = G.mention_graph(G.mention_edges(posts(spark, sf_dir)))
+    return g.select("src", "dst", "weight", F.array_join("subreddits", "|").alias("subreddits"))
+
+
+@register("degree_centrality", oracle(_MENTION_SQL + """
+, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM mg UNION ALL SELECT dst FROM mg) GROUP BY node)
+SELECT node, degree, round(CASE WHEN (SELECT count(*) FROM d) <= 1 THEN 1.0
+                                ELSE degree / ((SELECT count(*) FROM d) - 1) END, 6) AS centrality FROM d
+"""))
+def q_degree_centrality(spark, sf_dir):
+    return rounded(G.degree_centrality(G.mention_graph(G.mention_edges(posts(spark, sf_dir)))))
+
+
+@register("node_tone", oracle(_MENTION_SQL + """
+, n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM mg UNION ALL SELECT dst FROM mg)),
+  c AS (SELECT author AS node, count(*) FILTER (WHERE sentiment = 'POSITIVE') AS pos,
+               count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS neg, count(*) AS total
+        FROM flat WHERE sentiment <> 'UNKNOWN' GROUP BY author)
+SELECT n.node, coalesce(c.total, 0) AS scored_posts,
+       CASE WHEN coalesce(c.total, 0) = 0 THEN 'gray' WHEN c.neg / c.total > 0.6 THEN 'red'
+            WHEN c.pos / c.total > 0.6 THEN 'green' ELSE 'yellow' END AS tone
+FROM n LEFT JOIN c USING (node)
+"""))
+def q_node_tone(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    g = G.mention_graph(G.mention_edges(p))
+    nodes = g.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return G.node_tone(nodes, P.posts_flat(p))
+
+
+@register("subreddit_topic_edges", oracle("""
+SELECT coalesce(subreddit, 'unknown') AS subreddit, query AS topic, count(*) AS weight FROM posts GROUP BY 1, 2
+"""))
+def q_subreddit_topic_edges(spark, sf_dir):
+    return G.subreddit_topic_edges(posts(spark, sf_dir))
+
+
+@register("triangular_network", oracle("""
+, e AS (SELECT 'user' AS src_type, author AS src, 'subreddit' AS dst_type, subreddit AS dst FROM posts
+          WHERE length(author) > 0 AND length(subreddit) > 0
+        UNION ALL SELECT 'user', author, 'topic', query FROM posts WHERE length(author) > 0 AND length(query) > 0
+        UNION ALL SELECT 'subreddit', subreddit, 'topic', query FROM posts WHERE length(subreddit) > 0 AND length(query) > 0)
+SELECT src_type, src, dst_type, dst, count(*) AS weight FROM e GROUP BY ALL
+"""))
+def q_triangular_network(spark, sf_dir):
+    return G.triangular_network(flat(spark, sf_dir))
+
+
+@register("user_top_terms", oracle("""
+, s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN'),
+  act AS (SELECT author FROM s GROUP BY author HAVING count(*) >= 3),
+  t AS (SELECT author, seq, 'topic' AS kind, query AS term FROM s
+        UNION ALL SELECT author, seq, 'subreddit', subreddit FROM s),
+  c AS (SELECT author, kind, term, count(*) AS count, min(seq) AS first_seq FROM t
+        WHERE term IS NOT NULL AND length(term) > 0 GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY author, kind ORDER BY count DESC, first_seq) AS rank FROM c)
+SELECT author, kind, rank, term, count FROM r WHERE rank <= 3 AND author IN (SELECT author FROM act)
+"""))
+def q_user_top_terms(spark, sf_dir):
+    return G.user_top_terms(flat(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- F: filters
+
+@register("posts_in_range", oracle("""
+SELECT seq, id, platform FROM posts WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00'
+"""))
+def q_posts_in_range(spark, sf_dir):
+    return FL.in_date_range(posts(spark, sf_dir), "2024-01-05 00:00:00", "2024-01-12 12:00:00").select(
+        "seq", "id", "platform")
+
+
+@register("author_time_filter", oracle("""
+SELECT author, CASE WHEN d <= 1 THEN 'day' WHEN d <= 7 THEN 'week' WHEN d <= 30 THEN 'month'
+                    WHEN d <= 365 THEN 'year' ELSE 'all' END AS time_filter
+FROM (SELECT author, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000) AS d FROM posts GROUP BY author)
+"""))
+def q_author_time_filter(spark, sf_dir):
+    span = posts(spark, sf_dir).groupBy("author").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    return span.select("author", FL.time_filter_bucket(F.col("lo"), F.col("hi")).alias("time_filter"))
+
+
+@register("limit_per_query", oracle("""
+SELECT seq, query FROM posts QUALIFY row_number() OVER (PARTITION BY query ORDER BY ts DESC, platform, id) <= 100
+"""))
+def q_limit_per_query(spark, sf_dir):
+    return FL.limit_per_query(posts(spark, sf_dir), 100).select("seq", "query")
+
+
+@register("user_timeline", oracle("""
+SELECT seq, CASE WHEN platform = 'reddit' THEN 'u/user7' ELSE '@user7' END AS query
+FROM posts WHERE author = 'user7' AND ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'
+ORDER BY ts DESC, seq LIMIT 50
+"""))
+def q_user_timeline(spark, sf_dir):
+    return FL.user_timeline(posts(spark, sf_dir), "user7", "2024-01-01", "2024-01-31", limit=50).select("seq", "query")
+
+
+_RAW_QUERIES_SQL = """
+, rq AS (SELECT seq, CASE seq % 5 WHEN 0 THEN query WHEN 1 THEN '  ' || upper(query) || '   now '
+                             WHEN 2 THEN substr(author, 1, 1) WHEN 3 THEN query || E'\\\\' || E'\\t' || author
+                             ELSE repeat(query || ' ', 25) END AS raw FROM posts)
+"""
+
+
+def _raw_queries(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    q, s = F.col("query"), F.col("seq") % 5
+    raw = (F.when(s == 0, q).when(s == 1, F.concat(F.lit("  "), F.upper(q), F.lit("   now ")))
+            .when(s == 2, F.substring("author", 1, 1)).when(s == 3, F.concat(q, F.lit("\\\t"), F.col("author")))
+            .otherwise(F.repeat(F.concat(q, F.lit(" ")), 25)))
+    return p.select("seq", raw.alias("raw"))
+
+
+@register("distinct_queries", oracle(_RAW_QUERIES_SQL + f"""
+, c AS (SELECT seq, trim(regexp_replace(raw, '{X.SPACE}+', ' ', 'g')) AS q FROM rq)
+SELECT arg_min(q, seq) AS query, min(seq) AS pos FROM c WHERE length(q) > 0 GROUP BY lower(q)
+"""))
+def q_distinct_queries(spark, sf_dir):
+    return FL.distinct_queries(_raw_queries(spark, sf_dir).withColumnRenamed("seq", "pos"), col="raw") \
+        .withColumnRenamed("raw", "query")
+
+
+@register("validate_queries", oracle(_RAW_QUERIES_SQL + """
+, t AS (SELECT seq, trim(raw) AS q FROM rq), c AS (SELECT seq, q, substr(q, 1, 100) AS cut FROM t)
+SELECT seq,
+  CASE WHEN length(q) < 2 THEN NULL
+       ELSE replace(replace(replace(replace(cut, E'\\\\', ''), E'\\n', ' '), E'\\r', ' '), E'\\t', ' ') END AS valid_query,
+  CASE WHEN length(q) = 0 THEN NULL WHEN length(q) < 2 THEN 'Query too short (skipped): ''' || q || ''''
+       WHEN length(q) > 100 THEN 'Query truncated: ''' || substr(q, 1, 50) || '...'''
+       WHEN regexp_matches(cut, '[\\\\\\n\\r\\t]') THEN 'Special characters removed from: ''' || cut || ''''
+       END AS warning
+FROM c
+"""))
+def q_validate_queries(spark, sf_dir):
+    v = FL.validate_queries(_raw_queries(spark, sf_dir), col="raw")
+    return v.select("seq", "valid_query", "warning")
+
+
+@register("dashboard_filter", oracle("""
+SELECT seq FROM flat WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-15' AND score_m BETWEEN 0.2 AND 0.8
+"""))
+def q_dashboard_filter(spark, sf_dir):
+    return FL.dashboard_filter(posts(spark, sf_dir), "2024-01-05", "2024-01-15", 0.2, 0.8).select("seq")
+
+
+@register("negative_by_query", oracle("""
+SELECT query, count(*) AS count FROM posts WHERE sentiment = 'NEGATIVE' GROUP BY query
+"""))
+def q_negative_by_query(spark, sf_dir):
+    return FL.sentiment_filter(posts(spark, sf_dir), "NEGATIVE").groupBy("query").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("scatter_sample", oracle("""
+SELECT seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, CAST(coalesce(likes, 0) + coalesce(retweets, 0) AS DOUBLE)
+       AS engagement, score_m AS sentiment_score, sentiment AS sentiment_label, author,
+       substr(content, 1, 100) || '...' AS content_preview
+FROM (SELECT * FROM flat ORDER BY seq LIMIT 1000) WHERE sentiment <> 'UNKNOWN' AND (SELECT count(*) FROM posts) >= 10
+"""))
+def q_scatter_sample(spark, sf_dir):
+    return FL.scatter_sample(posts(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- S: sources
+
+def _raw_tweets(spark, sf_dir):
+    """Landed tweet JSON lines, written by Spark from the twitter posts."""
+    p = posts(spark, sf_dir).filter(F.col("platform") == "twitter")
+    e = lambda k: F.try_element_at("engagement", F.lit(k)).cast("bigint")
+    tweet = F.struct(
+        F.col("id"), F.col("timestamp").alias("date"),
+        F.struct(F.col("author").alias("username"), F.col("author_id").alias("id")).alias("user"),
+        F.col("content").alias("rawContent"), e("likes").alias("likeCount"), e("retweets").alias("retweetCount"),
+        e("replies").alias("replyCount"),
+        F.transform("metadata.hashtags", lambda h: F.struct(h.alias("text"))).alias("hashtags"),
+        F.transform("metadata.mentions", lambda m: F.struct(m.alias("username"))).alias("mentionedUsers"),
+        F.when(F.col("seq") % 5 == 0, F.lit("123")).alias("inReplyToTweetId"))
+    return p.select("seq", "query", F.to_json(tweet).alias("value"))
+
+
+@register("ingest_tweets", oracle(f"""
+SELECT seq, id, author, content_length, likes, retweets, replies, quotes, engagement_total, url, query,
+       hashtags, mentions, is_reply
+FROM (SELECT seq, id, author, CAST(length(content) AS BIGINT) AS content_length,
+        CAST(likes AS DOUBLE) AS likes, CAST(retweets AS DOUBLE) AS retweets, CAST(replies AS DOUBLE) AS replies,
+        0.0::DOUBLE AS quotes, CAST(likes + retweets + replies AS DOUBLE) AS engagement_total,
+        'https://twitter.com/i/status/' || id AS url, query,
+        array_to_string(CASE WHEN hashtag1 IS NOT NULL OR hashtag2 IS NOT NULL
+                             THEN list_filter([hashtag1, hashtag2], lambda x: x IS NOT NULL)
+                             ELSE regexp_extract_all(content, '{X.HASHTAG}', 1) END, '|') AS hashtags,
+        array_to_string(CASE WHEN mention1 IS NOT NULL THEN [mention1]
+                             ELSE regexp_extract_all(content, '@({X.WORD}+)', 1) END, '|') AS mentions,
+        seq % 5 = 0 AS is_reply
+      FROM posts WHERE platform = 'twitter')
+"""))
+def q_ingest_tweets(spark, sf_dir):
+    from chorus.functions import columns as C
+    from chorus.sources import ingest as I
+    raw = _raw_tweets(spark, sf_dir)
+    parsed = raw.select("seq", "query", F.from_json("value", I.TWEET_SCHEMA).alias("t")).select("seq", "query", "t.*")
+    t = I.tweets_to_posts(parsed, "query", seq=F.col("seq"))
+    e = lambda k: F.try_element_at("engagement", F.lit(k))
+    return t.select("seq", "id", "author", F.char_length("content").cast("bigint").alias("content_length"),
+                    e("likes").alias("likes"), e("retweets").alias("retweets"), e("replies").alias("replies"),
+                    e("quotes").alias("quotes"), C.engagement_total().alias("engagement_total"), "url", "query",
+                    F.array_join("metadata.hashtags", "|").alias("hashtags"),
+                    F.array_join("metadata.mentions", "|").alias("mentions"),
+                    F.col("metadata.is_reply").alias("is_reply"))
+
+
+def _raw_submissions(spark, sf_dir):
+    p = fixture_flat_reddit(spark, sf_dir)
+    sub = F.struct(
+        "id", "title", F.col("content").alias("selftext"),
+        F.when(F.col("author") != "[deleted]", F.col("author")).alias("author"),
+        F.concat(F.lit("t2_"), F.col("author_id")).alias("author_fullname"),
+        F.concat(F.lit("/r/"), F.col("subreddit"), F.lit("/comments/"), F.col("id")).alias("permalink"),
+        "subreddit", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double").alias("created_utc"),
+        "score", "num_comments",
+        F.when(F.col("seq") % 7 == 0, F.lit(0.0)).otherwise(F.col("upvote_ratio")).alias("upvote_ratio"),
+        F.array_repeat(F.struct(F.lit("a").alias("id")), (F.col("seq") % 3).cast("int")).alias("all_awardings"))
+    return p.select("seq", "query", sub.alias("s"))
+
+
+def fixture_flat_reddit(spark, sf_dir):
+    from chorus.sources.fixture import fixture_flat
+    return fixture_flat(spark, sf_dir).filter(F.col("platform") == "reddit")
+
+
+@register("ingest_submissions", oracle("""
+SELECT seq, id, coalesce(CASE WHEN author <> '[deleted]' THEN author END, '[deleted]') AS author,
+       't2_' || author_id AS author_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS timestamp,
+       CAST(score AS DOUBLE) AS score,
+       CAST(CASE WHEN r = 0 THEN score ELSE trunc(score * r) END AS DOUBLE) AS upvotes,
+       CAST(CASE WHEN r = 0 THEN 0 ELSE trunc(score * (1 - r)) END AS DOUBLE) AS downvotes,
+       CAST(num_comments AS DOUBLE) AS num_comments, r AS upvote_ratio,
+       round(score + CASE WHEN r = 0 THEN score ELSE trunc(score * r) END + CASE WHEN r = 0 THEN 0 ELSE trunc(score * (1 - r)) END
+             + num_comments + r, 6) AS engagement_total,
+       'https://reddit.com/r/' || subreddit || '/comments/' || id AS url, CAST(seq % 3 AS BIGINT) AS awards
+FROM (SELECT *, CASE WHEN seq % 7 = 0 THEN 0.0 ELSE upvote_ratio END AS r FROM posts WHERE platform = 'reddit')
+"""))
+def q_ingest_submissions(spark, sf_dir):
+    from chorus.functions import columns as C
+    from chorus.sources import ingest as I
+    raw = _raw_submissions(spark, sf_dir)
+    parsed = raw.select("seq", "query", F.from_json(F.to_json("s"), I.SUBMISSION_SCHEMA).alias("s")).select(
+        "seq", "query", "s.*")
+    t = I.submissions_to_posts(parsed, "query", seq=F.col("seq"))
+    e = lambda k: F.try_element_at("engagement", F.lit(k))
+    return rounded(t.select("seq", "id", "author", "author_id",
+                            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+                            *[e(k).alias(k) for k in ("score", "upvotes", "downvotes", "num_comments", "upvote_ratio")],
+                            C.engagement_total().alias("engagement_total"), "url",
+                            F.col("metadata.awards").alias("awards")))
+
+
+@register("ingest_listing", oracle("""
+SELECT seq, id, CAST(score AS DOUBLE) AS score, 0.0::DOUBLE AS upvotes, 0.0::DOUBLE AS downvotes,
+       CAST(num_comments AS DOUBLE) AS num_comments, CASE WHEN seq % 7 = 0 THEN 0.0 ELSE upvote_ratio END AS upvote_ratio,
+       subreddit, CAST(seq // 300 AS BIGINT) AS page
+FROM posts WHERE platform = 'reddit'
+"""))
+def q_ingest_listing(spark, sf_dir):
+    from chorus.sources import ingest as I
+    raw = _raw_submissions(spark, sf_dir)
+    page = (F.col("seq") / 300).cast("bigint")
+    # one listing page per 100 consecutive reddit posts (seq step 3), as the API pages them
+    pages = raw.groupBy(page.alias("page"), "query").agg(
+        F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct(F.col("s.*"), F.col("seq").alias("seq_"))
+                                                             .alias("data"))).alias("children")).alias("data")))
+        .alias("value"))
+    schema = I.LISTING_SCHEMA
+    child = schema["data"].dataType["children"].dataType.elementType["data"].dataType
+    from pyspark.sql import types as T
+    sch = T.StructType([T.StructField("data", T.StructType([T.StructField("children", T.ArrayType(T.StructType([
+        T.StructField("data", T.StructType(child.fields + [T.StructField("seq_", T.LongType())]))])))]))])
+    parsed = pages.select("page", "query", F.from_json("value", sch).alias("l")).select("page", "query", "l.data")
+    t = I.listing_to_posts(parsed, "query", seq=F.col("seq_"))
+    e = lambda k: F.try_element_at("engagement", F.lit(k))
+    return t.select("seq", "id", *[e(k).alias(k) for k in ("score", "upvotes", "downvotes", "num_comments", "upvote_ratio")],
+                    F.col("metadata.subreddit").alias("subreddit"), (F.col("seq") / 300).cast("bigint").alias("page"))
+
+
+@register("ingest_comments", oracle("""
+SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id,
+       CASE WHEN role = 'system' THEN '[deleted]' ELSE role END AS author, md5(text) AS body_md5, turn AS score,
+       strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 60), '%Y-%m-%d %H:%M:%S') AS created_utc,
+       role = 'user' AS is_submitter, 't3_' || CAST(conv_id AS VARCHAR) AS parent_id,
+       'https://reddit.com/c/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS permalink
+FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 5
+"""))
+def q_ingest_comments(spark, sf_dir):
+    from chorus.sources import ingest as I
+    from chorus.sources.fixture import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    cid = F.col("conv_id").cast("string")
+    raw = conv.select(
+        F.concat(cid, F.lit("_"), F.col("turn").cast("string")).alias("id"),
+        F.when(F.col("role") != "system", F.col("role")).alias("author"), F.col("text").alias("body"),
+        F.col("turn").alias("score"),
+        (F.lit(1704067200) + F.col("turn") * 60).cast("double").alias("created_utc"),
+        (F.col("role") == "user").alias("is_submitter"), F.concat(F.lit("t3_"), cid).alias("parent_id"),
+        F.concat(F.lit("/c/"), cid, F.lit("/"), F.col("turn").cast("string")).alias("permalink"),
+        cid.alias("submission_id"), F.col("turn").alias("position"))
+    c = I.comments_to_rows(raw, limit=5)
+    return c.select("id", "author", F.md5("body").alias("body_md5"), "score",
+                    F.date_format("created_utc", "yyyy-MM-dd HH:mm:ss").alias("created_utc"),
+                    "is_submitter", "parent_id", "permalink")
+
+
+@register("collection_stats", oracle("""
+SELECT platform, count(*) AS posts, count(DISTINCT query) AS queries,
+       round(count(*) / count(DISTINCT query), 6) AS posts_per_query FROM posts GROUP BY platform
+"""))
+def q_collection_stats(spark, sf_dir):
+    from chorus.sources import ingest as I
+    p = posts(spark, sf_dir)
+    both = I.union_sources(p.filter(F.col("platform") == "twitter"), p.filter(F.col("platform") == "reddit"))
+    return rounded(I.collection_stats(both))
