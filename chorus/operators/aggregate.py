@@ -230,19 +230,25 @@ def viral_threshold(flat: DataFrame) -> DataFrame:
     return t.select(F.greatest(base, 2 * F.col("med")).alias("threshold"))
 
 
-def viral_posts(flat_text: DataFrame, top: int = 20) -> DataFrame:
+def viral_posts(flat: DataFrame, posts: DataFrame | None = None, top: int = 20) -> DataFrame:
     """Posts at or above the viral threshold, most engaging first.
 
-    ``flat_text`` is ``posts_flat(posts, keep=["content", "url"])``.
+    The ranking runs on ``flat`` (no text).  ``content``/``url`` come from
+    ``flat`` when it carries them, else from ``posts`` for the ≤ ``top``
+    winners only (a broadcast of at most ``top`` rows).
     """
-    thr = viral_threshold(flat_text).scalar()
+    thr = viral_threshold(flat).scalar()
     e = F.col("engagement_total")
-    return (flat_text.filter(e >= thr)
-            .orderBy(e.desc(), F.col("seq")).limit(top)
-            .select("id", "platform", "author", e.cast("bigint").alias("engagement"),
-                    F.col("likes").cast("bigint").alias("likes"), F.col("shares").cast("bigint").alias("shares"),
-                    "sentiment", C.preview("content", 200).alias("content_preview"),
-                    C.iso_timestamp("timestamp").alias("timestamp"), "url"))
+    cols = ["seq", "id", "platform", "author", "engagement_total", "likes", "shares", "sentiment", "timestamp"]
+    has_text = "content" in flat.columns
+    best = (flat.filter(e >= thr).orderBy(e.desc(), F.col("seq")).limit(top)
+            .select(*cols, *(["content", "url"] if has_text else [])))
+    if not has_text:
+        best = posts.select("seq", "content", "url").join(F.broadcast(best), "seq")  # ≤ top rows
+    return best.select("id", "platform", "author", e.cast("bigint").alias("engagement"),
+                       F.col("likes").cast("bigint").alias("likes"), F.col("shares").cast("bigint").alias("shares"),
+                       "sentiment", C.preview("content", 200).alias("content_preview"),
+                       C.iso_timestamp("timestamp").alias("timestamp"), "url")
 
 
 def sentiment_leaders(flat: DataFrame, min_posts: int = 2, top: int = 10) -> DataFrame:
