@@ -1278,3 +1278,143 @@ def q_collection_stats(spark, sf_dir):
     p = posts(spark, sf_dir)
     both = I.union_sources(p.filter(F.col("platform") == "twitter"), p.filter(F.col("platform") == "reddit"))
     return rounded(I.collection_stats(both))
+
+
+@register("collection_by_query", oracle("SELECT platform, query, count(*) AS posts FROM posts GROUP BY ALL"))
+def q_collection_by_query(spark, sf_dir):
+    from chorus.sources import ingest as I
+    return I.collection_by_query(posts(spark, sf_dir))
+
+
+@register("coerce_posts", oracle("""
+SELECT seq, CASE WHEN seq % 11 = 0 THEN 'batch' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS timestamp,
+       CAST(CASE WHEN seq % 13 = 0 THEN 0 ELSE 1 END AS BIGINT) AS engagement_keys_nonzero
+FROM posts
+"""))
+def q_coerce_posts(spark, sf_dir):
+    """Posts landed with ISO timestamp text (some unparseable) and some without engagement."""
+    from chorus.schema import coerce_posts
+    p = posts(spark, sf_dir)
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    loose = p.select("seq", "id", "platform", "author", "content",
+                     F.when(F.col("seq") % 11 == 0, F.lit("not a date")).otherwise(iso).alias("timestamp"),
+                     F.when(F.col("seq") % 13 == 0, F.lit(None)).otherwise(F.col("engagement")).alias("engagement"),
+                     "query", "metadata")
+    batch_ts = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    c = coerce_posts(loose, batch_ts=batch_ts)
+    return c.select("seq", F.when(F.col("timestamp") == batch_ts, F.lit("batch"))
+                    .otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
+                    (F.size("engagement") > 0).cast("bigint").alias("engagement_keys_nonzero"))
+
+
+@register("dedup_incremental", oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
+def q_dedup_incremental(spark, sf_dir):
+    """Two successive batches (first and second half of the month) with carried state
+    give the same result as one pass over all posts."""
+    p = posts(spark, sf_dir)
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    seen0 = spark.createDataFrame([], "id_key string, hash_key string")
+    t1, seen1 = D.dedup_incremental(p.filter(F.col("timestamp") < cut), seen0)
+    seen1 = seen1.checkpoint(eager=True)
+    t2, _ = D.dedup_incremental(p.filter(F.col("timestamp") >= cut), seen1)
+    return t1.select("seq", "kept", "dup_type").unionByName(t2.select("seq", "kept", "dup_type"))
+
+
+# --------------------------------------------------------------------------- E: exports
+
+@register("export_posts", oracle("""
+SELECT id, platform, author, author_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
+       CAST(ts AS DATE) AS date, CAST(extract(hour FROM ts) AS BIGINT) AS hour, query,
+       'https://' || platform || '.example/' || id AS url,
+       md5(CASE WHEN length(trim(content)) <= 500 THEN trim(content) ELSE substr(trim(content), 1, 497) || '...' END) AS content_md5,
+       CAST(length(content) AS BIGINT) AS content_length,
+       CASE WHEN length(title) > 0 THEN title ELSE '' END AS title,
+       CASE WHEN sentiment = 'UNKNOWN' THEN '' ELSE sentiment END AS sentiment, score_m AS sentiment_score,
+       CASE WHEN sentiment = 'UNKNOWN' THEN '' ELSE 'fixture' END AS sentiment_method,
+       likes_m AS likes, shares_m AS shares, replies_m AS replies, round(engagement_total, 6) AS engagement_total,
+       hashtag_count, mention_count, false AS has_media
+FROM flat
+"""))
+def q_export_posts(spark, sf_dir):
+    from chorus.plans import export as E
+    e = E.export_posts(posts(spark, sf_dir))
+    e = e.withColumn("content_md5", F.md5("content")).drop("content")
+    return rounded(e)
+
+
+@register("export_daily_statistics", oracle("""
+SELECT date, count(*) AS total_posts, count_if(sentiment = 'POSITIVE') AS positive,
+  count_if(sentiment = 'NEGATIVE') AS negative, count_if(sentiment = 'NEUTRAL') AS neutral,
+  round((count_if(sentiment = 'POSITIVE') - count_if(sentiment = 'NEGATIVE')) / count(*), 6) AS sentiment_ratio,
+  round(count_if(sentiment = 'POSITIVE') / count(*), 6) AS positive_ratio,
+  round(avg(sentiment_value), 6) AS avg_sentiment_score, CAST(trunc(sum(engagement_total)) AS BIGINT) AS total_engagement,
+  round(avg(engagement_total), 6) AS avg_engagement, count(DISTINCT author) AS unique_authors
+FROM flat GROUP BY date
+"""))
+def q_export_daily_statistics(spark, sf_dir):
+    from chorus.plans import export as E
+    return rounded(E.export_daily_statistics(flat(spark, sf_dir)))
+
+
+@register("export_summary_statistics", oracle("""
+, b AS (SELECT count(*) AS n, count(DISTINCT author) AS authors, min(ts) AS lo, max(ts) AS hi,
+               sum(likes_m) AS tl, sum(shares_m) AS ts_, avg(engagement_total) AS ae, max(engagement_total) AS me FROM flat),
+  c AS (SELECT sentiment, count(*) AS n FROM flat GROUP BY sentiment)
+SELECT 'total_posts' AS metric, CAST(n AS DOUBLE) AS value, 'general' AS category FROM b
+UNION ALL SELECT 'unique_authors', CAST(authors AS DOUBLE), 'general' FROM b
+UNION ALL SELECT 'date_range_days', CAST(floor((epoch_us(hi) - epoch_us(lo)) / 86400000000) + 1 AS DOUBLE), 'general' FROM b
+UNION ALL SELECT 'sentiment_' || lower(sentiment), CAST(n AS DOUBLE), 'sentiment' FROM c
+UNION ALL SELECT 'sentiment_ratio', round((sum(n) FILTER (WHERE sentiment = 'POSITIVE') - sum(n) FILTER (WHERE sentiment = 'NEGATIVE'))
+                                          / sum(n), 6), 'sentiment' FROM c
+UNION ALL SELECT 'total_likes', floor(tl), 'engagement' FROM b
+UNION ALL SELECT 'total_shares', floor(ts_), 'engagement' FROM b
+UNION ALL SELECT 'avg_engagement', round(ae, 6), 'engagement' FROM b
+UNION ALL SELECT 'max_engagement', floor(me), 'engagement' FROM b
+"""))
+def q_export_summary_statistics(spark, sf_dir):
+    from chorus.plans import export as E
+    return rounded(E.export_summary_statistics(flat(spark, sf_dir)))
+
+
+@register("hourly_activity", oracle("""
+, h AS (SELECT unnest(range(24)) AS hour), c AS (SELECT hour, count(*) AS n FROM flat GROUP BY hour)
+SELECT h.hour, coalesce(c.n, 0) AS count FROM h LEFT JOIN c USING (hour)
+"""))
+def q_hourly_activity(spark, sf_dir):
+    from chorus.plans import export as E
+    return E.hourly_activity(flat(spark, sf_dir))
+
+
+@register("report_header", oracle("""
+, t AS (SELECT count(*) AS n, count(DISTINCT author) AS a, min(ts) AS lo, max(ts) AS hi FROM flat)
+SELECT format('{:,}', n) AS total_posts, format('{:,}', a) AS unique_authors,
+       CASE WHEN CAST(lo AS DATE) = CAST(hi AS DATE) THEN strftime(lo, '%B %d, %Y')
+            WHEN month(lo) = month(hi) AND year(lo) = year(hi) THEN strftime(lo, '%B %d') || ' - ' || strftime(hi, '%d, %Y')
+            WHEN year(lo) = year(hi) THEN strftime(lo, '%B %d') || ' - ' || strftime(hi, '%B %d, %Y')
+            ELSE strftime(lo, '%B %d, %Y') || ' - ' || strftime(hi, '%B %d, %Y') END AS date_range
+FROM t
+"""))
+def q_report_header(spark, sf_dir):
+    from chorus.plans import export as E
+    return E.report_header(flat(spark, sf_dir))
+
+
+@register("dashboard_rows", oracle("""
+SELECT author, subreddit, query AS topic, CASE WHEN sentiment <> 'UNKNOWN' THEN sentiment END AS sentiment,
+       CASE WHEN sentiment <> 'UNKNOWN' THEN sentiment_score END AS score, title, md5(content) AS content_md5,
+       'https://' || platform || '.example/' || id AS url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp
+FROM posts
+"""))
+def q_dashboard_rows(spark, sf_dir):
+    from chorus.plans import export as E
+    d = E.dashboard_rows(posts(spark, sf_dir))
+    return rounded(d.select("author", "subreddit", "topic", "sentiment", "score", "title",
+                            F.md5("content").alias("content_md5"), "url",
+                            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")))
+
+
+@register("summary_document")
+def q_summary_document(spark, sf_dir):
+    """One JSON row (JSON text formatting differs between engines: rows-only check)."""
+    from chorus.plans import export as E
+    return E.summary_document(flat(spark, sf_dir))

@@ -234,6 +234,11 @@ def collection_stats(posts: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) / F.countDistinct("query")).alias("posts_per_query"))
 
 
+def collection_by_query(posts: DataFrame) -> DataFrame:
+    """Posts per (platform, query)."""
+    return posts.groupBy("platform", "query").agg(F.count(F.lit(1)).alias("posts"))
+
+
 def with_entities(posts: DataFrame) -> DataFrame:
     """hashtags/mentions from metadata when present, else from the text; URLs likewise."""
     md = F.col("metadata")
