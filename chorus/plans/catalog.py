@@ -1418,3 +1418,43 @@ def q_summary_document(spark, sf_dir):
     """One JSON row (JSON text formatting differs between engines: rows-only check)."""
     from chorus.plans import export as E
     return E.summary_document(flat(spark, sf_dir))
+
+
+@register("mention_pair_similarity", oracle(_MENTION_SQL + """
+, s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN'),
+  pr AS (SELECT author, (count(*) FILTER (WHERE sentiment = 'POSITIVE') - count(*) FILTER (WHERE sentiment = 'NEGATIVE'))
+                         / count(*) AS x,
+                list_sort(list_distinct(list(CASE WHEN length(query) > 0 THEN query END))) AS t,
+                list_sort(list_distinct(list(CASE WHEN length(subreddit) > 0 THEN subreddit END))) AS sb
+         FROM s GROUP BY author HAVING count(*) >= 3),
+  j AS (SELECT mg.src, mg.dst, a.t AS t1, b.t AS t2, a.sb AS s1, b.sb AS s2, a.x AS x1, b.x AS x2
+        FROM mg JOIN pr a ON a.author = mg.src JOIN pr b ON b.author = mg.dst),
+  w AS (SELECT src, dst,
+          CASE WHEN len(list_distinct(list_concat(t1, t2))) > 0
+               THEN len(list_intersect(t1, t2)) / len(list_distinct(list_concat(t1, t2))) ELSE 0.0 END AS jt,
+          CASE WHEN len(list_distinct(list_concat(s1, s2))) > 0
+               THEN len(list_intersect(s1, s2)) / len(list_distinct(list_concat(s1, s2))) ELSE 0.0 END AS js,
+          1 - abs(x1 - x2) AS sim, len(list_intersect(t1, t2)) AS st, len(list_intersect(s1, s2)) AS ss FROM j)
+SELECT src, dst, round((jt + js + sim) / 3, 6) AS weight, round(jt, 6) AS topic_overlap, round(js, 6) AS subreddit_overlap,
+       round(sim, 6) AS sentiment_similarity, CAST(st AS INTEGER) AS shared_topics, CAST(ss AS INTEGER) AS shared_subreddits
+FROM w WHERE (st > 0 OR ss > 0) AND (jt + js + sim) / 3 > 0.3
+"""))
+def q_mention_pair_similarity(spark, sf_dir):
+    p = posts(spark, sf_dir)
+    f = P.posts_flat(p)
+    pairs = G.mention_graph(G.mention_edges(p))
+    return rounded(G.pair_similarity(G.user_profiles(f), pairs))
+
+
+@register("user_profiles", oracle("""
+, s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN')
+SELECT author, round((count(*) FILTER (WHERE sentiment = 'POSITIVE') - count(*) FILTER (WHERE sentiment = 'NEGATIVE'))
+                     / count(*), 6) AS sentiment_score,
+       array_to_string(list_sort(list_distinct(list(CASE WHEN length(query) > 0 THEN query END))), '|') AS topics,
+       array_to_string(list_sort(list_distinct(list(CASE WHEN length(subreddit) > 0 THEN subreddit END))), '|') AS subreddits
+FROM s GROUP BY author HAVING count(*) >= 3
+"""))
+def q_user_profiles(spark, sf_dir):
+    u = G.user_profiles(flat(spark, sf_dir))
+    return rounded(u.select("author", "sentiment_score", F.array_join("topics", "|").alias("topics"),
+                            F.array_join("subreddits", "|").alias("subreddits")))
