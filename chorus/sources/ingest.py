@@ -210,7 +210,17 @@ def read_analysis_posts(spark: SparkSession, path: str, post_schema: T.StructTyp
 
 
 def read_graph(spark: SparkSession, path: str):
-    """Node-link JSON → (nodes, edges) DataFrames."""
+    """Node-link JSON → (nodes, edges) DataFrames.
+
+    Reads a single node-link document (``{"nodes": [...], "links": [...]}``)
+    or the split form written by ``chorus.plans.export.write_node_link``
+    (``nodes/`` and ``links/`` JSON-lines folders).
+    """
+    import os
+    if os.path.isdir(os.path.join(path, "nodes")):
+        nodes = spark.read.json(os.path.join(path, "nodes"))
+        links = spark.read.json(os.path.join(path, "links"))
+        return nodes, links.withColumnRenamed("source", "src").withColumnRenamed("target", "dst")
     schema = T.StructType([
         T.StructField("nodes", T.ArrayType(T.MapType(S, S))),
         T.StructField("links", T.ArrayType(T.MapType(S, S)))])
