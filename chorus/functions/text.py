@@ -25,6 +25,13 @@ MENTION = rf"@{WORD}+"
 UPPER = r"\p{Lu}"
 DIGITS = r"\p{Nd}+"
 HASHTAG = rf"#({WORD}+)"
+NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
+# One pass equal to "drop mentions, then unhash": a mention's \w+ is greedy, so
+# removing it never makes a '#' precede a word character.
+MENTION_OR_HASH = rf"@{WORD}+|#(?={WORD})"
+# One pass equal to "@x -> x, then #x -> x": strips the '@' or '#' right before
+# a word, and a '#' right before such an '@' (the chain '#@x' -> 'x').
+AT_OR_HASH_MARK = rf"#?@(?={WORD})|#(?={WORD})"
 
 # Emoji names used by the emoji score, with their code points.
 POSITIVE_EMOJI = {
@@ -58,13 +65,16 @@ def collapse_space(text) -> Column:
 
 
 def normalize_content(text) -> Column:
-    """Lower → drop URLs → drop mentions → unhash → punctuation to space → collapse."""
+    """Lower → drop URLs → drop mentions → unhash → punctuation to space → collapse.
+
+    Three regex passes: mention removal and unhashing are one alternation,
+    and "punctuation to space, then collapse whitespace" is "every run of
+    non-word characters to one space".
+    """
     t = F.lower(F.coalesce(_c(text), F.lit("")))
     t = F.regexp_replace(t, URL, "")
-    t = F.regexp_replace(t, MENTION, "")
-    t = F.regexp_replace(t, HASHTAG, "$1")
-    t = F.regexp_replace(t, NOT_WORD_OR_SPACE, " ")
-    return collapse_space(t)
+    t = F.regexp_replace(t, MENTION_OR_HASH, "")
+    return F.trim(F.regexp_replace(t, NON_WORD_RUN, " "))
 
 
 def content_hash(text) -> Column:
@@ -96,8 +106,7 @@ def clean_text(text) -> Column:
     """Emoji → names, drop URLs, ``@x`` → ``x``, ``#x`` → ``x``, collapse whitespace."""
     t = demojize(F.coalesce(_c(text), F.lit("")))
     t = F.regexp_replace(t, URL, "")
-    t = F.regexp_replace(t, rf"@({WORD}+)", "$1")
-    t = F.regexp_replace(t, HASHTAG, "$1")
+    t = F.regexp_replace(t, AT_OR_HASH_MARK, "")
     return collapse_space(t)
 
 

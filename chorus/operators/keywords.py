@@ -59,9 +59,8 @@ def keyword_text(title="title", content="content"):
     """W1 cleaning: drop http(s) URLs and mentions, unhash, punctuation → space, delete digits, lower."""
     t = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(content), F.lit("")))
     t = F.regexp_replace(t, X.HTTP_URL, "")
-    t = F.regexp_replace(t, X.MENTION, "")
-    t = F.regexp_replace(t, X.HASHTAG, "$1")
-    t = F.regexp_replace(t, X.NOT_WORD_OR_SPACE, " ")
+    t = F.regexp_replace(t, X.MENTION_OR_HASH, "")      # drop mentions, unhash
+    t = F.regexp_replace(t, X.NON_WORD_RUN, " ")        # punctuation and whitespace runs → one space
     t = F.regexp_replace(t, X.DIGITS, "")
     return F.lower(t)
 
@@ -69,7 +68,8 @@ def keyword_text(title="title", content="content"):
 def keyword_tokens(posts: DataFrame, allowed_words: DataFrame | None = None) -> DataFrame:
     """One row per meaningful token occurrence (``seq``, ``word``)."""
     spark = posts.sparkSession
-    words = posts.select("seq", F.explode(F.split(keyword_text(), f"{X.SPACE}+")).alias("word"))
+    # whitespace runs are single spaces here; empty pieces fail the length filter
+    words = posts.select("seq", F.explode(F.split(keyword_text(), " ")).alias("word"))
     words = words.filter(F.char_length("word") >= MIN_WORD_LENGTH)
     words = words.join(F.broadcast(stopword_table(spark)), "word", "left_anti")  # fixed-size table
     if allowed_words is not None:
