@@ -139,22 +139,24 @@ def dashboard_rows(posts: DataFrame) -> DataFrame:
 
 
 def summary_document(flat: DataFrame) -> DataFrame:
-    """One-row summary (key metrics, sentiment, engagement, counts) as JSON text."""
+    """One-row summary (key metrics, sentiment, engagement, counts) as JSON text.
+
+    The label histogram (≤ a handful of labels) and the top-3 negative users
+    are scalar subqueries over small aggregates.
+    """
+    dist = (A.count_by(flat, "sentiment")
+            .select(F.map_from_entries(F.collect_list(F.struct("sentiment", "count")))).scalar())
+    neg = A.negative_users(flat)
+    top3 = neg.limit(3).select(F.collect_list(F.struct("author", "negative_ratio", "post_count"))).scalar()
+    n_neg = neg.select(F.count(F.lit(1))).scalar()
     base = flat.agg(F.count(F.lit(1)).alias("total_posts"), F.countDistinct("author").alias("unique_authors"),
                     F.sum("engagement_total").alias("total_engagement"),
                     F.avg("engagement_total").alias("avg_engagement"))
-    dist = A.count_by(flat, "sentiment").agg(F.map_from_entries(F.collect_list(F.struct("sentiment", "count")))
-                                             .alias("distribution"))
-    top3 = (A.negative_users(flat).limit(3)
-            .agg(F.collect_list(F.struct("author", "negative_ratio", "post_count")).alias("top_3"),
-                 F.count(F.lit(1)).alias("count")))
-    key = F.lit(0).alias("_k")  # all three are one-row aggregates; join them on a constant key
-    j = (base.select("*", key).join(dist.select("*", key), "_k").join(top3.select("*", key), "_k"))
-    return j.select(F.to_json(F.struct(
+    return base.select(F.to_json(F.struct(
         F.struct("total_posts", "unique_authors").alias("key_metrics"),
-        F.struct("distribution").alias("sentiment_summary"),
+        F.struct(dist.alias("distribution")).alias("sentiment_summary"),
         F.struct("total_engagement", "avg_engagement").alias("engagement_summary"),
-        F.struct("count", "top_3").alias("negative_users_summary"))).alias("json"))
+        F.struct(n_neg.alias("count"), top3.alias("top_3")).alias("negative_users_summary"))).alias("json"))
 
 
 # ---------------------------------------------------------------------------- sinks
