@@ -125,6 +125,26 @@ def date_range_label(start, end, days) -> Column:
                                  F.date_format(e, "MMMM dd, yyyy"))))
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def micros_between(start, end) -> Column:
+    """Microseconds from ``start`` to ``end`` (wall-clock, session time zone ignored)."""
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+
+
+def ntz_from_epoch_seconds(seconds) -> Column:
+    """Epoch seconds → UTC wall-clock TIMESTAMP_NTZ, independent of the session time zone."""
+    micros = F.round(_c(seconds).cast("double") * 1_000_000).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
+def ntz_literal(value) -> Column:
+    """A TIMESTAMP_NTZ literal from text (or a naive datetime), no time-zone conversion."""
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def r6(c) -> Column:
     """Round a double to 6 decimals (float sums are order dependent)."""
     return F.round(_c(c).cast("double"), 6)

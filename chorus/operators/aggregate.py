@@ -29,7 +29,7 @@ def date_range(flat: DataFrame) -> DataFrame:
     """A1: total posts, first/last timestamp, calendar span in days and whole hours."""
     lo, hi = F.min("timestamp"), F.max("timestamp")
     t = flat.agg(_n().alias("total_posts"), lo.alias("lo"), hi.alias("hi"))
-    diff_us = F.unix_micros(F.col("hi").cast("timestamp")) - F.unix_micros(F.col("lo").cast("timestamp"))
+    diff_us = C.micros_between("lo", "hi")
     return t.select("total_posts",
                     C.iso_timestamp("lo").alias("start"), C.iso_timestamp("hi").alias("end"),
                     (F.floor(diff_us / F.lit(86_400_000_000)) + 1).cast("bigint").alias("days"),

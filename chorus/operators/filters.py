@@ -18,15 +18,15 @@ from chorus.functions import columns as C
 
 def in_date_range(df: DataFrame, start, end, ts: str = "timestamp") -> DataFrame:
     """``start <= ts <= end`` (both inclusive, naive timestamps)."""
-    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    lo, hi = C.ntz_literal(start), C.ntz_literal(end)
     return df.filter(F.col(ts).between(lo, hi))
 
 
 def time_filter_bucket(start, end) -> Column:
     """API time filter for a span: day / week / month / year / all."""
-    s, e = F.lit(start).cast("timestamp_ntz") if not isinstance(start, Column) else start, \
-        F.lit(end).cast("timestamp_ntz") if not isinstance(end, Column) else end
-    days = F.floor((F.unix_micros(e.cast("timestamp")) - F.unix_micros(s.cast("timestamp"))) / F.lit(86_400_000_000))
+    s = start if isinstance(start, Column) else C.ntz_literal(start)
+    e = end if isinstance(end, Column) else C.ntz_literal(end)
+    days = F.floor(C.micros_between(s, e) / F.lit(86_400_000_000))
     return (F.when(days <= 1, F.lit("day")).when(days <= 7, F.lit("week")).when(days <= 30, F.lit("month"))
              .when(days <= 365, F.lit("year")).otherwise(F.lit("all")))
 

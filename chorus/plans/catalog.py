@@ -1170,13 +1170,15 @@ def q_ingest_tweets(spark, sf_dir):
 
 
 def _raw_submissions(spark, sf_dir):
+    from chorus.functions import columns as C
     p = fixture_flat_reddit(spark, sf_dir)
     sub = F.struct(
         "id", "title", F.col("content").alias("selftext"),
         F.when(F.col("author") != "[deleted]", F.col("author")).alias("author"),
         F.concat(F.lit("t2_"), F.col("author_id")).alias("author_fullname"),
         F.concat(F.lit("/r/"), F.col("subreddit"), F.lit("/comments/"), F.col("id")).alias("permalink"),
-        "subreddit", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("double").alias("created_utc"),
+        "subreddit", F.floor(C.micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "ts") / 1000000).cast("double")
+        .alias("created_utc"),
         "score", "num_comments",
         F.when(F.col("seq") % 7 == 0, F.lit(0.0)).otherwise(F.col("upvote_ratio")).alias("upvote_ratio"),
         F.array_repeat(F.struct(F.lit("a").alias("id")), (F.col("seq") % 3).cast("int")).alias("all_awardings"))
@@ -1300,7 +1302,7 @@ def q_coerce_posts(spark, sf_dir):
                      F.when(F.col("seq") % 11 == 0, F.lit("not a date")).otherwise(iso).alias("timestamp"),
                      F.when(F.col("seq") % 13 == 0, F.lit(None)).otherwise(F.col("engagement")).alias("engagement"),
                      "query", "metadata")
-    batch_ts = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    batch_ts = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")  # text → NTZ: no zone involved
     c = coerce_posts(loose, batch_ts=batch_ts)
     return c.select("seq", F.when(F.col("timestamp") == batch_ts, F.lit("batch"))
                     .otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),

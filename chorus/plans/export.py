@@ -59,7 +59,7 @@ def export_summary_statistics(flat: DataFrame) -> DataFrame:
                     F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"),
                     F.sum("likes").alias("total_likes"), F.sum("shares").alias("total_shares"),
                     F.avg("engagement_total").alias("avg_engagement"), F.max("engagement_total").alias("max_engagement"))
-    diff_us = F.unix_micros(F.col("hi").cast("timestamp")) - F.unix_micros(F.col("lo").cast("timestamp"))
+    diff_us = C.micros_between("lo", "hi")
     days = (F.floor(diff_us / F.lit(86_400_000_000)) + 1).cast("double")
     general = base.select(F.stack(
         F.lit(3), F.lit("total_posts"), F.col("total_posts").cast("double"), F.lit("general"),
@@ -124,7 +124,7 @@ def report_header(flat: DataFrame) -> DataFrame:
     """Formatted headline numbers and the human date range."""
     t = flat.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("author").alias("authors"),
                  F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-    diff_us = F.unix_micros(F.col("hi").cast("timestamp")) - F.unix_micros(F.col("lo").cast("timestamp"))
+    diff_us = C.micros_between("lo", "hi")
     days = F.floor(diff_us / F.lit(86_400_000_000)) + 1
     return t.select(C.format_count(F.col("n").cast("double")).alias("total_posts"),
                     C.format_count(F.col("authors").cast("double")).alias("unique_authors"),

@@ -27,6 +27,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chorus.functions.columns import ntz_literal
 from chorus.schema import engagement_map, metadata_struct, sentiment_struct
 
 GAP_DAYS = ("2024-01-09", "2024-01-20")
@@ -47,7 +48,7 @@ def fixture_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_gap = None
     for d in GAP_DAYS:  # range predicates, so the filter reaches the parquet scan
         start = dt.datetime.fromisoformat(d)
-        day = (ts >= F.lit(start)) & (ts < F.lit(start + dt.timedelta(days=1)))
+        day = (ts >= ntz_literal(start)) & (ts < ntz_literal(start + dt.timedelta(days=1)))
         in_gap = day if in_gap is None else in_gap | day
     e = events.filter(~in_gap).withColumn("doc_key", F.col("event_id") % n_docs)
     joined = (e.join(docs, e.doc_key == docs.doc_id, "inner")

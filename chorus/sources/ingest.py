@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chorus.functions import text as X
+from chorus.functions.columns import ntz_from_epoch_seconds
 from chorus.schema import POST_COLUMNS, engagement_map, metadata_struct
 
 S = T.StringType()
@@ -128,7 +129,7 @@ def _reddit_post(raw: DataFrame, engagement: Column, author: Column, query, seq,
         F.col("author_fullname").alias("author_id"),
         F.coalesce(F.col("selftext"), F.lit("")).alias("content"),
         F.col("title"),
-        F.timestamp_seconds(F.coalesce(F.col("created_utc"), F.lit(0.0))).cast("timestamp_ntz").alias("timestamp"),
+        ntz_from_epoch_seconds(F.coalesce(F.col("created_utc"), F.lit(0.0))).alias("timestamp"),
         engagement.alias("engagement"),
         F.concat(F.lit("https://reddit.com"), F.coalesce(F.col("permalink"), F.lit(""))).alias("url"),
         q.alias("query"),
@@ -172,7 +173,7 @@ def comments_to_rows(raw: DataFrame, limit: int = 100) -> DataFrame:
     rk = F.row_number().over(Window.partitionBy("submission_id").orderBy("position"))
     return (raw.select("*", rk.alias("rk")).filter(F.col("rk") <= limit)
             .select("id", F.coalesce("author", F.lit("[deleted]")).alias("author"), "body", "score",
-                    F.timestamp_seconds("created_utc").cast("timestamp_ntz").alias("created_utc"),
+                    ntz_from_epoch_seconds(F.col("created_utc")).alias("created_utc"),
                     "is_submitter", "parent_id",
                     F.concat(F.lit("https://reddit.com"), F.col("permalink")).alias("permalink"),
                     "submission_id"))
