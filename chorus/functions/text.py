@@ -98,8 +98,17 @@ def demojize(text) -> Column:
     replaced = t
     for name, cp in listed.items():
         replaced = F.replace(replaced, F.lit(cp), F.lit(f" {name.strip(':')} "))
-    any_listed = "[" + "".join(listed.values()) + "]"
-    return F.when(t.rlike(any_listed), replaced).otherwise(t)
+    any_listed = None
+    for cp in listed.values():  # native byte searches, no regex decode pass
+        hit = F.contains(t, F.lit(cp))
+        any_listed = hit if any_listed is None else any_listed | hit
+    return F.when(any_listed, replaced).otherwise(t)
+
+
+def char_count(text, ch: str) -> Column:
+    """Occurrences of one character: length minus length without it (native, no regex)."""
+    t = _c(text)
+    return (F.char_length(t) - F.char_length(F.replace(t, F.lit(ch), F.lit("")))).cast("bigint")
 
 
 def clean_text(text) -> Column:
@@ -135,7 +144,7 @@ def text_feature_columns(t: Column) -> list[Column]:
         F.regexp_count(t, F.lit(EMOJI_RANGES)).cast("bigint").alias("num_emojis"),
         n.cast("bigint").alias("text_length"),
         F.regexp_count(t, F.lit(f"{NON_SPACE}+")).cast("bigint").alias("num_words"),
-        F.regexp_count(t, F.lit("!")).cast("bigint").alias("exclamation_marks"),
-        F.regexp_count(t, F.lit(r"\?")).cast("bigint").alias("question_marks"),
+        char_count(t, "!").alias("exclamation_marks"),
+        char_count(t, "?").alias("question_marks"),
         (F.regexp_count(t, F.lit(UPPER)) / F.greatest(n, F.lit(1))).alias("all_caps_ratio"),
     ]

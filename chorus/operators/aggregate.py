@@ -220,24 +220,30 @@ def negative_users(flat: DataFrame, min_posts: int = 3, threshold: float = 0.6,
                        "positive_posts", "neutral_posts", "avg_sentiment_score", "avg_engagement"))
 
 
-def viral_threshold(flat: DataFrame) -> DataFrame:
+def viral_threshold(flat: DataFrame, exact: bool = True) -> DataFrame:
     """A20 threshold (one row): p90 below 10 posts, else min(p95, mean + 2 std);
-    never below twice the median."""
+    never below twice the median.
+
+    Exact percentiles (linear interpolation) hold a value histogram in the
+    final aggregation task; ``exact=False`` uses ``percentile_approx`` with a
+    fixed-size sketch when the number of distinct engagement values is huge.
+    """
     e = F.col("engagement_total")
-    t = flat.agg(_n().alias("n"), F.percentile(e, 0.9).alias("p90"), F.percentile(e, 0.95).alias("p95"),
-                 (F.avg(e) + 2 * F.stddev_samp(e)).alias("m2s"), F.median(e).alias("med"))
+    pct = (lambda p: F.percentile(e, p)) if exact else (lambda p: F.percentile_approx(e, p, 1_000_000))
+    t = flat.agg(_n().alias("n"), pct(0.9).alias("p90"), pct(0.95).alias("p95"),
+                 (F.avg(e) + 2 * F.stddev_samp(e)).alias("m2s"), pct(0.5).alias("med"))
     base = F.when(F.col("n") < 10, F.col("p90")).otherwise(F.least("p95", "m2s"))
     return t.select(F.greatest(base, 2 * F.col("med")).alias("threshold"))
 
 
-def viral_posts(flat: DataFrame, posts: DataFrame | None = None, top: int = 20) -> DataFrame:
+def viral_posts(flat: DataFrame, posts: DataFrame | None = None, top: int = 20, exact: bool = True) -> DataFrame:
     """Posts at or above the viral threshold, most engaging first.
 
     The ranking runs on ``flat`` (no text).  ``content``/``url`` come from
     ``flat`` when it carries them, else from ``posts`` for the ≤ ``top``
     winners only (a broadcast of at most ``top`` rows).
     """
-    thr = viral_threshold(flat).scalar()
+    thr = viral_threshold(flat, exact).scalar()
     e = F.col("engagement_total")
     cols = ["seq", "id", "platform", "author", "engagement_total", "likes", "shares", "sentiment", "timestamp"]
     has_text = "content" in flat.columns
@@ -316,10 +322,10 @@ def topic_sentiment_heatmap(flat: DataFrame, min_posts: int = 2, max_users: int
     users = (scored.groupBy("author").agg(_n().alias("post_count"), F.min("seq").alias("first_seq"))
              .filter(F.col("post_count") >= min_posts)
              .orderBy("first_seq").limit(max_users))
-    cells = scored.groupBy("author", F.col("query").alias("topic")).agg(
+    picked = scored.join(F.broadcast(users), "author")  # at most max_users rows, filter before aggregating
+    cells = picked.groupBy("author", "post_count", F.col("query").alias("topic")).agg(
         F.avg(C.label_value("sentiment")).alias("avg_sentiment"), _n().alias("posts"))
-    return (cells.join(F.broadcast(users), "author")  # at most max_users rows
-            .select("author", "post_count", "topic", "avg_sentiment", "posts"))
+    return cells.select("author", "post_count", "topic", "avg_sentiment", "posts")
 
 
 def user_leaderboards(flat: DataFrame, top: int = 20, min_posts: int = 2, ratio_min_posts: int = 3) -> DataFrame:

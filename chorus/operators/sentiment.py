@@ -103,7 +103,7 @@ def emoji_score(raw_text) -> Column:
 def emphasis(raw_text) -> Column:
     """``!`` count minus ``?`` count on the raw text."""
     t = F.coalesce(raw_text, F.lit(""))
-    return (F.regexp_count(t, F.lit("!")) - F.regexp_count(t, F.lit(r"\?"))).cast("double")
+    return (X.char_count(t, "!") - X.char_count(t, "?")).cast("double")
 
 
 def valence_scores(toks: Column, valence: dict | None = None):

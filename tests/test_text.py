@@ -53,3 +53,11 @@ def test_keywords(make_posts):
                     post(2, "the and but spark")])
     words = {r["word"]: r["count"] for r in W.word_frequencies(p).collect()}
     assert words["spark"] == 3 and "the" not in words and "2024" not in words
+
+
+def test_emoji_and_demojize(spark):
+    df = spark.createDataFrame([("love it \U0001F604\U0001F604",), ("\U0001F604 \U0001F620",), ("no emoji!?",)], "t string")
+    got = [r[0] for r in df.select(N.emoji_score(F.col("t"))).collect()]
+    assert got == [1.0, 0.0, 0.0]
+    assert one(spark, X.clean_text, "hi\U0001F44Dthere") == "hi thumbs_up there"
+    assert one(spark, lambda c: X.char_count(c, "!"), "a!b!!") == 3
