@@ -44,6 +44,7 @@ def main() -> None:
         t0 = time.time()
         run(catalog.QUERIES[name](spark, sf_dir))
         times[name] = round(time.time() - t0, 3)
+        print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
     t0 = time.time()
     results = analyze.analyze_posts(catalog.posts(spark, sf_dir))
     for df in results.values():
