@@ -266,7 +266,7 @@ def sentiment_leaders(flat: DataFrame, min_posts: int = 2, top: int = 10) -> Dat
            .filter((F.col("post_count") >= min_posts) & F.col("dominant").isin(*LABELS)))
     rk = F.row_number().over(Window.partitionBy("dominant").orderBy(F.col("total").desc(), F.col("author")))
     return (per.select("*", rk.alias("rank")).filter(F.col("rank") <= top)
-               .select(F.lower("dominant").alias("sentiment"), "rank", "author",
+               .select(F.lower("dominant").alias("sentiment"), F.col("rank").cast("bigint").alias("rank"), "author",
                        F.col("total").cast("bigint").alias("total_engagement"), "avg_engagement", "post_count",
                        F.when(grand > 0, F.col("total") / grand).otherwise(F.lit(0.0)).alias("influence_score")))
 
@@ -346,4 +346,4 @@ def user_leaderboards(flat: DataFrame, top: int = 20, min_posts: int = 2, ratio_
              .select(F.lit(name).alias("board"), "author", "value", "first_seq"))
         out = b if out is None else out.unionByName(b)
     rk = F.row_number().over(Window.partitionBy("board").orderBy(F.col("value").desc(), F.col("first_seq")))
-    return out.select("board", rk.alias("rank"), "author", "value")
+    return out.select("board", rk.cast("bigint").alias("rank"), "author", "value")

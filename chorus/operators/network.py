@@ -125,7 +125,7 @@ def user_top_terms(flat: DataFrame, min_posts: int = 3, top: int = 3) -> DataFra
     counts = terms.groupBy("author", "kind", "term").agg(F.count(F.lit(1)).alias("count"),
                                                         F.min("seq").alias("first_seq"))
     rk = F.row_number().over(Window.partitionBy("author", "kind").orderBy(F.col("count").desc(), "first_seq"))
-    ranked = counts.select("*", rk.alias("rank")).filter(F.col("rank") <= top)
+    ranked = counts.select("*", rk.cast("bigint").alias("rank")).filter(F.col("rank") <= top)
     return ranked.join(active, "author", "left_semi").select("author", "kind", "rank", "term", "count")
 
 

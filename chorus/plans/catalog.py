@@ -57,9 +57,9 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("daily_sentiment", oracle("""
 SELECT date,
-  count_if(sentiment = 'POSITIVE') AS positive,
-  count_if(sentiment = 'NEGATIVE') AS negative,
-  count_if(sentiment = 'NEUTRAL') AS neutral,
+  count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive,
+  count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative,
+  count(*) FILTER (WHERE sentiment = 'NEUTRAL') AS neutral,
   count(*) AS total,
   round((count_if(sentiment = 'POSITIVE') - count_if(sentiment = 'NEGATIVE')) / count(*), 6) AS sentiment_ratio,
   round(count_if(sentiment = 'POSITIVE') / count(*), 6) AS positive_ratio,
@@ -666,7 +666,7 @@ FROM posts
 def q_content_hash(spark, sf_dir):
     p = posts(spark, sf_dir)
     norm = X.normalize_content("content")
-    return p.select("seq", F.sha2(norm, 256).alias("content_hash"), F.char_length(norm).alias("normalized_length"))
+    return p.select("seq", F.sha2(norm, 256).alias("content_hash"), F.char_length(norm).cast("bigint").alias("normalized_length"))
 
 
 @register("text_features", oracle(f"""
@@ -1345,8 +1345,8 @@ def q_export_posts(spark, sf_dir):
 
 
 @register("export_daily_statistics", oracle("""
-SELECT date, count(*) AS total_posts, count_if(sentiment = 'POSITIVE') AS positive,
-  count_if(sentiment = 'NEGATIVE') AS negative, count_if(sentiment = 'NEUTRAL') AS neutral,
+SELECT date, count(*) AS total_posts, count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive,
+  count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative, count(*) FILTER (WHERE sentiment = 'NEUTRAL') AS neutral,
   round((count_if(sentiment = 'POSITIVE') - count_if(sentiment = 'NEGATIVE')) / count(*), 6) AS sentiment_ratio,
   round(count_if(sentiment = 'POSITIVE') / count(*), 6) AS positive_ratio,
   round(avg(sentiment_value), 6) AS avg_sentiment_score, CAST(trunc(sum(engagement_total)) AS BIGINT) AS total_engagement,
