@@ -83,3 +83,15 @@ def test_analyze_posts_runs(make_posts):
     assert res["deduplication"].first()["unique_posts"] == 5
     assert res["ts_daily_sentiment"].count() == 4
     assert {"engagement", "negative_users", "viral_posts", "ts_trend_summary"} <= set(res)
+
+
+def test_write_analysis_round_trip(make_posts, spark):
+    from chorus.sources import ingest as I2
+    rows = [post(i, f"text {i}") for i in range(5)]
+    p = make_posts(rows)
+    res = {"by_platform": posts_flat(p).groupBy("platform").count()}
+    base = tempfile.mkdtemp(prefix="chorus-analysis-")
+    E.write_analysis(res, p, base)
+    back = spark.read.schema(POST_SCHEMA).json(f"{base}/posts")
+    assert back.count() == 5 and spark.read.json(f"{base}/by_platform").first()["count"] == 5
+    assert I2.read_analysis_posts(spark, f"{base}/missing.json", POST_SCHEMA).count() == 0

@@ -49,3 +49,14 @@ def test_comments_limit(spark):
            for i in range(5)]
     got = I.read_comments(spark, _write(raw), limit=3).collect()
     assert len(got) == 3 and {r["author"] for r in got} == {"[deleted]", "a"}
+
+
+def test_tweet_media_coordinates_and_fallbacks(spark):
+    raw = [{"id": "7", "date": "2024-01-01T00:00:00", "user": None, "rawContent": "see http://a.b/c #x",
+            "media": [{"type": "photo"}, {"type": "video"}], "coordinates": {"latitude": 1.5, "longitude": -2.0},
+            "retweetedTweet": {"id": "1"}, "outlinks": []}]
+    p = I.read_tweets(spark, _write(raw), "q").first()
+    md = p["metadata"]
+    assert md["media_types"] == ["photo", "video"] and (md["coordinates"]["lat"], md["coordinates"]["lon"]) == (1.5, -2.0)
+    assert md["is_retweet"] is True and md["urls"] == ["http://a.b/c"] and md["hashtags"] == ["x"]
+    assert p["author"] == "unknown"
