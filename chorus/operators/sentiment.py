@@ -70,7 +70,7 @@ def _hits(toks: Column, d: dict) -> Column:
     words = F.array(*[F.lit(w) for w in d])
     matched = F.array_intersect(toks, words)
     return F.transform(matched, lambda w: F.struct(
-        w.alias("w"), F.size(F.filter(toks, lambda t: t == w)).alias("c")))
+        w.alias("w"), (F.size(toks) - F.size(F.array_remove(toks, w))).alias("c")))
 
 
 def _sum_lookup(toks: Column, lex: Column, d: dict) -> Column:
@@ -139,7 +139,7 @@ def lexicon_hits(toks: Column, lexicon: dict | None = None, valence: dict | None
     pol_map, val_map = _map_literal(opinion), _map_literal(val)
     matched = F.array_intersect(toks, F.array(*[F.lit(w) for w in words]))
     return F.transform(matched, lambda w: F.struct(
-        F.size(F.filter(toks, lambda t: t == w)).alias("c"),
+        (F.size(toks) - F.size(F.array_remove(toks, w))).alias("c"),
         F.element_at(pol_map, w).alias("p"), F.element_at(val_map, w).alias("v")))
 
 
