@@ -64,11 +64,18 @@ def greedy_keep(keys: DataFrame) -> DataFrame:
 
 
 def deduplicate(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
-    """Every post with ``kept`` and ``dup_type`` (null, ``exact_id`` or ``content``).
+    """Every post with ``kept`` and ``dup_type`` (null, ``exact_id`` or ``content``)."""
+    return posts.join(dedup_flags(posts, empty_content), "seq")
+
+
+def dedup_flags(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
+    """D4 without the post columns: ``seq, kept, dup_type, id_key, hash_key``.
 
     A dropped row is ``exact_id`` when a kept row with a smaller ``seq`` has
     its id key, else ``content``.  Kept rows have distinct id keys and
-    distinct hashes, so both look-ups are many-to-one joins.
+    distinct hashes, so both look-ups are many-to-one joins.  Joining these
+    narrow flags (not the posts with their text) to other projections keeps
+    text out of every shuffle.
     """
     keys = _checkpoint(dedup_keys(posts, empty_content))
     kept = greedy_keep(keys).withColumn("kept", F.lit(True))
@@ -78,8 +85,7 @@ def deduplicate(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
     dup_type = (F.when(F.col("kept"), F.lit(None).cast("string"))
                  .when(F.col("id_seq") < F.col("seq"), F.lit("exact_id"))
                  .otherwise(F.lit("content")))
-    flags = tagged.select("seq", "kept", dup_type.alias("dup_type"), "id_key", "hash_key")
-    return posts.join(flags, "seq")
+    return tagged.select("seq", "kept", dup_type.alias("dup_type"), "id_key", "hash_key")
 
 
 def unique_posts(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:

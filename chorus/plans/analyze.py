@@ -68,14 +68,19 @@ def time_series(flat: DataFrame) -> dict[str, DataFrame]:
 
 
 def analyze_posts(posts: DataFrame, dedup: bool = True) -> dict[str, DataFrame]:
-    """Dedup → flat (persisted) → statistics + time series + dedup stats."""
+    """Dedup → flat (persisted) → statistics + time series + dedup stats.
+
+    Text is read twice: once to hash contents for dedup, once for the ≤ 20
+    viral previews.  Shuffles carry only the narrow flat columns.
+    """
     results: dict[str, DataFrame] = {}
-    if dedup:
-        tagged = D.deduplicate(posts)
-        results["deduplication"] = D.dedup_stats(tagged)
-        posts = tagged.filter("kept").drop("kept", "dup_type", "id_key", "hash_key")
     # one narrow projection (no text) feeds every statistic; metadata carries hashtags/mentions
-    flat = P.posts_flat(posts, keep=["metadata"]).persist(StorageLevel.MEMORY_AND_DISK)
+    flat = P.posts_flat(posts, keep=["metadata"])
+    if dedup:
+        flags = D.dedup_flags(posts)
+        results["deduplication"] = D.dedup_stats(flags)
+        flat = flat.join(flags.filter("kept").select("seq"), "seq", "left_semi")
+    flat = flat.persist(StorageLevel.MEMORY_AND_DISK)
     results.update(statistics(flat, flat))
     results["viral_posts"] = A.viral_posts(flat, posts)
     results.update({f"ts_{k}": v for k, v in time_series(flat).items()})

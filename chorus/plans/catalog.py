@@ -749,7 +749,7 @@ _DEDUP_SQL = f"""
 
 @register("dedup_flags", oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
 def q_dedup_flags(spark, sf_dir):
-    return D.deduplicate(posts(spark, sf_dir)).select("seq", "kept", "dup_type")
+    return D.dedup_flags(posts(spark, sf_dir)).select("seq", "kept", "dup_type")
 
 
 @register("dedup_stats", oracle(_DEDUP_SQL + """
@@ -763,14 +763,15 @@ SELECT count(*) AS total_posts, count(*) FILTER (WHERE kept) AS unique_posts,
 FROM tagged
 """))
 def q_dedup_stats(spark, sf_dir):
-    return rounded(D.dedup_stats(D.deduplicate(posts(spark, sf_dir))))
+    return rounded(D.dedup_stats(D.dedup_flags(posts(spark, sf_dir))))
 
 
 @register("dedup_by_query", oracle(_DEDUP_SQL + """
 SELECT query, count(*) AS duplicates FROM tagged WHERE NOT kept GROUP BY query
 """))
 def q_dedup_by_query(spark, sf_dir):
-    return D.dedup_by_query(D.deduplicate(posts(spark, sf_dir)))
+    p = posts(spark, sf_dir)
+    return D.dedup_by_query(D.dedup_flags(p).join(p.select("seq", "query"), "seq"))
 
 
 @register("dedup_cross_flags", oracle(_DEDUP_SQL + """
@@ -784,7 +785,8 @@ SELECT dd.seq, dd.id, dd.platform, dd.query, dd.dup_type,
 FROM dd LEFT JOIN kk a ON a.id_key = dd.id_key LEFT JOIN kk b ON b.hash_key = dd.hash_key
 """))
 def q_dedup_cross_flags(spark, sf_dir):
-    return D.cross_duplicate_flags(D.deduplicate(posts(spark, sf_dir)))
+    p = posts(spark, sf_dir)
+    return D.cross_duplicate_flags(D.dedup_flags(p).join(p.select("seq", "id", "platform", "query"), "seq"))
 
 
 # --------------------------------------------------------------------------- N: sentiment scoring
