@@ -8,7 +8,6 @@ rounded to 6 decimals on both sides because float sums depend on order.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
