@@ -307,11 +307,17 @@ def user_term_counts(flat: DataFrame, kind: str = "topic") -> DataFrame:
             .groupBy("author", F.col(col).alias("term")).agg(_n().alias("count")))
 
 
-def engagement_heatmap(posts: DataFrame) -> DataFrame:
-    """Mean of likes + retweets by weekday × hour (long form)."""
+def engagement_heatmap(posts: DataFrame, wide: bool = False) -> DataFrame:
+    """Mean of likes + retweets by weekday × hour.
+
+    Long form by default; ``wide=True`` pivots hours into 24 columns (the
+    values are listed, so no extra job collects distinct hours).
+    """
     e = posts.select(C.weekday_name("timestamp").alias("day"), F.hour("timestamp").cast("bigint").alias("hour"),
                      (F.coalesce(F.try_element_at("engagement", F.lit("likes")), F.lit(0.0))
                       + F.coalesce(F.try_element_at("engagement", F.lit("retweets")), F.lit(0.0))).alias("e"))
+    if wide:
+        return e.groupBy("day").pivot("hour", list(range(24))).agg(F.avg("e"))
     return e.groupBy("day", "hour").agg(F.avg("e").alias("avg_engagement"))
 
 

@@ -187,8 +187,17 @@ def read_submissions(spark: SparkSession, path: str, query) -> DataFrame:
     return submissions_to_posts(spark.read.schema(SUBMISSION_SCHEMA).json(path), query)
 
 
-def read_listings(spark: SparkSession, path: str, query) -> DataFrame:
-    return listing_to_posts(spark.read.schema(LISTING_SCHEMA).option("mode", "PERMISSIVE").json(path), query)
+def read_listings(spark: SparkSession, path: str, query, bad_records: list | None = None) -> DataFrame:
+    """S3 from files.  Malformed lines are kept in ``_corrupt_record`` (PERMISSIVE
+    mode) instead of failing the job; pass ``bad_records=[]`` to receive that
+    frame as ``bad_records[0]``."""
+    schema = T.StructType(LISTING_SCHEMA.fields + [T.StructField("_corrupt_record", S)])
+    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    if bad_records is not None:
+        # the scan must read a parsed column too (Spark rejects corrupt-record-only scans)
+        bad_records.append(raw.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", "data"))
+    return listing_to_posts(raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), query)
 
 
 def read_comments(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:

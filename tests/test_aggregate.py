@@ -93,3 +93,10 @@ def test_empty_input(make_posts):
     assert A.by_platform(f).count() == 0
     assert A.negative_users(f).count() == 0
     assert A.date_range(f).first()["total_posts"] == 0
+
+
+def test_heatmap_wide(make_posts):
+    rows = [post(1, "a", likes=10, retweets=5, ts=dt.datetime(2024, 1, 10, 9)),
+            post(2, "b", likes=20, retweets=5, ts=dt.datetime(2024, 1, 10, 9))]
+    w = A.engagement_heatmap(make_posts(rows), wide=True).first()
+    assert w["day"] == "Wednesday" and w["9"] == 20.0 and w["10"] is None and len(w) == 25

@@ -60,3 +60,12 @@ def test_tweet_media_coordinates_and_fallbacks(spark):
     assert md["media_types"] == ["photo", "video"] and (md["coordinates"]["lat"], md["coordinates"]["lon"]) == (1.5, -2.0)
     assert md["is_retweet"] is True and md["urls"] == ["http://a.b/c"] and md["hashtags"] == ["x"]
     assert p["author"] == "unknown"
+
+
+def test_listing_corrupt_lines_kept_aside(spark):
+    d = Path(tempfile.mkdtemp(prefix="chorus-src-"))
+    good = {"data": {"children": [{"data": {"id": "x", "title": "t", "created_utc": 0.0}}]}}
+    (d / "l.json").write_text(json.dumps(good) + "\n{not json\n")
+    bad = []
+    posts = I.read_listings(spark, str(d / "l.json"), "q", bad_records=bad)
+    assert posts.count() == 1 and bad[0].count() == 1
