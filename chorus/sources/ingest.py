@@ -195,8 +195,10 @@ def read_listings(spark: SparkSession, path: str, query, bad_records: list | Non
     raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     if bad_records is not None:
-        # the scan must read a parsed column too (Spark rejects corrupt-record-only scans)
-        bad_records.append(raw.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", "data"))
+        # the filter also reads a parsed column (null on malformed lines), so no
+        # plan ever scans the corrupt-record column alone, which Spark rejects
+        bad_records.append(raw.filter(F.col("_corrupt_record").isNotNull() & F.col("data").isNull())
+                           .select("_corrupt_record"))
     return listing_to_posts(raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), query)
 
 
