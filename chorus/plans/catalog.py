@@ -1461,3 +1461,60 @@ def q_user_profiles(spark, sf_dir):
     u = G.user_profiles(flat(spark, sf_dir))
     return rounded(u.select("author", "sentiment_score", F.array_join("topics", "|").alias("topics"),
                             F.array_join("subreddits", "|").alias("subreddits")))
+
+
+# --------------------------------------------------------------------------- per-key series (by=[...])
+
+@register("daily_sentiment_by_platform", oracle("""
+SELECT platform, date,
+  count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive,
+  count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative,
+  count(*) FILTER (WHERE sentiment = 'NEUTRAL') AS neutral,
+  count(*) AS total,
+  round((count(*) FILTER (WHERE sentiment = 'POSITIVE') - count(*) FILTER (WHERE sentiment = 'NEGATIVE')) / count(*), 6)
+    AS sentiment_ratio,
+  round(count(*) FILTER (WHERE sentiment = 'POSITIVE') / count(*), 6) AS positive_ratio,
+  round(avg(sentiment_value), 6) AS avg_sentiment,
+  round(coalesce(stddev_samp(sentiment_value), 0.0), 6) AS sentiment_std,
+  CAST(trunc(sum(engagement_total)) AS BIGINT) AS total_engagement,
+  round(avg(engagement_total), 6) AS avg_engagement,
+  CAST(trunc(max(engagement_total)) AS BIGINT) AS max_engagement,
+  count(DISTINCT author) AS unique_authors,
+  round(count(*) / count(DISTINCT author), 6) AS posts_per_author
+FROM flat GROUP BY platform, date
+"""))
+def q_daily_sentiment_by_platform(spark, sf_dir):
+    return rounded(S.daily_sentiment(flat(spark, sf_dir), by=["platform"]))
+
+
+@register("daily_trend_by_query", oracle("""
+, b AS (SELECT query, date_trunc('day', ts) AS bucket, avg(sentiment_value) AS v, count(*) AS n FROM flat GROUP BY 1, 2),
+  r AS (SELECT query, min(bucket) AS lo, max(bucket) AS hi, sum(n) AS n_posts FROM b GROUP BY query),
+  g0 AS (SELECT query, n_posts, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS bucket FROM r),
+  g AS (SELECT g0.query, g0.bucket, g0.n_posts, b.v,
+               row_number() OVER (PARTITION BY g0.query ORDER BY g0.bucket) - 1 AS idx,
+               count(*) OVER (PARTITION BY g0.query) AS n_buckets
+        FROM g0 LEFT JOIN b ON b.query = g0.query AND b.bucket = g0.bucket)
+SELECT query, strftime(bucket, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value,
+  round(avg(v) OVER (PARTITION BY query ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ma_3,
+  round(avg(v) OVER (PARTITION BY query ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma_7
+FROM g WHERE n_posts >= 3 AND n_buckets >= 2
+"""))
+def q_daily_trend_by_query(spark, sf_dir):
+    return rounded(S.daily_trend(flat(spark, sf_dir), by=["query"]))
+
+
+@register("anomalies_by_query", oracle("""
+, d AS (SELECT query, CAST(ts AS DATE) AS day, avg(sentiment_value) AS v, count(*) AS post_count,
+               sum(engagement_total) AS es FROM flat GROUP BY 1, 2),
+  s AS (SELECT *, avg(v) OVER (PARTITION BY query) AS mu, stddev_samp(v) OVER (PARTITION BY query) AS sd,
+               sum(post_count) OVER (PARTITION BY query) AS n FROM d),
+  z AS (SELECT *, (v - mu) / sd AS z FROM s WHERE n >= 6 AND sd <> 0)
+SELECT query, strftime(day, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value, round(z, 6) AS z_score,
+       CASE WHEN z > 0 THEN 'positive_spike' ELSE 'negative_spike' END AS type,
+       post_count, CAST(trunc(es) AS BIGINT) AS total_engagement,
+       CASE WHEN abs(z) > 3 THEN 'high' ELSE 'medium' END AS severity
+FROM z WHERE abs(z) > 2.0
+"""))
+def q_anomalies_by_query(spark, sf_dir):
+    return rounded(S.anomalies(flat(spark, sf_dir), by=["query"]))
