@@ -1518,3 +1518,55 @@ FROM z WHERE abs(z) > 2.0
 """))
 def q_anomalies_by_query(spark, sf_dir):
     return rounded(S.anomalies(flat(spark, sf_dir), by=["query"]))
+
+
+@register("trend_summary_by_query", oracle("""
+, b AS (SELECT query, date_trunc('day', ts) AS bucket, avg(sentiment_value) AS v, count(*) AS n FROM flat GROUP BY 1, 2),
+  rg AS (SELECT query, min(bucket) AS lo, max(bucket) AS hi, sum(n) AS n_posts FROM b GROUP BY query),
+  g0 AS (SELECT query, n_posts, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS bucket FROM rg),
+  g AS (SELECT g0.query, g0.bucket, g0.n_posts, b.v,
+               row_number() OVER (PARTITION BY g0.query ORDER BY g0.bucket) - 1 AS idx,
+               count(*) OVER (PARTITION BY g0.query) AS n_buckets
+        FROM g0 LEFT JOIN b ON b.query = g0.query AND b.bucket = g0.bucket),
+  l AS (SELECT *, lag(v, 1) OVER w AS v_1, lag(v, 2) OVER w AS v_2, lag(v, 3) OVER w AS v_3,
+               lag(v, 6) OVER w AS v_6, lag(v, 7) OVER w AS v_7, v - lag(v, 1) OVER w AS diff
+        FROM g WINDOW w AS (PARTITION BY query ORDER BY idx)),
+  r AS (SELECT *,
+    avg(greatest(diff, 0.0)) OVER w14 AS avg_gain, avg(greatest(-diff, 0.0)) OVER w14 AS avg_loss,
+    count(diff) OVER w14 AS n_diff14,
+    count(*) FILTER (WHERE diff > 0) OVER (PARTITION BY query ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+      AS up_last3,
+    regr_slope(v, CAST(idx AS DOUBLE)) OVER (PARTITION BY query) AS slope,
+    count(v) OVER (PARTITION BY query) AS n_values,
+    max(CASE WHEN idx = 0 THEN v END) OVER (PARTITION BY query) AS v_first
+  FROM l WINDOW w14 AS (PARTITION BY query ORDER BY idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+  t AS (SELECT *, (n_posts >= 3 AND n_buckets >= 2) AS enough, v - v_2 AS recent,
+    CASE WHEN n_buckets > 1 THEN v - v_1 END AS m1, CASE WHEN n_buckets > 3 THEN v - v_3 END AS m3,
+    CASE WHEN n_buckets > 7 THEN v - v_7 END AS m7
+  FROM r WHERE idx = n_buckets - 1)
+SELECT query,
+  CASE WHEN NOT enough OR n_buckets < 3 OR n_values < 2 THEN 'insufficient_data'
+       WHEN abs(slope) < 0.05 AND abs(recent) < 0.1 THEN 'stable'
+       WHEN slope > 0.05 OR recent > 0.1 THEN 'improving' ELSE 'worsening' END AS overall_trend,
+  round(CASE WHEN enough THEN abs(v - v_first) ELSE 0.0 END, 6) AS trend_strength,
+  round(CASE WHEN enough THEN slope END, 6) AS slope,
+  round(CASE WHEN enough THEN (CASE WHEN n_buckets >= 7 THEN (v - v_6) / (v_6 + 0.001) * 100 ELSE 0.0 END) END, 6)
+    AS rate_of_change,
+  round(CASE WHEN enough THEN (CASE WHEN n_buckets < 14 THEN 50.0 WHEN n_diff14 < 14 THEN NULL
+       WHEN avg_loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + avg_gain / avg_loss) END) END, 6) AS rsi,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN m1 END, 6) AS momentum_1_day,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN m3 END, 6) AS momentum_3_day,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN m7 END, 6) AS momentum_7_day,
+  round(CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN
+        (CASE WHEN n_buckets >= 3 THEN (v - v_1) - (v_1 - v_2) ELSE 0.0 END) END, 6) AS acceleration,
+  CASE WHEN n_posts >= 2 AND n_buckets >= 2 THEN
+       (CASE WHEN (CASE WHEN n_buckets > 1 THEN m1 ELSE 0.0 END) + (CASE WHEN n_buckets > 3 THEN m3 ELSE 0.0 END)
+                  + (CASE WHEN n_buckets > 7 THEN m7 ELSE 0.0 END) > 0 THEN 'positive' ELSE 'negative' END)
+       END AS momentum_direction,
+  round(CASE WHEN n_posts >= 7 THEN (CASE WHEN n_buckets >= 3 THEN CAST(up_last3 AS DOUBLE) / 3.0 ELSE 0.5 END) END, 6)
+    AS trend_consistency,
+  CAST(n_buckets AS BIGINT) AS days
+FROM t
+"""))
+def q_trend_summary_by_query(spark, sf_dir):
+    return rounded(S.trend_summary(flat(spark, sf_dir), by=["query"]))
