@@ -1570,3 +1570,31 @@ FROM t
 """))
 def q_trend_summary_by_query(spark, sf_dir):
     return rounded(S.trend_summary(flat(spark, sf_dir), by=["query"]))
+
+
+@register("volatility_by_platform", oracle("""
+, grid AS (
+    SELECT platform, unit, unnest(generate_series(lo, hi, CASE unit WHEN 'day' THEN INTERVAL 1 DAY ELSE INTERVAL 1 HOUR END)) AS b
+    FROM (SELECT platform, u.unit, min(date_trunc(u.unit, ts)) AS lo, max(date_trunc(u.unit, ts)) AS hi
+          FROM flat, (VALUES ('day'), ('hour')) u(unit) GROUP BY platform, u.unit)),
+  vals AS (SELECT platform, u.unit, date_trunc(u.unit, ts) AS b, avg(sentiment_value) AS v
+           FROM flat, (VALUES ('day'), ('hour')) u(unit) GROUP BY ALL),
+  seq AS (SELECT g.platform, g.unit, g.b, v.v,
+                 lag(v.v) OVER (PARTITION BY g.platform, g.unit ORDER BY g.b) AS prev
+          FROM grid g LEFT JOIN vals v ON v.platform = g.platform AND v.unit = g.unit AND v.b = g.b),
+  pc AS (SELECT platform, unit, stddev_samp(CASE WHEN prev <> 0 THEN v / prev - 1 END) AS sd,
+                count(CASE WHEN prev <> 0 THEN v / prev - 1 END) AS n_r,
+                count(*) FILTER (WHERE prev = 0 AND v <> 0) AS n_inf FROM seq GROUP BY ALL),
+  vol AS (SELECT platform, unit, CASE WHEN n_inf > 0 THEN NULL WHEN n_r = 0 THEN 0.0 ELSE sd END AS vol FROM pc),
+  o AS (SELECT platform, stddev_samp(sentiment_value) AS sd, avg(sentiment_value) AS mu, count(*) AS n
+        FROM flat GROUP BY platform)
+SELECT o.platform,
+       round(CASE WHEN o.n < 2 THEN 0.0 ELSE o.sd END, 6) AS overall,
+       round(CASE WHEN o.n < 2 THEN 0.0 ELSE d.vol END, 6) AS daily,
+       round(CASE WHEN o.n < 2 THEN 0.0 ELSE h.vol END, 6) AS hourly,
+       round(CASE WHEN o.n < 2 THEN NULL WHEN o.mu <> 0 THEN o.sd / abs(o.mu) ELSE 0.0 END, 6) AS coefficient_of_variation
+FROM o JOIN vol d ON d.platform = o.platform AND d.unit = 'day'
+       JOIN vol h ON h.platform = o.platform AND h.unit = 'hour'
+"""))
+def q_volatility_by_platform(spark, sf_dir):
+    return rounded(S.volatility(flat(spark, sf_dir), by=["platform"]))
