@@ -1233,12 +1233,11 @@ def q_ingest_listing(spark, sf_dir):
         F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct(F.col("s.*"), F.col("seq").alias("seq_"))
                                                              .alias("data"))).alias("children")).alias("data")))
         .alias("value"))
-    schema = I.LISTING_SCHEMA
-    child = schema["data"].dataType["children"].dataType.elementType["data"].dataType
-    from pyspark.sql import types as T
-    sch = T.StructType([T.StructField("data", T.StructType([T.StructField("children", T.ArrayType(T.StructType([
-        T.StructField("data", T.StructType(child.fields + [T.StructField("seq_", T.LongType())]))])))]))])
-    parsed = pages.select("page", "query", F.from_json("value", sch).alias("l")).select("page", "query", "l.data")
+    # the listing schema, with the input order carried inside each child
+    child = T.StructType(I.SUBMISSION_SCHEMA.fields + [T.StructField("seq_", T.LongType())])
+    listing = T.StructType([T.StructField("data", T.StructType([
+        T.StructField("children", T.ArrayType(T.StructType([T.StructField("data", child)])))]))])
+    parsed = pages.select("page", "query", F.from_json("value", listing).alias("l")).select("page", "query", "l.data")
     t = I.listing_to_posts(parsed, "query", seq=F.col("seq_"))
     e = lambda k: F.try_element_at("engagement", F.lit(k))
     return t.select("seq", "id", *[e(k).alias(k) for k in ("score", "upvotes", "downvotes", "num_comments", "upvote_ratio")],
