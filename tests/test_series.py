@@ -73,3 +73,15 @@ def test_forecast_half_split(make_posts):
                  ts=day(1 + i // 5, 10, i)) for i in range(16)]
     f = S.forecast_indicators(posts_flat(make_posts(rows))).first()
     assert f["volatility_trend"] == "increasing"
+
+
+def test_time_rank_exact_with_hot_timestamp(spark, make_posts):
+    import random
+    rnd = random.Random(5)
+    hot = day(2, 12)
+    rows = [post(s, "t", ts=hot if rnd.random() < 0.4 else day(1 + rnd.randrange(5), rnd.randrange(24)), seq=s)
+            for s in rnd.sample(range(10_000), 300)]
+    f = posts_flat(make_posts(rows).repartition(7))
+    got = {r["seq"]: r["rank"] for r in S.time_rank(f).collect()}
+    want = {seq: i for i, (_, seq) in enumerate(sorted((r[7], r[0]) for r in rows))}
+    assert got == want
