@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import jaccard, licenses, mixing, order, packing, sharding, topk, toxicity
+from chorus.llm import jaccard, licenses, mixing, order, packing, sharding, suffix, topk, toxicity
 from chorus.llm.common import stage, table
 
 
@@ -41,6 +41,14 @@ def op7_tput_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix.drop_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
     return rows.select("doc_id", "n_shingles", "component_id")
@@ -53,7 +61,8 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [op1_harmonic_packing, op2_sainte_lague_mix, op3_weak_toxicity, op4_jump_shards, op6_license_rules,
-                                   op7_tput_top_k, op9_jaccard_join, op10_training_order]}
+                                   op7_tput_top_k, op8_suffix_dedup,
+                                   op9_jaccard_join, op10_training_order]}
 ORACLES: dict[str, str] = {
     "op7_tput_top_k": """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
