@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import jaccard, licenses, mixing, order, packing, sharding, suffix, topk, toxicity
+from chorus.llm import jaccard, licenses, mixing, neighbours, order, packing, sharding, suffix, topk, toxicity
 from chorus.llm.common import stage, table
 
 
@@ -31,6 +31,11 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -60,7 +65,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "first_start", "last_doc", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in [op1_harmonic_packing, op2_sainte_lague_mix, op3_weak_toxicity, op4_jump_shards, op6_license_rules,
+QUERIES = {f.__name__: f for f in [op1_harmonic_packing, op2_sainte_lague_mix, op3_weak_toxicity, op4_jump_shards, op5_nn_descent, op6_license_rules,
                                    op7_tput_top_k, op8_suffix_dedup,
                                    op9_jaccard_join, op10_training_order]}
 ORACLES: dict[str, str] = {
