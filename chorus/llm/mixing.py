@@ -7,7 +7,7 @@
    about ``block_words`` words.  Blocks go to sources by highest quotients ``target / (2 s - 1)``, then
    each source's blocks to its shards the same way: integer quotas, reruns agree.
 3. Within a shard the quota takes whole passes over all blocks first, then blocks picked by a seeded
-   permutation of the block numbers; a row takes the words it has in picked blocks.
+   permutation of the block numbers; a row gives the words it has in picked blocks.
 
 Only narrow rows (id, source, size) are shuffled; equal ones are counted before they move.
 """
@@ -80,18 +80,21 @@ def sainte_lague(rows: DataFrame, group: str, key: str, weight: str, seats: str,
             .drop("_w", "_k", "_n", "_low", "_rest", "_g", "_key", "_won"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, block_words: int = 64,
-        shard_words: int = 1 << 20, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words of each row that the mix takes.
+def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, block_words: int = 64,
+         shard_words: int = 1 << 20, seed: int = 17, by_text: bool = False, id_col: str = "doc_id", text_col: str = "text",
+         source_col: str = "source") -> DataFrame:
+    """doc_id, source, (th,) size, source_size, target, passes, ranges, taken: what the mix takes of each row,
+    ``passes`` times the whole row and once the words [start, stop) of each range.
 
-    Null and empty texts have size 0 and take nothing; the null source is a source of its own, last in
-    order; rows that repeat id, source and size are separate rows of the stream; no rows give no rows.
-    ``cap`` must be 1 or more.
+    Null and empty texts have size 0 and give nothing; the null source is a source of its own, last in
+    order; rows that repeat id, source and size (and, ``by_text``, the text) are separate rows of the
+    stream; no rows give no rows.  ``cap`` must be 1 or more.
     """
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                              word_count(F.col(text_col)).alias("size"))
-                  .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "mix")
+    keys = ["doc_id", "source", *(["th"] if by_text else []), "size"]
+    text = F.col(text_col).cast("string")
+    cols = [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size")]
+    sized = stage(docs.select(*cols, *([F.xxhash64(text).alias("th")] if by_text else []))
+                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")), "mix")
     sources = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")),
                       share, cap, weights)
     sources = sources.withColumn("sid", F.row_number().over(
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
     rows = sized.join(sources.select(F.col("source").alias("_s"), "sid", "shards"),
                       F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("shard", _hash60(F.lit(seed), F.col("doc_id"), F.col("size")) % F.col("shards")).drop("shards")
-    # quotas
+    # quotas: blocks of each shard, seats of each source, seats of each shard
     cells = (rows.groupBy("sid", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("words")).where("words > 0")
              .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / block_words)).cast("long")))
     cells = stage(cells, "mix")
@@ -113,20 +116,42 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
     cells = sainte_lague(cells.join(quotas, "sid"), "sid", "shard", "blocks", "quota", "cell_quota")
     cells = stage(cells.select("sid", "shard", "words", "blocks", "cell_quota",
                                (_hash60(F.lit(seed), F.col("sid"), F.col("shard")) % F.col("blocks")).alias("shift")), "mix")
-    # the seeded stream of each shard
+    # the seeded stream of each shard, and what lies in picked blocks
     end = F.sum(F.col("size") * F.col("copies")).over(
-        Window.partitionBy("sid", "shard").orderBy(_hash60(F.lit(seed), F.col("doc_id"), F.col("size"), at=16),
-                                                   "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+        Window.partitionBy("sid", "shard").orderBy(_hash60(F.lit(seed), F.col("doc_id"), F.col("size"), at=16), *keys)
+        .rowsBetween(Window.unboundedPreceding, 0))
     stream = (rows.where("size > 0").withColumn("end", end)
               .withColumn("a", F.explode(F.expr("sequence(end - copies * size, end - size, size)"))).drop("end"))
     stream = stream.join(cells, ["sid", "shard"]).withColumn("e", F.col("a") + F.col("size"))
-    stream = (stream.withColumn("whole", F.expr("cell_quota div blocks")).withColumn("part", F.expr("cell_quota % blocks"))
+    stream = (stream.withColumn("passes", F.expr("cell_quota div blocks")).withColumn("part", F.expr("cell_quota % blocks"))
               .withColumn("b0", F.expr("((a + 1) * blocks - 1) div words")).withColumn("b1", F.expr("(e * blocks - 1) div words")))
-    picked = F.expr(f"""aggregate(sequence(b0, b1), 0L, (acc, b) -> acc + if((b * {_PRIME}L + shift) % blocks < part,
-        least(e, ((b + 1) * words) div blocks) - greatest(a, (b * words) div blocks), 0L))""")
-    taken = stream.select("doc_id", "source", "size", (F.col("whole") * F.col("size") + F.when(F.col("part") > 0, picked)
-                                                       .otherwise(F.lit(0))).cast("long").alias("taken"))
-    empty = sized.where("size = 0").select("doc_id", "source", "size", F.explode(F.expr("array_repeat(0L, int(copies))")).alias("taken"))
-    return (taken.unionByName(empty)
-            .join(sources.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")))
-            .select("doc_id", "source", "size", "source_size", "target", "taken"))
+    ranges = F.expr(f"""transform(filter(sequence(b0, b1), b -> (b * {_PRIME}L + shift) % blocks < part), b -> named_struct(
+        'start', greatest(a, (b * words) div blocks) - a, 'stop', least(e, ((b + 1) * words) div blocks) - a))""")
+    stream = stream.withColumn("ranges", F.when(F.col("part") > 0, ranges).otherwise(F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")))
+    stream = stream.withColumn("taken", F.expr("passes * size + aggregate(ranges, 0L, (t, r) -> t + r.stop - r.start)"))
+    out = [*keys, "passes", "ranges", "taken"]
+    empty = sized.where("size = 0").withColumn("taken", F.explode(F.expr("array_repeat(0L, int(copies))"))).withColumn(
+        "passes", F.lit(0).cast("long")).withColumn("ranges", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"))
+    return (stream.select(*out).unionByName(empty.select(*out))
+            .join(sources.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """The mixed rows: the columns of ``docs``, a row for every whole pass over it and one for the words in
+    picked blocks (null and empty texts and rows the mix leaves out are not in it).  An ``n_chars`` column
+    follows the text."""
+    taken = plan(docs, by_text=True, id_col=id_col, text_col=text_col, source_col=source_col, **params)
+    taken = taken.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_plan_th"),
+                                            "passes", "ranges")
+    one = docs.withColumn("_th", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, source_col, "_th"])
+    rows = one.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+                    & F.col("_th").eqNullSafe(F.col("_plan_th")))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.when(F.size("ranges") > 0, F.rtrim(F.array_join(F.flatten(F.transform(
+        "ranges", lambda r: F.slice(F.col("_words"), (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int")))), "")))
+    rows = rows.withColumn("_words", F.when(F.size("ranges") > 0, words)).withColumn("_part", part)
+    whole = F.expr("array_repeat(_whole, int(passes))")
+    rows = rows.withColumn("_whole", F.col(text_col).cast("string")).withColumn(
+        "_text", F.explode(F.filter(F.concat(whole, F.array("_part")), lambda t: t.isNotNull())))
+    out = {text_col: F.col("_text"), **({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
