@@ -159,7 +159,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         level += 1
         parts = -(-parts // fan_in)
         left = got.where("sequence_id is null")
-        left = left.repartition(parts, F.xxhash64("doc_id", "start")) if parts > 1 else left.coalesce(1)
+        left = left.repartition(parts, F.xxhash64("doc_id", "start"))
         left = left.sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
         got = stage(left.mapInArrow(_refill(level, capacity, parts == 1), _SCHEMA), "pack")
         done.append(got.where("sequence_id is not null"))
