@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions.text import content_hash
+from chorus.operators.components import components
 
 
 def dedup_keys(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
@@ -44,11 +45,21 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def greedy_keep(keys: DataFrame) -> DataFrame:
-    """D4 core: ``seq`` of the kept rows (first-wins over both keys)."""
+def _require_unique(keys: DataFrame) -> None:
+    """First-wins needs a total order: a repeated ``seq`` is an error, not a silent join explosion."""
+    twice = keys.groupBy("seq").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"seq {twice[0]['seq']} is not unique; unite sources with union_sources, which numbers posts")
+
+
+def greedy_keep(keys: DataFrame, rounds: int = 3) -> DataFrame:
+    """D4 core: ``seq`` of the kept rows (first-wins over both keys).  After ``rounds`` rounds, which
+    settle nearly all rows, what is left is settled component by component."""
     undecided = _checkpoint(keys.select("seq", "id_key", "hash_key"))
-    kept_parts = []
-    while not undecided.isEmpty():
+    kept_parts = [undecided.filter(F.lit(False)).select("seq")]
+    for _ in range(rounds):
+        if undecided.isEmpty():
+            break
         by_id = undecided.groupBy("id_key").agg(F.min("seq").alias("seq"))
         by_hash = undecided.groupBy("hash_key").agg(F.min("seq").alias("seq"))
         winners = by_id.select("seq").join(by_hash.select("seq"), "seq")
@@ -57,12 +68,42 @@ def greedy_keep(keys: DataFrame) -> DataFrame:
         undecided = _checkpoint(
             undecided.join(new_kept.select("id_key"), "id_key", "left_anti")
                      .join(new_kept.select("hash_key"), "hash_key", "left_anti"))
+    else:
+        if not undecided.isEmpty():
+            kept_parts.append(_settle_chains(undecided))
     out = kept_parts[0]
     for part in kept_parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _settle_chains(rows: DataFrame) -> DataFrame:
+    """The kept rows of what the rounds left: rows linked by shared keys form components, and each
+    component is passed over once in ``seq`` order, streaming, so a chain of any length costs a
+    logarithmic number of jobs instead of one round per link.  A task remembers the keys kept in the
+    component it is passing over, nothing else.
+    """
+    low = [rows.join(rows.groupBy(k).agg(F.min("seq").alias("low")), k).select("low", "seq") for k in ("id_key", "hash_key")]
+    comp = components(low[0].unionByName(low[1]), "low", "seq")
+    named = rows.join(comp.withColumnRenamed("node", "seq"), "seq", "left").withColumn("component", F.coalesce("component", "seq"))
+    parts = named.repartition("component").sortWithinPartitions("component", "seq")
+
+    def first_wins(frames):
+        import pandas as pd
+        current, ids, hashes = None, set(), set()
+        for frame in frames:
+            kept = []
+            for c, s, i, h in zip(frame["component"], frame["seq"], frame["id_key"], frame["hash_key"]):
+                if c != current:
+                    current, ids, hashes = c, set(), set()
+                if i not in ids and h not in hashes:
+                    ids.add(i)
+                    hashes.add(h)
+                    kept.append(s)
+            yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
+    return _checkpoint(parts.select("component", "seq", "id_key", "hash_key").mapInPandas(first_wins, "seq long"))
+
+
 def deduplicate(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
     """Every post with ``kept`` and ``dup_type`` (null, ``exact_id`` or ``content``)."""
     return posts.join(dedup_flags(posts, empty_content), "seq")
@@ -78,6 +119,7 @@ def dedup_flags(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
     text out of every shuffle.
     """
     keys = _checkpoint(dedup_keys(posts, empty_content))
+    _require_unique(keys)
     kept = greedy_keep(keys).withColumn("kept", F.lit(True))
     tagged = keys.join(kept, "seq", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     kept_ids = tagged.filter("kept").select("id_key", F.col("seq").alias("id_seq"))
@@ -140,9 +182,11 @@ def dedup_incremental(batch: DataFrame, seen: DataFrame, empty_content: str = "c
     ``(tagged batch, new seen)``; the caller persists the new seen table
     (a written table, so it survives executor loss).
     """
-    keys = dedup_keys(batch, empty_content)
-    seen_ids = seen.select("id_key").distinct()
-    seen_hashes = seen.select("hash_key").distinct()
+    keys = _checkpoint(dedup_keys(batch, empty_content))
+    _require_unique(keys)
+    # only the part of the seen table that the batch can meet takes part (the batch's keys are few)
+    seen_ids = seen.select("id_key").join(keys.select("id_key").distinct(), "id_key", "left_semi").distinct()
+    seen_hashes = seen.select("hash_key").join(keys.select("hash_key").distinct(), "hash_key", "left_semi").distinct()
     by_seen_id = keys.join(seen_ids.withColumn("old_id", F.lit(True)), "id_key", "left")
     by_seen = by_seen_id.join(seen_hashes.withColumn("old_hash", F.lit(True)), "hash_key", "left")
     blocked = by_seen.filter(F.col("old_id") | F.col("old_hash"))

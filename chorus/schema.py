@@ -9,10 +9,12 @@ first-wins rule (dedup, ``first`` platform, top-k ties) reads it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chorus.session import ensure_checkpoint_dir
+
 STR = T.StringType()
 
 METADATA_SCHEMA = T.StructType([
@@ -102,31 +104,66 @@ def engagement_map(**counters: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+ISO_LOCAL = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd"]
+ISO_ZONED = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]XXX"]
+
+
+FILE_BITS = 40  # a file's positions lie below 2**40
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """``df`` with ``seq``, the rows' position in the input, made once and
+    written to the checkpoint folder: later plans read the same numbers, so
+    first-wins rules and scalar subqueries over posts are deterministic.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.withColumn("seq", F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
+def landed_files(df: DataFrame) -> DataFrame:
+    """Like :func:`landed` for rows read from files, with ``seq`` in (file path, position) order.
+
+    ``df`` carries ``_metadata.file_path`` and ``_metadata.file_block_start`` as ``_path`` and ``_block``.
+    A row's position is its block's first byte plus its number in the block, which cannot reach the
+    next block's first byte; files are ranked by path.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    blocks = rows.groupBy("_path", "_block").agg(F.min("_mid").alias("_first"))  # one row per input split
+    files = blocks.select("_path").distinct().select("_path", F.row_number().over(
+        Window.partitionBy(F.lit(0)).orderBy("_path")).alias("_rank"))
+    blocks = blocks.join(files, "_path")
+    seq = (F.col("_rank") - 1) * F.lit(1 << FILE_BITS) + F.col("_block") + F.col("_mid") - F.col("_first")
+    return rows.join(blocks, ["_path", "_block"]).withColumn("seq", seq).drop("_path", "_block", "_mid", "_first", "_rank")
+
+
 def coerce_posts(df: DataFrame, batch_ts: Column | None = None) -> DataFrame:
     """Bring loosely typed rows to :data:`POST_SCHEMA`.
 
-    ISO strings become timestamps; unparseable ones take ``batch_ts`` (the
-    ingestion instant, by default the query's current timestamp).  A missing
-    engagement map becomes an empty map; missing columns become nulls.
+    ISO strings become timestamps (with ``Z`` or an offset: in UTC);
+    unparseable ones take ``batch_ts`` (the ingestion instant, by default the
+    query's current timestamp).  A missing engagement map becomes an empty
+    map; missing columns become nulls.  Without ``seq`` the rows are landed
+    (:func:`landed`) so their order is fixed.
     """
+    if "seq" not in df.columns:
+        df = landed(df)
     batch_ts = batch_ts if batch_ts is not None else F.localtimestamp()
     cols = []
     for field in POST_SCHEMA.fields:
         name = field.name
         if name not in df.columns:
-            if name == "seq":
-                value = F.monotonically_increasing_id()
-            elif name == "engagement":
+            if name == "engagement":
                 value = F.create_map().cast(field.dataType)
             else:
                 value = F.lit(None).cast(field.dataType)
         elif name == "timestamp":
             raw = F.col(name)
             if isinstance(df.schema[name].dataType, T.StringType):
-                parsed = F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-                                    F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")),
-                                    F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")))
-                value = F.coalesce(parsed.cast(T.TimestampNTZType()), batch_ts)
+                local = F.coalesce(*[F.try_to_timestamp(raw, F.lit(p)) for p in ISO_LOCAL]).cast(T.TimestampNTZType())
+                zoned = F.coalesce(*[F.try_to_timestamp(raw, F.lit(p)) for p in ISO_ZONED]).cast(T.TimestampNTZType())
+                utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned)
+                value = F.coalesce(local, utc, batch_ts)
             else:
                 value = F.coalesce(raw.cast(T.TimestampNTZType()), batch_ts)
         elif name == "engagement":

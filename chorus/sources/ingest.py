@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from chorus.functions import text as X
 from chorus.functions.columns import ntz_from_epoch_seconds
-from chorus.schema import POST_COLUMNS, engagement_map, metadata_struct
+from chorus.schema import POST_COLUMNS, engagement_map, landed, landed_files, metadata_struct
 
 S = T.StringType()
 L = T.LongType()
@@ -62,12 +62,17 @@ COMMENT_SCHEMA = T.StructType([
 ])
 
 
-def _seq(df: DataFrame, seq: Column | None) -> Column:
-    return (seq if seq is not None else F.monotonically_increasing_id()).cast("bigint")
+SOURCE_BITS = 56  # seq of one source lies below 2**56; the source's rank goes above
+
+
+def _ordered(raw: DataFrame, seq: Column | None):
+    return (raw, seq) if seq is not None else (landed(raw), F.col("seq"))
 
 
 def tweets_to_posts(raw: DataFrame, query, seq: Column | None = None) -> DataFrame:
-    """Raw tweet rows → posts.  ``query`` is a column name or a literal."""
+    """Raw tweet rows → posts.  ``query`` is a column name or a literal; without
+    ``seq`` the rows are landed first, which fixes their order."""
+    raw, seq = _ordered(raw, seq)
     q = F.col(query) if isinstance(query, str) and query in raw.columns else F.lit(query)
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     content = F.coalesce(F.col("rawContent"), F.lit(""))
@@ -88,7 +93,7 @@ def tweets_to_posts(raw: DataFrame, query, seq: Column | None = None) -> DataFra
                                     F.col("coordinates.longitude").alias("lon"))),
     )
     return raw.select(
-        _seq(raw, seq).alias("seq"),
+        seq.cast("bigint").alias("seq"),
         F.col("id").cast("string").alias("id"),
         F.lit("twitter").alias("platform"),
         F.when(F.col("user").isNotNull(), F.col("user.username")).otherwise(F.lit("unknown")).alias("author"),
@@ -120,9 +125,10 @@ def _reddit_metadata(listing: bool) -> Column:
 
 def _reddit_post(raw: DataFrame, engagement: Column, author: Column, query, seq,
                  listing: bool = False) -> DataFrame:
+    raw, seq = _ordered(raw, seq)
     q = F.col(query) if isinstance(query, str) and query in raw.columns else F.lit(query)
     return raw.select(
-        _seq(raw, seq).alias("seq"),
+        seq.cast("bigint").alias("seq"),
         F.coalesce(F.col("id"), F.lit("")).alias("id"),
         F.lit("reddit").alias("platform"),
         author.alias("author"),
@@ -169,8 +175,21 @@ def listing_to_posts(listing: DataFrame, query, seq: Column | None = None) -> Da
 
 
 def comments_to_rows(raw: DataFrame, limit: int = 100) -> DataFrame:
-    """Comments → flat rows, the first ``limit`` per submission in listing order."""
-    rk = F.row_number().over(Window.partitionBy("submission_id").orderBy("position"))
+    """Comments → flat rows, the first ``limit`` per submission in listing order.
+
+    The submission is ``submission_id`` where the landed row has one, else the id in its permalink
+    (``/comments/<id>/``), else a ``t3_`` parent; a row that none of them places raises an error.
+    Without ``position`` the order of the input decides.
+    """
+    for name in ("submission_id", "position", "parent_id", "permalink"):
+        if name not in raw.columns:
+            raw = raw.withColumn(name, F.lit(None).cast("bigint" if name == "position" else "string"))
+    raw = landed(raw)
+    link = F.nullif(F.regexp_extract(F.coalesce("permalink", F.lit("")), "/comments/([^/]+)", 1), F.lit(""))
+    parent = F.nullif(F.regexp_extract(F.coalesce("parent_id", F.lit("")), "^t3_(.+)$", 1), F.lit(""))
+    lost = F.raise_error(F.concat(F.lit("comment without a submission: "), F.coalesce(F.col("id"), F.lit("null")))).cast("string")
+    raw = raw.withColumn("submission_id", F.coalesce("submission_id", link, parent, lost))
+    rk = F.row_number().over(Window.partitionBy("submission_id").orderBy("position", "seq"))
     return (raw.select("*", rk.alias("rk")).filter(F.col("rk") <= limit)
             .select("id", F.coalesce("author", F.lit("[deleted]")).alias("author"), "body", "score",
                     ntz_from_epoch_seconds(F.col("created_utc")).alias("created_utc"),
@@ -179,12 +198,17 @@ def comments_to_rows(raw: DataFrame, limit: int = 100) -> DataFrame:
                     "submission_id"))
 
 
+def _read(df: DataFrame) -> DataFrame:
+    """Rows of files, numbered in (file path, position) order; made once, so later plans agree."""
+    return landed_files(df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")))
+
+
 def read_tweets(spark: SparkSession, path: str, query) -> DataFrame:
-    return tweets_to_posts(spark.read.schema(TWEET_SCHEMA).json(path), query)
+    return tweets_to_posts(_read(spark.read.schema(TWEET_SCHEMA).json(path)), query, F.col("seq"))
 
 
 def read_submissions(spark: SparkSession, path: str, query) -> DataFrame:
-    return submissions_to_posts(spark.read.schema(SUBMISSION_SCHEMA).json(path), query)
+    return submissions_to_posts(_read(spark.read.schema(SUBMISSION_SCHEMA).json(path)), query, F.col("seq"))
 
 
 def read_listings(spark: SparkSession, path: str, query, bad_records: list | None = None) -> DataFrame:
@@ -209,16 +233,36 @@ def read_comments(spark: SparkSession, path: str, limit: int = 100) -> DataFrame
 def read_analysis_posts(spark: SparkSession, path: str, post_schema: T.StructType) -> DataFrame:
     """Posts of an exported analysis document (``{"posts": [...]}`` or a bare list).
 
-    A missing file yields an empty frame with the schema.
+    A missing file yields an empty frame with the schema.  ``path`` may be on any file system Spark
+    reads; a folder written by ``write_analysis`` is read from its ``posts`` part.  Rows without
+    ``seq`` are numbered in document order.
     """
-    import os
-    if not os.path.exists(path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], post_schema)
-    doc_schema = T.StructType([T.StructField("posts", T.ArrayType(post_schema))])
-    doc = spark.read.schema(doc_schema).option("multiLine", True).json(path)
-    as_doc = doc.select(F.explode("posts").alias("p")).select("p.*")
-    bare = spark.read.schema(post_schema).option("multiLine", True).json(path)
-    return as_doc.unionByName(bare.filter(F.col(post_schema.fieldNames()[0]).isNotNull()))
+    inner = f"{path.rstrip('/')}/posts"
+    if path_exists(spark, inner):
+        return _numbered(spark.read.schema(post_schema).json(inner), post_schema)
+    wide = T.StructType([T.StructField("posts", T.ArrayType(post_schema)), *post_schema.fields])
+    doc = spark.read.schema(wide).option("multiLine", True).json(path)  # a bare list gives one row per post
+    own = F.array(F.struct(*[F.col(c) for c in post_schema.fieldNames()]))
+    some = F.greatest(*[F.col(c).isNotNull().cast("int") for c in post_schema.fieldNames()]) > 0
+    rows = doc.select(F.explode(F.when(F.col("posts").isNotNull(), F.col("posts")).when(some, own)).alias("p")).select("p.*")
+    return _numbered(rows, post_schema)
+
+
+def _numbered(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows in the schema's columns; when none carries ``seq`` they are numbered in input order."""
+    if "seq" not in schema.fieldNames():
+        return rows
+    if not rows.filter(F.col("seq").isNull()).isEmpty():
+        rows = landed(rows.drop("seq"))
+    return rows.select(*schema.fieldNames())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system holds ``path``."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
 
 
 def read_graph(spark: SparkSession, path: str):
@@ -228,10 +272,10 @@ def read_graph(spark: SparkSession, path: str):
     or the split form written by ``chorus.plans.export.write_node_link``
     (``nodes/`` and ``links/`` JSON-lines folders).
     """
-    import os
-    if os.path.isdir(os.path.join(path, "nodes")):
-        nodes = spark.read.json(os.path.join(path, "nodes"))
-        links = spark.read.json(os.path.join(path, "links"))
+    path = path.rstrip("/")
+    if path_exists(spark, f"{path}/nodes"):
+        nodes = spark.read.json(f"{path}/nodes")
+        links = spark.read.json(f"{path}/links")
         return nodes, links.withColumnRenamed("source", "src").withColumnRenamed("target", "dst")
     schema = T.StructType([
         T.StructField("nodes", T.ArrayType(T.MapType(S, S))),
@@ -245,8 +289,14 @@ def read_graph(spark: SparkSession, path: str):
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
-    """Concatenate post frames (no distinct), filling missing columns with nulls."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).select(*POST_COLUMNS)
+    """Concatenate post frames (no distinct), filling missing columns with nulls.
+
+    ``seq`` stays unique and keeps the order of the frames: the frame's rank goes above the
+    ``SOURCE_BITS`` of its own numbers.  Unite all sources in one call: a second union of numbered
+    sources would overflow, which raises an error.
+    """
+    ranked = [f.withColumn("seq", F.col("seq") + F.lit(i * (1 << SOURCE_BITS))) for i, f in enumerate(frames)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked).select(*POST_COLUMNS)
 
 
 def collection_stats(posts: DataFrame) -> DataFrame:
