@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions import columns as C
+from chorus.session import ensure_checkpoint_dir
 
 LABELS = ("POSITIVE", "NEGATIVE", "NEUTRAL")
 
@@ -52,7 +53,7 @@ def by_query(flat):
 def sentiment_distribution(flat: DataFrame) -> DataFrame:
     """A4: count and percent of posts per label."""
     counts = count_by(flat, "sentiment")
-    total = flat.select(_n()).scalar()
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # one row per label
     return counts.select("sentiment", "count", (F.col("count") / total * 100).alias("percentage"))
 
 
@@ -72,11 +73,11 @@ def sentiment_by(flat: DataFrame, key: str) -> DataFrame:
     return count_by(flat, key, "sentiment")
 
 
-def engagement_stats(flat: DataFrame, exact: bool = True) -> DataFrame:
+def engagement_stats(flat: DataFrame) -> DataFrame:
     """Engagement totals, means, median, maxima, sample std and two counts."""
     e = F.col("engagement_total")
     cut = flat.select(F.avg(e) + F.stddev_samp(e)).scalar()
-    median = F.median(e) if exact else F.percentile_approx(e, 0.5, 1_000_000)
+    median = percentiles(flat, "engagement_total", [0.5]).select("p0").scalar()
     return flat.agg(
         F.sum("likes").cast("bigint").alias("total_likes"),
         F.sum("shares").cast("bigint").alias("total_shares"),
@@ -84,7 +85,7 @@ def engagement_stats(flat: DataFrame, exact: bool = True) -> DataFrame:
         F.avg("likes").alias("avg_likes"),
         F.avg("shares").alias("avg_shares"),
         F.avg(e).alias("avg_engagement"),
-        median.cast("double").alias("median_engagement"),
+        F.max(median).alias("median_engagement"),
         F.max("likes").cast("bigint").alias("max_likes"),
         F.max("shares").cast("bigint").alias("max_shares"),
         F.max(e).cast("bigint").alias("max_engagement"),
@@ -93,26 +94,56 @@ def engagement_stats(flat: DataFrame, exact: bool = True) -> DataFrame:
         F.count_if(e == 0).alias("zero_engagement_posts"))
 
 
+def percentiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
+    """Exact percentiles (linear interpolation) in one row: ``p0``, ``p1``, … doubles, null without values.
+
+    Values are counted (map-side combine), the (value, count) rows range-partitioned and written once, and
+    each partition's offset is the sum of the counts before it, so no task holds all values; only the
+    neighbours of each wanted rank are picked out.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = (df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(_n().alias("n"))
+              .repartitionByRange("x").withColumn("part", F.spark_partition_id()).checkpoint(eager=True))
+    per = counts.groupBy("part").agg(F.sum("n").alias("m"))  # one row per partition
+    before = per.select("part", (F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("m")).alias("before"),
+                        F.sum("m").over(Window.partitionBy(F.lit(0))).alias("total"))
+    ends = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    ranked = counts.withColumn("e", ends).join(before, "part").select(
+        "x", (F.col("before") + F.col("e") - F.col("n")).alias("lo"), (F.col("before") + F.col("e")).alias("hi"), "total")
+    picks = []
+    for i, p in enumerate(ps):
+        rank = (F.col("total") - 1) * F.lit(float(p))
+        for name, r in (("a", F.floor(rank)), ("b", F.ceil(rank))):
+            picks.append(F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), F.col("x"))).alias(f"{name}{i}"))
+    t = ranked.agg(F.max("total").alias("total"), *picks)
+    out = []
+    for i, p in enumerate(ps):
+        rank = (F.col("total") - 1) * F.lit(float(p))
+        share = rank - F.floor(rank)
+        out.append((F.col(f"a{i}") * (1 - share) + F.col(f"b{i}") * share).alias(f"p{i}"))
+    return t.select(*out)
+
+
 def author_counts(flat: DataFrame) -> DataFrame:
     return flat.filter(F.col("author").isNotNull()).groupBy("author").agg(_n().alias("posts"))
 
 
-def author_stats(flat: DataFrame, exact: bool = True) -> DataFrame:
+def author_stats(flat: DataFrame) -> DataFrame:
     """Authors, posts per author (mean/median/max/std), singles, prolific, top-10 share."""
     per = author_counts(flat)
     top10 = per.orderBy(F.col("posts").desc(), F.col("author")).limit(10).select(F.sum("posts")).scalar()
     total = flat.select(_n()).scalar()
     p = F.col("posts")
-    median = F.median(p) if exact else F.percentile_approx(p, 0.5, 1_000_000)
+    median = percentiles(per, "posts", [0.5]).select("p0").scalar()
     return per.agg(
         _n().alias("unique_authors"),
         F.avg(p).alias("mean_posts"),
-        median.cast("double").alias("median_posts"),
+        F.max(median).alias("median_posts"),
         F.max(p).alias("max_posts"),
         F.stddev_samp(p).alias("std_posts"),
         F.count_if(p == 1).alias("single_post_authors"),
         F.count_if(p >= 10).alias("prolific_authors"),
-        F.when(total > 0, top10 / total).otherwise(F.lit(0.0)).alias("author_concentration"))
+        F.max(F.when(total > 0, top10 / total).otherwise(F.lit(0.0))).alias("author_concentration"))
 
 
 def most_active_authors(flat: DataFrame, top: int = 20) -> DataFrame:
@@ -120,13 +151,13 @@ def most_active_authors(flat: DataFrame, top: int = 20) -> DataFrame:
     return author_counts(flat).orderBy(F.col("posts").desc(), F.col("author")).limit(top)
 
 
-def content_stats(flat: DataFrame, exact: bool = True) -> DataFrame:
+def content_stats(flat: DataFrame) -> DataFrame:
     """A10: content length and hashtag/mention/media/title usage."""
     ln = F.col("content_length")
-    median = F.median(ln) if exact else F.percentile_approx(ln, 0.5, 1_000_000)
+    median = percentiles(flat, "content_length", [0.5]).select("p0").scalar()
     has_h, has_m = F.col("hashtag_count") > 0, F.col("mention_count") > 0
     return flat.agg(
-        F.avg(ln).alias("avg_length"), median.cast("double").alias("median_length"),
+        F.avg(ln).alias("avg_length"), F.max(median).alias("median_length"),
         F.max(ln).alias("max_length"), F.min(ln).alias("min_length"),
         F.count_if(has_h).alias("with_hashtags"), F.count_if(has_m).alias("with_mentions"),
         F.count_if("has_media").alias("with_media"), F.count_if("has_title").alias("with_title"),
@@ -220,38 +251,35 @@ def negative_users(flat: DataFrame, min_posts: int = 3, threshold: float = 0.6,
                        "positive_posts", "neutral_posts", "avg_sentiment_score", "avg_engagement"))
 
 
-def viral_threshold(flat: DataFrame, exact: bool = True) -> DataFrame:
+def viral_threshold(flat: DataFrame) -> DataFrame:
     """A20 threshold (one row): p90 below 10 posts, else min(p95, mean + 2 std);
-    never below twice the median.
-
-    Exact percentiles (linear interpolation) hold a value histogram in the
-    final aggregation task; ``exact=False`` uses ``percentile_approx`` with a
-    fixed-size sketch when the number of distinct engagement values is huge.
+    never below twice the median.  Percentiles are exact, see :func:`percentiles`.
     """
     e = F.col("engagement_total")
-    pct = (lambda p: F.percentile(e, p)) if exact else (lambda p: F.percentile_approx(e, p, 1_000_000))
-    t = flat.agg(_n().alias("n"), pct(0.9).alias("p90"), pct(0.95).alias("p95"),
-                 (F.avg(e) + 2 * F.stddev_samp(e)).alias("m2s"), pct(0.5).alias("med"))
+    pct = percentiles(flat, "engagement_total", [0.5, 0.9, 0.95])
+    med, p90, p95 = (F.max(pct.select(f"p{i}").scalar()) for i in range(3))
+    t = flat.agg(_n().alias("n"), p90.alias("p90"), p95.alias("p95"),
+                 (F.avg(e) + 2 * F.stddev_samp(e)).alias("m2s"), med.alias("med"))
     base = F.when(F.col("n") < 10, F.col("p90")).otherwise(F.least("p95", "m2s"))
     return t.select(F.greatest(base, 2 * F.col("med")).alias("threshold"))
 
 
-def viral_posts(flat: DataFrame, posts: DataFrame | None = None, top: int = 20, exact: bool = True) -> DataFrame:
+def viral_posts(flat: DataFrame, posts: DataFrame | None = None, top: int = 20) -> DataFrame:
     """Posts at or above the viral threshold, most engaging first.
 
     The ranking runs on ``flat`` (no text).  ``content``/``url`` come from
     ``flat`` when it carries them, else from ``posts`` for the ≤ ``top``
-    winners only (a broadcast of at most ``top`` rows).
+    winners only.
     """
-    thr = viral_threshold(flat, exact).scalar()
+    thr = viral_threshold(flat).scalar()
     e = F.col("engagement_total")
     cols = ["seq", "id", "platform", "author", "engagement_total", "likes", "shares", "sentiment", "timestamp"]
     has_text = "content" in flat.columns
     best = (flat.filter(e >= thr).orderBy(e.desc(), F.col("seq")).limit(top)
             .select(*cols, *(["content", "url"] if has_text else [])))
     if not has_text:
-        best = posts.select("seq", "content", "url").join(F.broadcast(best), "seq")  # ≤ top rows
-    return best.select("id", "platform", "author", e.cast("bigint").alias("engagement"),
+        best = posts.select("seq", "content", "url").join(best, "seq")
+    return best.orderBy(e.desc(), F.col("seq")).select("id", "platform", "author", e.cast("bigint").alias("engagement"),
                        F.col("likes").cast("bigint").alias("likes"), F.col("shares").cast("bigint").alias("shares"),
                        "sentiment", C.preview("content", 200).alias("content_preview"),
                        C.iso_timestamp("timestamp").alias("timestamp"), "url")
@@ -271,29 +299,36 @@ def sentiment_leaders(flat: DataFrame, min_posts: int = 2, top: int = 10) -> Dat
                        F.when(grand > 0, F.col("total") / grand).otherwise(F.lit(0.0)).alias("influence_score")))
 
 
-def user_patterns(flat: DataFrame) -> DataFrame:
-    """Per author over scored posts — label counts, engagement, ratios, user type."""
+def user_cells(flat: DataFrame) -> DataFrame:
+    """Scored posts counted per (author, query, subreddit): what every per-user table is made from."""
     lab = F.col("sentiment")
-    scored = flat.filter(F.col("has_sentiment"))
-    per = (scored.groupBy("author")
-           .agg(_n().alias("post_count"),
-                F.count_if(lab == "POSITIVE").alias("positive"),
-                F.count_if(lab == "NEGATIVE").alias("negative"),
-                F.count_if(lab == "NEUTRAL").alias("neutral"),
-                F.sum("engagement_total").alias("total_engagement"),
-                F.countDistinct("query").alias("n_topics"),
-                F.countDistinct("subreddit").alias("n_subreddits"),
-                F.min("seq").alias("first_seq")))
-    label_counts = scored.groupBy("author", "sentiment").agg(_n().alias("n"))
-    top_label = label_counts.groupBy("author").agg(
-        F.max_by(F.struct("n", "sentiment"), F.col("n")).alias("top"))
-    per = per.join(top_label, "author")
-    n = F.col("post_count")
-    share = F.col("top.n") / n
-    user_type = (F.when(share >= 0.7, F.col("top.sentiment"))
-                  .when(share >= 0.4, F.lit("MIXED")).otherwise(F.lit("NEUTRAL")))
-    return per.select("author", "post_count", "positive", "negative", "neutral", "total_engagement",
-                      (F.col("total_engagement") / n).alias("avg_engagement"),
+    return (flat.filter(F.col("has_sentiment")).groupBy("author", "query", "subreddit")
+            .agg(_n().alias("n"), F.count_if(lab == "POSITIVE").alias("positive"), F.count_if(lab == "NEGATIVE").alias("negative"),
+                 F.count_if(lab == "NEUTRAL").alias("neutral"), F.sum("engagement_total").alias("engagement"),
+                 F.min("seq").alias("first_seq")))
+
+
+def user_patterns(flat: DataFrame) -> DataFrame:
+    """Per author over scored posts — label counts, engagement, ratios, user type.
+
+    One scan: cells, then one row per (author, query), then one per author; subreddits are counted from
+    the same cells.
+    """
+    cells = user_cells(flat)
+    sums = ("n", "positive", "negative", "neutral", "engagement")
+    topics = cells.groupBy("author", "query").agg(*[F.sum(c).alias(c) for c in sums], F.min("first_seq").alias("first_seq"))
+    per = topics.groupBy("author").agg(*[F.sum(c).alias(c) for c in sums], F.min("first_seq").alias("first_seq"),
+                                       F.count("query").alias("n_topics"))
+    subs = cells.groupBy("author", "subreddit").agg(F.lit(1)).groupBy("author").agg(F.count("subreddit").alias("n_subreddits"))
+    per = per.join(subs.withColumnRenamed("author", "_author"), F.col("author").eqNullSafe(F.col("_author")), "left").drop("_author")
+    n = F.col("n")
+    other = n - F.col("positive") - F.col("negative") - F.col("neutral")
+    share = F.greatest("positive", "negative", "neutral", other) / n
+    top = (F.when(F.col("positive") / n == share, F.lit("POSITIVE")).when(F.col("negative") / n == share, F.lit("NEGATIVE"))
+            .when(F.col("neutral") / n == share, F.lit("NEUTRAL")).otherwise(F.lit("UNKNOWN")))
+    user_type = F.when(share >= 0.7, top).when(share >= 0.4, F.lit("MIXED")).otherwise(F.lit("NEUTRAL"))
+    return per.select("author", n.alias("post_count"), "positive", "negative", "neutral", F.col("engagement").alias("total_engagement"),
+                      (F.col("engagement") / n).alias("avg_engagement"),
                       ((F.col("positive") - F.col("negative")) / n).alias("sentiment_score"),
                       (F.col("positive") / n).alias("positivity_ratio"),
                       (F.col("negative") / n).alias("negativity_ratio"),
@@ -328,7 +363,7 @@ def topic_sentiment_heatmap(flat: DataFrame, min_posts: int = 2, max_users: int
     users = (scored.groupBy("author").agg(_n().alias("post_count"), F.min("seq").alias("first_seq"))
              .filter(F.col("post_count") >= min_posts)
              .orderBy("first_seq").limit(max_users))
-    picked = scored.join(F.broadcast(users), "author")  # at most max_users rows, filter before aggregating
+    picked = scored.join(users, "author")  # filter before aggregating
     cells = picked.groupBy("author", "post_count", F.col("query").alias("topic")).agg(
         F.avg(C.label_value("sentiment")).alias("avg_sentiment"), _n().alias("posts"))
     return cells.select("author", "post_count", "topic", "avg_sentiment", "posts")
@@ -337,19 +372,14 @@ def topic_sentiment_heatmap(flat: DataFrame, min_posts: int = 2, max_users: int
 def user_leaderboards(flat: DataFrame, top: int = 20, min_posts: int = 2, ratio_min_posts: int = 3) -> DataFrame:
     """Four top-``top`` boards over authors with ≥ ``min_posts`` scored posts."""
     u = user_patterns(flat).filter(F.col("post_count") >= min_posts)
-    boards = {
-        "most_posts": (u, F.col("post_count").cast("double")),
-        "most_positive": (u.filter((F.col("post_count") >= ratio_min_posts) & (F.col("positivity_ratio") > 0.5)),
-                          F.col("positivity_ratio")),
-        "most_negative": (u.filter((F.col("post_count") >= ratio_min_posts) & (F.col("negativity_ratio") > 0.5)),
-                          F.col("negativity_ratio")),
-        "top_engagement": (u, F.col("avg_engagement")),
-    }
-    out = None
-    for name, (frame, value) in boards.items():
-        b = (frame.select("author", "first_seq", value.alias("value"))
-             .orderBy(F.col("value").desc(), F.col("first_seq")).limit(top)
-             .select(F.lit(name).alias("board"), "author", "value", "first_seq"))
-        out = b if out is None else out.unionByName(b)
+    enough = F.col("post_count") >= ratio_min_posts
+    entry = lambda name, value, cond=F.lit(True): F.when(cond, F.struct(
+        F.lit(name).alias("board"), value.cast("double").alias("value")))
+    boards = F.array_compact(F.array(
+        entry("most_posts", F.col("post_count")),
+        entry("most_positive", F.col("positivity_ratio"), enough & (F.col("positivity_ratio") > 0.5)),
+        entry("most_negative", F.col("negativity_ratio"), enough & (F.col("negativity_ratio") > 0.5)),
+        entry("top_engagement", F.col("avg_engagement"))))
     rk = F.row_number().over(Window.partitionBy("board").orderBy(F.col("value").desc(), F.col("first_seq")))
-    return out.select("board", rk.cast("bigint").alias("rank"), "author", "value")
+    return (u.select("author", "first_seq", F.inline(boards)).select("board", rk.cast("bigint").alias("rank"), "author", "value")
+            .filter(F.col("rank") <= top))

@@ -42,11 +42,26 @@ def lookback_range(days: int, now: dt.datetime):
 
 
 def limit_per_query(df: DataFrame, n: int, key: str = "query") -> DataFrame:
-    """at most ``n`` posts per query, newest first (ties: platform, id)."""
-    w = Window.partitionBy(key).orderBy(F.col("timestamp").desc(), "platform", "id")
+    """at most ``n`` posts per query, newest first (ties: platform, id, input order)."""
+    w = Window.partitionBy(key).orderBy(F.col("timestamp").desc(), "platform", "id", "seq")
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
 
 
+def limit_per_subreddit(df: DataFrame, n: int, total: int | None = None) -> DataFrame:
+    """F4 for reddit: at most ``n`` posts per (query, subreddit), newest first; subreddits are taken in name
+    order, whole, until a query has ``total`` posts (the one that reaches it is the last)."""
+    sub = F.coalesce(F.col("metadata.subreddit"), F.lit(""))
+    w = Window.partitionBy("query", sub).orderBy(F.col("timestamp").desc(), "id", "seq")
+    taken = df.withColumn("_sub", sub).withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
+    if total is None:
+        return taken.drop("_sub")
+    per = taken.groupBy("query", "_sub").agg(F.count(F.lit(1)).alias("_n"))  # one row per query and subreddit
+    before = F.sum("_n").over(Window.partitionBy("query").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = per.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < total).select(
+        F.col("query").alias("_q"), F.col("_sub").alias("_s"))
+    return taken.join(open_, F.col("query").eqNullSafe(F.col("_q")) & (F.col("_sub") == F.col("_s")), "left_semi").drop("_sub")
+
+
 def user_timeline(df: DataFrame, user: str, start, end, include_replies: bool = False,
                   limit: int = 100) -> DataFrame:
     """one author's posts in range, newest first; ``query`` becomes ``@user`` / ``u/user``."""

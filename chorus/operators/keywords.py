@@ -71,21 +71,23 @@ def keyword_tokens(posts: DataFrame, allowed_words: DataFrame | None = None) ->
     # whitespace runs are single spaces here; empty pieces fail the length filter
     words = posts.select("seq", F.explode(F.split(keyword_text(), " ")).alias("word"))
     words = words.filter(F.char_length("word") >= MIN_WORD_LENGTH)
-    words = words.join(F.broadcast(stopword_table(spark)), "word", "left_anti")  # fixed-size table
+    words = words.join(stopword_table(spark), "word", "left_anti")
     if allowed_words is not None:
         words = words.join(allowed_words.select("word").distinct(), "word", "left_semi")
     return words
 
 
 def word_frequencies(posts: DataFrame, sentiment_filter: str | None = None,
-                     allowed_words: DataFrame | None = None) -> DataFrame:
-    """Word counts; words seen once are dropped when more than 20 posts take part."""
+                     allowed_words: DataFrame | None = None, min_count: int = 2, switch_at: int = 20) -> DataFrame:
+    """Word counts.  The reference's word cloud drops words seen less than ``min_count`` times when
+    more than ``switch_at`` posts take part; ``min_count=1`` counts every word."""
     if sentiment_filter:
         posts = posts.filter(F.col("sentiment.label") == sentiment_filter)
-    n_posts = posts.select(F.count(F.lit(1))).scalar()
     counts = keyword_tokens(posts, allowed_words).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    min_freq = F.when(n_posts > 20, F.lit(2)).otherwise(F.lit(1))
-    return counts.filter(F.col("count") >= min_freq)
+    if min_count <= 1:
+        return counts
+    many = posts.select("seq").limit(switch_at + 1).agg(F.count(F.lit(1)) > switch_at).scalar()
+    return counts.filter(~many | (F.col("count") >= min_count))
 
 
 def top_words(posts: DataFrame, sentiment_filter: str | None = None, top: int = 100) -> DataFrame:

@@ -32,16 +32,30 @@ def _prep(flat: DataFrame, by):
     return flat.withColumn(SERIES, F.lit(0)), [SERIES], []
 
 
-def _grid(flat: DataFrame, keys, unit: str) -> DataFrame:
+def _buckets(flat: DataFrame, keys, unit: str) -> DataFrame:
     b = F.date_trunc(unit, "timestamp").cast("timestamp_ntz")
-    per_bucket = (flat.groupBy(*keys, b.alias("bucket"))
-                  .agg(F.count(F.lit(1)).alias("count"),
-                       F.avg("sentiment_value").alias("v"),
-                       F.sum("engagement_total").alias("engagement_sum"),
-                       F.avg("engagement_total").alias("engagement_mean"),
-                       F.max("engagement_total").alias("engagement_max")))
+    return (flat.groupBy(*keys, b.alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("count"),
+                 F.avg("sentiment_value").alias("v"),
+                 F.sum("engagement_total").alias("engagement_sum"),
+                 F.avg("engagement_total").alias("engagement_mean"),
+                 F.max("engagement_total").alias("engagement_max")))
+
+
+MAX_BUCKETS = 2_000_000  # 228 years of hours; one stamp far off the rest must not blow up the calendar
+
+
+def _grid(flat: DataFrame, keys, unit: str, per_bucket: DataFrame | None = None) -> DataFrame:
+    """The calendar of each series joined with its buckets.  A calendar of more than ``MAX_BUCKETS`` raises
+    an error (a wrong time stamp), it never drops rows."""
+    per_bucket = _buckets(flat, keys, unit) if per_bucket is None else per_bucket
     bounds = per_bucket.groupBy(*keys).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"),
                                            F.sum("count").alias("n_posts"))
+    seconds = 86400 if unit == "day" else 3600
+    span = C.micros_between("lo", "hi") / F.lit(1_000_000 * seconds)
+    lo = F.when(span > MAX_BUCKETS, F.raise_error(F.concat(F.lit("time series too long: "), F.col("lo").cast("string"), F.lit(" to "),
+                                                           F.col("hi").cast("string"))).cast("timestamp_ntz")).otherwise(F.col("lo"))
+    bounds = bounds.withColumn("lo", lo)
     n_buckets = (F.size(F.sequence("lo", "hi", F.expr(UNITS[unit])))).alias("n_buckets")
     grid = bounds.select(*keys, "n_posts", n_buckets,
                          F.posexplode(F.sequence("lo", "hi", F.expr(UNITS[unit]))).alias("idx", "bucket"))
@@ -52,6 +66,18 @@ def _grid(flat: DataFrame, keys, unit: str) -> DataFrame:
                       "engagement_mean", "engagement_max")
 
 
+def beside(keys, *frames: DataFrame) -> DataFrame:
+    """One row per series from frames of one row per series with different columns: a union and an
+    aggregate on the series key (a join on a constant key would plan as a cartesian product)."""
+    names = [c for f in frames for c in f.columns if c not in keys]
+    types = {c: f.schema[c].dataType for f in frames for c in f.columns}
+    rows = [f.select(*keys, *[F.col(c) if c in f.columns else F.lit(None).cast(types[c]).alias(c) for c in names]) for f in frames]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+
+
 def time_grid(flat: DataFrame, unit: str = "day", by=None) -> DataFrame:
     """Gap-filled calendar from the first to the last bucket.
 
@@ -244,14 +270,24 @@ def _pct_change_vol(g: DataFrame, keys) -> DataFrame:
 
 
 def volatility(flat: DataFrame, by=None) -> DataFrame:
-    """Overall, daily and hourly volatility and the coefficient of variation."""
+    """Overall, daily and hourly volatility and the coefficient of variation.
+
+    One aggregate per hour feeds everything: the overall moments, the hourly grid and, summed up, the daily one.
+    """
     flat, keys, pub = _prep(flat, by)
-    overall = flat.groupBy(*keys).agg(F.stddev_samp("sentiment_value").alias("overall"),
-                                      F.avg("sentiment_value").alias("mean"),
-                                      F.count(F.lit(1)).alias("n"))
-    daily = _pct_change_vol(_grid(flat, keys, "day"), keys).withColumnRenamed("vol", "daily")
-    hourly = _pct_change_vol(_grid(flat, keys, "hour"), keys).withColumnRenamed("vol", "hourly")
-    t = overall.join(daily, keys).join(hourly, keys)
+    v = F.col("sentiment_value")
+    hours = flat.groupBy(*keys, F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("count"), F.count(v).alias("m"), F.sum(v).alias("s"), F.sum(v * v).alias("sq"))
+    empty = [F.lit(None).cast("double").alias(c) for c in ("engagement_sum", "engagement_mean", "engagement_max")]
+    per_hour = hours.select(*keys, "bucket", "count", (F.col("s") / F.when(F.col("m") > 0, F.col("m"))).alias("v"), *empty)
+    per_day = hours.groupBy(*keys, F.date_trunc("day", "bucket").cast("timestamp_ntz").alias("bucket")).agg(
+        F.sum("count").alias("count"), (F.sum("s") / F.nullif(F.sum("m"), F.lit(0))).alias("v")).select(*keys, "bucket", "count", "v", *empty)
+    t = hours.groupBy(*keys).agg(F.sum("count").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("sq").alias("sq"))
+    mean = F.col("s") / F.when(F.col("m") > 0, F.col("m"))
+    overall = t.select(*keys, "n", mean.alias("mean"), _std("m", "s", "sq").alias("overall"))
+    daily = _pct_change_vol(_grid(flat, keys, "day", per_day), keys).withColumnRenamed("vol", "daily")
+    hourly = _pct_change_vol(_grid(flat, keys, "hour", per_hour), keys).withColumnRenamed("vol", "hourly")
+    t = beside(keys, overall, daily, hourly)
     small = F.col("n") < 2
     cv = F.when(F.col("mean") != 0, F.col("overall") / F.abs("mean")).otherwise(F.lit(0.0))
     return t.select(*pub,
@@ -261,6 +297,13 @@ def volatility(flat: DataFrame, by=None) -> DataFrame:
                     F.when(small, F.lit(None).cast("double")).otherwise(cv).alias("coefficient_of_variation"))
 
 
+def _std(n: str, s: str, sq: str):
+    """Sample standard deviation from count, sum and sum of squares (label values are -1, 0, 1, so the sums
+    are exact); null below two values."""
+    n, s, sq = F.col(n), F.col(s), F.col(sq)
+    return F.when(n > 1, F.sqrt(F.greatest((sq - s * s / n) / (n - 1), F.lit(0.0))))
+
+
 def peak_hours(flat: DataFrame, top: int = 10) -> DataFrame:
     """The busiest hours of the zero-filled hourly grid, earliest first on ties."""
     g = time_grid(flat, "hour")
@@ -283,7 +326,7 @@ def peak_summary(flat: DataFrame, by=None) -> DataFrame:
     days = _grid(flat, keys, "day")
     peak = days.groupBy(*keys).agg(
         F.max_by(F.struct("count", "bucket"), F.struct(F.col("count"), -F.col("idx"))).alias("p"))
-    t = hour_stats.join(peak, keys)
+    t = beside(keys, hour_stats, peak)
     return t.select(*pub, C.date_string("p.bucket").alias("peak_date"),
                     F.col("p.count").alias("peak_day_posts"),
                     C.weekday_name("p.bucket").alias("peak_day_of_week"),
@@ -355,19 +398,33 @@ def forecast_indicators(flat: DataFrame, min_posts: int = 7, split_min_posts: in
     """One row (empty with fewer than ``min_posts`` posts).
 
     ``volatility_trend`` compares the sample std of the first ``n // 2``
-    posts in time order with the rest (T18); ranks come from :func:`time_rank`.
+    posts in time order with the rest (T18): hours are summed, and only the posts of the hour that
+    holds the middle are ranked (:func:`time_rank`).
     """
     flat, keys, _ = _prep(flat, None)
-    ranked = time_rank(flat)
-    n = flat.select(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
-    halves = (ranked.withColumn("first", F.col("rank") < F.floor(n / 2))
-              .agg(F.count(F.lit(1)).alias("n"),
-                   F.stddev_samp(F.when(F.col("first"), F.col("sentiment_value"))).alias("s1"),
-                   F.stddev_samp(F.when(~F.col("first"), F.col("sentiment_value"))).alias("s2"),
-                   F.max_by(F.struct("sentiment_value", "timestamp"), "rank").alias("last"))
-              .withColumn(SERIES, F.lit(0)))
-    trend = trend_summary(flat.drop(SERIES)).select("trend_consistency").withColumn(SERIES, F.lit(0))
-    t = halves.join(trend, keys)
+    v = F.col("sentiment_value")
+    hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz")
+    moments = (F.count(F.lit(1)).alias("c"), F.count(v).alias("m"), F.sum(v).alias("s"), F.sum(v * v).alias("sq"))
+    hours = flat.groupBy(hour.alias("hour")).agg(*moments, F.max_by(F.struct("sentiment_value", "timestamp"),
+                                                                    F.struct("timestamp", "seq")).alias("last"))
+    every = Window.partitionBy(F.lit(0))  # one row per hour of the data
+    hours = (hours.withColumn("n", F.sum("c").over(every))
+             .withColumn("before", F.sum("c").over(every.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")))
+    half = F.floor(F.col("n") / 2)
+    hours = hours.withColumn("side", F.when(F.col("before") + F.col("c") <= half, F.lit(1)).when(F.col("before") >= half, F.lit(2))
+                             .otherwise(F.lit(0)))
+    # only the hour that holds the middle is ranked post by post
+    middle = hours.filter("side = 0").select("hour").scalar()
+    skip = hours.filter("side = 0").select((F.floor(F.col("n") / 2) - F.col("before")).alias("k")).scalar()
+    inside = time_rank(flat.filter(hour == middle))
+    cut = inside.groupBy(F.when(F.col("rank") < skip, F.lit(1)).otherwise(F.lit(2)).alias("side")).agg(*moments)
+    sides = hours.filter("side <> 0").select("side", "m", "s", "sq").unionByName(cut.select("side", "m", "s", "sq"))
+    sides = sides.groupBy("side").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum("sq").alias("sq"))
+    sides = sides.select("side", _std("m", "s", "sq").alias("sd"))
+    halves = sides.agg(F.max(F.when(F.col("side") == 1, F.col("sd"))).alias("s1"), F.max(F.when(F.col("side") == 2, F.col("sd"))).alias("s2"))
+    ends = hours.agg(F.sum("c").alias("n"), F.max_by("last", "hour").alias("last"))
+    trend = trend_summary(flat.drop(SERIES)).select("trend_consistency")
+    t = beside(keys, *[f.withColumn(SERIES, F.lit(0)) for f in (ends, halves, trend)])
     vt = (F.when(F.col("n") < split_min_posts, F.lit("unknown"))
            .when(F.col("s2") > F.col("s1"), F.lit("increasing"))
            .otherwise(F.lit("decreasing")))
