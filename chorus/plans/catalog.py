@@ -22,7 +22,7 @@ from chorus.operators import keywords as W
 from chorus.operators import sentiment as N
 from chorus.operators import project as P
 from chorus.operators import series as S
-from chorus.sources.fixture import fixture_posts, oracle
+from chorus.sources.fixture import blank_oracle, fixture_posts, gap_oracle, oracle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,9 +52,19 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.posts_flat(posts(spark, sf_dir))
 
 
+def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat posts without two days, for the time series."""
+    return P.posts_flat(fixture_posts(spark, sf_dir, gaps=True))
+
+
+def blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts with some empty texts, for de-duplication."""
+    return fixture_posts(spark, sf_dir, blanks=True)
+
+
 # --------------------------------------------------------------------------- T: time series
 
-@register("daily_sentiment", oracle("""
+@register("daily_sentiment", gap_oracle("""
 SELECT date,
   count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive,
   count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative,
@@ -72,10 +82,10 @@ SELECT date,
 FROM flat GROUP BY date
 """))
 def q_daily_sentiment(spark, sf_dir):
-    return rounded(S.daily_sentiment(flat(spark, sf_dir)))
+    return rounded(S.daily_sentiment(gapped(spark, sf_dir)))
 
 
-@register("time_grid_daily", oracle("""
+@register("time_grid_daily", gap_oracle("""
 , b AS (SELECT date_trunc('day', ts) AS bucket, count(*) AS cnt, avg(sentiment_value) AS v,
                sum(engagement_total) AS es FROM flat GROUP BY 1),
   g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 DAY)) AS bucket FROM b)
@@ -84,11 +94,11 @@ SELECT strftime(g.bucket, '%Y-%m-%d') AS date, CAST(coalesce(b.cnt, 0) AS BIGINT
 FROM g LEFT JOIN b USING (bucket)
 """))
 def q_time_grid_daily(spark, sf_dir):
-    g = S.time_grid(flat(spark, sf_dir), "day")
+    g = S.time_grid(gapped(spark, sf_dir), "day")
     return rounded(g.select(F.date_format("bucket", "yyyy-MM-dd").alias("date"), "count", "v", "engagement_sum"))
 
 
-@register("time_grid_hourly", oracle("""
+@register("time_grid_hourly", gap_oracle("""
 , b AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS cnt, avg(sentiment_value) AS v FROM flat GROUP BY 1),
   g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM b)
 SELECT strftime(g.bucket, '%Y-%m-%d %H:%M:%S') AS hour, CAST(coalesce(b.cnt, 0) AS BIGINT) AS count,
@@ -96,17 +106,17 @@ SELECT strftime(g.bucket, '%Y-%m-%d %H:%M:%S') AS hour, CAST(coalesce(b.cnt, 0)
 FROM g LEFT JOIN b USING (bucket)
 """))
 def q_time_grid_hourly(spark, sf_dir):
-    g = S.time_grid(flat(spark, sf_dir), "hour")
+    g = S.time_grid(gapped(spark, sf_dir), "hour")
     return rounded(g.select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("hour"), "count", "v"))
 
 
-@register("hourly_sentiment", oracle("""
+@register("hourly_sentiment", gap_oracle("""
 SELECT hour, round(avg(sentiment_value), 6) AS avg_sentiment, count(*) AS post_count,
        round(avg(engagement_total), 6) AS avg_engagement
 FROM flat GROUP BY hour
 """))
 def q_hourly_sentiment(spark, sf_dir):
-    return rounded(S.hourly_sentiment(flat(spark, sf_dir)))
+    return rounded(S.hourly_sentiment(gapped(spark, sf_dir)))
 
 
 _GRID_SQL = """
@@ -118,17 +128,17 @@ _GRID_SQL = """
 """
 
 
-@register("daily_trend", oracle(_GRID_SQL + """
+@register("daily_trend", gap_oracle(_GRID_SQL + """
 SELECT strftime(bucket, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value,
   round(avg(v) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ma_3,
   round(avg(v) OVER (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma_7
 FROM g WHERE n_posts >= 3 AND n_buckets >= 2
 """))
 def q_daily_trend(spark, sf_dir):
-    return rounded(S.daily_trend(flat(spark, sf_dir)))
+    return rounded(S.daily_trend(gapped(spark, sf_dir)))
 
 
-@register("trend_summary", oracle(_GRID_SQL + """
+@register("trend_summary", gap_oracle(_GRID_SQL + """
 , l AS (SELECT *,
     lag(v, 1) OVER w AS v_1, lag(v, 2) OVER w AS v_2, lag(v, 3) OVER w AS v_3,
     lag(v, 6) OVER w AS v_6, lag(v, 7) OVER w AS v_7,
@@ -170,10 +180,10 @@ SELECT
 FROM t
 """))
 def q_trend_summary(spark, sf_dir):
-    return rounded(S.trend_summary(flat(spark, sf_dir)))
+    return rounded(S.trend_summary(gapped(spark, sf_dir)))
 
 
-@register("turning_points", oracle(_GRID_SQL + """
+@register("turning_points", gap_oracle(_GRID_SQL + """
 , l AS (SELECT bucket, v, lag(v) OVER (ORDER BY idx) AS prev, lead(v) OVER (ORDER BY idx) AS nxt,
                n_posts, n_buckets FROM g)
 SELECT strftime(bucket, '%Y-%m-%d') AS date,
@@ -181,10 +191,10 @@ SELECT strftime(bucket, '%Y-%m-%d') AS date,
 FROM l WHERE n_posts >= 3 AND n_buckets >= 3 AND ((v > prev AND v > nxt) OR (v < prev AND v < nxt))
 """))
 def q_turning_points(spark, sf_dir):
-    return rounded(S.turning_points(flat(spark, sf_dir)))
+    return rounded(S.turning_points(gapped(spark, sf_dir)))
 
 
-@register("anomalies", oracle("""
+@register("anomalies", gap_oracle("""
 , d AS (SELECT CAST(ts AS DATE) AS day, avg(sentiment_value) AS v, count(*) AS post_count,
                sum(engagement_total) AS es FROM flat GROUP BY 1),
   s AS (SELECT *, avg(v) OVER () AS mu, stddev_samp(v) OVER () AS sd, sum(post_count) OVER () AS n FROM d),
@@ -196,10 +206,10 @@ SELECT strftime(day, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value, round(
 FROM z WHERE abs(z) > 2.0
 """))
 def q_anomalies(spark, sf_dir):
-    return rounded(S.anomalies(flat(spark, sf_dir)))
+    return rounded(S.anomalies(gapped(spark, sf_dir)))
 
 
-@register("volatility", oracle("""
+@register("volatility", gap_oracle("""
 , dg AS (SELECT unnest(generate_series(min(date_trunc('day', ts)), max(date_trunc('day', ts)), INTERVAL 1 DAY)) AS b FROM flat),
   dv AS (SELECT date_trunc('day', ts) AS b, avg(sentiment_value) AS v FROM flat GROUP BY 1),
   d AS (SELECT dg.b, dv.v, lag(dv.v) OVER (ORDER BY dg.b) AS prev FROM dg LEFT JOIN dv USING (b)),
@@ -220,7 +230,7 @@ SELECT round(CASE WHEN o.n < 2 THEN 0.0 ELSE o.sd END, 6) AS overall,
 FROM o, dr, hr
 """))
 def q_volatility(spark, sf_dir):
-    return rounded(S.volatility(flat(spark, sf_dir)))
+    return rounded(S.volatility(gapped(spark, sf_dir)))
 
 
 _HOUR_GRID_SQL = """
@@ -230,16 +240,16 @@ _HOUR_GRID_SQL = """
 """
 
 
-@register("peak_hours", oracle(_HOUR_GRID_SQL + """
+@register("peak_hours", gap_oracle(_HOUR_GRID_SQL + """
 SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, CAST(c AS BIGINT) AS post_count,
        CAST(extract(hour FROM b) AS BIGINT) AS hour_of_day, dayname(b) AS day_of_week
 FROM h ORDER BY c DESC, b LIMIT 10
 """))
 def q_peak_hours(spark, sf_dir):
-    return S.peak_hours(flat(spark, sf_dir))
+    return S.peak_hours(gapped(spark, sf_dir))
 
 
-@register("peak_summary", oracle(_HOUR_GRID_SQL + """
+@register("peak_summary", gap_oracle(_HOUR_GRID_SQL + """
 , hs AS (SELECT avg(c) AS avg_posts_per_hour, max(c) AS mx, sum(c) AS total,
                 sum(c) FILTER (WHERE rk <= 24) AS top24
          FROM (SELECT c, row_number() OVER (ORDER BY c DESC, b) AS rk FROM h)),
@@ -251,10 +261,10 @@ SELECT strftime(pd.b, '%Y-%m-%d') AS peak_date, CAST(pd.c AS BIGINT) AS peak_day
 FROM hs, pd
 """))
 def q_peak_summary(spark, sf_dir):
-    return rounded(S.peak_summary(flat(spark, sf_dir)))
+    return rounded(S.peak_summary(gapped(spark, sf_dir)))
 
 
-@register("periodicity", oracle("""
+@register("periodicity", gap_oracle("""
 , p AS (SELECT 'hour' AS kind, hour AS key, avg(sentiment_value) AS a FROM flat GROUP BY hour
         UNION ALL
         SELECT 'weekday' AS kind, CAST(isodow(ts) - 1 AS BIGINT) AS key, avg(sentiment_value) AS a
@@ -262,10 +272,10 @@ def q_peak_summary(spark, sf_dir):
 SELECT kind, key, round(a, 6) AS avg_sentiment FROM p WHERE (SELECT count(*) FROM flat) >= 24
 """))
 def q_periodicity(spark, sf_dir):
-    return rounded(S.periodicity(flat(spark, sf_dir)))
+    return rounded(S.periodicity(gapped(spark, sf_dir)))
 
 
-@register("periodicity_summary", oracle("""
+@register("periodicity_summary", gap_oracle("""
 , p AS (SELECT 'hour' AS kind, hour AS key, avg(sentiment_value) AS a FROM flat GROUP BY hour
         UNION ALL
         SELECT 'weekday' AS kind, CAST(isodow(ts) - 1 AS BIGINT) AS key, avg(sentiment_value) AS a
@@ -275,20 +285,20 @@ SELECT kind, round(var_samp(a), 6) AS strength,
 FROM p WHERE (SELECT count(*) FROM flat) >= 24 GROUP BY kind
 """))
 def q_periodicity_summary(spark, sf_dir):
-    return rounded(S.periodicity_summary(flat(spark, sf_dir)))
+    return rounded(S.periodicity_summary(gapped(spark, sf_dir)))
 
 
-@register("recent_distribution", oracle("""
+@register("recent_distribution", gap_oracle("""
 , r AS (SELECT sentiment, count(*) AS n FROM flat
         WHERE ts >= (SELECT max(ts) FROM flat) - INTERVAL 3 DAY AND (SELECT count(*) FROM flat) >= 7
         GROUP BY sentiment)
 SELECT sentiment, round(n / sum(n) OVER (), 6) AS share FROM r
 """))
 def q_recent_distribution(spark, sf_dir):
-    return rounded(S.recent_distribution(flat(spark, sf_dir)))
+    return rounded(S.recent_distribution(gapped(spark, sf_dir)))
 
 
-@register("forecast_indicators", oracle(_GRID_SQL + """
+@register("forecast_indicators", gap_oracle(_GRID_SQL + """
 , l AS (SELECT idx, n_buckets, v - lag(v) OVER (ORDER BY idx) AS diff FROM g),
   tc AS (SELECT CASE WHEN max(n_buckets) >= 3 THEN CAST(count(*) FILTER (WHERE diff > 0 AND idx >= n_buckets - 3) AS DOUBLE) / 3.0
                      ELSE 0.5 END AS trend_consistency FROM l),
@@ -303,10 +313,10 @@ SELECT round(tc.trend_consistency, 6) AS trend_consistency,
 FROM s, tc WHERE s.n >= 7
 """))
 def q_forecast_indicators(spark, sf_dir):
-    return rounded(S.forecast_indicators(flat(spark, sf_dir)))
+    return rounded(S.forecast_indicators(gapped(spark, sf_dir)))
 
 
-@register("timeline_percent", oracle("""
+@register("timeline_percent", gap_oracle("""
 SELECT date,
   round(count_if(sentiment = 'POSITIVE') * 100.0 / count(*), 6) AS positive_pct,
   round(count_if(sentiment = 'NEGATIVE') * 100.0 / count(*), 6) AS negative_pct,
@@ -316,7 +326,7 @@ SELECT date,
 FROM flat GROUP BY date
 """))
 def q_timeline_percent(spark, sf_dir):
-    return rounded(S.timeline_percent(flat(spark, sf_dir)))
+    return rounded(S.timeline_percent(gapped(spark, sf_dir)))
 
 
 # --------------------------------------------------------------------------- A: aggregations
@@ -746,12 +756,12 @@ _DEDUP_SQL = f"""
 """
 
 
-@register("dedup_flags", oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
+@register("dedup_flags", blank_oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
 def q_dedup_flags(spark, sf_dir):
-    return D.dedup_flags(posts(spark, sf_dir)).select("seq", "kept", "dup_type")
+    return D.dedup_flags(blanked(spark, sf_dir)).select("seq", "kept", "dup_type")
 
 
-@register("dedup_stats", oracle(_DEDUP_SQL + """
+@register("dedup_stats", blank_oracle(_DEDUP_SQL + """
 SELECT count(*) AS total_posts, count(*) FILTER (WHERE kept) AS unique_posts,
        count(*) FILTER (WHERE NOT kept) AS duplicates_removed,
        round(count(*) FILTER (WHERE NOT kept) / count(*), 6) AS duplicate_rate,
@@ -762,18 +772,18 @@ SELECT count(*) AS total_posts, count(*) FILTER (WHERE kept) AS unique_posts,
 FROM tagged
 """))
 def q_dedup_stats(spark, sf_dir):
-    return rounded(D.dedup_stats(D.dedup_flags(posts(spark, sf_dir))))
+    return rounded(D.dedup_stats(D.dedup_flags(blanked(spark, sf_dir))))
 
 
-@register("dedup_by_query", oracle(_DEDUP_SQL + """
+@register("dedup_by_query", blank_oracle(_DEDUP_SQL + """
 SELECT query, count(*) AS duplicates FROM tagged WHERE NOT kept GROUP BY query
 """))
 def q_dedup_by_query(spark, sf_dir):
-    p = posts(spark, sf_dir)
+    p = blanked(spark, sf_dir)
     return D.dedup_by_query(D.dedup_flags(p).join(p.select("seq", "query"), "seq"))
 
 
-@register("dedup_cross_flags", oracle(_DEDUP_SQL + """
+@register("dedup_cross_flags", blank_oracle(_DEDUP_SQL + """
 , kk AS (SELECT t.id_key, t.hash_key, k.query, p.platform FROM t JOIN k USING (seq) JOIN posts p USING (seq) WHERE t.kept),
   dd AS (SELECT t.seq, p.id, p.platform, k.query, tg.dup_type, t.id_key, t.hash_key
          FROM t JOIN k USING (seq) JOIN posts p USING (seq) JOIN tagged tg USING (seq) WHERE NOT t.kept)
@@ -784,7 +794,7 @@ SELECT dd.seq, dd.id, dd.platform, dd.query, dd.dup_type,
 FROM dd LEFT JOIN kk a ON a.id_key = dd.id_key LEFT JOIN kk b ON b.hash_key = dd.hash_key
 """))
 def q_dedup_cross_flags(spark, sf_dir):
-    p = posts(spark, sf_dir)
+    p = blanked(spark, sf_dir)
     return D.cross_duplicate_flags(D.dedup_flags(p).join(p.select("seq", "id", "platform", "query"), "seq"))
 
 
@@ -1125,9 +1135,9 @@ def q_scatter_sample(spark, sf_dir):
 
 # --------------------------------------------------------------------------- S: sources
 
-def _raw_tweets(spark, sf_dir):
+def _raw_tweets(spark, sf_dir, blanks=False):
     """Landed tweet JSON lines, written by Spark from the twitter posts."""
-    p = posts(spark, sf_dir).filter(F.col("platform") == "twitter")
+    p = fixture_posts(spark, sf_dir, blanks=blanks).filter(F.col("platform") == "twitter")
     e = lambda k: F.try_element_at("engagement", F.lit(k)).cast("bigint")
     tweet = F.struct(
         F.col("id"), F.col("timestamp").alias("date"),
@@ -1170,9 +1180,9 @@ def q_ingest_tweets(spark, sf_dir):
                     F.col("metadata.is_reply").alias("is_reply"))
 
 
-def _raw_submissions(spark, sf_dir):
+def _raw_submissions(spark, sf_dir, blanks=False):
     from chorus.functions import columns as C
-    p = fixture_flat_reddit(spark, sf_dir)
+    p = fixture_flat_reddit(spark, sf_dir, blanks)
     sub = F.struct(
         "id", "title", F.col("content").alias("selftext"),
         F.when(F.col("author") != "[deleted]", F.col("author")).alias("author"),
@@ -1186,9 +1196,9 @@ def _raw_submissions(spark, sf_dir):
     return p.select("seq", "query", sub.alias("s"))
 
 
-def fixture_flat_reddit(spark, sf_dir):
+def fixture_flat_reddit(spark, sf_dir, blanks=False):
     from chorus.sources.fixture import fixture_flat
-    return fixture_flat(spark, sf_dir).filter(F.col("platform") == "reddit")
+    return fixture_flat(spark, sf_dir, blanks=blanks).filter(F.col("platform") == "reddit")
 
 
 @register("ingest_submissions", oracle("""
@@ -1309,11 +1319,11 @@ def q_coerce_posts(spark, sf_dir):
                     (F.size("engagement") > 0).cast("bigint").alias("engagement_keys_nonzero"))
 
 
-@register("dedup_incremental", oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
+@register("dedup_incremental", blank_oracle(_DEDUP_SQL + "SELECT seq, kept, dup_type FROM tagged"))
 def q_dedup_incremental(spark, sf_dir):
     """Two successive batches (first and second half of the month) with carried state
     give the same result as one pass over all posts."""
-    p = posts(spark, sf_dir)
+    p = blanked(spark, sf_dir)
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
     seen0 = spark.createDataFrame([], "id_key string, hash_key string")
     t1, seen1 = D.dedup_incremental(p.filter(F.col("timestamp") < cut), seen0)
@@ -1322,6 +1332,48 @@ def q_dedup_incremental(spark, sf_dir):
     return t1.select("seq", "kept", "dup_type").unionByName(t2.select("seq", "kept", "dup_type"))
 
 
+@register("dedup_incremental_repeat", blank_oracle(_DEDUP_SQL + """
+SELECT k.seq, FALSE AS kept, CASE WHEN EXISTS (SELECT 1 FROM t a WHERE a.kept AND a.id_key = k.id_key) THEN 'exact_id' ELSE 'content' END
+       AS dup_type FROM k"""))
+def q_dedup_incremental_repeat(spark, sf_dir):
+    """A second batch that repeats the first one whole keeps nothing."""
+    p = blanked(spark, sf_dir)
+    _, seen = D.dedup_incremental(p, spark.createDataFrame([], "id_key string, hash_key string"))
+    again, _ = D.dedup_incremental(p, seen.checkpoint(eager=True))
+    return again.select("seq", "kept", "dup_type")
+
+
+@register("pipeline_from_sources", blank_oracle(_DEDUP_SQL.replace("FROM posts)", """FROM (
+    SELECT * REPLACE (row_number() OVER (ORDER BY CASE platform WHEN 'twitter' THEN 0 ELSE 1 END, seq) AS seq) FROM posts))""", 1) + """
+SELECT split_part(k.id_key, ':', 1) AS platform, split_part(k.id_key, ':', 2) AS id, k.hash_key, t.kept,
+       CASE WHEN t.kept THEN NULL WHEN t.id_seq < t.seq THEN 'exact_id' ELSE 'content' END AS dup_type
+FROM t JOIN k USING (seq)"""))
+def q_pipeline_from_sources(spark, sf_dir):
+    """Landed tweet and submission files, read, united in source order, de-duplicated."""
+    import uuid
+
+    from chorus.session import ensure_checkpoint_dir
+    from chorus.sources import ingest as I
+    land = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    tweets = _raw_tweets(spark, sf_dir, blanks=True)
+    tweets.orderBy("seq").select("value").write.text(f"{land}/tweets")
+    subs = _raw_submissions(spark, sf_dir, blanks=True)
+    subs.orderBy("seq").select(F.to_json("s").alias("value")).write.text(f"{land}/submissions")
+    united = I.union_sources(I.read_tweets(spark, f"{land}/tweets", "landed"), I.read_submissions(spark, f"{land}/submissions", "landed"))
+    flags = D.dedup_flags(united)
+    return flags.select(F.substring_index("id_key", ":", 1).alias("platform"), F.expr("substring(id_key, instr(id_key, ':') + 1)").alias("id"),
+                        "hash_key", "kept", "dup_type")
+
+
+@register("limit_per_subreddit", oracle("""
+, r AS (SELECT *, coalesce(subreddit, '') AS sub, row_number() OVER (PARTITION BY query, coalesce(subreddit, '') ORDER BY ts DESC, id, seq) AS rk FROM posts),
+  n AS (SELECT query, sub, count(*) AS n FROM r WHERE rk <= 5 GROUP BY ALL),
+  b AS (SELECT *, sum(n) OVER (PARTITION BY query ORDER BY sub) - n AS before FROM n)
+SELECT r.seq FROM r JOIN b USING (query, sub) WHERE rk <= 5 AND before < 40"""))
+def q_limit_per_subreddit(spark, sf_dir):
+    return FL.limit_per_subreddit(posts(spark, sf_dir), 5, total=40).select("seq")
+
+
 # --------------------------------------------------------------------------- E: exports
 
 @register("export_posts", oracle("""
@@ -1415,11 +1467,87 @@ def q_dashboard_rows(spark, sf_dir):
                             F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")))
 
 
-@register("summary_document")
+def _sub(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+@register("summary_document", blank_oracle(_DEDUP_SQL + f"""
+, c AS (SELECT count(*) AS n, count(DISTINCT author) AS authors, sum(engagement_total) AS es, avg(engagement_total) AS ea,
+               count_if(sentiment = 'POSITIVE') AS p, count_if(sentiment = 'NEGATIVE') AS g, count_if(sentiment = 'NEUTRAL') AS u,
+               count_if(sentiment = 'UNKNOWN') AS x FROM flat)
+SELECT c.n AS total_posts, c.authors AS unique_authors, CAST(p AS BIGINT) AS positive, CAST(g AS BIGINT) AS negative,
+       CAST(u AS BIGINT) AS neutral, CAST(x AS BIGINT) AS unknown, round(p / c.n * 100, 6) AS positive_percent,
+       round(g / c.n * 100, 6) AS negative_percent, round(u / c.n * 100, 6) AS neutral_percent, round(x / c.n * 100, 6) AS unknown_percent,
+       CAST(trunc(es) AS BIGINT) AS total_engagement, round(ea, 6) AS avg_engagement,
+       (SELECT days FROM {_sub('date_range')}) AS date_range_days,
+       (SELECT sentiment_ratio FROM {_sub('sentiment_summary')}) AS sentiment_ratio,
+       (SELECT dominant_sentiment FROM {_sub('sentiment_summary')}) AS dominant_sentiment,
+       (SELECT count(*) FROM {_sub('viral_posts')}) AS viral_posts_count,
+       (SELECT overall_trend FROM {_sub('trend_summary').replace("WHERE NOT true OR", "WHERE true OR")}) AS overall_trend,
+       (SELECT trend_strength FROM {_sub('trend_summary').replace("WHERE NOT true OR", "WHERE true OR")}) AS trend_strength,
+       (SELECT overall FROM {_sub('volatility').replace("WHERE NOT true OR", "WHERE true OR")}) AS volatility,
+       (SELECT count(*) FROM {_sub('anomalies').replace("WHERE NOT true OR", "WHERE true OR")}) AS anomalies_count,
+       (SELECT count(*) FROM {_sub('negative_users')}) AS negative_users_count,
+       (SELECT string_agg(author || ':' || CAST(post_count AS VARCHAR), '|' ORDER BY negative_ratio DESC, author)
+        FROM (SELECT * FROM {_sub('negative_users')} ORDER BY negative_ratio DESC, author LIMIT 3)) AS negative_users_top_3,
+       (SELECT count(*) FROM tagged) AS dedup_total, (SELECT count(*) FROM tagged WHERE kept) AS dedup_unique,
+       (SELECT count(*) FROM tagged WHERE NOT kept) AS dedup_removed
+FROM c
+"""))
 def q_summary_document(spark, sf_dir):
-    """One JSON row (JSON text formatting differs between engines: rows-only check)."""
+    """The summary document, one column per leaf."""
+    from chorus.plans import export as E
+    return rounded(E.summary_document(flat(spark, sf_dir), D.dedup_flags(blanked(spark, sf_dir))))
+
+
+@register("export_negative_users", f"SELECT * FROM {_sub('negative_users')}")
+def q_export_negative_users(spark, sf_dir):
+    from chorus.plans import export as E
+    return rounded(E.export_negative_users(flat(spark, sf_dir)))
+
+
+@register("export_viral_posts", f"SELECT * FROM {_sub('viral_posts')}")
+def q_export_viral_posts(spark, sf_dir):
+    from chorus.plans import export as E
+    p = posts(spark, sf_dir)
+    return rounded(E.export_viral_posts(P.posts_flat(p), p))
+
+
+@register("export_hashtags", f"SELECT term AS hashtag, count FROM {_sub('top_hashtags')}")
+def q_export_hashtags(spark, sf_dir):
+    from chorus.plans import export as E
+    return E.export_hashtags(posts(spark, sf_dir))
+
+
+@register("export_anomalies", f"""
+SELECT date, type, z_score, severity, post_count, sentiment_value FROM {_sub('anomalies')}""")
+def q_export_anomalies(spark, sf_dir):
+    from chorus.plans import export as E
+    return rounded(E.export_anomalies(gapped(spark, sf_dir)))
+
+
+@register("report_negative_users", f"SELECT * FROM {_sub('negative_users')} ORDER BY negative_ratio DESC, author LIMIT 20")
+def q_report_negative_users(spark, sf_dir):
+    from chorus.plans import export as E
+    return rounded(E.report_cuts({"negative_users": A.negative_users(flat(spark, sf_dir))})["negative_users"])
+
+
+@register("report_viral_posts", f"SELECT * FROM {_sub('viral_posts')} ORDER BY engagement DESC, id LIMIT 10")
+def q_report_viral_posts(spark, sf_dir):
+    from chorus.plans import export as E
+    p = posts(spark, sf_dir)
+    return rounded(E.report_cuts({"viral_posts": A.viral_posts(P.posts_flat(p), p)})["viral_posts"])
+
+
+@register("chart_sentiment_timeline", gap_oracle("""
+SELECT date, count_if(sentiment = 'POSITIVE')::BIGINT AS positive, count_if(sentiment = 'NEGATIVE')::BIGINT AS negative,
+       count_if(sentiment = 'NEUTRAL')::BIGINT AS neutral, CAST(trunc(sum(engagement_total)) AS BIGINT) AS total_engagement,
+       round((count_if(sentiment = 'POSITIVE') - count_if(sentiment = 'NEGATIVE')) / count(*), 6) AS sentiment_ratio
+FROM flat GROUP BY date"""))
+def q_chart_sentiment_timeline(spark, sf_dir):
     from chorus.plans import export as E
-    return E.summary_document(flat(spark, sf_dir))
+    f = gapped(spark, sf_dir)
+    return rounded(E.chart_tables(f, posts(spark, sf_dir))["sentiment_timeline"])
 
 
 @register("mention_pair_similarity", oracle(_MENTION_SQL + """
@@ -1464,7 +1592,7 @@ def q_user_profiles(spark, sf_dir):
 
 # --------------------------------------------------------------------------- per-key series (by=[...])
 
-@register("daily_sentiment_by_platform", oracle("""
+@register("daily_sentiment_by_platform", gap_oracle("""
 SELECT platform, date,
   count(*) FILTER (WHERE sentiment = 'POSITIVE') AS positive,
   count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS negative,
@@ -1483,10 +1611,10 @@ SELECT platform, date,
 FROM flat GROUP BY platform, date
 """))
 def q_daily_sentiment_by_platform(spark, sf_dir):
-    return rounded(S.daily_sentiment(flat(spark, sf_dir), by=["platform"]))
+    return rounded(S.daily_sentiment(gapped(spark, sf_dir), by=["platform"]))
 
 
-@register("daily_trend_by_query", oracle("""
+@register("daily_trend_by_query", gap_oracle("""
 , b AS (SELECT query, date_trunc('day', ts) AS bucket, avg(sentiment_value) AS v, count(*) AS n FROM flat GROUP BY 1, 2),
   r AS (SELECT query, min(bucket) AS lo, max(bucket) AS hi, sum(n) AS n_posts FROM b GROUP BY query),
   g0 AS (SELECT query, n_posts, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS bucket FROM r),
@@ -1500,10 +1628,10 @@ SELECT query, strftime(bucket, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_val
 FROM g WHERE n_posts >= 3 AND n_buckets >= 2
 """))
 def q_daily_trend_by_query(spark, sf_dir):
-    return rounded(S.daily_trend(flat(spark, sf_dir), by=["query"]))
+    return rounded(S.daily_trend(gapped(spark, sf_dir), by=["query"]))
 
 
-@register("anomalies_by_query", oracle("""
+@register("anomalies_by_query", gap_oracle("""
 , d AS (SELECT query, CAST(ts AS DATE) AS day, avg(sentiment_value) AS v, count(*) AS post_count,
                sum(engagement_total) AS es FROM flat GROUP BY 1, 2),
   s AS (SELECT *, avg(v) OVER (PARTITION BY query) AS mu, stddev_samp(v) OVER (PARTITION BY query) AS sd,
@@ -1516,10 +1644,10 @@ SELECT query, strftime(day, '%Y-%m-%d') AS date, round(v, 6) AS sentiment_value,
 FROM z WHERE abs(z) > 2.0
 """))
 def q_anomalies_by_query(spark, sf_dir):
-    return rounded(S.anomalies(flat(spark, sf_dir), by=["query"]))
+    return rounded(S.anomalies(gapped(spark, sf_dir), by=["query"]))
 
 
-@register("trend_summary_by_query", oracle("""
+@register("trend_summary_by_query", gap_oracle("""
 , b AS (SELECT query, date_trunc('day', ts) AS bucket, avg(sentiment_value) AS v, count(*) AS n FROM flat GROUP BY 1, 2),
   rg AS (SELECT query, min(bucket) AS lo, max(bucket) AS hi, sum(n) AS n_posts FROM b GROUP BY query),
   g0 AS (SELECT query, n_posts, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS bucket FROM rg),
@@ -1568,10 +1696,10 @@ SELECT query,
 FROM t
 """))
 def q_trend_summary_by_query(spark, sf_dir):
-    return rounded(S.trend_summary(flat(spark, sf_dir), by=["query"]))
+    return rounded(S.trend_summary(gapped(spark, sf_dir), by=["query"]))
 
 
-@register("volatility_by_platform", oracle("""
+@register("volatility_by_platform", gap_oracle("""
 , grid AS (
     SELECT platform, unit, unnest(generate_series(lo, hi, CASE unit WHEN 'day' THEN INTERVAL 1 DAY ELSE INTERVAL 1 HOUR END)) AS b
     FROM (SELECT platform, u.unit, min(date_trunc(u.unit, ts)) AS lo, max(date_trunc(u.unit, ts)) AS hi
@@ -1596,4 +1724,4 @@ FROM o JOIN vol d ON d.platform = o.platform AND d.unit = 'day'
        JOIN vol h ON h.platform = o.platform AND h.unit = 'hour'
 """))
 def q_volatility_by_platform(spark, sf_dir):
-    return rounded(S.volatility(flat(spark, sf_dir), by=["platform"]))
+    return rounded(S.volatility(gapped(spark, sf_dir), by=["platform"]))

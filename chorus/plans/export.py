@@ -8,6 +8,8 @@ results are serialised with ``to_json`` inside the job.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from chorus.functions import columns as C
 from chorus.operators import aggregate as A
 from chorus.operators import series as S
 from chorus.operators.project import posts_flat
+from chorus.session import ensure_checkpoint_dir
 
 CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -84,6 +87,11 @@ def export_negative_users(flat: DataFrame) -> DataFrame:
     return A.negative_users(flat)
 
 
+def export_viral_posts(flat: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Viral posts table, most engaging first."""
+    return A.viral_posts(flat, posts)
+
+
 def export_hashtags(posts: DataFrame) -> DataFrame:
     """Top hashtags as (hashtag, count)."""
     return A.top_terms(posts, "hashtags").select(F.col("term").alias("hashtag"), "count")
@@ -115,9 +123,11 @@ def chart_tables(flat: DataFrame, posts: DataFrame) -> dict[str, DataFrame]:
 
 
 def report_cuts(results: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The report's list lengths (limits are the feature)."""
-    cut = {"negative_users": 20, "viral_posts": 10, "ts_anomalies": 10, "top_hashtags": 20, "most_active_authors": 10}
-    return {k: results[k].limit(n) for k, n in cut.items() if k in results}
+    """The report's list lengths (limits are the feature), each list in its own order first."""
+    cut = {"negative_users": (20, [F.desc("negative_ratio"), "author"]), "viral_posts": (10, [F.desc("engagement"), "id"]),
+           "ts_anomalies": (10, [F.desc(F.abs("z_score")), "date"]), "top_hashtags": (20, [F.desc("count"), "term"]),
+           "most_active_authors": (10, [F.desc("posts"), "author"])}
+    return {k: results[k].orderBy(*order).limit(n) for k, (n, order) in cut.items() if k in results}
 
 
 def report_header(flat: DataFrame) -> DataFrame:
@@ -138,25 +148,35 @@ def dashboard_rows(posts: DataFrame) -> DataFrame:
                         "title", "content", "url", "timestamp")
 
 
-def summary_document(flat: DataFrame) -> DataFrame:
-    """One-row summary (key metrics, sentiment, engagement, counts) as JSON text.
+def summary_document(flat: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """The summary in one row, a column per leaf.
 
-    The label histogram (≤ a handful of labels) and the top-3 negative users
-    are scalar subqueries over small aggregates.
+    ``flags`` are the dedup flags of the posts (``processing_summary``).  Every part is a one-row
+    aggregate; they are put side by side on a constant key, the top-3 negative users as text.
     """
-    dist = (A.count_by(flat, "sentiment")
-            .select(F.map_from_entries(F.collect_list(F.struct("sentiment", "count")))).scalar())
-    neg = A.negative_users(flat)
-    top3 = neg.limit(3).select(F.collect_list(F.struct("author", "negative_ratio", "post_count"))).scalar()
-    n_neg = neg.select(F.count(F.lit(1))).scalar()
-    base = flat.agg(F.count(F.lit(1)).alias("total_posts"), F.countDistinct("author").alias("unique_authors"),
-                    F.sum("engagement_total").alias("total_engagement"),
+    key = "_one"
+    lab = F.col("sentiment")
+    total = F.count(F.lit(1))
+    counts = [F.count_if(lab == x).alias(x.lower()) for x in (*A.LABELS, "UNKNOWN")]
+    shares = [(F.count_if(lab == x) / total * 100).alias(f"{x.lower()}_percent") for x in (*A.LABELS, "UNKNOWN")]
+    base = flat.agg(total.alias("total_posts"), F.countDistinct("author").alias("unique_authors"),
+                    *counts, *shares, F.sum("engagement_total").cast("bigint").alias("total_engagement"),
                     F.avg("engagement_total").alias("avg_engagement"))
-    return base.select(F.to_json(F.struct(
-        F.struct("total_posts", "unique_authors").alias("key_metrics"),
-        F.struct(dist.alias("distribution")).alias("sentiment_summary"),
-        F.struct("total_engagement", "avg_engagement").alias("engagement_summary"),
-        F.struct(n_neg.alias("count"), top3.alias("top_3")).alias("negative_users_summary"))).alias("json"))
+    neg = A.negative_users(flat)
+    top3 = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(
+        -F.col("negative_ratio"), F.col("author"), F.col("post_count")))), 1, 3), lambda u: F.concat_ws(":", u["author"], u["post_count"])), "|")
+    parts = [base,
+             A.date_range(flat).select(F.col("days").alias("date_range_days")),
+             A.sentiment_summary(flat).select("sentiment_ratio", "dominant_sentiment"),
+             A.viral_posts(flat.withColumn("content", F.lit("")).withColumn("url", F.lit(""))).agg(total.alias("viral_posts_count")),
+             S.trend_summary(flat).select("overall_trend", "trend_strength"),
+             S.volatility(flat).select(F.col("overall").alias("volatility")),
+             S.anomalies(flat).agg(total.alias("anomalies_count")),
+             neg.agg(total.alias("negative_users_count"), top3.alias("negative_users_top_3"))]
+    if flags is not None:
+        parts.append(flags.agg(total.alias("dedup_total"), F.count_if("kept").alias("dedup_unique"),
+                               F.count_if(~F.col("kept")).alias("dedup_removed")))
+    return S.beside([key], *[p.withColumn(key, F.lit(0)) for p in parts]).drop(key)
 
 
 # ---------------------------------------------------------------------------- sinks
@@ -170,6 +190,8 @@ def write_csv(tables: dict[str, DataFrame], prefix: str, mode: str = "overwrite"
     """One CSV folder per non-empty table, with header and ``%Y-%m-%d %H:%M:%S`` timestamps."""
     written = []
     for name, df in tables.items():
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)  # evaluated once for the emptiness test and the write
         if df.isEmpty():
             continue
         path = f"{prefix}_{name}"
@@ -188,9 +210,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
-def write_analysis(results: dict[str, DataFrame], posts: DataFrame, path: str) -> None:
-    """E5: the analysis document as folders: ``posts/`` (JSON lines) and one
-    JSON-lines folder per result table."""
+def write_analysis(results: dict[str, DataFrame], posts: DataFrame, path: str, context: dict | None = None) -> None:
+    """E5: the analysis document as folders: ``metadata/`` and ``summary/`` (one row each), ``posts/`` (JSON
+    lines, read back by ``read_analysis_posts``) and one JSON-lines folder per result table."""
+    spark = posts.sparkSession
+    context = context or {}
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    write_json(spark.range(1).select(now.alias("generated_at"), F.lit(context.get("version", "1.0.0")).alias("version"),
+                                     F.lit(json.dumps(context.get("queries", []))).alias("queries"),
+                                     F.lit(int(context.get("time_window_days", 0))).alias("time_window_days"),
+                                     F.lit(json.dumps(context.get("platforms", []))).alias("platforms")), f"{path}/metadata")
+    write_json(posts.agg(F.count(F.lit(1)).alias("total_posts"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end")),
+               f"{path}/summary")
     write_json(posts, f"{path}/posts")
     for name, df in results.items():
         write_json(df, f"{path}/{name}")
@@ -203,6 +234,6 @@ def write_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 __all__ = ["export_posts", "export_daily_statistics", "export_summary_statistics", "export_negative_users",
-           "export_hashtags", "export_anomalies", "hourly_activity", "chart_tables", "report_cuts",
+           "export_viral_posts", "export_hashtags", "export_anomalies", "hourly_activity", "chart_tables", "report_cuts",
            "report_header", "dashboard_rows", "summary_document", "write_json", "write_csv", "write_parquet",
            "write_analysis", "write_node_link", "posts_flat"]

@@ -13,11 +13,12 @@ count(documents)``:
   num_comments, upvote ratio 0.75), the rest are tweets;
 * content is the **whole** document text; most posts append a hashtag, a
   mention, a URL and a unique marker, posts with ``event_id mod 10 < 2`` keep
-  the bare text (content duplicates), ``event_id mod 41 = 0`` is empty;
+  the bare text (content duplicates); for the dedup queries
+  ``event_id mod 41 = 0`` is empty;
 * labels come from ``labels`` (toxic → NEGATIVE, quality → POSITIVE/NEUTRAL),
   else from the event type; ``event_id mod 97 = 0`` is never scored
   (``sentiment`` null);
-* two calendar days are removed to create gaps in the time series.
+* for the time-series queries two calendar days are left out, which makes gaps.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fixture_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat post rows (one column per counter) — the Spark twin of POSTS_SQL."""
+def fixture_flat(spark: SparkSession, sf_dir: str, gaps: bool = False, blanks: bool = False) -> DataFrame:
+    """Flat post rows (one column per counter) — the Spark twin of POSTS_SQL.
+
+    ``gaps`` leaves out two days (the time-series queries need empty days), ``blanks`` empties the
+    text of every 41st event (the dedup queries need posts without text); all others read it all.
+    """
     events = read_table(spark, sf_dir, "events")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -50,14 +55,19 @@ def fixture_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         start = dt.datetime.fromisoformat(d)
         day = (ts >= ntz_literal(start)) & (ts < ntz_literal(start + dt.timedelta(days=1)))
         in_gap = day if in_gap is None else in_gap | day
-    e = events.filter(~in_gap).withColumn("doc_key", F.col("event_id") % n_docs)
+    e = events.filter(~in_gap) if gaps else events
+    # narrow rows are spread before the text joins them: one row group must not mean one task
+    width = 2 * spark.sparkContext.defaultParallelism
+    if e.rdd.getNumPartitions() < width:
+        e = e.repartition(width, "event_id")
+    e = e.withColumn("doc_key", F.col("event_id") % n_docs)
     joined = (e.join(docs, e.doc_key == docs.doc_id, "inner")
                .join(labels, "doc_id", "left"))
 
     eid = F.col("event_id")
     is_reddit = eid % 3 == 0
     uid = F.col("user_id").cast("string")
-    content = (F.when(eid % 41 == 0, F.lit(""))
+    content = (F.when((eid % 41 == 0) & F.lit(blanks), F.lit(""))
                 .when(eid % 10 < 2, F.col("text"))
                 .otherwise(F.concat(F.col("text"), F.lit(" #"), F.col("event_type"),
                                     F.lit(" @user"), (F.col("user_id") % 7).cast("string"),
@@ -96,9 +106,9 @@ def fixture_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixture_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_posts(spark: SparkSession, sf_dir: str, gaps: bool = False, blanks: bool = False) -> DataFrame:
     """Posts in the canonical schema (``chorus.schema.POST_SCHEMA``)."""
-    flat = fixture_flat(spark, sf_dir)
+    flat = fixture_flat(spark, sf_dir, gaps, blanks)
     score = F.col("score").cast("double")
     ratio = F.col("upvote_ratio")
     engagement = F.when(
@@ -132,7 +142,7 @@ SELECT
   CASE WHEN e.event_id % 3 = 0 THEN 'reddit' ELSE 'twitter' END AS platform,
   CASE WHEN e.event_id % 101 = 0 THEN '[deleted]' ELSE 'user' || CAST(e.user_id AS VARCHAR) END AS author,
   CAST(e.user_id AS VARCHAR) AS author_id,
-  CASE WHEN e.event_id % 41 = 0 THEN ''
+  CASE WHEN e.event_id % 41 = 0 AND {blanks} THEN ''
        WHEN e.event_id % 10 < 2 THEN d.text
        ELSE d.text || ' #' || e.event_type || ' @user' || CAST(e.user_id % 7 AS VARCHAR)
             || ' https://x.example/' || CAST(e.event_id AS VARCHAR) || ' n' || CAST(e.event_id AS VARCHAR) END AS content,
@@ -161,7 +171,7 @@ SELECT
 FROM (SELECT ev.*, ev.event_id % (SELECT count(*) FROM documents) AS doc_key FROM events ev) e
 JOIN documents d ON d.doc_id = e.doc_key
 LEFT JOIN labels l ON l.doc_id = d.doc_id
-WHERE date_trunc('day', e.ts) NOT IN (TIMESTAMP '2024-01-09', TIMESTAMP '2024-01-20')
+WHERE NOT {gaps} OR date_trunc('day', e.ts) NOT IN (TIMESTAMP '2024-01-09', TIMESTAMP '2024-01-20')
 """
 
 # The analytic projection (posts_flat) over POSTS_SQL, in portable SQL.
@@ -188,6 +198,15 @@ FROM posts p
 """
 
 
-def oracle(body: str) -> str:
+def oracle(body: str, gaps: bool = False, blanks: bool = False) -> str:
     """Wrap an oracle query body with the shared ``posts``/``flat`` CTEs."""
-    return f"WITH posts AS ({POSTS_SQL}), flat AS ({FLAT_SQL}) {body}"
+    rows = POSTS_SQL.replace("{gaps}", str(gaps).lower()).replace("{blanks}", str(blanks).lower())
+    return f"WITH posts AS ({rows}), flat AS ({FLAT_SQL}) {body}"
+
+
+def gap_oracle(body: str) -> str:
+    return oracle(body, gaps=True)
+
+
+def blank_oracle(body: str) -> str:
+    return oracle(body, blanks=True)
