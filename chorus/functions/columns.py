@@ -143,8 +143,3 @@ def ntz_literal(value) -> Column:
     """A TIMESTAMP_NTZ literal from text (or a naive datetime), no time-zone conversion."""
     text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
     return F.lit(text).cast("timestamp_ntz")
-
-
-def r6(c) -> Column:
-    """Round a double to 6 decimals (float sums are order dependent)."""
-    return F.round(_c(c).cast("double"), 6)

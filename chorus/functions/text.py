@@ -82,11 +82,6 @@ def content_hash(text) -> Column:
     return F.sha2(normalize_content(text), 256)
 
 
-def text_hash(text) -> Column:
-    """SHA-256 hex of the raw text."""
-    return F.sha2(F.coalesce(_c(text), F.lit("")), 256)
-
-
 def demojize(text) -> Column:
     """Replace the listed emoji by `` name `` (space delimited).
 

@@ -86,11 +86,16 @@ def subreddit_topic_edges(posts: DataFrame) -> DataFrame:
 def triangular_network(rows: DataFrame) -> DataFrame:
     """user–subreddit, user–topic and subreddit–topic edges with counts.
 
-    ``rows`` has ``author``, ``subreddit`` and ``query`` (or ``topic``);
-    empty ends are skipped.  Output: ``src_type, src, dst_type, dst, weight``.
+    ``rows`` has ``author``, ``subreddit`` or ``metadata.subreddit``, and ``query`` or ``topic``; row by
+    row the first non-empty one counts, empty ends are skipped.  Output: ``src_type, src, dst_type, dst,
+    weight``.
     """
-    topic = F.col("query") if "query" in rows.columns else F.col("topic")
-    r = rows.select(F.col("author").alias("user"), F.col("subreddit"), topic.alias("topic"))
+    full = lambda c: F.nullif(c, F.lit(""))
+    subs = [full(F.col("subreddit"))] if "subreddit" in rows.columns else []
+    if "metadata" in rows.columns:
+        subs.append(full(F.col("metadata.subreddit")))
+    topics = [full(F.col(c)) for c in ("query", "topic") if c in rows.columns]
+    r = rows.select(F.col("author").alias("user"), F.coalesce(*subs).alias("subreddit"), F.coalesce(*topics).alias("topic"))
     ok = lambda c: F.col(c).isNotNull() & (F.length(c) > 0)
     pairs = F.array(
         F.when(ok("user") & ok("subreddit"), F.struct(F.lit("user").alias("st"), F.col("user").alias("s"),
@@ -129,6 +134,18 @@ def user_top_terms(flat: DataFrame, min_posts: int = 3, top: int = 3) -> DataFra
     return ranked.join(active, "author", "left_semi").select("author", "kind", "rank", "term", "count")
 
 
+def user_nodes(flat: DataFrame, min_posts: int = 3, top: int = 3) -> DataFrame:
+    """The node of every user with ≥ ``min_posts`` scored posts: the A22 attributes and the ``top``
+    topics and subreddits, joined by ``|``."""
+    best = user_top_terms(flat, min_posts, top)
+    names = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
+        F.col("kind") == kind, F.struct("rank", "term")))), lambda t: t["term"]), "|")
+    terms = best.groupBy("author").agg(names("topic").alias("top_topics"), names("subreddit").alias("top_subreddits"))
+    users = A.user_patterns(flat).filter(F.col("post_count") >= min_posts).drop("first_seq")
+    return users.join(terms, "author", "left").withColumn("top_topics", F.coalesce("top_topics", F.lit(""))).withColumn(
+        "top_subreddits", F.coalesce("top_subreddits", F.lit("")))
+
+
 def user_profiles(flat: DataFrame, min_posts: int = 3) -> DataFrame:
     """G7 inputs: active users (≥ ``min_posts`` scored posts) with their topic
     set, subreddit set and ``(positive − negative) / posts`` score."""

@@ -10,9 +10,10 @@ their negation and booster rules are not reproduced, so labels will differ
 from the reference's on real text — every downstream operator reads only the
 resulting ``sentiment`` column.
 
-Lexicons are parameters: pass ``{word: polarity}`` / ``{word: valence}``
-dicts (kept as map literals; meant for lists of up to a few thousand words).
-The built-in ones below are small seeds.
+Lexicons are parameters: small ``{word: polarity}`` / ``{word: valence}``
+dicts become map literals (the built-in ones below are seeds), and a lexicon
+of any size is a table (``word, polarity, valence``) joined to the tokens:
+:func:`lexicon_table_scores`.
 """
 
 from __future__ import annotations
@@ -83,15 +84,6 @@ def _count_lookup(toks: Column, lex: Column, d: dict, pred) -> Column:
                        lambda acc, h: acc + F.when(pred(F.element_at(lex, h["w"])), h["c"]).otherwise(0))
 
 
-def lexicon_score(toks: Column, lexicon: dict | None = None) -> Column:
-    """``(positive hits − negative hits) / tokens``, 0 without tokens."""
-    d = lexicon or OPINION_WORDS
-    lex = _map_literal(d)
-    pos = _count_lookup(toks, lex, d, lambda v: v > 0)
-    neg = _count_lookup(toks, lex, d, lambda v: v < 0)
-    return F.when(F.size(toks) > 0, (pos - neg) / F.size(toks)).otherwise(F.lit(0.0))
-
-
 def emoji_score(raw_text) -> Column:
     """Listed emoji present (distinct, not occurrences): ``(p − n) / (p + n)``, else 0."""
     t = F.coalesce(raw_text, F.lit(""))
@@ -121,6 +113,26 @@ def valence_scores(toks: Column, valence: dict | None = None):
     return compound, polarity
 
 
+def lexicon_table_scores(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """N1 and N6 with a lexicon table: ``seq, lexicon, vader, textblob``.
+
+    ``lexicon`` has ``word`` (distinct), ``polarity`` and ``valence`` (either may be null).  Tokens are
+    counted per post before they meet the table, so a word that fills a third of a text moves once;
+    Spark broadcasts the table when its size allows.  Posts without a match score 0.
+    """
+    toks = posts.select("seq", tokens(X.clean_text(C.scoring_text())).alias("toks"))
+    counts = toks.select("seq", F.explode("toks").alias("word")).groupBy("seq", "word").agg(F.count(F.lit(1)).alias("c"))
+    hits = counts.join(lexicon.select("word", "polarity", "valence"), "word").groupBy("seq").agg(
+        F.sum(F.when(F.col("polarity") > 0, F.col("c")).when(F.col("polarity") < 0, -F.col("c")).otherwise(0)).alias("net"),
+        F.sum(F.coalesce(F.col("valence") * F.col("c"), F.lit(0.0))).alias("s"),
+        F.sum(F.when(F.col("valence").isNotNull(), F.col("c")).otherwise(0)).alias("m"))
+    j = toks.select("seq", F.size("toks").alias("n")).join(hits, "seq", "left")
+    s = F.coalesce("s", F.lit(0.0))
+    return j.select("seq", F.when(F.col("n") > 0, F.coalesce("net", F.lit(0)) / F.col("n")).otherwise(F.lit(0.0)).alias("lexicon"),
+                    (s / F.sqrt(s * s + F.lit(VALENCE_ALPHA))).alias("vader"),
+                    F.when(F.col("m") > 0, F.col("s") / F.col("m") / 4.0).otherwise(F.lit(0.0)).alias("textblob"))
+
+
 def threshold_label(compound) -> Column:
     """≥ 0.05 POSITIVE, ≤ −0.05 NEGATIVE, else NEUTRAL."""
     c = compound if isinstance(compound, Column) else F.col(compound)
@@ -206,8 +218,3 @@ def label_counts(flat: DataFrame) -> DataFrame:
                     F.count_if(lab == "NEGATIVE").alias("negative"),
                     F.count_if(lab == "NEUTRAL").alias("neutral"))
 
-
-def valence_norm_sql(s: str) -> str:
-    """The compound normalisation in SQL text (for oracles)."""
-    return f"({s}) / sqrt(({s}) * ({s}) + {VALENCE_ALPHA})"
-

@@ -857,6 +857,29 @@ def q_sentiment_scores(spark, sf_dir):
                             *[d[k].alias(k) for k in ("vader", "textblob", "lexicon", "emoji", "emphasis")]))
 
 
+_TABLE_LEXICON_SQL = """
+, words AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark),
+  lx AS (SELECT w, CASE WHEN length(w) % 2 = 0 THEN 1 ELSE -1 END AS p, CAST(length(w) % 9 - 4 AS DOUBLE) AS x FROM words WHERE length(w) >= 5)
+"""
+
+
+@register("lexicon_table_scores", oracle(_SCORES_SQL + _TABLE_LEXICON_SQL + f"""
+, h AS (SELECT tk.seq, count(*) AS n, coalesce(sum(lx.p), 0) AS net, coalesce(sum(lx.x), 0.0) AS s, count(lx.x) AS m
+        FROM tk LEFT JOIN lx ON lx.w = tk.tok GROUP BY tk.seq)
+SELECT cl.seq, round(CASE WHEN coalesce(h.n, 0) > 0 THEN h.net / h.n ELSE 0.0 END, 6) AS lexicon,
+       round(coalesce(h.s, 0.0) / sqrt(coalesce(h.s, 0.0) * coalesce(h.s, 0.0) + {N.VALENCE_ALPHA}), 6) AS vader,
+       round(CASE WHEN coalesce(h.m, 0) > 0 THEN h.s / h.m / 4.0 ELSE 0.0 END, 6) AS textblob
+FROM cl LEFT JOIN h USING (seq)
+"""))
+def q_lexicon_table_scores(spark, sf_dir):
+    """N1/N6 with a lexicon table: the words of the benchmark passages, scored by their length."""
+    from chorus.sources.fixture import read_table
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
+    n = F.length("word")
+    lexicon = words.filter(n >= 5).select("word", F.when(n % 2 == 0, 1).otherwise(-1).alias("polarity"), (n % 9 - 4).cast("double").alias("valence"))
+    return rounded(N.lexicon_table_scores(posts(spark, sf_dir), lexicon))
+
+
 @register("scored_label_counts", oracle(_SCORES_SQL + """
 SELECT count(*) FILTER (WHERE combined >= 0.05) AS positive, count(*) FILTER (WHERE combined <= -0.05) AS negative,
        count(*) FILTER (WHERE combined > -0.05 AND combined < 0.05) AS neutral
@@ -1550,6 +1573,57 @@ def q_chart_sentiment_timeline(spark, sf_dir):
     return rounded(E.chart_tables(f, posts(spark, sf_dir))["sentiment_timeline"])
 
 
+@register("network_nodes", oracle("""
+SELECT DISTINCT type, id FROM (
+  SELECT 'user' AS type, author AS id FROM posts WHERE length(author) > 0 AND (length(subreddit) > 0 OR length(query) > 0)
+  UNION ALL SELECT 'subreddit', subreddit FROM posts WHERE length(subreddit) > 0 AND (length(author) > 0 OR length(query) > 0)
+  UNION ALL SELECT 'topic', query FROM posts WHERE length(query) > 0 AND (length(author) > 0 OR length(subreddit) > 0))
+"""))
+def q_network_nodes(spark, sf_dir):
+    p = posts(spark, sf_dir).select("author", "metadata", F.lit("").alias("query"), F.col("query").alias("topic"))
+    return G.network_nodes(G.triangular_network(p))
+
+
+@register("user_nodes", oracle("""
+, s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN'),
+  u AS (SELECT author, count(*) AS n, count_if(sentiment = 'POSITIVE') AS p, count_if(sentiment = 'NEGATIVE') AS g,
+               count_if(sentiment = 'NEUTRAL') AS z, sum(engagement_total) AS e, count(DISTINCT query) AS nt, count(DISTINCT subreddit) AS ns
+        FROM s GROUP BY author HAVING count(*) >= 3),
+  t AS (SELECT author, query AS term, 'topic' AS kind, count(*) AS n, min(seq) AS f FROM s WHERE length(query) > 0 GROUP BY ALL
+        UNION ALL SELECT author, subreddit, 'subreddit', count(*), min(seq) FROM s WHERE length(subreddit) > 0 GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY author, kind ORDER BY n DESC, f) AS rk FROM t),
+  a AS (SELECT author, string_agg(term, '|' ORDER BY rk) FILTER (WHERE kind = 'topic') AS tt,
+               string_agg(term, '|' ORDER BY rk) FILTER (WHERE kind = 'subreddit') AS ts FROM r WHERE rk <= 3 GROUP BY author)
+SELECT u.author, n AS post_count, CAST(p AS BIGINT) AS positive, CAST(g AS BIGINT) AS negative, CAST(z AS BIGINT) AS neutral,
+       round(e, 6) AS total_engagement, round(e / n, 6) AS avg_engagement, round((p - g) / n, 6) AS sentiment_score,
+       round(p / n, 6) AS positivity_ratio, round(g / n, 6) AS negativity_ratio,
+       CASE WHEN greatest(p, g, z) / n >= 0.7 THEN (CASE WHEN p >= g AND p >= z THEN 'POSITIVE' WHEN g >= z THEN 'NEGATIVE' ELSE 'NEUTRAL' END)
+            WHEN greatest(p, g, z) / n >= 0.4 THEN 'MIXED' ELSE 'NEUTRAL' END AS user_type,
+       nt AS n_topics, ns AS n_subreddits, coalesce(tt, '') AS top_topics, coalesce(ts, '') AS top_subreddits
+FROM u LEFT JOIN a USING (author)
+"""))
+def q_user_nodes(spark, sf_dir):
+    return rounded(G.user_nodes(flat(spark, sf_dir)))
+
+
+@register("content_cut", oracle("""
+SELECT seq, md5(CASE WHEN length(content) <= 100 THEN content ELSE substr(content, 1, 97) || '...' END) AS cut_md5 FROM posts
+"""))
+def q_content_cut(spark, sf_dir):
+    from chorus.functions import columns as C
+    return posts(spark, sf_dir).select("seq", F.md5(C.truncate_suffix("content", 100)).alias("cut_md5"))
+
+
+@register("percent_labels", oracle("""
+, c AS (SELECT sentiment, count(*) AS n FROM flat GROUP BY sentiment)
+SELECT sentiment, format('{:.1f}%', 100 * n / sum(n) OVER ()) AS share FROM c
+"""))
+def q_percent_labels(spark, sf_dir):
+    from chorus.functions import columns as C
+    d = A.sentiment_distribution(flat(spark, sf_dir))
+    return d.select("sentiment", C.format_percent("percentage").alias("share"))
+
+
 @register("mention_pair_similarity", oracle(_MENTION_SQL + """
 , s AS (SELECT * FROM flat WHERE sentiment <> 'UNKNOWN'),
   pr AS (SELECT author, (count(*) FILTER (WHERE sentiment = 'POSITIVE') - count(*) FILTER (WHERE sentiment = 'NEGATIVE'))

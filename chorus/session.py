@@ -9,6 +9,7 @@ in ``spark.checkpoint.dir`` when nobody configured it (local runs, tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[[^]-]*\])?$", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; configure a shared folder for the cluster")
     folder = tempfile.mkdtemp(prefix="chorus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
