@@ -1,19 +1,20 @@
 """Exact word n-gram Jaccard join in the Jaccard metric space: which documents link, and their components.
 
 ``1 - Jaccard`` is a metric.  A region of documents is joined by pivots: every document's distance to the
-region's pivots is computed, documents within the threshold of a pivot are linked to it without comparing
-them to each other, the others fall into the Voronoi region of their nearest pivot, and a document that is
+region's pivots is computed, documents within the threshold of a pivot are linked to it without being
+compared with each other, every document falls into the Voronoi region of its nearest pivot, and one that is
 no more than twice the threshold farther from another pivot (the triangle inequality's window) is copied
-into that region too.  Regions are joined recursively, exactly; a region whose documents are already one
-component needs no more work, so a group of thousands of near copies costs one comparison each, not one
-per pair.
-
-Unrelated documents all lie at distance 1 from every pivot, so no pivot can part them (the metric's
-distances concentrate).  The first regions therefore come from an exact partition: sets of up to ``u``
-elements that reach the threshold differ in at most ``d`` elements, so of ``d`` + 1 parts of the hashed
-element space one holds the same elements in both; documents that agree on a part form a region.  Sizes
-are split into octaves, with a bridge between neighbours.  Nothing is lost: a part that is empty in both
-counts only when a document has no guaranteed full part, and then it does count.
+into that region too.  Regions are joined recursively and exactly; a region whose documents are already one
+component needs no more work, so thousands of near copies cost one comparison each, not one per pair.
+
+Unrelated documents all lie at distance 1 from every pivot, so no pivot can part them.  The outermost
+regions therefore come from an exact partition: sets of up to ``u`` elements that reach the threshold differ
+in at most ``d`` elements, so of ``d`` + 1 parts of the hashed element space one holds the same elements in
+both; documents that agree on a part belong to one family.  Sizes are split into octaves, with a bridge
+between neighbours.  More parts than needed let a document keep back its smallest ones, on which unrelated
+documents agree by chance, without losing a link (see ``signatures``).  A family too large for a task is cut into chunks by set size,
+and chunks are joined two by two where the size window (the empty set as pivot of the difference metric)
+allows a link.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import chunks, components, ready, stage, union_all
+from chorus.llm.common import chunks, components, ready, stage
 
 _C = np.uint64(0x9E3779B97F4A7C15)
+_SEEN = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +76,14 @@ def _limit(total: int, percent: int) -> int:
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Part signatures of a set: two sets that reach the threshold have one in common."""
+    """Part signatures of a set: two sets that reach the threshold have one in common.
+
+    A set and any partner agree on at least ``m - own`` of the ``m`` parts.  The set may therefore keep
+    back all parts with fewer than ``c`` elements as long as those are fewer than ``m - own``: an agreeing
+    part with ``c`` elements or more is left.  The partner's ``c`` may differ; the argument holds for the
+    larger one, and a part agreed on has one size.  So small parts, on which unrelated documents agree by
+    chance, are hardly ever sent, and about ``own`` signatures are.
+    """
     n = len(s)
     top = 1 << n.bit_length()  # the octave is [top / 2, top)
     schemes = [(2 * n.bit_length(), 2 * (top - 1))]
@@ -86,21 +95,20 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     own = _limit(n + 100 * n // percent, percent)
     out = []
     for tag, total in schemes:
-        m = _limit(total, percent) * 11 // 10 + 1
+        m = _limit(total, percent) * 13 // 10 + 1
         seed = _mix(np.array([tag * 1_000_003 + m], np.uint64))[0]
         x = _mix(s ^ seed)
         part = (x % np.uint64(m)).astype(np.int64)
-        o = np.argsort(part, kind="stable")
-        part, x = part[o], x[o]
-        first = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1])
+        size = np.bincount(part, minlength=m)
+        c = int(np.partition(size, max(0, m - own - 1))[max(0, m - own - 1)])
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(_mix(x), first)
-            sig = _mix(sums ^ _mix(part[first].astype(np.uint64) * _C + seed))
-        out.append(sig)
-        if m - own - (m - len(first)) < 1:  # no full part is guaranteed: empty parts count as well
-            empty = np.setdiff1d(np.arange(m), part[first]).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                out.append(_mix(_mix(empty * _C + seed) + np.uint64(1)))
+            o = np.argsort(part, kind="stable")
+            sums = np.zeros(m, np.uint64)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            full = np.nonzero(size)[0]
+            sums[full] = np.add.reduceat(_mix(x[o]), first[full])
+            sent = np.nonzero(size >= c)[0]
+            out.append(_mix(sums[sent] ^ _mix(sent.astype(np.uint64) * _C + seed) ^ size[sent].astype(np.uint64)))
     return np.concatenate(out)
 
 
@@ -115,133 +123,174 @@ def _class_key(s: np.ndarray) -> int:
 
 def _base(k, percent):
     def run(batches):
+        seen: set[int] = set()  # copies met in one task send their signatures once
         for whole in batches:
             for b in chunks(whole, "text", 8 << 20):
                 sets = shingle_sets(b.column("text"), k)
-                sigs = [signatures(s, percent) if len(s) else np.zeros(0, np.uint64) for s in sets]
+                keys = [_class_key(s) if len(s) else None for s in sets]
+                sigs = []
+                for s, c in zip(sets, keys):
+                    sigs.append(signatures(s, percent) if c is not None and c not in seen else np.zeros(0, np.uint64))
+                    if len(seen) < _SEEN:
+                        seen.add(c)
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 flat = np.concatenate([*sigs, np.zeros(0, np.uint64)])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array(keys, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(at), _as_long(flat))],
                     names=["doc_id", "th", "n", "cid", "sigs"])
     return run
 
 
-def _sets(k):
+class _Region:
+    """Documents of one family block: exact intersections by an inverted index, links by pivots."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.percent, self.tau = percent, 1 - percent / 100
+        flat = np.concatenate(sets)
+        _, code = np.unique(flat, return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.code = code
+        self.owner = np.repeat(np.arange(len(sets)), self.size)
+        self.parent = list(range(len(sets)))
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def link(self, x: int, others):
+        for y in others:
+            a, b = self.find(x), self.find(int(y))
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.links.append((x, int(y)))
+
+    def index(self, rows: np.ndarray):
+        """Postings of the rows: (place of each code's list, rows by code)."""
+        use = np.concatenate([np.arange(self.at[r], self.at[r + 1]) for r in rows])
+        codes, own = self.code[use], np.repeat(np.arange(len(rows)), self.size[rows])
+        o = np.argsort(codes, kind="stable")
+        return codes[o], own[o]
+
+    def shared(self, x: int, codes, own, n: int) -> np.ndarray:
+        """Intersection sizes of document x with the indexed rows."""
+        mine = self.code[self.at[x]:self.at[x + 1]]
+        a, b = np.searchsorted(codes, mine, "left"), np.searchsorted(codes, mine, "right")
+        k = b - a
+        at = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        return np.bincount(own[at], minlength=n)
+
+    def join(self, rows: np.ndarray, pivots: int = 8, small: int = 48):
+        if len({self.find(int(r)) for r in rows}) < 2:
+            return
+        codes, own = self.index(rows)
+        if len(rows) <= small:
+            return self.all_pairs(rows, codes, own)
+        dist = np.empty((pivots, len(rows)))
+        chosen = rows[np.linspace(0, len(rows) - 1, pivots).astype(int)]
+        for i, p in enumerate(chosen):
+            both = self.shared(int(p), codes, own, len(rows))
+            union = self.size[p] + self.size[rows] - both
+            dist[i] = 1 - both / union
+            self.link(int(p), rows[100 * both >= self.percent * union])
+        near = dist.min(0)
+        cells = [rows[(dist[i] <= near + 2 * self.tau + 1e-9) & (rows != p)] for i, p in enumerate(chosen)]
+        if max(map(len, cells)) > 0.6 * len(rows):  # too close together (or too far apart) for the windows to part them
+            return self.all_pairs(rows, codes, own)
+        for cell in cells:
+            if len(cell) > 1:
+                self.join(cell, pivots, small)
+
+    def all_pairs(self, rows, codes, own):
+        """Every document against all others of the region that are not in its component yet."""
+        root = np.array([self.find(int(r)) for r in rows])
+        for root_of, n in sorted(zip(*np.unique(root, return_counts=True)), key=lambda x: x[1])[:-1]:
+            for x in rows[root == root_of]:  # the largest component is met from the other side
+                both = self.shared(int(x), codes, own, len(rows))
+                union = self.size[x] + self.size[rows] - both
+                self.link(int(x), rows[100 * both >= self.percent * union])
+
+
+def _join_blocks(k, percent):
+    """Rows sorted by (family, block): join each block; links that connect its documents."""
+    def flush(cids, texts):
+        sets = shingle_sets(pa.array(texts, pa.string()), k)
+        keep = {}
+        for c, x in zip(cids, sets):
+            if len(x):
+                keep.setdefault(c, x)
+        if len(keep) < 2:
+            return []
+        names = list(keep)
+        region = _Region([keep[c] for c in names], percent)
+        region.join(np.arange(len(names)))
+        return [(names[a], names[b]) for a, b in region.links]
+
     def run(batches):
-        for whole in batches:
-            for b in chunks(whole, "text", 8 << 20):
-                sets = shingle_sets(b.column("text"), k)
-                yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "shingles"])
+        key, cids, texts = None, [], []
+        for b in batches:
+            out = []
+            for f, x, y, c, t in zip(*(b.column(n).to_pylist() for n in ("family", "x", "y", "cid", "text"))):
+                if (f, x, y) != key:
+                    out += flush(cids, texts) if len(cids) > 1 else []
+                    key, cids, texts = (f, x, y), [], []
+                elif c == cids[-1]:
+                    continue
+                cids.append(c)
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = flush(cids, texts) if len(cids) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
     return run
 
 
-def _verify(batches):
-    for b in batches:
-        inter, union = [], []
-        for x, y in zip(b.column("xs"), b.column("ys")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            inter.append(both)
-            union.append(len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())],
-                                         names=["a", "b", "inter", "uni"])
-
-
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, uni) of distinct pairs a < b, from their whole sets."""
-    one = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("ys")), "b")
-    both = one.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("xs")), "a").select("a", "b", "xs", "ys")
-    return both.mapInArrow(_verify, "a long, b long, inter long, uni long")
-
-
-def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, pivots: int = 4, small: int = 24,
-                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int = 400_000, id_col: str = "doc_id",
+                    text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows are doc_id, th (hash of the text), n_shingles, class_id (equal sets), component_id;
-    links are the compared class pairs at or above ``percent`` (a, b, inter, uni), enough to connect every
-    component.
+    links are class pairs (a, b) at or above ``percent``, enough to connect every component.
 
     Two documents link when 100 * intersection >= percent * union of their sets of lower-cased word
     k-grams.  ``component_id`` is the smallest doc_id reachable by links.  Null and empty texts have no
     shingles and link with nothing (own doc_id); null doc_ids link by their text but name no component;
-    repeated rows get a row each; no rows give no rows.
+    repeated rows get a row each; no rows give no rows.  ``chunk`` bounds the shingles of a block's side.
     """
-    ready(docs)
+    spark = ready(docs)
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     base = stage(src.mapInArrow(_base(k, percent), "doc_id long, th long, n long, cid long, sigs array<long>"), "jaccard")
-    sig = base.where("n > 0").select("cid", F.explode("sigs").alias("region"))
-    active = sig.groupBy("region").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most")
-    members = stage(sig.join(active.select("region", "pivot"), "region").select("region", "cid", "pivot").distinct(), "jaccard")
-    wanted = members.select("cid").distinct()
-    reps = base.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("th").alias("th"))
-    texts = src.select("th", "text").join(reps.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    sets = stage(texts.mapInArrow(_sets(k), "cid long, shingles binary").join(wanted, "cid", "left_semi")
-                 .dropDuplicates(["cid"]), "jaccard")
-    # the widest regions: one pivot each, every member against it
-    done = [stage(_compare(_ordered(members, "cid", "pivot"), sets), "jaccard")]
-    links = [done[0].where(f"100 * inter >= {percent} * uni")]
-    comp = components(union_all(links))
-    regions = members.select("region", "cid")
-    while True:
-        named = regions.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        mixed = named.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-        named = stage(named.join(mixed.where("lo < hi").select("region", "size"), "region"), "jaccard")
-        if named.isEmpty():
-            break
-        compared = union_all(done).select("a", "b")
-        # small regions: every pair of two components not compared before
-        few = named.where(f"size <= {small}")
-        left, right = (few.select("region", F.col("cid").alias(c), F.col("component").alias("c" + c)) for c in "ab")
-        pairs = left.join(right, "region").where("a < b and ca <> cb").select("a", "b").distinct()
-        # large regions: each document against the region's pivots (the rarest components first)
-        wide = named.where(f"size > {small}")
-        share = wide.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("region").orderBy("n", "component", "cid")
-        chosen = (wide.join(share, ["region", "component"]).withColumn("rank", F.row_number().over(order))
-                  .where(f"rank <= {pivots}").select("region", F.col("cid").alias("pivot"), F.col("component").alias("pc")))
-        spread = stage(wide.join(chosen, "region"), "jaccard")
-        pairs = pairs.unionByName(_ordered(spread.where("component <> pc"), "cid", "pivot")).distinct()
-        new = stage(_compare(pairs.join(compared, ["a", "b"], "left_anti"), sets), "jaccard")
-        done.append(new)
-        hits = new.where(f"100 * inter >= {percent} * uni")
-        if not hits.isEmpty():
-            links.append(hits)
-            comp = components(union_all(links))
-        if wide.isEmpty():
-            break
-        regions = _divide(spread, union_all(done), percent)
-    best = base.groupBy("cid").agg(F.min("doc_id").alias("low"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange serves both sides: lowest class of each region, and the region's other classes
+    sig = base.select("cid", F.explode("sigs").alias("region")).repartition(parts, "region")
+    low = sig.groupBy("region").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most")
+    edges = stage(sig.join(low, "region").where("cid <> pivot").select("pivot", "cid").distinct(), "jaccard")
+    family = components(edges, "pivot", "cid").select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    reps = base.where("n > 0").groupBy("cid").agg(F.min(F.struct("th", "doc_id")).alias("one"), F.max("n").alias("n")).join(family, "cid")
+    reps = reps.select("cid", "family", "n", "one.th", F.col("one.doc_id").alias("rep"))
+    reps = stage(reps.withColumn("x", F.expr(f"coalesce(sum(n) over (partition by family order by n, cid rows between unbounded preceding "
+                                             f"and 1 preceding), 0L) div {chunk}L")), "jaccard")
+    sides = reps.groupBy("family", "x").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = sides.select("family", F.col("x").alias("y"), F.col("lo").alias("lo2"))
+    blocks = sides.join(other, "family").where(f"x <= y and lo2 * {percent} <= hi * 100").select("family", "x", "y")
+    ends = blocks.select("family", "x", "y", F.col("x").alias("side")).unionByName(
+        blocks.where("x < y").select("family", "x", "y", F.col("y").alias("side")))
+    spread = reps.withColumnRenamed("x", "side").join(ends, ["family", "side"]).select(F.col("th").alias("rep_th"), "rep", "cid", "family", "x", "y")
+    rows = src.join(spread, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    rows = rows.select("family", "x", "y", "cid", "text").repartition(parts, "family", "x", "y")
+    links = stage(rows.sortWithinPartitions("family", "x", "y", "cid").mapInArrow(_join_blocks(k, percent), "a long, b long"), "jaccard")
+    comp = components(links)
+    best = base.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     named = best.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     names = named.join(low, "component").select(F.col("cid").alias("class_id"), "component_id")
     rows = (base.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"))
             .join(names, "class_id", "left")
             .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))))
-    return rows, union_all(links)
-
-
-def _divide(spread: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """The next regions: pivots leave, other documents go to the region of their nearest pivot and to those
-    the triangle inequality doesn't exclude.  Distances that were not computed (a document and a pivot of
-    one component) count as possible neighbours."""
-    near = spread.where("cid <> pivot").join(spread.select("region", F.col("pivot").alias("cid")).distinct(), ["region", "cid"], "left_anti")
-    near = near.withColumn("a", F.least("cid", "pivot")).withColumn("b", F.greatest("cid", "pivot")).join(done, ["a", "b"], "left")
-    near = near.withColumn("d", 1 - F.col("inter") / F.col("uni"))
-    reach = 2 * (1 - percent / 100) + 1e-9
-    near = near.withColumn("least", F.min("d").over(Window.partitionBy("region", "cid")))
-    cells = near.where(f"d is null or d <= least + {reach}")
-    return cells.select(F.xxhash64("region", "pivot").alias("region"), "cid").distinct()
+    return rows, links
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
