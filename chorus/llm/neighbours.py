@@ -228,8 +228,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees:
     """(rows, audit): vec_id, n_links, component_id, kept for every row; audit has the measured recall.
 
     ``n_links`` counts the other rows at cosine >= ``threshold``, equal vectors included.  Vectors that are
-    null, zero or hold null or non-finite components link with nothing.  Null ids name no component and
-    are not kept unless alone; repeated rows count as rows; shorter vectors end in zeros; no rows give no rows.
+    null, zero or hold null or non-finite components link with nothing.  Null ids link, but name no component
+    and are not kept; repeated rows count as rows; shorter vectors end in zeros; no rows give no rows.
     """
     spark = ready(vectors)
     x = F.col(vec_col)
@@ -238,7 +238,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees:
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, x).alias("v"))
     dim = src.agg(F.max(F.size("v"))).first()[0] or 0
     empty = src.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                                          F.lit(True).alias("kept"))
+                                          F.col("vec_id").isNotNull().alias("kept"))
     if dim < 1:
         return empty, {"recall": 1.0, "sample_links": 0}
     grouped = stage(src.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"))
