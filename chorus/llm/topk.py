@@ -3,8 +3,8 @@
 The dimensions are split into ``lists``; a row's score is the sum of its parts in the lists.  For a block
 of queries (bounded, sent to all tasks) over all rows, in place:
 
-1. every task returns the k best parts of each list and the list's lowest part; a row's known parts plus
-   the lowest for the others bound its score from below, and the k-th best bound is a safe score;
+1. every task returns the k best parts of each list with their rows' scores, and the list's lowest part; the
+   k-th best score among the listed rows is a safe score, which no answer falls below;
 2. with parts counted from the list's lowest, a row whose every part is below ``safe / lists`` cannot
    reach the safe score: tasks send every row with a part at or above that cutoff, with bounds from
    above and below; rows whose upper bound stays under the new k-th lower bound go;
@@ -63,7 +63,7 @@ def _phase1(shared, spans, k):
     def run(batches):
         qid, q = shared.value
         n_lists = len(spans)
-        best = [[(np.zeros(0), np.zeros(0, np.int64)) for _ in spans] for _ in qid]
+        best = [[(np.zeros(0), np.zeros(0, np.int64), np.zeros(0)) for _ in spans] for _ in qid]
         low = np.full((len(qid), n_lists), np.inf)
         for batch in batches:
             if not batch.num_rows:
@@ -72,6 +72,7 @@ def _phase1(shared, spans, k):
             x = _matrix(batch.column("v"), q.shape[1])
             for a in range(0, len(qid), _BLOCK):
                 own = _own(qid[a:a + _BLOCK], ids)
+                whole = q[a:a + _BLOCK] @ x.T
                 for j, (s, e) in enumerate(spans):
                     part = q[a:a + _BLOCK, s:e] @ x[:, s:e].T
                     if own is not None:
@@ -81,23 +82,23 @@ def _phase1(shared, spans, k):
                         np.minimum(low[a:a + _BLOCK, j], part.min(1), out=low[a:a + _BLOCK, j])
                     t = min(k, part.shape[1])
                     top = np.argpartition(-part, t - 1, axis=1)[:, :t]
-                    val = np.take_along_axis(part, top, 1)
+                    val, tot = np.take_along_axis(part, top, 1), np.take_along_axis(whole, top, 1)
                     for i in range(val.shape[0]):
-                        v0, r0 = best[a + i][j]
-                        v, r = np.concatenate([v0, val[i]]), np.concatenate([r0, rows[top[i]]])
+                        v0, r0, t0 = best[a + i][j]
+                        v, r, t_ = np.concatenate([v0, val[i]]), np.concatenate([r0, rows[top[i]]]), np.concatenate([t0, tot[i]])
                         if len(v) > k:
                             o = np.argpartition(-v, k - 1)[:k]
-                            v, r = v[o], r[o]
-                        best[a + i][j] = (v, r)
-        out = [(i, j, float(low[i, j]), int(r), float(v)) for i in range(len(qid)) for j in range(n_lists)
-               for v, r in zip(*best[i][j]) if v > -np.inf]
+                            v, r, t_ = v[o], r[o], t_[o]
+                        best[a + i][j] = (v, r, t_)
+        out = [(i, j, float(low[i, j]), int(r), float(v), float(t_)) for i in range(len(qid)) for j in range(n_lists)
+               for v, r, t_ in zip(*best[i][j]) if v > -np.inf]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*out), _P1)] if out else [pa.array([], t) for t in _P1],
-            names=["q", "list", "low", "row", "part"])
+            names=["q", "list", "low", "row", "part", "total"])
     return run
 
 
-_P1 = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
+_P1 = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
 _P2 = [pa.int32(), pa.int64(), pa.float64(), pa.float64()]
 
 
@@ -133,13 +134,14 @@ def _phase2(shared, spans, exact):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 4, query_block: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 2, query_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` best rows of ``vectors``, itself excluded.
 
     Both inputs are ``quantised`` tables (row, vec_id, v), staged.  Ties go to the smaller vec_id (null ids
     last).  Shorter vectors count as ending in zeros.  A repeated query id with another vector is a query of
     its own; fewer rows than k give all of them; no rows or no queries give no rows.  A score beyond a
-    64-bit long is null and ranks last.
+    64-bit long is null and ranks last.  More lists mean a lower cutoff for each: on vectors whose
+    parts scatter around zero, two lists leave about a tenth of the pairs to phase 3, four about a half.
     """
     spark = ready(vectors)
     bounds = vectors.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))).first()
@@ -158,20 +160,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 4, q
         for i, r in enumerate(block):
             q[i, :len(r["v"])] = r["v"]
         sent = spark.sparkContext.broadcast((qid, q))
-        parts = vectors.mapInArrow(_phase1(sent, spans, k), "q int, list int, low double, row long, part double")
+        parts = vectors.mapInArrow(_phase1(sent, spans, k), "q int, list int, low double, row long, part double, total double")
         by_list = Window.partitionBy("q", "list")
         parts = (parts.withColumn("low", F.min("low").over(by_list))
                  .withColumn("n", F.row_number().over(by_list.orderBy(F.desc("part"), "row"))).where(f"n <= {k}"))
         parts = stage(parts.drop("n"), "topk")
         lows = parts.groupBy("q").agg(F.sort_array(F.collect_set(F.struct("list", "low"))).alias("lows"))
-        known = parts.groupBy("q", "row").agg(F.sum(F.col("part") - F.col("low")).alias("over"))
-        nth = known.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("over"), "row"))).where(f"n = {k}")
-        cut = lows.join(nth.select("q", "over"), "q", "left").collect()  # one row per query of the block
+        known = parts.groupBy("q", "row").agg(F.max("total").alias("total"))
+        nth = known.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "row"))).where(f"n = {k}")
+        cut = lows.join(nth.select("q", "total"), "q", "left").collect()  # one row per query of the block
         low, safe = np.zeros((len(qid), len(spans))), np.full(len(qid), -np.inf)
         for r in cut:
             low[r["q"]] = [x["low"] for x in r["lows"]]
-            if r["over"] is not None:
-                safe[r["q"]] = low[r["q"]].sum() + r["over"]
+            if r["total"] is not None:
+                safe[r["q"]] = r["total"]
         sent2 = spark.sparkContext.broadcast((qid, q, safe, low))
         cand = vectors.mapInArrow(_phase2(sent2, spans, exact), "q int, row long, below double, above double")
         order = Window.partitionBy("q").orderBy(F.desc("below"), "row")
