@@ -8,7 +8,10 @@
    saturated nodes are enlarged to the whole component: its members are compared exactly, in bounded
    blocks.  In a component too large for that, members within half the threshold's angle of the
    component's mean all link with each other (the triangle inequality on angles), which counts their
-   links without comparing them; only the others are compared with all.
+   links without comparing them; only the others are compared with all.  Full lists name no farther
+   partners, so components with saturated nodes also search outwards before that: pieces that a block
+   shows to be connected are joined, then the means and radii of these components say which of them can
+   still reach each other, and those are compared exactly and joined when they link.
 4. Recall is audited against brute force for a sample of rows; below the target, more code orders and
    rounds are added.
 
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from chorus.llm.common import components, ready, stage, union_all
 
 _NODE = "rid long, low long, weight long, x binary"
+#: In place of a cosine: the two nodes are in one component, without being a listed link.
+_JOIN = 2.0
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cos", pa.float64())])
 
 
@@ -70,18 +75,44 @@ def _codes(dim, bits, trees, seed):
     return run
 
 
-def _best(ids, x, k):
-    """The k best others of every row of a block."""
+def _labels(hit):
+    """Smallest place that every row of a symmetric matrix of links reaches."""
+    label = np.arange(len(hit))
+    near = hit | np.eye(len(hit), dtype=bool)
+    while True:
+        low = np.where(near, label[None, :], len(hit)).min(1)
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _best(ids, x, k, threshold):
+    """The k best others of every row of a block, and joins (cos = _JOIN) of what links beyond them."""
+    u, v, c, s, top = _top(ids, x, k)
+    if top is None or k >= len(ids) - 1:
+        return u, v, c
+    hit = s >= threshold
+    listed = np.zeros_like(hit)
+    np.put_along_axis(listed, top, True, 1)
+    listed &= hit
+    one, all_ = _labels(listed | listed.T), _labels(hit)
+    roots = np.nonzero((one == np.arange(len(ids))) & (all_ != one))[0]
+    return (np.concatenate([u, ids[roots]]), np.concatenate([v, ids[all_[roots]]]),
+            np.concatenate([c, np.full(len(roots), _JOIN)]))
+
+
+def _top(ids, x, k):
     s = x @ x.T
     np.fill_diagonal(s, -2)
     k = min(k, len(ids) - 1)
     if k < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), s, None
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
+    return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel(), s, top
 
 
-def _blocks(k, size):
+def _blocks(k, size, threshold):
     """Consecutive rows of one order, ``size`` at a time."""
     def run(batches):
         ids, xs, tree = np.zeros(0, np.int64), None, None
@@ -92,16 +123,16 @@ def _blocks(k, size):
             x, r = _rows(b.column("x")), b.column("rid").to_numpy()
             for piece in np.split(np.arange(len(t)), np.nonzero(np.diff(t))[0] + 1):
                 if xs is not None and t[piece[0]] != tree:
-                    yield _edges(*_best(ids, xs, k))
+                    yield _edges(*_best(ids, xs, k, threshold))
                     ids, xs = np.zeros(0, np.int64), None
                 tree = t[piece[0]]
                 ids = np.concatenate([ids, r[piece]])
                 xs = x[piece] if xs is None else np.concatenate([xs, x[piece]])
                 while len(ids) >= 2 * size:
-                    yield _edges(*_best(ids[:size], xs[:size], k))
+                    yield _edges(*_best(ids[:size], xs[:size], k, threshold))
                     ids, xs = ids[size:], xs[size:]
         if xs is not None:
-            yield _edges(*_best(ids, xs, k))
+            yield _edges(*_best(ids, xs, k, threshold))
     return run
 
 
@@ -168,6 +199,72 @@ def _audit(sent, threshold):
     return run
 
 
+def _radii(batches):
+    """Largest angle to its component's mean in every batch; no mean, no bound."""
+    for b in batches:
+        x, c = _rows(b.column("x")), b.column("component").to_numpy()
+        m = np.array(b.column("mean").to_pylist(), float).reshape(len(x), -1)
+        size = np.sqrt((m * m).sum(1))
+        cos = np.where(size > 1e-9, (x * m).sum(1) / np.where(size > 1e-9, size, 1), -1.0) if len(x) else np.zeros(0)
+        names, at = np.unique(c, return_inverse=True)
+        low = np.full(len(names), 1.0)
+        np.minimum.at(low, at, cos)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.arccos(np.clip(low, -1, 1)))], names=["component", "radius"])
+
+
+def _reach(angle):
+    """Pairs of components, of two blocks, that are near enough for a link."""
+    def run(batches):
+        for b in batches:
+            out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            for ca, ra, ma, cb, rb, mb in zip(*(b.column(n).to_pylist() for n in ("ca", "ra", "ma", "cb", "rb", "mb"))):
+                ca, cb, ma, mb = np.array(ca, np.int64), np.array(cb, np.int64), np.array(ma, float), np.array(mb, float)
+                ma, mb = (m / np.maximum(np.sqrt((m * m).sum(1)), 1e-300)[:, None] for m in (ma, mb))
+                apart = np.arccos(np.clip(ma @ mb.T, -1, 1))
+                i, j = np.nonzero((apart <= np.array(ra)[:, None] + np.array(rb)[None, :] + angle + 1e-6) & (ca[:, None] < cb[None, :]))
+                out[0].append(ca[i])
+                out[1].append(cb[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["a", "b"])
+    return run
+
+
+def _meets(threshold):
+    """Component pairs of which two blocks of members hold a link."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for ca, cb, xa, xb in zip(*(b.column(n) for n in ("a", "b", "xa", "xb"))):
+                x, y = (np.frombuffer(b"".join(v.as_py()), np.float64).reshape(len(v), -1) for v in (xa, xb))
+                if (x @ y.T >= threshold).any():
+                    out.append((ca.as_py(), cb.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    return run
+
+
+def _outward(nodes: DataFrame, comp: DataFrame, full: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): components with saturated lists that link with each other, by exact comparison of all
+    pairs that the triangle inequality on their means and radii does not rule out."""
+    members = stage(nodes.join(comp.withColumnRenamed("node", "rid"), "rid").join(full, "component").select("component", "rid", "weight", "x"), "nnd")
+    mean = stage(_means(members), "nnd")
+    radius = (members.join(mean, "component").select("component", "x", "mean").mapInArrow(_radii, "component long, radius double")
+              .groupBy("component").agg(F.max("radius").alias("radius")))
+    balls = mean.join(radius, "component")
+    groups = max(1, math.ceil(mean.count() / block))
+    balls = balls.withColumn("g", F.pmod(F.xxhash64("component"), F.lit(groups)))
+
+    def pack(s):
+        return balls.groupBy(F.col("g").alias("g" + s)).agg(F.collect_list(F.struct("component", "radius", "mean")).alias("m")).select(
+            "g" + s, F.col("m.component").alias("c" + s), F.col("m.radius").alias("r" + s), F.col("m.mean").alias("m" + s))
+    both = stage(pack("a").crossJoin(pack("b")).repartition(groups * groups if groups < 32 else 1024, "ga", "gb")
+                 .mapInArrow(_reach(math.acos(min(1.0, threshold))), "a long, b long"), "nnd")
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    near = both.select(F.col("a").alias("component")).unionByName(both.select(F.col("b").alias("component"))).distinct()
+    cut = members.join(near, "component").join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / block)))
+    cut = stage(cut.groupBy("component", "chunk").agg(F.collect_list("x").alias("x")), "nnd")
+    sides = [cut.select(F.col("component").alias(s), F.col("x").alias("x" + s)) for s in ("a", "b")]
+    return both.join(sides[0], "a").join(sides[1], "b").select("a", "b", "xa", "xb").mapInArrow(_meets(threshold), "a long, b long").distinct()
+
+
 def _whole_components(nodes: DataFrame, comp: DataFrame, full: DataFrame, threshold: float, block: int) -> DataFrame:
     """(rid, links): exact weights of links within the components that have saturated lists."""
     members = stage(nodes.join(comp.withColumnRenamed("node", "rid"), "rid").join(full, "component"), "nnd")
@@ -247,12 +344,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees:
     n = nodes.count()
     bits = max(1, math.ceil(math.log2(max(2, n / block))))
     parts = max(1, n * trees // (block * 16))
-    edges, first = None, 0
+    edges, joins, first = None, None, 0
     for attempt in range(4):
         order = nodes.select("rid", "x").mapInArrow(_codes(dim, bits, list(range(first, first + trees)), seed),
                                                     "tree int, code long, fine double, rid long, x binary")
         order = order.repartitionByRange(parts, "tree", "code", "fine", "rid").sortWithinPartitions("tree", "code", "fine", "rid")
-        new = order.mapInArrow(_blocks(k, block), "u long, v long, cos double")
+        new = stage(order.mapInArrow(_blocks(k, block, threshold), "u long, v long, cos double"), "nnd")
+        more = new.where(F.col("cos") == _JOIN).select("u", "v")
+        joins = more if joins is None else joins.unionByName(more)
+        new = new.where(F.col("cos") < _JOIN)
         edges = stage(_lists(new if edges is None else new.unionByName(edges), k), "nnd")
         first += trees
         for _ in range(rounds):
@@ -269,10 +369,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees:
             if changed <= 0.002 * n * k:
                 break
         linked = edges.where(F.col("cos") >= threshold)
-        comp = components(linked, "u", "v")
-        full = (edges.groupBy("u").agg(F.min("cos").alias("kth"), F.count(F.lit(1)).alias("n")).where((F.col("kth") >= threshold) & (F.col("n") >= k))
-                .select(F.col("u").alias("node")).join(comp, "node").select("component").distinct())
-        full = stage(full, "nnd")
+        tied = linked.select("u", "v").unionByName(joins)
+        comp = components(tied, "u", "v")
+        saturated = stage(edges.groupBy("u").agg(F.min("cos").alias("kth"), F.count(F.lit(1)).alias("n"))
+                          .where((F.col("kth") >= threshold) & (F.col("n") >= k)).select(F.col("u").alias("node")), "nnd")
+        full = stage(saturated.join(comp, "node").select("component").distinct(), "nnd")
+        meets = stage(_outward(nodes, comp, full, threshold, whole), "nnd")  # a component's name is one of its nodes
+        if not meets.isEmpty():
+            comp = components(tied.unionByName(meets.select(F.col("a").alias("u"), F.col("b").alias("v"))), "u", "v")
+            full = stage(saturated.join(comp, "node").select("component").distinct(), "nnd")
         exact = _whole_components(nodes, comp, full, threshold, whole)
         pairs = linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -53,6 +53,23 @@ def test_links_and_components_equal_brute_force(spark, whole):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.collect())
 
 
+@pytest.mark.parametrize("block", [64, 2])  # 2: no block sees both groups whole, the means must find them
+def test_groups_with_full_lists_still_find_each_other(spark, block):
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for _ in range(4):
+        a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+        for centre in (a, 0.96 * a + 0.28 * b):  # two tight groups at cosine 0.96
+            for _ in range(14):
+                rows.append((n, (centre + 0.003 * rng.standard_normal(24)).tolist()))
+                n += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.near_vectors(df, 0.95, block=block, trees=8 if block == 2 else 3)[0]
+    want = brute(rows, 0.95)
+    assert len({c for _, c in want.values()}) == 4
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
+
+
 def test_edge_vectors(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 0.0]), (6, [2.0]), (7, [float("inf"), 1.0]),
             (8, [1e300, 0.0]), (5, [1.0, 0.0]), (None, [0.0, 3.0])]
