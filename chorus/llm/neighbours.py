@@ -12,8 +12,9 @@
    partners, so components with saturated nodes also search outwards before that: pieces that a block
    shows to be connected are joined, then the means and radii of these components say which of them can
    still reach each other, and those are compared exactly and joined when they link.
-4. Recall is audited against brute force for a sample of rows; below the target, more code orders and
-   rounds are added.
+4. Recall is audited against brute force, row by row, for a sample of all rows and one of the rows outside
+   saturated components; while either mean is below the target, more code orders and rounds are added, and
+   a target that is never reached is an error.
 
 Pairs kept are checked in double precision, so no link lies below the threshold.
 """
@@ -320,9 +321,11 @@ def _in_ball(half):
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees: int = 3, rounds: int = 2, block: int = 256,
-                 whole: int = 1024, audit_rows: int = 512, recall: float = 0.95, seed: int = 5, id_col: str = "vec_id",
-                 vec_col: str = "embedding") -> tuple[DataFrame, dict]:
-    """(rows, audit): vec_id, n_links, component_id, kept for every row; audit has the measured recall.
+                 whole: int = 1024, audit_rows: int = 512, recall: float = 0.95, attempts: int = 8, seed: int = 5,
+                 id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, dict]:
+    """(rows, audit): vec_id, n_links, component_id, kept for every row; audit has the measured recall, the
+    mean over sampled rows with links (the smaller of all rows and those outside saturated components).
+    Raises RuntimeError when it stays below ``recall`` after ``attempts`` sets of orders.
 
     ``n_links`` counts the other rows at cosine >= ``threshold``, equal vectors included.  Vectors that are
     null, zero or hold null or non-finite components link with nothing.  Null ids link, but name no component
@@ -345,7 +348,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees:
     bits = max(1, math.ceil(math.log2(max(2, n / block))))
     parts = max(1, n * trees // (block * 16))
     edges, joins, first = None, None, 0
-    for attempt in range(4):
+    for _ in range(attempts):
         order = nodes.select("rid", "x").mapInArrow(_codes(dim, bits, list(range(first, first + trees)), seed),
                                                     "tree int, code long, fine double, rid long, x binary")
         order = order.repartitionByRange(parts, "tree", "code", "fine", "rid").sortWithinPartitions("tree", "code", "fine", "rid")
@@ -384,14 +387,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, trees:
         listed = (pairs.join(nodes.select(F.col("rid").alias("v"), "weight"), "v").groupBy(F.col("u").alias("rid")).agg(F.sum("weight").alias("links")))
         listed = listed.join(comp.withColumnRenamed("node", "rid"), "rid").join(full, "component", "left_anti").select("rid", "links")
         links = stage(listed.unionByName(exact), "nnd")
-        sample = nodes.orderBy(F.xxhash64("rid"), "rid").limit(audit_rows).collect()  # audit_rows vectors
-        sent = spark.sparkContext.broadcast((np.array([r["rid"] for r in sample], np.int64),
-                                             np.array([np.frombuffer(r["x"], np.float64) for r in sample])))
-        true = nodes.mapInArrow(_audit(sent, threshold), "rid long, links long").groupBy("rid").agg(F.sum("links").alias("true"))
-        got = true.join(links, "rid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-        measured = (got[1] or 0) / got[0] if got[0] else 1.0
+        inside = comp.join(full, "component").select(F.col("node").alias("rid"))
+        rank = [F.xxhash64("rid"), "rid"]
+        sample = {r["rid"]: r["x"] for part in (nodes, nodes.join(inside, "rid", "left_anti"))
+                  for r in part.select("rid", "x").orderBy(*rank).limit(audit_rows).collect()}  # 2 * audit_rows vectors at most
+        sent = spark.sparkContext.broadcast((np.array(list(sample), np.int64), np.array([np.frombuffer(x, np.float64) for x in sample.values()])))
+        true = nodes.mapInArrow(_audit(sent, threshold), "rid long, links long").groupBy("rid").agg(F.sum("links").alias("truth"))
+        share = F.least("truth", F.coalesce("links", F.lit(0))) / F.col("truth")
+        got = (true.where("truth > 0").join(links, "rid", "left").join(inside.withColumn("inside", F.lit(True)), "rid", "left")
+               .agg(F.sum("truth"), F.avg(share), F.avg(F.when(F.col("inside").isNull(), share))).first())
+        measured = min(1.0 if g is None else g for g in got[1:])
         if measured >= recall:
             break
+    else:
+        raise RuntimeError(f"recall {measured:.4f} after {first} code orders, the target is {recall}")
     named = nodes.select("rid", "low", "weight").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
         "component", F.coalesce("component", "rid"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -70,6 +70,23 @@ def test_groups_with_full_lists_still_find_each_other(spark, block):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == want
 
 
+def test_recall_counts_rows_not_links(spark):
+    rng = np.random.default_rng(4)
+    big, rows = rng.standard_normal(16), []
+    rows += [(i, (big + 0.02 * rng.standard_normal(16)).tolist()) for i in range(150)]
+    for i in range(75):
+        base = rng.standard_normal(16)
+        rows += [(200 + 2 * i + j, (base + 0.08 * rng.standard_normal(16)).tolist()) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 0.95)
+    got, audit = neighbours.near_vectors(df, 0.95, trees=1, rounds=0, block=16)
+    res = {r["vec_id"]: r["n_links"] for r in got.collect()}
+    pairs = [i for i in want if i >= 200 and want[i][0]]
+    assert sum(res[i] >= want[i][0] for i in pairs) >= 0.95 * len(pairs) and audit["orders"] > 1
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_vectors(df, 0.95, recall=1.01, attempts=1)
+
+
 def test_edge_vectors(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 0.0]), (6, [2.0]), (7, [float("inf"), 1.0]),
             (8, [1e300, 0.0]), (5, [1.0, 0.0]), (None, [0.0, 3.0])]
