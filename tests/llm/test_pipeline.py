@@ -34,6 +34,17 @@ def test_stages_compose_on_small_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_repeats_are_passages_of_over_fifty_words(spark):
+    rng = random.Random(9)
+    text = lambda n, size: " ".join("".join(rng.choice("aeioutnshrdl") for _ in range(rng.randint(*size))) for _ in range(n))
+    short, fifty, long = text(51, (1, 3)), text(50, (2, 3)), text(25, (11, 14))
+    assert 101 <= len(short) < 250 and len(fifty) < 250 <= len(long)
+    rows = [(i, f"{text(60, (3, 9))}! {p} ?{text(60, (3, 9))}") for i, p in enumerate([short, short, fifty, fifty, long, long])]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert all(short[5:-5] not in got[i] and long[5:-5] not in got[i] for i in range(6))
+    assert got[2] == rows[2][1] and got[3] == rows[3][1]
+
+
 def test_every_operator_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert names == list(range(1, 11))
