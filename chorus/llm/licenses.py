@@ -1,8 +1,8 @@
 """Licence scan by ordered signature rules (DataFrame functions only).
 
 Texts become lower-case words with single spaces.  A rule is a regular expression over that form with a
-label, a priority, a keyword and a score.  A row's keywords are looked up first and only rules of present
-keywords run.  Matches are word intervals; one that lies inside an interval of the same or better
+label, a priority, keywords and a score.  Every match of a rule holds one of its keywords at the beginning of
+a word ("wtfplv2"); a row's keywords are looked up first and only rules of present keywords run.  Matches are word intervals; one that lies inside an interval of the same or better
 priority is suppressed, so "mit license" inside "licensed under the mit license" counts once.  Rules are
 made from licence families and wordings, a few hundred in all.
 
@@ -20,7 +20,7 @@ from chorus.llm.common import stage
 #: The phrases and labels of the contract.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Licence families, hand-written: label, keyword that must occur, name as a pattern over words, SPDX words.
+#: Licence families, hand-written: label, keywords of which every match has one, name as a pattern over words, SPDX words.
 FAMILIES = [
     ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", "agpl"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[sc]e", "lgpl"),
@@ -31,9 +31,9 @@ FAMILIES = [
     ("mit", "mit", "mit licen[sc]e", "mit"),
     ("mit", "x11", "(?:mit )?x11 licen[sc]e", "x11"),
     ("bsd-3-clause", "bsd", "(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd)(?: licen[sc]e)?", "bsd 3 clause"),
-    ("bsd-2-clause", "bsd", "(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)(?: licen[sc]e)?", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd freebsd", "(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)(?: licen[sc]e)?", "bsd 2 clause"),
     ("bsd", "bsd", "bsd(?: style)? licen[sc]e", "bsd"),
-    ("0bsd", "0bsd", "(?:zero clause bsd|0bsd)(?: licen[sc]e)?", "0bsd"),
+    ("0bsd", "bsd 0bsd", "(?:zero clause bsd|0bsd)(?: licen[sc]e)?", "0bsd"),
     ("mpl", "mozilla", "mozilla public licen[sc]e", "mpl"),
     ("epl", "eclipse", "eclipse public licen[sc]e", "epl"),
     ("edl", "eclipse", "eclipse distribution licen[sc]e", "edl"),
@@ -62,9 +62,9 @@ FAMILIES = [
     ("vim", "vim", "vim licen[sc]e", "vim"),
     ("cc0", "cc0", "cc0", "cc0"),
     ("cc0", "commons", "creative commons (?:cc0|zero)", "cc0"),
-    ("cc-by-nc-nd", "noncommercial", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?", "cc by nc nd"),
-    ("cc-by-nc-sa", "noncommercial", "creative commons attribution non ?commercial share ?alike", "cc by nc sa"),
-    ("cc-by-nc", "commercial", "creative commons attribution non ?commercial", "cc by nc"),
+    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?", "cc by nc nd"),
+    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike", "cc by nc sa"),
+    ("cc-by-nc", "commons", "creative commons attribution non ?commercial", "cc by nc"),
     ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s?", "cc by nd"),
     ("cc-by-sa", "commons", "creative commons attribution share ?alike", "cc by sa"),
     ("cc-by", "commons", "creative commons attribution", "cc by"),
@@ -88,16 +88,16 @@ WORDINGS = [
 _LEVELS = sorted({w[1] for w in WORDINGS})
 
 
-def rules() -> list[tuple[str, str, int, float, str, bool]]:
-    """(label, keyword, priority, score, pattern, is a contract phrase), best priority first."""
-    out = [(label, words.split()[0], 4, 0.7, f" {words}(?= )", True) for words, label in BASE.items()]
+def rules() -> list[tuple[str, tuple[str, ...], int, float, str, bool]]:
+    """(label, keywords, priority, score, pattern, is a contract phrase), best priority first."""
+    out = [(label, (words.split()[0],), 4, 0.7, f" {words}(?= )", True) for words, label in BASE.items()]
     for label, keyword, name, spdx in FAMILIES:
         for text, priority, score in WORDINGS:
             if "{spdx}" in text:
-                keyword_, pattern = "spdx", text.format(spdx=spdx)
+                keywords, pattern = ("spdx",), text.format(spdx=spdx)
             else:
-                keyword_, pattern = keyword, text.replace("{name}", name)
-            out.append((label, keyword_, priority, score, f" {pattern}(?= )", False))
+                keywords, pattern = tuple(keyword.split()), text.replace("{name}", name)
+            out.append((label, keywords, priority, score, f" {pattern}(?= )", False))
     return sorted(out, key=lambda r: r[2])
 
 
@@ -115,23 +115,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     and no labels (empty strings, score 0); repeated rows and null ids get a row each; no rows, no rows.
     """
     table = rules()
-    lits = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r[1]).alias("keyword"), F.lit(r[4]).alias("pattern"))
+    lits = F.array(*[F.struct(F.lit(i).alias("rule"), F.array(*map(F.lit, r[1])).alias("keywords"), F.lit(r[4]).alias("pattern"))
                      for i, r in enumerate(table)])
-    keywords = F.array(*[F.lit(k) for k in sorted({r[1] for r in table})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in table for k in r[1]})])
     rows = docs.select(F.col(id_col).alias("doc_id"), normal(F.col(text_col).cast("string")).alias("norm"))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    marks = ("licen", "cc", "spdx", "public domain", "rights reserved", "bsd", "wtfpl", "cc0", "odc by")
-    maybe = F.lit(False)
-    for m in marks:
-        maybe = maybe | F.contains("norm", F.lit(f" {m} " if m in ("cc", "cc0", "bsd") else m))
-    present = F.filter(keywords, lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k, F.lit(" "))))
+    present = F.filter(keywords, lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k)))
     found = F.transform(
-        F.filter(lits, lambda r: F.array_contains(F.col("present"), r["keyword"]) & F.rlike(F.col("norm"), r["pattern"])),
+        F.filter(lits, lambda r: F.arrays_overlap(F.col("present"), r["keywords"]) & F.rlike(F.col("norm"), r["pattern"])),
         lambda r: F.struct(r["rule"].alias("rule"),
                            F.transform(F.regexp_extract_all("norm", r["pattern"], F.lit(0)), spaces).alias("words"),
                            F.transform(F.split("norm", r["pattern"]), spaces).alias("gaps")))
     none = F.array().cast("array<struct<rule:int,words:array<int>,gaps:array<int>>>")
-    rows = rows.withColumn("present", F.when(maybe, present))
+    rows = rows.withColumn("present", present)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id",
                        F.when(F.col("norm") == "  ", 0).otherwise(spaces(F.col("norm")) - 1).cast("long").alias("n_words"),
                        F.when(F.size("present") > 0, found).otherwise(none).alias("hits"))

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from chorus.llm import licenses
@@ -40,6 +41,67 @@ def test_hundreds_of_rules_that_compile():
     assert [r[2] for r in table] == sorted(r[2] for r in table)
 
 
+def wordings(pattern):
+    """Texts that a pattern of words, classes, optional parts and alternatives matches, every part once."""
+    def alternatives(i):
+        out, cur = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, cur, i = out + cur, [""], i + 1
+                continue
+            if pattern[i:i + 3] == "(?:":
+                part, i = alternatives(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                part, i = list(pattern[i + 1:pattern.index("]", i)]), pattern.index("]", i) + 1
+            elif pattern[i] == "\\":
+                part, i = ["2"], i + 2
+            else:
+                part, i = [pattern[i]], i + 1
+            if i < len(pattern) and pattern[i] in "?*+":
+                part, i = part[:] + ([] if pattern[i] == "+" else [""]), i + 1
+            if len(cur) * len(part) > 2000:  # every part still occurs
+                part = part * (len(cur) // len(part) + 1)
+                cur = [a + b for a, b in zip(cur, part)]
+            else:
+                cur = [a + b for a, b in itertools.product(cur, part)]
+        return out + cur, i
+    return alternatives(0)[0]
+
+
+def test_every_match_has_a_keyword_of_its_rule():
+    for _, keywords, _, _, pattern, _ in licenses.rules():
+        body = pattern.removesuffix("(?= )")
+        for text in wordings(body):
+            assert re.fullmatch(body, text), (pattern, text)
+            if "," in text:  # no comma is left in the form the rules see
+                continue
+            assert any(f" {k}" in text for k in keywords), (keywords, text)
+
+
+def test_gated_scan_equals_all_rules(docs):
+    names = sorted({t.strip() for f in licenses.FAMILIES for t in wordings(f[2])})
+    texts = [f"Released under {n} 4.0, see there" for n in names] + [
+        "Released under Creative Commons Attribution 4.0", "Creative Commons Attribution-NonCommercial 4.0",
+        "Creative Commons Attribution Non-Commercial ShareAlike", "the FreeBSD license", "Zero Clause BSD", "MIT and Apache and BSD", "common rights"]
+    texts = ["Licensed under WTFPLv2.", *texts]
+    rows = list(enumerate(texts))
+    gated = {r["doc_id"]: r for r in licenses.scan(docs(rows)).collect()}
+    label = lambda t: gated[texts.index(t)]["labels"]
+    assert label(texts[-7]) == "cc-by" and label(texts[-6]) == "cc-by-nc" and label(texts[-5]) == "cc-by-nc-sa"
+    assert label(texts[-4]) == "bsd-2-clause" and label(texts[-3]) == "0bsd" and label(texts[-2]) == label(texts[-1]) == ""
+    assert gated[0]["labels"] == "wtfpl"
+    # by hand, all rules ungated: the kept matches of each text
+    for i, text in rows:
+        norm = " " + " ".join(re.findall(r"[a-z0-9]+", text.lower())) + " "
+        hits = [(norm[:m.start() + 1].count(" ") - 1, norm[:m.end() + 1].count(" ") - 1, prio, not base, j, lab, score, base)
+                for j, (lab, _, prio, score, pat, base) in enumerate(licenses.rules()) for m in re.finditer(pat, norm)]
+        hits.sort(key=lambda h: (h[0], -h[1], h[2], h[3], h[4]))
+        kept = {h[5] for n, h in enumerate(hits) if h[7] or not any(o[2] <= h[2] and o[1] >= h[1] for o in hits[:n])}
+        want = ",".join(sorted(kept)), max((h[6] for h in hits), default=0.0)
+        assert (gated[i]["labels"], gated[i]["score"]) == want, text
+
+
 def test_repeated_rows_null_ids_no_rows(docs):
     got = licenses.scan(docs([(1, "mit license"), (1, "mit license"), (None, "mit license")])).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"] and all(r["labels"] == "mit" for r in got)
