@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -6,13 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from chorus.schema import POST_SCHEMA  # noqa: E402
 from chorus.session import get_spark  # noqa: E402
 
-BASE = dt.datetime(2024, 1, 10)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,32 +16,8 @@ def spark():
     s.stop()
 
 
-def post(i, content="text", platform="twitter", author="testuser", label="POSITIVE", score=0.8, ts=None,
-         likes=None, retweets=None, engagement=None, query="test", hashtags=None, mentions=None, title=None,
-         subreddit=None, id=None, seq=None):
-    """A post row in POST_SCHEMA (fixed instants instead of 'now')."""
-    if engagement is None:
-        engagement = {"likes": float(10 * i if likes is None else likes),
-                      "retweets": float(5 * i if retweets is None else retweets)}
-    md = {f.name: None for f in POST_SCHEMA["metadata"].dataType.fields}
-    md.update(hashtags=hashtags if hashtags is not None else (["test", "data"] if i % 2 == 0 else []),
-              mentions=mentions if mentions is not None else (["user1"] if i % 3 == 0 else []),
-              subreddit=subreddit)
-    sent = None if label is None else {"label": label, "score": score, "method": "transformer", "compound": None,
-                                       "original_text": None, "details": None}
-    return (i if seq is None else seq, str(i) if id is None else id, platform, author, str(100 + i), content, title,
-            ts or BASE - dt.timedelta(hours=i), engagement, f"https://{platform}.com/{i}", query, md, sent)
-
-
 @pytest.fixture
 def make_posts(spark):
     def make(rows):
         return spark.createDataFrame(rows, POST_SCHEMA)
     return make
-
-
-def rows(df, *cols):
-    return [tuple(r[c] for c in cols) for r in df.collect()]
-
-
-__all__ = ["post", "rows", "F", "BASE"]

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import post
+from posts import post
 
 from chorus.operators import aggregate as A
 from chorus.operators.project import posts_flat

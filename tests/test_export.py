@@ -4,7 +4,7 @@ import tempfile
 from pathlib import Path
 
 import pytest
-from conftest import post
+from posts import post
 from pyspark.sql import functions as F
 
 from chorus.operators import filters as FL

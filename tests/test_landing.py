@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import post
+from posts import post
 from pyspark.sql import functions as F
 
 from chorus.operators import dedup as D

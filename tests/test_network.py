@@ -1,4 +1,4 @@
-from conftest import post
+from posts import post
 
 from chorus.operators import network as G
 from chorus.operators.project import posts_flat

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import post
+from posts import post
 
 from chorus.operators import series as S
 from chorus.operators.project import posts_flat

@@ -1,4 +1,4 @@
-from conftest import post
+from posts import post
 
 from chorus.functions import columns as C
 from chorus.functions import text as X
