@@ -1,4 +1,4 @@
-"""De-duplication.
+"""De-duplication (D1–D7; the near-equal texts of D3 are in ``fuzzy``).
 
 The reference keeps a post unless an earlier *kept* post has the same
 ``platform:id`` (``exact_id``) or the same normalised-content hash
@@ -24,8 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.functions.text import content_hash
+from chorus.functions.text import content_hash, normalize_content
 from chorus.operators.components import components
+from chorus.operators.fuzzy import greedy_keep_fuzzy
 
 
 def dedup_keys(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
@@ -104,35 +105,54 @@ def _settle_chains(rows: DataFrame) -> DataFrame:
     return _checkpoint(parts.select("component", "seq", "id_key", "hash_key").mapInPandas(first_wins, "seq long"))
 
 
-def deduplicate(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
-    """Every post with ``kept`` and ``dup_type`` (null, ``exact_id`` or ``content``)."""
-    return posts.join(dedup_flags(posts, empty_content), "seq")
+def deduplicate(posts: DataFrame, empty_content: str = "collapse", fuzzy: float | None = None) -> DataFrame:
+    """Every post with ``kept`` and ``dup_type`` (null, ``exact_id``, ``content`` or, if asked for, ``fuzzy``)."""
+    return posts.join(dedup_flags(posts, empty_content, fuzzy), "seq")
 
 
-def dedup_flags(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
+def _texts(posts: DataFrame) -> DataFrame:
+    """hash_key, text: the different normalised texts; empty ones match nothing."""
+    text = normalize_content("content")
+    return (posts.select(content_hash(F.col("content")).alias("hash_key"), text.alias("text")).where("text <> ''")
+            .groupBy("hash_key").agg(F.first("text").alias("text")))
+
+
+def dedup_flags(posts: DataFrame, empty_content: str = "collapse", fuzzy: float | None = None) -> DataFrame:
     """D4 without the post columns: ``seq, kept, dup_type, id_key, hash_key``.
 
+    ``fuzzy`` (off by default) also drops posts whose normalised text has a string ratio of at least that
+    threshold to an earlier kept one (D3); it must lie above 0.5 and not above 1.
+
     A dropped row is ``exact_id`` when a kept row with a smaller ``seq`` has
-    its id key, else ``content``.  Kept rows have distinct id keys and
+    its id key, else ``content`` (with ``fuzzy``: if a kept row with a smaller ``seq`` has its hash, else ``fuzzy``).  Kept rows have distinct id keys and
     distinct hashes, so both look-ups are many-to-one joins.  Joining these
     narrow flags (not the posts with their text) to other projections keeps
     text out of every shuffle.
     """
     keys = _checkpoint(dedup_keys(posts, empty_content))
     _require_unique(keys)
-    kept = greedy_keep(keys).withColumn("kept", F.lit(True))
+    if fuzzy is not None and not 0.5 < fuzzy <= 1:
+        raise ValueError(f"fuzzy must lie above 0.5 and not above 1, not {fuzzy}")
+    kept = greedy_keep(keys) if fuzzy is None else _checkpoint(greedy_keep_fuzzy(keys, _texts(posts), fuzzy))
+    kept = kept.withColumn("kept", F.lit(True))
     tagged = keys.join(kept, "seq", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     kept_ids = tagged.filter("kept").select("id_key", F.col("seq").alias("id_seq"))
+    if fuzzy is None:
+        other = F.lit("content")
+    else:
+        kept_hashes = tagged.filter("kept").select("hash_key", F.col("seq").alias("hash_seq"))
+        tagged = tagged.join(kept_hashes, "hash_key", "left")
+        other = F.when(F.col("hash_seq") < F.col("seq"), F.lit("content")).otherwise(F.lit("fuzzy"))
     tagged = tagged.join(kept_ids, "id_key", "left")
     dup_type = (F.when(F.col("kept"), F.lit(None).cast("string"))
                  .when(F.col("id_seq") < F.col("seq"), F.lit("exact_id"))
-                 .otherwise(F.lit("content")))
+                 .otherwise(other))
     return tagged.select("seq", "kept", dup_type.alias("dup_type"), "id_key", "hash_key")
 
 
-def unique_posts(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
+def unique_posts(posts: DataFrame, empty_content: str = "collapse", fuzzy: float | None = None) -> DataFrame:
     """The kept posts only, in the post schema."""
-    return deduplicate(posts, empty_content).filter("kept").drop("kept", "dup_type", "id_key", "hash_key")
+    return deduplicate(posts, empty_content, fuzzy).filter("kept").drop("kept", "dup_type", "id_key", "hash_key")
 
 
 def dedup_stats(tagged: DataFrame) -> DataFrame:

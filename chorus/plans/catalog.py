@@ -775,6 +775,11 @@ def q_dedup_stats(spark, sf_dir):
     return rounded(D.dedup_stats(D.dedup_flags(blanked(spark, sf_dir))))
 
 
+@register("dedup_fuzzy")  # the matcher's ratio is beyond SQL; tests hold it against the sequential pass
+def q_dedup_fuzzy(spark, sf_dir):
+    return D.dedup_flags(blanked(spark, sf_dir), fuzzy=0.95).select("seq", "kept", "dup_type")
+
+
 @register("dedup_by_query", blank_oracle(_DEDUP_SQL + """
 SELECT query, count(*) AS duplicates FROM tagged WHERE NOT kept GROUP BY query
 """))

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +71,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="chorus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Send this package to the executors (once per context), as ``--py-files`` does: Python workers import the
+    functions they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chorus_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="chorus-code-")  # on the driver only; Spark serves it to executors
+    with zipfile.ZipFile(f"{folder}/chorus_code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    sc.addPyFile(f"{folder}/chorus_code.zip")
+    sc._chorus_sent = True

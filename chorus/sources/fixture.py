@@ -56,10 +56,10 @@ def fixture_flat(spark: SparkSession, sf_dir: str, gaps: bool = False, blanks: b
         day = (ts >= ntz_literal(start)) & (ts < ntz_literal(start + dt.timedelta(days=1)))
         in_gap = day if in_gap is None else in_gap | day
     e = events.filter(~in_gap) if gaps else events
-    # narrow rows are spread before the text joins them: one row group must not mean one task
+    # the side that holds the text is spread: whichever way the join goes, one row group must not mean one task
     width = 2 * spark.sparkContext.defaultParallelism
-    if e.rdd.getNumPartitions() < width:
-        e = e.repartition(width, "event_id")
+    if docs.rdd.getNumPartitions() < width:
+        docs = docs.repartition(width, "doc_id")
     e = e.withColumn("doc_key", F.col("event_id") % n_docs)
     joined = (e.join(docs, e.doc_key == docs.doc_id, "inner")
                .join(labels, "doc_id", "left"))
