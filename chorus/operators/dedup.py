@@ -29,8 +29,8 @@ from chorus.operators.components import components
 from chorus.operators.fuzzy import greedy_keep_fuzzy
 
 
-def dedup_keys(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
-    """D1/D2 keys: ``seq``, ``id_key`` = ``platform:id``, ``hash_key`` = content hash.
+def dedup_keys(posts: DataFrame, empty_content: str = "collapse", keep: list[str] | None = None) -> DataFrame:
+    """D1/D2 keys: ``seq``, ``id_key`` = ``platform:id``, ``hash_key`` = content hash (and the columns of ``keep``).
 
     ``empty_content='keep'`` gives every empty post its own hash so link
     posts without text are not collapsed into one (the reference collapses).
@@ -39,7 +39,7 @@ def dedup_keys(posts: DataFrame, empty_content: str = "collapse") -> DataFrame:
     if empty_content == "keep":
         h = F.when(F.length(F.coalesce("content", F.lit(""))) == 0,
                    F.concat(F.lit("empty:"), F.col("seq").cast("string"))).otherwise(h)
-    return posts.select("seq", F.concat_ws(":", "platform", "id").alias("id_key"), h.alias("hash_key"))
+    return posts.select(*(["seq"] if keep is None else keep), F.concat_ws(":", "platform", "id").alias("id_key"), h.alias("hash_key"))
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -194,6 +194,26 @@ def cross_duplicate_flags(tagged: DataFrame) -> DataFrame:
                     (F.col("dup_type") == "content").alias("compat_cross_platform"))
 
 
+def settle_batch(by_seen: DataFrame) -> DataFrame:
+    """The flags of a batch whose rows (``seq, id_key, hash_key``) know whether an earlier batch kept their id
+    (``old_id``) or their hash (``old_hash``; null is no): such rows go, the rest is settled among itself."""
+    blocked = by_seen.filter(F.col("old_id") | F.col("old_hash"))
+    fresh = by_seen.filter(~F.coalesce(F.col("old_id"), F.lit(False)) & ~F.coalesce(F.col("old_hash"), F.lit(False)))
+    fresh_keys = _checkpoint(fresh.select("seq", "id_key", "hash_key"))
+    kept = greedy_keep(fresh_keys).withColumn("kept", F.lit(True))
+    fresh_tagged = fresh_keys.join(kept, "seq", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    kept_ids = fresh_tagged.filter("kept").select("id_key", F.col("seq").alias("id_seq"))
+    fresh_tagged = fresh_tagged.join(kept_ids, "id_key", "left").select(
+        "seq", "kept",
+        F.when(F.col("kept"), F.lit(None).cast("string"))
+         .when(F.col("id_seq") < F.col("seq"), F.lit("exact_id")).otherwise(F.lit("content")).alias("dup_type"),
+        "id_key", "hash_key")
+    old_tagged = blocked.select("seq", F.lit(False).alias("kept"),
+                                F.when(F.col("old_id"), F.lit("exact_id")).otherwise(F.lit("content")).alias("dup_type"),
+                                "id_key", "hash_key")
+    return fresh_tagged.unionByName(old_tagged)
+
+
 def dedup_incremental(batch: DataFrame, seen: DataFrame, empty_content: str = "collapse"):
     """Dedup a new batch against keys kept by earlier batches.
 
@@ -209,22 +229,8 @@ def dedup_incremental(batch: DataFrame, seen: DataFrame, empty_content: str = "c
     seen_hashes = seen.select("hash_key").join(keys.select("hash_key").distinct(), "hash_key", "left_semi").distinct()
     by_seen_id = keys.join(seen_ids.withColumn("old_id", F.lit(True)), "id_key", "left")
     by_seen = by_seen_id.join(seen_hashes.withColumn("old_hash", F.lit(True)), "hash_key", "left")
-    blocked = by_seen.filter(F.col("old_id") | F.col("old_hash"))
-    fresh = by_seen.filter(~F.coalesce(F.col("old_id"), F.lit(False)) & ~F.coalesce(F.col("old_hash"), F.lit(False)))
-    fresh_keys = _checkpoint(fresh.select("seq", "id_key", "hash_key"))
-    kept = greedy_keep(fresh_keys).withColumn("kept", F.lit(True))
-    fresh_tagged = fresh_keys.join(kept, "seq", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    kept_ids = fresh_tagged.filter("kept").select("id_key", F.col("seq").alias("id_seq"))
-    fresh_tagged = fresh_tagged.join(kept_ids, "id_key", "left").select(
-        "seq", "kept",
-        F.when(F.col("kept"), F.lit(None).cast("string"))
-         .when(F.col("id_seq") < F.col("seq"), F.lit("exact_id")).otherwise(F.lit("content")).alias("dup_type"),
-        "id_key", "hash_key")
-    old_tagged = blocked.select("seq", F.lit(False).alias("kept"),
-                                F.when(F.col("old_id"), F.lit("exact_id")).otherwise(F.lit("content")).alias("dup_type"),
-                                "id_key", "hash_key")
-    flags = fresh_tagged.unionByName(old_tagged)
+    flags = settle_batch(by_seen)
     tagged = batch.join(flags, "seq")
     new_seen = seen.select("id_key", "hash_key").unionByName(
-        fresh_tagged.filter("kept").select("id_key", "hash_key"))
+        flags.filter("kept").select("id_key", "hash_key"))
     return tagged, new_seen
