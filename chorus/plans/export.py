@@ -17,6 +17,7 @@ from chorus.functions import columns as C
 from chorus.operators import aggregate as A
 from chorus.operators import series as S
 from chorus.operators.project import posts_flat
+from chorus.sources.document import write_document
 from chorus.session import ensure_checkpoint_dir
 
 CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
@@ -227,8 +228,19 @@ def write_analysis(results: dict[str, DataFrame], posts: DataFrame, path: str, c
         write_json(df, f"{path}/{name}")
 
 
-def write_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node-link export as two JSON-lines folders (``nodes``, ``links``)."""
+def write_analysis_document(results: dict[str, DataFrame], posts: DataFrame, path: str, context: dict | None = None) -> None:
+    """E5 as the one JSON document: ``metadata``, ``posts`` (in ``seq`` order) and an array per result table."""
+    context = context or {}
+    metadata = {"version": context.get("version", "1.0.0"), "queries": context.get("queries", []),
+                "time_window_days": int(context.get("time_window_days", 0)), "platforms": context.get("platforms", [])}
+    write_document(path, {"metadata": metadata, "posts": posts, **results})
+
+
+def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, document: bool = False) -> None:
+    """Node-link export as two JSON-lines folders (``nodes``, ``links``), or as one document."""
+    if document:
+        links = edges.withColumnRenamed("src", "source").withColumnRenamed("dst", "target")
+        return write_document(path, {"directed": True, "multigraph": False, "nodes": nodes, "links": links})
     write_json(nodes, f"{path}/nodes")
     write_json(edges.withColumnRenamed("src", "source").withColumnRenamed("dst", "target"), f"{path}/links")
 
@@ -236,4 +248,4 @@ def write_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 __all__ = ["export_posts", "export_daily_statistics", "export_summary_statistics", "export_negative_users",
            "export_viral_posts", "export_hashtags", "export_anomalies", "hourly_activity", "chart_tables", "report_cuts",
            "report_header", "dashboard_rows", "summary_document", "write_json", "write_csv", "write_parquet",
-           "write_analysis", "write_node_link", "posts_flat"]
+           "write_analysis", "write_analysis_document", "write_node_link", "posts_flat"]

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from chorus.functions import text as X
 from chorus.functions.columns import ntz_from_epoch_seconds
 from chorus.schema import POST_COLUMNS, engagement_map, landed, landed_files, metadata_struct
+from chorus.sources.document import numbered, read_document
 
 S = T.StringType()
 L = T.LongType()
@@ -234,14 +235,18 @@ def read_analysis_posts(spark: SparkSession, path: str, post_schema: T.StructTyp
     """Posts of an exported analysis document (``{"posts": [...]}`` or a bare list).
 
     A missing file yields an empty frame with the schema.  ``path`` may be on any file system Spark
-    reads; a folder written by ``write_analysis`` is read from its ``posts`` part.  Rows without
-    ``seq`` are numbered in document order.
+    reads; a folder written by ``write_analysis`` is read from its ``posts`` part.  One document is split at its
+    objects' borders (``chorus.sources.document``), so many tasks share it.  Where no row has a ``seq``, rows
+    are numbered in document order.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], post_schema)
     inner = f"{path.rstrip('/')}/posts"
     if path_exists(spark, inner):
         return _numbered(spark.read.schema(post_schema).json(inner), post_schema)
+    if not _is_folder(spark, path):
+        rows = read_document(spark, path, {"posts": post_schema})["posts"]
+        return (numbered(rows) if "seq" in post_schema.fieldNames() else rows).select(*post_schema.fieldNames())
     wide = T.StructType([T.StructField("posts", T.ArrayType(post_schema)), *post_schema.fields])
     doc = spark.read.schema(wide).option("multiLine", True).json(path)  # a bare list gives one row per post
     own = F.array(F.struct(*[F.col(c) for c in post_schema.fieldNames()]))
@@ -265,9 +270,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def read_graph(spark: SparkSession, path: str):
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
+
+
+def read_graph(spark: SparkSession, path: str, node_schema: T.StructType | None = None, link_schema: T.StructType | None = None):
     """Node-link JSON → (nodes, edges) DataFrames.
 
+    With schemas (``source`` and ``target`` among the links' fields) attributes are typed columns; without, a document's
+    attributes are a map of strings.
+
     Reads a single node-link document (``{"nodes": [...], "links": [...]}``)
     or the split form written by ``chorus.plans.export.write_node_link``
     (``nodes/`` and ``links/`` JSON-lines folders).
@@ -277,15 +290,15 @@ def read_graph(spark: SparkSession, path: str):
         nodes = spark.read.json(f"{path}/nodes")
         links = spark.read.json(f"{path}/links")
         return nodes, links.withColumnRenamed("source", "src").withColumnRenamed("target", "dst")
-    schema = T.StructType([
-        T.StructField("nodes", T.ArrayType(T.MapType(S, S))),
-        T.StructField("links", T.ArrayType(T.MapType(S, S)))])
-    g = spark.read.schema(schema).option("multiLine", True).json(path)
-    nodes = g.select(F.explode("nodes").alias("n")).select(F.col("n")["id"].alias("id"), F.col("n").alias("attrs"))
-    edges = g.select(F.explode("links").alias("e")).select(
-        F.col("e")["source"].alias("src"), F.col("e")["target"].alias("dst"),
-        F.col("e")["weight"].cast("double").alias("weight"), F.col("e").alias("attrs"))
-    return nodes, edges
+    attrs = T.MapType(S, S)
+    doc = read_document(spark, path, {"nodes": node_schema or attrs, "links": link_schema or attrs})
+    nodes, edges = doc["nodes"].drop("_place"), doc["links"].drop("_place")
+    if node_schema is None:
+        nodes = nodes.select(F.col("e")["id"].alias("id"), F.col("e").alias("attrs"))
+    if link_schema is None:
+        return nodes, edges.select(F.col("e")["source"].alias("src"), F.col("e")["target"].alias("dst"),
+                                   F.col("e")["weight"].cast("double").alias("weight"), F.col("e").alias("attrs"))
+    return nodes, edges.withColumnRenamed("source", "src").withColumnRenamed("target", "dst")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
