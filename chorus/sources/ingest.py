@@ -63,9 +63,6 @@ COMMENT_SCHEMA = T.StructType([
 ])
 
 
-SOURCE_BITS = 56  # seq of one source lies below 2**56; the source's rank goes above
-
-
 def _ordered(raw: DataFrame, seq: Column | None):
     return (raw, seq) if seq is not None else (landed(raw), F.col("seq"))
 
@@ -304,12 +301,20 @@ def read_graph(spark: SparkSession, path: str, node_schema: T.StructType | None
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Concatenate post frames (no distinct), filling missing columns with nulls.
 
-    ``seq`` stays unique and keeps the order of the frames: the frame's rank goes above the
-    ``SOURCE_BITS`` of its own numbers.  Unite all sources in one call: a second union of numbered
-    sources would overflow, which raises an error.
+    ``seq`` stays unique and keeps the order of the frames and the order inside each: a frame's numbers are moved
+    behind the span of the frames before it (one narrow scan of ``seq`` finds the spans).  So unions can be united
+    again, with any number of sources; only spans of more than 2**63 in all are an error.
     """
-    ranked = [f.withColumn("seq", F.col("seq") + F.lit(i * (1 << SOURCE_BITS))) for i, f in enumerate(frames)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked).select(*POST_COLUMNS)
+    spans = reduce(DataFrame.unionByName, [f.select(F.lit(i).alias("frame"), "seq") for i, f in enumerate(frames)])
+    spans = {r["frame"]: (r["low"], r["high"]) for r in spans.groupBy("frame").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).collect()}
+    moved, start = [], 0
+    for i, f in enumerate(frames):
+        low, high = spans.get(i, (0, -1))
+        if start + high - low >= 1 << 63:
+            raise OverflowError("the sources' numbers span more than 2**63")
+        moved.append(f.withColumn("seq", F.col("seq") - F.lit(low) + F.lit(start)) if start != low else f)
+        start += high - low + 1
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), moved).select(*POST_COLUMNS)
 
 
 def collection_stats(posts: DataFrame) -> DataFrame:

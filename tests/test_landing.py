@@ -131,3 +131,17 @@ def test_limit_per_subreddit(make_posts):
     posts = make_posts([post(i, platform="reddit", subreddit=f"s{i % 3}") for i in range(30)])
     assert FL.limit_per_subreddit(posts, 4).count() == 12
     assert FL.limit_per_subreddit(posts, 4, total=5).count() == 8
+
+
+def test_unions_of_unions_keep_order_and_never_share_numbers(spark, landing):
+    tweets, reddit = I.read_tweets(spark, f"{landing}/tweets", "q"), I.read_submissions(spark, f"{landing}/reddit", "q")
+    nested = I.union_sources(I.union_sources(tweets, spark.createDataFrame([], POST_SCHEMA)), I.union_sources(reddit, tweets))
+    flat = I.union_sources(tweets, reddit, tweets)
+    for posts in (nested, flat):
+        rows = posts.orderBy("seq").collect()
+        assert [r["id"] for r in rows] == ["0", "1", "2", "3", "s0", "s1", "s2", "s3", "0", "1", "2", "3"]
+        assert len({r["seq"] for r in rows}) == 12
+        flags = D.dedup_flags(posts).orderBy("seq").collect()
+        assert [r["dup_type"] for r in flags] == [None] * 4 + ["content"] + [None] * 3 + ["exact_id"] * 4
+    many = I.union_sources(*[tweets] * 12)
+    assert many.count() == many.select("seq").distinct().count() == 48
