@@ -8,6 +8,9 @@ classes are valid RE2 syntax, so the DuckDB oracles reuse these strings.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,22 +85,71 @@ def content_hash(text) -> Column:
     return F.sha2(normalize_content(text), 256)
 
 
-def demojize(text) -> Column:
-    """Replace the listed emoji by `` name `` (space delimited).
-
-    One character-class scan decides whether any listed emoji occurs; only
-    those texts pay for the replacements.
+@lru_cache(maxsize=1)
+def emoji_names() -> dict[str, str]:
+    """Emoji → name.  The listed names, and by rule for every other code point with the Unicode property Emoji
+    (beyond ASCII) its Unicode name in lower case with ``_``.  Where the reference's table uses another short
+    name, pass a table."""
+    try:
+        import regex
+        is_emoji = regex.compile(r"\p{Emoji}").match
+    except ImportError:  # without the property: the symbols of the emoji blocks
+        blocks = ((0x1F300, 0x1FAFF), (0x2600, 0x27BF), (0x1F000, 0x1F2FF), (0x2300, 0x23FF), (0x2B00, 0x2BFF))
+        is_emoji = lambda ch: unicodedata.category(ch) == "So" and any(a <= ord(ch) <= b for a, b in blocks)
+    out = {chr(c): unicodedata.name(chr(c), "").lower().replace(" ", "_").replace("-", "_")
+           for c in (*range(0xA0, 0x3300), *range(0x1F000, 0x1FB00)) if is_emoji(chr(c)) and not 0x1F3FB <= c <= 0x1F3FF}
+    listed = {cp: name.strip(":") for name, cp in {**POSITIVE_EMOJI, **NEGATIVE_EMOJI}.items()}
+    return {e: n for e, n in out.items() if n} | listed
+
+
+#: Skin tone modifiers and what they add to a name.
+SKIN_TONES = {"\U0001F3FB": "_light_skin_tone", "\U0001F3FC": "_medium_light_skin_tone", "\U0001F3FD": "_medium_skin_tone",
+              "\U0001F3FE": "_medium_dark_skin_tone", "\U0001F3FF": "_dark_skin_tone"}
+_TONE = "[\\x{1F3FB}-\\x{1F3FF}]"
+_SELECTOR = "\uFE0F"
+
+
+def emoji_pattern(names: dict[str, str]) -> str:
+    """One pattern for a whole table: sequences first, the longest first, then the single code points as a class, each
+    with an optional selector and skin tone."""
+    singles = sorted(ord(e) for e in names if len(e) == 1)
+    ranges: list[list[int]] = []
+    for c in singles:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    parts = ["".join(f"\\x{{{ord(c):X}}}" for c in e) for e in sorted((e for e in names if len(e) > 1), key=lambda e: (-len(e), e))]
+    if ranges:
+        parts.append("[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]")
+    return f"(?:{'|'.join(parts)})(?:{_TONE}|{_SELECTOR})?"
+
+
+def demojize(text, names: dict[str, str] | None = None) -> Column:
+    """Replace the emoji of a table (emoji → name, sequences with joiners and skin tones included) by `` name ``
+    (space delimited); by default ``emoji_names()``.
+
+    The longest entry wins at each place; a skin tone behind an entry that the table has only without goes
+    into the name, a variation selector goes.  Each text is matched once, whatever the table's size; texts
+    without an emoji pay for the search only.
     """
-    t = _c(text)
-    listed = {**POSITIVE_EMOJI, **NEGATIVE_EMOJI}
-    replaced = t
-    for name, cp in listed.items():
-        replaced = F.replace(replaced, F.lit(cp), F.lit(f" {name.strip(':')} "))
-    any_listed = None
-    for cp in listed.values():  # native byte searches, no regex decode pass
-        hit = F.contains(t, F.lit(cp))
-        any_listed = hit if any_listed is None else any_listed | hit
-    return F.when(any_listed, replaced).otherwise(t)
+    t, names = _c(text), emoji_names() if names is None else names
+    if not names:
+        return t
+    pattern = emoji_pattern(names)
+    literal = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    tones = F.create_map(*[F.lit(x) for pair in SKIN_TONES.items() for x in pair])
+
+    def name_of(m: Column) -> Column:
+        last = F.right(m, F.lit(1))
+        base = F.when(F.try_element_at(literal, m).isNull(), F.left(m, F.char_length(m) - 1)).otherwise(m)
+        tone = F.when(base == m, F.lit("")).otherwise(F.coalesce(F.try_element_at(tones, last), F.lit("")))
+        return F.concat(F.lit(" "), F.try_element_at(literal, base), tone, F.lit(" "))
+
+    found = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), name_of)
+    between = F.split(t, pattern, -1)
+    replaced = F.array_join(F.zip_with(between, found, lambda x, m: F.concat(x, F.coalesce(m, F.lit("")))), "")
+    return F.when(t.rlike(pattern), replaced).otherwise(t)
 
 
 def char_count(text, ch: str) -> Column:
@@ -106,9 +158,9 @@ def char_count(text, ch: str) -> Column:
     return (F.char_length(t) - F.char_length(F.replace(t, F.lit(ch), F.lit("")))).cast("bigint")
 
 
-def clean_text(text) -> Column:
+def clean_text(text, names: dict[str, str] | None = None) -> Column:
     """Emoji → names, drop URLs, ``@x`` → ``x``, ``#x`` → ``x``, collapse whitespace."""
-    t = demojize(F.coalesce(_c(text), F.lit("")))
+    t = demojize(F.coalesce(_c(text), F.lit("")), names)
     t = F.regexp_replace(t, URL, "")
     t = F.regexp_replace(t, AT_OR_HASH_MARK, "")
     return collapse_space(t)

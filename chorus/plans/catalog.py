@@ -1804,3 +1804,118 @@ FROM o JOIN vol d ON d.platform = o.platform AND d.unit = 'day'
 """))
 def q_volatility_by_platform(spark, sf_dir):
     return rounded(S.volatility(gapped(spark, sf_dir), by=["platform"]))
+
+
+# --------------------------------------------------------------------------- documents, charts, report lists
+
+def _landing(spark, name):
+    import uuid
+
+    from chorus.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("analysis_document", oracle("""
+SELECT seq, id, platform, author, md5(content) AS content_md5, title, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp,
+       round(engagement_total, 6) AS engagement_total, query, CASE WHEN sentiment <> 'UNKNOWN' THEN sentiment END AS sentiment
+FROM flat"""))
+def q_analysis_document(spark, sf_dir):
+    """All posts written as one JSON document and read back at its objects' borders."""
+    from chorus.functions import columns as C
+    from chorus.plans import export as E
+    from chorus.schema import POST_SCHEMA
+    from chorus.sources import ingest as I
+    path = f"{_landing(spark, 'document')}.json"
+    E.write_analysis_document({}, posts(spark, sf_dir), path, {"queries": ["all"]})
+    p = I.read_analysis_posts(spark, path, POST_SCHEMA)
+    return rounded(p.select("seq", "id", "platform", "author", F.md5("content").alias("content_md5"), "title",
+                            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+                            C.engagement_total().alias("engagement_total"), "query", F.col("sentiment.label").alias("sentiment")))
+
+
+@register("graph_document", oracle(_MENTION_SQL + "SELECT src, dst, weight FROM mg"))
+def q_graph_document(spark, sf_dir):
+    """The mention graph written as one node-link document and read back with its types."""
+    from chorus.plans import export as E
+    from chorus.sources import ingest as I
+    path = f"{_landing(spark, 'graph')}.json"
+    g = G.mention_graph(G.mention_edges(posts(spark, sf_dir))).select("src", "dst", "weight")
+    nodes = g.select(F.col("src").alias("id")).union(g.select("dst")).distinct()
+    E.write_node_link(nodes, g, path, document=True)
+    weight = g.schema["weight"].dataType
+    _, links = I.read_graph(spark, path, nodes.schema, T.StructType().add("source", "string").add("target", "string").add("weight", weight))
+    return links.select("src", "dst", "weight")
+
+
+_EMOJI = sorted(X.emoji_names())
+
+
+@register("clean_text_emoji", oracle(f"""
+, e AS (SELECT [{", ".join("'" + X.emoji_names()[e] + "'" for e in _EMOJI)}] AS names),
+t AS (SELECT seq, content || ' ' || ' ' || names[seq % {len(_EMOJI)} + 1] || ' ' || 'end' AS c FROM posts, e)
+SELECT seq, md5(c) AS cleaned_md5, CAST(length(c) AS BIGINT) AS cleaned_length
+FROM (SELECT seq, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '{X.URL}', '', 'g'),
+        '@({X.WORD}+)', '\\1', 'g'), '{X.HASHTAG}', '\\1', 'g'), '{X.SPACE}+', ' ', 'g')) AS c FROM t)"""))
+def q_clean_text_emoji(spark, sf_dir):
+    """P9 with an emoji in every post, all names of the table in turn."""
+    p = posts(spark, sf_dir)
+    emoji = F.element_at(F.split(F.lit("|".join(_EMOJI)), "[|]"), (F.col("seq") % len(_EMOJI) + 1).cast("int"))
+    c = X.clean_text(F.concat("content", F.lit(" "), emoji, F.lit("end")))
+    return p.select("seq", F.md5(c).alias("cleaned_md5"), F.char_length(c).cast("bigint").alias("cleaned_length"))
+
+
+@register("posts_in_lookback", oracle("SELECT seq FROM posts WHERE ts >= TIMESTAMP '2024-01-18 12:00:00' AND ts <= TIMESTAMP '2024-01-25 12:00:00'"))
+def q_posts_in_lookback(spark, sf_dir):
+    import datetime as dt
+    start, end = FL.lookback_range(7, dt.datetime(2024, 1, 25, 12))
+    return FL.in_date_range(posts(spark, sf_dir), start, end).select("seq")
+
+
+@register("tweet_media", oracle("""
+SELECT id, seq, array_to_string(list_transform(range(seq % 3), lambda i: CASE WHEN i = 0 THEN 'photo' ELSE 'video' END), '|') AS media_types,
+       CASE WHEN seq % 4 = 0 THEN CAST(seq % 90 AS DOUBLE) END AS lat, CASE WHEN seq % 4 = 0 THEN CAST(seq % 180 AS DOUBLE) END AS lon
+FROM posts WHERE platform = 'twitter'"""))
+def q_tweet_media(spark, sf_dir):
+    """Media types and coordinates of landed tweets."""
+    from chorus.sources import ingest as I
+    k = F.col("seq")
+    media = F.transform(F.slice(F.array(F.lit("photo"), F.lit("video")), 1, (k % 3).cast("int")), lambda m: F.struct(m.alias("type")))
+    place = F.when(k % 4 == 0, F.struct((k % 90).cast("double").alias("latitude"), (k % 180).cast("double").alias("longitude")))
+    raw = posts(spark, sf_dir).where("platform = 'twitter'").select("seq", F.to_json(F.struct("id", F.col("timestamp").alias("date"), media.alias("media"),
+                                                                                              place.alias("coordinates"))).alias("value"))
+    tweets = raw.select("seq", F.from_json("value", I.TWEET_SCHEMA).alias("t")).select("seq", "t.*")
+    p = I.tweets_to_posts(tweets, "landed", F.col("seq"))
+    return p.select("id", "seq", F.array_join("metadata.media_types", "|").alias("media_types"),
+                    F.col("metadata.coordinates.lat").alias("lat"), F.col("metadata.coordinates.lon").alias("lon"))
+
+
+def _chart(name):
+    def run(spark, sf_dir):
+        from chorus.plans import export as E
+        return rounded(E.chart_tables(flat(spark, sf_dir), posts(spark, sf_dir))[name])
+    return run
+
+
+for _name, _sql in (("sentiment_pie", oracle("SELECT sentiment, count(*) AS count FROM flat GROUP BY sentiment")),
+                    ("sentiment_bar", oracle("SELECT sentiment, count(*) AS count FROM flat GROUP BY sentiment")),
+                    ("platform_comparison", f"SELECT * FROM {_sub('by_platform')}"),
+                    ("top_hashtags", f"SELECT * FROM {_sub('top_hashtags')} ORDER BY count DESC, term LIMIT 10")):
+    register(f"chart_{_name}", _sql)(_chart(_name))
+
+
+@register("report_top_hashtags", f"SELECT * FROM {_sub('top_hashtags')} ORDER BY count DESC, term LIMIT 20")
+def q_report_top_hashtags(spark, sf_dir):
+    from chorus.plans import export as E
+    return E.report_cuts({"top_hashtags": A.top_terms(posts(spark, sf_dir), "hashtags")})["top_hashtags"]
+
+
+@register("report_most_active_authors", f"SELECT * FROM {_sub('most_active_authors')} ORDER BY posts DESC, author LIMIT 10")
+def q_report_most_active_authors(spark, sf_dir):
+    from chorus.plans import export as E
+    return E.report_cuts({"most_active_authors": A.most_active_authors(flat(spark, sf_dir))})["most_active_authors"]
+
+
+@register("report_anomalies", f"SELECT * FROM {_sub('anomalies_by_query')} ORDER BY abs(z_score) DESC, date LIMIT 10")
+def q_report_anomalies(spark, sf_dir):
+    from chorus.plans import export as E
+    return rounded(E.report_cuts({"ts_anomalies": QUERIES["anomalies_by_query"](spark, sf_dir)})["ts_anomalies"])

@@ -61,3 +61,23 @@ def test_emoji_and_demojize(spark):
     assert got == [1.0, 0.0, 0.0]
     assert one(spark, X.clean_text, "hi\U0001F44Dthere") == "hi thumbs_up there"
     assert one(spark, lambda c: X.char_count(c, "!"), "a!b!!") == 3
+
+
+def test_every_name_of_an_emoji_table(spark):
+    names = X.emoji_names()
+    assert len(names) > 1000 and names["\U0001F604"] == "smile" and all(n.strip() and " " not in n for n in names.values())
+    df = spark.createDataFrame([(f"a{e}b{e}", n) for e, n in names.items()], "t string, n string")
+    got = df.select(X.demojize(F.col("t")).alias("t"), "n").collect()
+    assert [r["t"] for r in got] == [f"a {r['n']} b {r['n']} " for r in got]
+
+
+def test_emoji_sequences_longest_first_with_joiners_and_tones(spark):
+    man, laptop, zwj, tone, vs = "\U0001F468", "\U0001F4BB", "‍", "\U0001F3FD", "️"
+    names = {man: "man", laptop: "laptop", man + zwj + laptop: "man_technologist", man + tone + zwj + laptop: "dark_technologist", "❤": "red_heart",
+             "\U0001F1E9\U0001F1EA": "germany"}
+    texts = {f"x{man}{zwj}{laptop}y": "x man_technologist y", f"{man}{tone}{zwj}{laptop}": " dark_technologist ", f"{man}{tone}!": " man_medium_skin_tone !",
+             f"{man}{laptop}{man}": " man  laptop  man ", f"❤{vs}❤": " red_heart  red_heart ", "\U0001F1E9\U0001F1EA": " germany ",
+             "plain": "plain", "": "", "\U0001F600": "\U0001F600"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", X.demojize(F.col("t"), names).alias("d")).collect()} == texts
+    assert df.select(X.demojize(F.col("t"), {}).alias("d")).first()["d"] is not None
