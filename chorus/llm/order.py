@@ -1,16 +1,18 @@
 """Training-order materialisation: every token sequence gets a global slot by a keyed Feistel permutation
 with cycle-walking, and range partitions write the sequences in slot order as fixed-stride shards.
 
-* Sequences: each task lays its documents' ids (with ``eos``) end to end and cuts them every
-  ``seq_len`` ids; the last sequence of a task is filled with ``pad``.  Numbers are dense: a first pass
-  counts each task's sequences, offsets are prefix sums of those counts.
+* Sequences: texts are tokenised once and their ids staged.  Documents (ids with ``eos``) lie end to end in the
+  order of (id, checksum of the ids) and are cut every ``seq_len`` ids; only the very last sequence is filled with
+  ``pad``.  A document's place is a prefix sum of counts over range partitions, so the order follows from the
+  data and the key alone, not from files or tasks; equal rows are interchangeable.
 * Slots: a balanced Feistel network over the smallest even number of bits that holds ``n`` is a keyed
   permutation of ``[0, 2**bits)``; walking the cycle until the value is below ``n`` makes it one of
   ``[0, n)``.  A slot follows from (key, number, n) alone, so any reader can find any sequence, and the
   inverse gives the number back.
 * Shards: slot ``s`` lies in shard ``s // shard_slots`` at record ``s % shard_slots``.  Every record has the
   same number of bytes (stride), so a run resumes at byte ``record * stride`` of a shard's payload; shards
-  are written by tasks that own whole slot ranges, sorted, one Parquet file a shard.
+  are written by tasks that own whole slot ranges, sorted, one Parquet file a shard.  ``write_binary`` turns them
+  into plain files of fixed-stride records, read by one seek.
 """
 
 from __future__ import annotations
@@ -20,12 +22,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorus.llm import tokens
-from chorus.llm.common import chunks, ready
+from chorus.llm.common import chunks, ready, stage
 from chorus.session import ensure_checkpoint_dir
 
 _MASK = (1 << 64) - 1
@@ -88,67 +89,87 @@ def slot_of(number: Column, n: int, key: int, rounds: int = 6) -> Column:
     return udf(number)
 
 
-def _count(path, seq_len):
+def _tokenised(path, eos):
+    """Rows (doc_id, n, crc, ids) of documents; the checksum is over 32-bit ids."""
     def run(batches):
-        enc, total = tokens.encoder(path), 0
+        enc = tokens.encoder(path)
         for whole in batches:
-            for batch in chunks(whole, "text"):
-                total += int(enc.lengths(batch.column("text")).sum()) + batch.num_rows
-        n = -(-total // seq_len)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()),
-                                          pa.array([total], pa.int64())], names=["part", "sequences", "ids"])
+            for batch in chunks(whole, "text", 4 << 20):
+                ids, at = enc.encode(batch.column("text"), eos)
+                raw = ids.astype(ids.dtype.newbyteorder("<"))
+                parts = [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in parts]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()),
+                                                  pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "n", "crc", "ids"])
     return run
 
 
+_PIECE = "slot long, number long, at int, doc_id long, start long, ids binary"
 _COLS = [("number", pa.int64()), ("slot", pa.int64()), ("n_ids", pa.int32()), ("first_doc", pa.int64()), ("first_start", pa.int64()),
          ("last_doc", pa.int64()), ("ids", pa.binary())]
 
 
-def _sequences(path, eos, pad, seq_len, sent, n, key, rounds):
+def _cut(seq_len, width, n, key, rounds):
+    """Documents with their place in the stream -> their parts of sequences."""
     def run(batches):
-        enc = tokens.encoder(path)
-        number, planned = sent.value.get(TaskContext.get().partitionId(), (0, 0))
-        end = number + planned
-        rest = np.zeros(0, enc.dtype)
-        marks: list[tuple[int, int | None, int]] = []  # (place in the stream, document, its ids before this place)
-        done = 0  # ids already written
-
-        def emit(ids, count):
-            nonlocal number, done, marks
-            nums = number + np.arange(count)
-            slots = feistel(nums, n, key, rounds)
-            places = np.array([m[0] for m in marks], np.int64)
-            rows = []
-            for i in range(count):
-                a, b = done + i * seq_len, min(done + (i + 1) * seq_len, done + len(ids))
-                f, last = np.searchsorted(places, a, "right") - 1, np.searchsorted(places, b - 1, "right") - 1
-                one = ids[i * seq_len:(i + 1) * seq_len]
-                if len(one) < seq_len:
-                    one = np.concatenate([one, np.full(seq_len - len(one), pad, enc.dtype)])
-                rows.append((int(nums[i]), int(slots[i]), b - a, marks[f][1], marks[f][2] + a - marks[f][0], marks[last][1],
-                             one.astype(one.dtype.newbyteorder("<")).tobytes()))
-            number += count
-            done += min(len(ids), count * seq_len)
-            cut = np.searchsorted(places, done, "right") - 1
-            marks = marks[max(0, cut):]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _COLS)], names=[c for c, _ in _COLS])
+        for batch in batches:
+            place, size = batch.column("place").to_numpy(), batch.column("n").to_numpy()
+            first, last = place // seq_len, (place + size - 1) // seq_len
+            many = last - first + 1
+            row = np.repeat(np.arange(len(place)), many)
+            number = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            low = np.maximum(number * seq_len - place[row], 0)  # in the document
+            high = np.minimum((number + 1) * seq_len - place[row], size[row])
+            at = place[row] + low - number * seq_len
+            ids = batch.column("ids").to_pylist()
+            parts = [ids[r][width * a:width * b] for r, a, b in zip(row.tolist(), low.tolist(), high.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(feistel(number, n, key, rounds)), pa.array(number), pa.array(at.astype(np.int32)),
+                 batch.column("doc_id").take(pa.array(row)), pa.array(low), pa.array(parts, pa.binary())],
+                names=["slot", "number", "at", "doc_id", "start", "ids"])
+    return run
 
-        for whole in batches:
-            for batch in chunks(whole, "text"):
-                ids, at = enc.encode(batch.column("text"), eos)
-                base = done + len(rest)
-                marks += [(base + int(a), d, 0) for a, d in zip(at[:-1], batch.column("doc_id").to_pylist())]
-                rest = np.concatenate([rest, ids])
-                if whole_ := len(rest) // seq_len:
-                    yield emit(rest[:whole_ * seq_len], whole_)
-                    rest = rest[whole_ * seq_len:].copy()
-        if len(rest):
-            yield emit(rest, 1)
-        if number != end:
-            raise RuntimeError("the input changed between the two passes; write it to a table first")
+
+def _joined(seq_len, width, pad):
+    """Parts in (slot, at) order -> whole sequences; one sequence is held at a time."""
+    def run(batches):
+        fill, cur = int(pad).to_bytes(width, "little"), None
+
+        def close(c):
+            raw = b"".join(c["ids"])
+            return (c["number"], c["slot"], len(raw) // width, c["first_doc"], c["first_start"], c["last_doc"],
+                    raw + fill * (seq_len - len(raw) // width))
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_COLS)], names=[c for c, _ in _COLS])
+
+        for batch in batches:
+            rows = []
+            for slot, number, doc, start, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "number", "doc_id", "start", "ids"))):
+                if cur is None or cur["slot"] != slot:
+                    if cur is not None:
+                        rows.append(close(cur))
+                    cur = {"slot": slot, "number": number, "first_doc": doc, "first_start": start, "ids": []}
+                cur["ids"].append(ids)
+                cur["last_doc"] = doc
+            yield table(rows)
+        if cur is not None:
+            yield table([close(cur)])
     return run
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """row, place: how many ids lie before each row in (doc_id, crc, row) order; no task holds more than its range."""
+    by = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("row")]
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(rows.select("doc_id", "crc", "row", "n").repartitionByRange(width, *by).withColumn("part", F.spark_partition_id()), "order-ranges")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("t")).select(  # one row a range partition
+        "part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("start"))
+    local = F.sum("n").over(Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return ranged.withColumn("local", local).join(starts, "part").select("row", (F.col("start") + F.col("local")).alias("place"))
+
+
 def _digest(width):
     def run(batches):
         for b in batches:
@@ -172,20 +193,21 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = 2048, s
     tok = tokenizer or tokens.default_path()
     path = path or f"{ensure_checkpoint_dir(spark)}/order-{uuid.uuid4().hex}"
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # one row per task: the number of tasks bounds what the driver holds
-    parts = src.mapInArrow(_count(tok, seq_len), "part int, sequences long, ids long").collect()
-    starts, n = {}, 0
-    for r in sorted(parts, key=lambda r: r["part"]):
-        starts[r["part"]] = (n, r["sequences"])
-        n += r["sequences"]
+    rows = stage(src.mapInArrow(_tokenised(tok, eos), "doc_id long, n long, crc long, ids binary")
+                 .withColumn("row", F.monotonically_increasing_id()), "order-ids")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    n = -(-total // seq_len)
     width = np.dtype(tokens.encoder(tok).dtype).itemsize
     stride, shards = seq_len * width, max(1, -(-n // shard_slots))
-    seqs = src.mapInArrow(_sequences(tok, eos, pad, seq_len, spark.sparkContext.broadcast(starts), max(1, n), key, rounds),
-                          "number long, slot long, n_ids int, first_doc long, first_start long, last_doc long, ids binary")
+    parts = rows.select("row", "doc_id", "n", "ids").join(_places(rows), "row").select("place", "n", "doc_id", "ids")
+    parts = (parts.mapInArrow(_cut(seq_len, width, max(1, n), key, rounds), _PIECE)
+             .repartitionById(shards, F.expr(f"cast(slot div {shard_slots} as int)")).sortWithinPartitions("slot", "at"))
+    seqs = parts.mapInArrow(_joined(seq_len, width, pad),
+                            "number long, slot long, n_ids int, first_doc long, first_start long, last_doc long, ids binary")
     seqs = (seqs.withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)")).withColumn("record", F.expr(f"cast(slot % {shard_slots} as int)"))
             .withColumn("byte_offset", F.col("record").cast("long") * stride))
-    # a task owns whole shards: the shard number itself deals the rows out, one file per shard
-    seqs = seqs.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    # a task owns whole shards: the shard number itself dealt the parts out, one file per shard, in slot order
+    seqs = seqs.sortWithinPartitions("shard", "slot")
     seqs.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     schema = ("number long, slot long, n_ids int, first_doc long, first_start long, last_doc long, ids binary, record int, "
               "byte_offset long, shard int")
@@ -206,3 +228,18 @@ def read_slots(spark: SparkSession, path: str, start: int, count: int, shard_slo
     first, last = start // shard_slots, (start + count - 1) // shard_slots
     return (spark.read.parquet(path).where(F.col("shard").between(first, last) & F.col("slot").between(start, start + count - 1))
             .orderBy("slot"))
+
+
+def write_binary(written: DataFrame, path: str) -> None:
+    """Plain shard files ``shard=<k>/part-*`` of fixed-stride records: the ids, little-endian, and one newline byte.
+    Record r starts at byte ``r * (stride + 1)``, stride being the bytes of a sequence's ids."""
+    (written.select(F.col("ids").cast("string").alias("value"), "shard", "slot").repartition("shard").sortWithinPartitions("shard", "slot")
+     .select("value", "shard").write.partitionBy("shard").text(path))
+
+
+def read_record(file: str, record: int, seq_len: int, dtype: str = "<u2") -> np.ndarray:
+    """One record of a plain shard file: a seek and a read."""
+    stride = seq_len * np.dtype(dtype).itemsize
+    with open(file, "rb") as f:
+        f.seek(record * (stride + 1))
+        return np.frombuffer(f.read(stride), dtype)
