@@ -1,10 +1,12 @@
 """Training-order materialisation: every token sequence gets a global slot by a keyed Feistel permutation
 with cycle-walking, and range partitions write the sequences in slot order as fixed-stride shards.
 
-* Sequences: texts are tokenised once and their ids staged.  Documents (ids with ``eos``) lie end to end in the
-  order of (id, checksum of the ids) and are cut every ``seq_len`` ids; only the very last sequence is filled with
-  ``pad``.  A document's place is a prefix sum of counts over range partitions, so the order follows from the
-  data and the key alone, not from files or tasks; equal rows are interchangeable.
+* Sequences: texts are tokenised once and their ids dealt out by ranges of a hash of (id, checksum of the ids).
+  Documents (ids with ``eos``) lie end to end in the order of that hash and are cut every ``seq_len`` ids; only the
+  very last sequence is filled with ``pad``.  A document's place is the number of ids in the ranges before its
+  own (one row a range) plus a running count, so the order follows from the data and the key alone, not from
+  files, tasks or settings; equal rows are interchangeable.  Both the ranges' counts and the sequences are made from
+  the one shuffle.
 * Slots: a balanced Feistel network over the smallest even number of bits that holds ``n`` is a keyed
   permutation of ``[0, 2**bits)``; walking the cycle until the value is below ``n`` makes it one of
   ``[0, n)``.  A slot follows from (key, number, n) alone, so any reader can find any sequence, and the
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorus.llm import tokens
-from chorus.llm.common import chunks, ready, stage
+from chorus.llm.common import chunks, ready
 from chorus.session import ensure_checkpoint_dir
 
 _MASK = (1 << 64) - 1
@@ -109,11 +111,21 @@ _COLS = [("number", pa.int64()), ("slot", pa.int64()), ("n_ids", pa.int32()), ("
          ("last_doc", pa.int64()), ("ids", pa.binary())]
 
 
-def _cut(seq_len, width, n, key, rounds):
-    """Documents with their place in the stream -> their parts of sequences."""
+def _cut(seq_len, width, key, rounds):
+    """Documents of a range, in order -> their parts of sequences.  ``before`` are the ids in earlier ranges, ``n_all`` all ids,
+    ``last`` the checksum that must stand at the range's end."""
     def run(batches):
+        part, done = None, 0
         for batch in batches:
-            place, size = batch.column("place").to_numpy(), batch.column("n").to_numpy()
+            size, own = batch.column("n").to_numpy(), batch.column("part").to_numpy()
+            if batch.num_rows == 0:
+                continue
+            if part is not None and (own != part).any() or (own != own[0]).any():
+                raise RuntimeError("a task holds one range")
+            part = own[0]
+            n = -(-batch.column("n_all")[0].as_py() // seq_len)
+            place = batch.column("before").to_numpy() + done + np.cumsum(size) - size
+            done += int(size.sum())
             first, last = place // seq_len, (place + size - 1) // seq_len
             many = last - first + 1
             row = np.repeat(np.arange(len(place)), many)
@@ -127,6 +139,9 @@ def _cut(seq_len, width, n, key, rounds):
                 [pa.array(feistel(number, n, key, rounds)), pa.array(number), pa.array(at.astype(np.int32)),
                  batch.column("doc_id").take(pa.array(row)), pa.array(low), pa.array(parts, pa.binary())],
                 names=["slot", "number", "at", "doc_id", "start", "ids"])
+            end = batch.column("end")[0].as_py()
+        if part is not None and done != end:
+            raise RuntimeError("the input changed between two reads; write it to a table first")
     return run
 
 
@@ -158,16 +173,18 @@ def _joined(seq_len, width, pad):
     return run
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """row, place: how many ids lie before each row in (doc_id, crc, row) order; no task holds more than its range."""
-    by = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("row")]
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(rows.select("doc_id", "crc", "row", "n").repartitionByRange(width, *by).withColumn("part", F.spark_partition_id()), "order-ranges")
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("part").agg(F.sum("n").alias("t")).select(  # one row a range partition
-        "part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("start"))
-    local = F.sum("n").over(Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return ranged.withColumn("local", local).join(starts, "part").select("row", (F.col("start") + F.col("local")).alias("place"))
+def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
+    """``docs`` (doc_id, n, crc, ids) in ``ranges`` tasks by the hash ``h``, each with its number ``part``, the ids ``before`` it,
+    its own ``end`` and all ids ``n_all``."""
+    h = F.xxhash64("doc_id", "crc")
+    part = F.shiftright(F.shiftrightunsigned("h", 40) * F.lit(ranges), 24).cast("int")
+    dealt = docs.withColumn("h", h).withColumn("part", part).repartitionById(ranges, F.col("part"))
+    # the counts read every column, so that Spark finds the same shuffle on both sides and tokenises once
+    counts = dealt.groupBy("part").agg(F.sum("n").alias("end"), F.max(F.struct("h", "doc_id", "crc", F.octet_length("ids").alias("size"))).alias("last"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    counts = counts.select(F.col("part").alias("range"), "end", "last", F.coalesce(F.sum("end").over(earlier), F.lit(0)).alias("before"),
+                           F.sum("end").over(Window.partitionBy()).alias("n_all"))
+    return dealt.join(F.broadcast(counts), F.col("part") == F.col("range")).drop("range")
 
 
 def _digest(width):
@@ -193,25 +210,23 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = 2048, s
     tok = tokenizer or tokens.default_path()
     path = path or f"{ensure_checkpoint_dir(spark)}/order-{uuid.uuid4().hex}"
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage(src.mapInArrow(_tokenised(tok, eos), "doc_id long, n long, crc long, ids binary")
-                 .withColumn("row", F.monotonically_increasing_id()), "order-ids")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    n = -(-total // seq_len)
+    rows = src.mapInArrow(_tokenised(tok, eos), "doc_id long, n long, crc long, ids binary")
     width = np.dtype(tokens.encoder(tok).dtype).itemsize
-    stride, shards = seq_len * width, max(1, -(-n // shard_slots))
-    parts = rows.select("row", "doc_id", "n", "ids").join(_places(rows), "row").select("place", "n", "doc_id", "ids")
-    parts = (parts.mapInArrow(_cut(seq_len, width, max(1, n), key, rounds), _PIECE)
-             .repartitionById(shards, F.expr(f"cast(slot div {shard_slots} as int)")).sortWithinPartitions("slot", "at"))
+    stride = seq_len * width
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = _ranged(rows, ranges).sortWithinPartitions(F.shiftrightunsigned("h", 1), "h", F.col("doc_id").asc_nulls_first(), "crc")
+    parts = ordered.mapInArrow(_cut(seq_len, width, key, rounds), _PIECE).withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)"))
+    parts = parts.repartition(ranges, "shard").sortWithinPartitions("slot", "at").drop("shard")
     seqs = parts.mapInArrow(_joined(seq_len, width, pad),
                             "number long, slot long, n_ids int, first_doc long, first_start long, last_doc long, ids binary")
     seqs = (seqs.withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)")).withColumn("record", F.expr(f"cast(slot % {shard_slots} as int)"))
             .withColumn("byte_offset", F.col("record").cast("long") * stride))
-    # a task owns whole shards: the shard number itself dealt the parts out, one file per shard, in slot order
+    # a task owns whole shards: one file per shard, in slot order
     seqs = seqs.sortWithinPartitions("shard", "slot")
     seqs.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     schema = ("number long, slot long, n_ids int, first_doc long, first_start long, last_doc long, ids binary, record int, "
               "byte_offset long, shard int")
-    back = spark.read.schema(schema).parquet(path) if n else spark.createDataFrame([], schema)
+    back = spark.read.schema(schema).parquet(path)
     return path, back
 
 
