@@ -125,6 +125,18 @@ def emoji_pattern(names: dict[str, str]) -> str:
     return f"(?:{'|'.join(parts)})(?:{_TONE}|{_SELECTOR})?"
 
 
+def _emoji_gate(names: dict[str, str]) -> str:
+    """A class of few ranges that holds every emoji's first character: one cheap search rules most texts out."""
+    first = sorted({ord(e[0]) for e in names})
+    ranges: list[list[int]] = []
+    for c in first:
+        if ranges and c >= 0x2000 and c - ranges[-1][1] <= 0x1000:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def demojize(text, names: dict[str, str] | None = None) -> Column:
     """Replace the emoji of a table (emoji → name, sequences with joiners and skin tones included) by `` name ``
     (space delimited); by default ``emoji_names()``.
@@ -149,7 +161,7 @@ def demojize(text, names: dict[str, str] | None = None) -> Column:
     found = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), name_of)
     between = F.split(t, pattern, -1)
     replaced = F.array_join(F.zip_with(between, found, lambda x, m: F.concat(x, F.coalesce(m, F.lit("")))), "")
-    return F.when(t.rlike(pattern), replaced).otherwise(t)
+    return F.when(t.rlike(_emoji_gate(names)), F.when(t.rlike(pattern), replaced).otherwise(t)).otherwise(t)
 
 
 def char_count(text, ch: str) -> Column:
