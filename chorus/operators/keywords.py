@@ -4,8 +4,9 @@ Tokens come from regular-expression cleaning of ``title + ' ' + content``;
 stop words are removed with a broadcast anti-join against a fixed-size
 table, and counting is a hash aggregate with map-side combine, so very
 frequent words cost one partial row per task.  The reference additionally
-keeps only some part-of-speech tags; that per-row tagger is replaced by an
-optional ``word → tag`` table (``allowed_words``), off by default.
+keeps only some word classes (nouns, adjectives, adverbs); its tagger is replaced
+by a ``word → tag`` table with suffix back-off (``word_tags``), off by default, that
+is joined to the counted words, so a frequent word is tagged once.
 """
 
 from __future__ import annotations
@@ -77,13 +78,39 @@ def keyword_tokens(posts: DataFrame, allowed_words: DataFrame | None = None) ->
     return words
 
 
+def suffix_tags(tags: DataFrame, longest: int = 4) -> DataFrame:
+    """suffix, tag: for every ending of up to ``longest`` letters of the tagged words (shorter than the word) the
+    tag most of them have (ties: the first in order)."""
+    ends = tags.where("word is not null and tag is not null").select("word", "tag").distinct().select(
+        "tag", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.char_length("word") > k, F.right("word", k)))).alias("suffix"))
+    counts = ends.where("suffix is not null").groupBy("suffix", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("suffix").agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("tag"))
+
+
+def word_tags(words: DataFrame, tags: DataFrame, longest: int = 4, default: str = "N") -> DataFrame:
+    """word, tag of different ``words``: the table's tag (several: the first in order), else that of the word's longest
+    ending known to the table, else ``default`` (a noun, as taggers guess)."""
+    own = tags.where("tag is not null").groupBy("word").agg(F.min("tag").alias("own"))
+    found = words.select("word").join(own, "word", "left")
+    ends = found.where("own is null").select("word", F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct(k.alias("k"), F.when(F.char_length("word") > k, F.right("word", k)).alias("suffix")))).alias("e"))
+    guess = (ends.select("word", "e.k", "e.suffix").join(suffix_tags(tags, longest), "suffix")
+             .groupBy("word").agg(F.max_by("tag", "k").alias("guess")))
+    return found.join(guess, "word", "left").select("word", F.coalesce("own", "guess", F.lit(default)).alias("tag"))
+
+
 def word_frequencies(posts: DataFrame, sentiment_filter: str | None = None,
-                     allowed_words: DataFrame | None = None, min_count: int = 2, switch_at: int = 20) -> DataFrame:
+                     allowed_words: DataFrame | None = None, min_count: int = 2, switch_at: int = 20,
+                     tags: DataFrame | None = None, keep_tags: tuple[str, ...] = ("N", "A", "R")) -> DataFrame:
     """Word counts.  The reference's word cloud drops words seen less than ``min_count`` times when
-    more than ``switch_at`` posts take part; ``min_count=1`` counts every word."""
+    more than ``switch_at`` posts take part; ``min_count=1`` counts every word.  With a ``tags`` table (word, tag)
+    only words of the classes ``keep_tags`` stay."""
     if sentiment_filter:
         posts = posts.filter(F.col("sentiment.label") == sentiment_filter)
     counts = keyword_tokens(posts, allowed_words).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    if tags is not None:
+        classes = word_tags(counts, tags).where(F.col("tag").isin(*keep_tags))
+        counts = counts.join(classes.select("word"), "word", "left_semi")
     if min_count <= 1:
         return counts
     many = posts.select("seq").limit(switch_at + 1).agg(F.count(F.lit(1)) > switch_at).scalar()

@@ -967,6 +967,25 @@ def q_word_frequencies_negative(spark, sf_dir):
     return W.word_frequencies(posts(spark, sf_dir), "NEGATIVE")
 
 
+@register("word_frequencies_by_class", oracle(_KEYWORDS_SQL + """
+, tg AS (SELECT DISTINCT w AS word, ['N', 'V', 'A', 'R', 'P'][length(w) % 5 + 1] AS tag
+         FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark)),
+sx AS (SELECT suffix, arg_min(tag, (-n, tag)) AS tag
+       FROM (SELECT right(word, k) AS suffix, tag, count(*) AS n FROM tg, range(1, 5) r(k) WHERE length(word) > k GROUP BY ALL) GROUP BY suffix),
+f AS (SELECT word, count(*) AS count FROM kw GROUP BY word
+      HAVING count(*) >= CASE WHEN (SELECT count(*) FROM posts) > 20 THEN 2 ELSE 1 END),
+g AS (SELECT f.word, arg_max(sx.tag, k) AS tag FROM f, range(1, 5) r(k) JOIN sx ON sx.suffix = right(f.word, k) WHERE length(f.word) > k GROUP BY f.word)
+SELECT f.word, f.count FROM f LEFT JOIN tg ON tg.word = f.word LEFT JOIN g ON g.word = f.word
+WHERE coalesce(tg.tag, g.tag, 'N') IN ('N', 'A', 'R')"""))
+def q_word_frequencies_by_class(spark, sf_dir):
+    """W1's word classes: a tag for each word of the benchmark texts, by length; other words by their endings."""
+    from chorus.sources.fixture import read_table
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("word")).distinct()
+    classes = F.array(*map(F.lit, "NVARP"))
+    tags = words.select("word", F.element_at(classes, F.char_length("word") % 5 + 1).alias("tag"))
+    return W.word_frequencies(posts(spark, sf_dir), tags=tags)
+
+
 @register("top_words", oracle(_KEYWORDS_SQL + """
 , f AS (SELECT word, count(*) AS count FROM kw GROUP BY word
         HAVING count(*) >= CASE WHEN (SELECT count(*) FROM posts) > 20 THEN 2 ELSE 1 END)

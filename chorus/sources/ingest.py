@@ -172,12 +172,12 @@ def listing_to_posts(listing: DataFrame, query, seq: Column | None = None) -> Da
                         listing=True)
 
 
-def comments_to_rows(raw: DataFrame, limit: int = 100) -> DataFrame:
+def comments_to_rows(raw: DataFrame, limit: int = 100, bad_records: list | None = None) -> DataFrame:
     """Comments → flat rows, the first ``limit`` per submission in listing order.
 
     The submission is ``submission_id`` where the landed row has one, else the id in its permalink
-    (``/comments/<id>/``), else a ``t3_`` parent; a row that none of them places raises an error.
-    Without ``position`` the order of the input decides.
+    (``/comments/<id>/``), else a ``t3_`` parent.  A row that none of them places raises an error; with
+    ``bad_records=[]`` such rows are left out and received as the frame ``bad_records[0]`` instead.  Without ``position`` the order of the input decides.
     """
     for name in ("submission_id", "position", "parent_id", "permalink"):
         if name not in raw.columns:
@@ -185,8 +185,12 @@ def comments_to_rows(raw: DataFrame, limit: int = 100) -> DataFrame:
     raw = landed(raw)
     link = F.nullif(F.regexp_extract(F.coalesce("permalink", F.lit("")), "/comments/([^/]+)", 1), F.lit(""))
     parent = F.nullif(F.regexp_extract(F.coalesce("parent_id", F.lit("")), "^t3_(.+)$", 1), F.lit(""))
+    placed = F.coalesce("submission_id", link, parent)
+    if bad_records is not None:
+        bad_records.append(raw.where(placed.isNull()).drop("seq"))
+        raw = raw.where(placed.isNotNull())
     lost = F.raise_error(F.concat(F.lit("comment without a submission: "), F.coalesce(F.col("id"), F.lit("null")))).cast("string")
-    raw = raw.withColumn("submission_id", F.coalesce("submission_id", link, parent, lost))
+    raw = raw.withColumn("submission_id", F.coalesce(placed, lost))
     rk = F.row_number().over(Window.partitionBy("submission_id").orderBy("position", "seq"))
     return (raw.select("*", rk.alias("rk")).filter(F.col("rk") <= limit)
             .select("id", F.coalesce("author", F.lit("[deleted]")).alias("author"), "body", "score",
@@ -224,8 +228,8 @@ def read_listings(spark: SparkSession, path: str, query, bad_records: list | Non
     return listing_to_posts(raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), query)
 
 
-def read_comments(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
-    return comments_to_rows(spark.read.schema(COMMENT_SCHEMA).json(path), limit)
+def read_comments(spark: SparkSession, path: str, limit: int = 100, bad_records: list | None = None) -> DataFrame:
+    return comments_to_rows(spark.read.schema(COMMENT_SCHEMA).json(path), limit, bad_records)
 
 
 def read_analysis_posts(spark: SparkSession, path: str, post_schema: T.StructType) -> DataFrame:

@@ -2,6 +2,8 @@ import json
 import tempfile
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from chorus.sources import ingest as I
 
 
@@ -69,3 +71,14 @@ def test_listing_corrupt_lines_kept_aside(spark):
     bad = []
     posts = I.read_listings(spark, str(d / "l.json"), "q", bad_records=bad)
     assert posts.count() == 1 and bad[0].count() == 1
+
+
+def test_comments_without_a_submission_are_told_apart(spark):
+    rows = [("a", "t3_s1", "/r/x/comments/s1/t/a"), ("b", None, None), ("c", "t3_s2", None), ("d", "t1_a", "")]
+    raw = spark.createDataFrame(rows, "id string, parent_id string, permalink string")
+    for name, kind in (("author", "string"), ("body", "string"), ("score", "long"), ("created_utc", "double"), ("is_submitter", "boolean")):
+        raw = raw.withColumn(name, F.lit(None).cast(kind))
+    bad = []
+    got = I.comments_to_rows(raw, bad_records=bad).collect()
+    assert sorted((r["id"], r["submission_id"]) for r in got) == [("a", "s1"), ("c", "s2")]
+    assert sorted(r["id"] for r in bad[0].collect()) == ["b", "d"]

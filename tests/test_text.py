@@ -81,3 +81,13 @@ def test_emoji_sequences_longest_first_with_joiners_and_tones(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r["t"]: r["d"] for r in df.select("t", X.demojize(F.col("t"), names).alias("d")).collect()} == texts
     assert df.select(X.demojize(F.col("t"), {}).alias("d")).first()["d"] is not None
+
+
+def test_word_classes_by_table_ending_and_default(spark):
+    tags = spark.createDataFrame([("running", "V"), ("singing", "V"), ("evening", "N"), ("quick", "A"), ("quick", "R"), ("slowly", "R"), (None, "V"), ("x", None)],
+                                 "word string, tag string")
+    words = spark.createDataFrame([(w,) for w in ("evening", "ringing", "quick", "badly", "zzz", "x")], "word string")
+    got = {r["word"]: r["tag"] for r in W.word_tags(words, tags).collect()}
+    assert got == {"evening": "N", "ringing": "V", "quick": "A", "badly": "R", "zzz": "N", "x": "N"}
+    none = W.word_tags(words, tags.limit(0)).collect()
+    assert {r["tag"] for r in none} == {"N"}
