@@ -59,7 +59,11 @@ def sentiment_distribution(flat: DataFrame) -> DataFrame:
 
 def sentiment_summary(flat: DataFrame) -> DataFrame:
     """A4: total, ``(pos − neg) / total`` and the dominant label (ties: alphabetical)."""
-    counts = count_by(flat, "sentiment")
+    return label_summary(count_by(flat, "sentiment"))
+
+
+def label_summary(counts: DataFrame) -> DataFrame:
+    """A4 from the counts per label (``sentiment``, ``count``)."""
     return counts.agg(
         F.sum("count").alias("total"),
         (F.try_divide(F.sum(F.when(F.col("sentiment") == "POSITIVE", F.col("count")).otherwise(0))
@@ -74,48 +78,71 @@ def sentiment_by(flat: DataFrame, key: str) -> DataFrame:
 
 
 def engagement_stats(flat: DataFrame) -> DataFrame:
-    """Engagement totals, means, median, maxima, sample std and two counts."""
-    e = F.col("engagement_total")
-    cut = flat.select(F.avg(e) + F.stddev_samp(e)).scalar()
-    median = percentiles(flat, "engagement_total", [0.5]).select("p0").scalar()
-    return flat.agg(
-        F.sum("likes").cast("bigint").alias("total_likes"),
-        F.sum("shares").cast("bigint").alias("total_shares"),
-        F.sum(e).cast("bigint").alias("total_engagement"),
-        F.avg("likes").alias("avg_likes"),
-        F.avg("shares").alias("avg_shares"),
-        F.avg(e).alias("avg_engagement"),
+    """Engagement totals, means, median, maxima, sample std and two counts (one read of the posts)."""
+    cells = value_cells(flat, F.col("engagement_total"),
+                        *[f(c).alias(f"{name}_{c}") for c in ("likes", "shares")
+                          for name, f in (("sum", F.sum), ("n", F.count), ("max", F.max))])
+    x, n = F.col("x"), F.col("n")
+    mean, std = cell_mean(cells).scalar(), cell_std(cells).scalar()
+    median = cell_percentiles(cells, [0.5]).select("p0").scalar()
+    return cells.agg(
+        F.sum("sum_likes").cast("bigint").alias("total_likes"),
+        F.sum("sum_shares").cast("bigint").alias("total_shares"),
+        F.sum(x * n).cast("bigint").alias("total_engagement"),
+        F.try_divide(F.sum("sum_likes"), F.sum("n_likes")).alias("avg_likes"),
+        F.try_divide(F.sum("sum_shares"), F.sum("n_shares")).alias("avg_shares"),
+        F.max(mean).alias("avg_engagement"),
         F.max(median).alias("median_engagement"),
-        F.max("likes").cast("bigint").alias("max_likes"),
-        F.max("shares").cast("bigint").alias("max_shares"),
-        F.max(e).cast("bigint").alias("max_engagement"),
-        F.stddev_samp(e).alias("engagement_std"),
-        F.count_if(e > cut).alias("high_engagement_posts"),
-        F.count_if(e == 0).alias("zero_engagement_posts"))
+        F.max("max_likes").cast("bigint").alias("max_likes"),
+        F.max("max_shares").cast("bigint").alias("max_shares"),
+        F.max(x).cast("bigint").alias("max_engagement"),
+        F.max(std).alias("engagement_std"),
+        F.coalesce(F.sum(F.when(x > mean + std, n)), F.lit(0)).alias("high_engagement_posts"),
+        F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0)).alias("zero_engagement_posts"))
 
 
-def percentiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
-    """Exact percentiles (linear interpolation) in one row: ``p0``, ``p1``, … doubles, null without values.
+def value_cells(df: DataFrame, value, *aggs) -> DataFrame:
+    """Rows counted by value: ``x`` (double; a row for null, too), ``n``, ``aggs``, ``part``.
 
-    Values are counted (map-side combine), the (value, count) rows range-partitioned and written once, and
-    each partition's offset is the sum of the counts before it, so no task holds all values; only the
-    neighbours of each wanted rank are picked out.
+    One read of ``df`` with a map-side combine; the cells are range-partitioned and written once, so every
+    moment, rank and count over the values is read from them and no task holds all values.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    counts = (df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()).groupBy("x").agg(_n().alias("n"))
-              .repartitionByRange("x").withColumn("part", F.spark_partition_id()).checkpoint(eager=True))
-    per = counts.groupBy("part").agg(F.sum("n").alias("m"))  # one row per partition
+    return (df.groupBy(value.cast("double").alias("x")).agg(_n().alias("n"), *aggs)
+            .repartitionByRange("x").withColumn("part", F.spark_partition_id()).checkpoint(eager=True))
+
+
+def cell_mean(cells: DataFrame) -> DataFrame:
+    """The mean of the values, in one row (null without values)."""
+    return cells.filter(F.col("x").isNotNull()).agg(F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mean"))
+
+
+def cell_std(cells: DataFrame) -> DataFrame:
+    """The sample standard deviation of the values, in one row (null below two values)."""
+    off = F.col("x") - cell_mean(cells).scalar()
+    return cells.filter(F.col("x").isNotNull()).agg(F.sqrt(F.try_divide(F.sum(off * off * F.col("n")), F.sum("n") - 1)).alias("std"))
+
+
+def cell_ranks(cells: DataFrame) -> DataFrame:
+    """``x`` with the ranks ``lo`` <= r < ``hi`` (from 0) that its rows take and the ``total``; each partition's
+    offset is the sum of the counts before it."""
+    cells = cells.filter(F.col("x").isNotNull()).select("x", "n", "part")
+    per = cells.groupBy("part").agg(F.sum("n").alias("m"))  # one row per partition
     before = per.select("part", (F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("m")).alias("before"),
                         F.sum("m").over(Window.partitionBy(F.lit(0))).alias("total"))
     ends = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
-    ranked = counts.withColumn("e", ends).join(before, "part").select(
+    return cells.withColumn("e", ends).join(before, "part").select(
         "x", (F.col("before") + F.col("e") - F.col("n")).alias("lo"), (F.col("before") + F.col("e")).alias("hi"), "total")
+
+
+def cell_percentiles(cells: DataFrame, ps: list[float]) -> DataFrame:
+    """Exact percentiles (linear interpolation) in one row: ``p0``, ``p1``, … doubles, null without values."""
     picks = []
     for i, p in enumerate(ps):
         rank = (F.col("total") - 1) * F.lit(float(p))
         for name, r in (("a", F.floor(rank)), ("b", F.ceil(rank))):
             picks.append(F.max(F.when((F.col("lo") <= r) & (r < F.col("hi")), F.col("x"))).alias(f"{name}{i}"))
-    t = ranked.agg(F.max("total").alias("total"), *picks)
+    t = cell_ranks(cells).agg(F.max("total").alias("total"), *picks)
     out = []
     for i, p in enumerate(ps):
         rank = (F.col("total") - 1) * F.lit(float(p))
@@ -124,26 +151,39 @@ def percentiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
     return t.select(*out)
 
 
+def percentiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
+    """Exact percentiles of a column, see :func:`value_cells` and :func:`cell_percentiles`."""
+    return cell_percentiles(value_cells(df, F.col(col)), ps)
+
+
 def author_counts(flat: DataFrame) -> DataFrame:
     return flat.filter(F.col("author").isNotNull()).groupBy("author").agg(_n().alias("posts"))
 
 
 def author_stats(flat: DataFrame) -> DataFrame:
-    """Authors, posts per author (mean/median/max/std), singles, prolific, top-10 share."""
-    per = author_counts(flat)
-    top10 = per.orderBy(F.col("posts").desc(), F.col("author")).limit(10).select(F.sum("posts")).scalar()
-    total = flat.select(_n()).scalar()
-    p = F.col("posts")
-    median = percentiles(per, "posts", [0.5]).select("p0").scalar()
-    return per.agg(
-        _n().alias("unique_authors"),
-        F.avg(p).alias("mean_posts"),
+    """Authors, posts per author (mean/median/max/std), singles, prolific, top-10 share.
+
+    One read of the posts; the authors are counted by their number of posts and everything follows from
+    those counts (posts without an author are the cell without a value).
+    """
+    per = flat.groupBy("author").agg(_n().alias("posts"))
+    cells = value_cells(per, F.when(F.col("author").isNotNull(), F.col("posts")), F.sum("posts").alias("posts"))
+    x, n = F.col("x"), F.when(F.col("x").isNotNull(), F.col("n"))
+    ranks = cell_ranks(cells)
+    top = F.greatest(F.col("hi") - F.greatest("lo", F.col("total") - 10), F.lit(0))  # of the ten highest ranks
+    top10 = ranks.select(F.sum(x * top)).scalar()
+    mean, std = cell_mean(cells).scalar(), cell_std(cells).scalar()
+    median = cell_percentiles(cells, [0.5]).select("p0").scalar()
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return cells.agg(
+        count(n).alias("unique_authors"),
+        F.max(mean).alias("mean_posts"),
         F.max(median).alias("median_posts"),
-        F.max(p).alias("max_posts"),
-        F.stddev_samp(p).alias("std_posts"),
-        F.count_if(p == 1).alias("single_post_authors"),
-        F.count_if(p >= 10).alias("prolific_authors"),
-        F.max(F.when(total > 0, top10 / total).otherwise(F.lit(0.0))).alias("author_concentration"))
+        F.max(x).cast("bigint").alias("max_posts"),
+        F.max(std).alias("std_posts"),
+        count(F.when(x == 1, n)).alias("single_post_authors"),
+        count(F.when(x >= 10, n)).alias("prolific_authors"),
+        F.try_divide(F.max(top10), F.sum("posts")).alias("author_concentration"))
 
 
 def most_active_authors(flat: DataFrame, top: int = 20) -> DataFrame:
@@ -152,19 +192,20 @@ def most_active_authors(flat: DataFrame, top: int = 20) -> DataFrame:
 
 
 def content_stats(flat: DataFrame) -> DataFrame:
-    """A10: content length and hashtag/mention/media/title usage."""
-    ln = F.col("content_length")
-    median = percentiles(flat, "content_length", [0.5]).select("p0").scalar()
-    has_h, has_m = F.col("hashtag_count") > 0, F.col("mention_count") > 0
-    return flat.agg(
-        F.avg(ln).alias("avg_length"), F.max(median).alias("median_length"),
-        F.max(ln).alias("max_length"), F.min(ln).alias("min_length"),
-        F.count_if(has_h).alias("with_hashtags"), F.count_if(has_m).alias("with_mentions"),
-        F.count_if("has_media").alias("with_media"), F.count_if("has_title").alias("with_title"),
-        F.avg(has_h.cast("double")).alias("hashtag_usage_rate"),
-        F.avg(has_m.cast("double")).alias("mention_usage_rate"),
-        F.avg("hashtag_count").alias("avg_hashtags_per_post"),
-        F.avg("mention_count").alias("avg_mentions_per_post"))
+    """A10: content length and hashtag/mention/media/title usage (one read of the posts)."""
+    terms = ("hashtag", "mention")
+    cells = value_cells(flat, F.col("content_length"), F.count_if("has_media").alias("media"), F.count_if("has_title").alias("title"),
+                        *[a for t in terms for a in (F.count_if(F.col(f"{t}_count") > 0).alias(f"has_{t}"), F.sum(f"{t}_count").alias(f"sum_{t}"),
+                                                     F.count(f"{t}_count").alias(f"n_{t}"))])
+    mean, median = cell_mean(cells).scalar(), cell_percentiles(cells, [0.5]).select("p0").scalar()
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return cells.agg(
+        F.max(mean).alias("avg_length"), F.max(median).alias("median_length"),
+        F.max("x").cast("bigint").alias("max_length"), F.min("x").cast("bigint").alias("min_length"),
+        *[count(f"has_{t}").alias(f"with_{t}s") for t in terms],
+        count("media").alias("with_media"), count("title").alias("with_title"),
+        *[F.try_divide(F.sum(f"has_{t}"), F.sum(f"n_{t}")).alias(f"{t}_usage_rate") for t in terms],
+        *[F.try_divide(F.sum(f"sum_{t}"), F.sum(f"n_{t}")).alias(f"avg_{t}s_per_post") for t in terms])
 
 
 def posts_by_hour(flat: DataFrame) -> DataFrame:
@@ -253,13 +294,14 @@ def negative_users(flat: DataFrame, min_posts: int = 3, threshold: float = 0.6,
 
 def viral_threshold(flat: DataFrame) -> DataFrame:
     """A20 threshold (one row): p90 below 10 posts, else min(p95, mean + 2 std);
-    never below twice the median.  Percentiles are exact, see :func:`percentiles`.
+    never below twice the median.  Percentiles are exact; the posts are read once.
     """
-    e = F.col("engagement_total")
-    pct = percentiles(flat, "engagement_total", [0.5, 0.9, 0.95])
+    cells = value_cells(flat, F.col("engagement_total"))
+    pct = cell_percentiles(cells, [0.5, 0.9, 0.95])
     med, p90, p95 = (F.max(pct.select(f"p{i}").scalar()) for i in range(3))
-    t = flat.agg(_n().alias("n"), p90.alias("p90"), p95.alias("p95"),
-                 (F.avg(e) + 2 * F.stddev_samp(e)).alias("m2s"), med.alias("med"))
+    mean, std = cell_mean(cells).scalar(), cell_std(cells).scalar()
+    t = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), p90.alias("p90"), p95.alias("p95"),
+                  F.max(mean + 2 * std).alias("m2s"), med.alias("med"))
     base = F.when(F.col("n") < 10, F.col("p90")).otherwise(F.least("p95", "m2s"))
     return t.select(F.greatest(base, 2 * F.col("med")).alias("threshold"))
 

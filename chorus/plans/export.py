@@ -57,12 +57,26 @@ def export_daily_statistics(flat: DataFrame) -> DataFrame:
                     "total_engagement", "avg_engagement", "unique_authors")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once and written to the checkpoint folder, for several readers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def export_summary_statistics(flat: DataFrame) -> DataFrame:
-    """Long ``(metric, value, category)`` table of the headline numbers."""
-    base = flat.agg(F.count(F.lit(1)).alias("total_posts"), F.countDistinct("author").alias("unique_authors"),
-                    F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"),
-                    F.sum("likes").alias("total_likes"), F.sum("shares").alias("total_shares"),
-                    F.avg("engagement_total").alias("avg_engagement"), F.max("engagement_total").alias("max_engagement"))
+    """Long ``(metric, value, category)`` table of the headline numbers.
+
+    The posts are read once, into counts and sums per label and author; every metric is read from those.
+    """
+    cells = _written(flat.groupBy("sentiment", "author").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"),
+        *[F.sum(c).alias(c) for c in ("likes", "shares", "engagement_total")],
+        F.count("engagement_total").alias("n_engagement"), F.max("engagement_total").alias("max_engagement")))
+    base = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_posts"), F.countDistinct("author").alias("unique_authors"),
+                     F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                     F.sum("likes").alias("total_likes"), F.sum("shares").alias("total_shares"),
+                     F.try_divide(F.sum("engagement_total"), F.sum("n_engagement")).alias("avg_engagement"),
+                     F.max("max_engagement").alias("max_engagement"))
     diff_us = C.micros_between("lo", "hi")
     days = (F.floor(diff_us / F.lit(86_400_000_000)) + 1).cast("double")
     general = base.select(F.stack(
@@ -75,10 +89,11 @@ def export_summary_statistics(flat: DataFrame) -> DataFrame:
         F.lit("avg_engagement"), F.col("avg_engagement"), F.lit("engagement"),
         F.lit("max_engagement"), F.floor("max_engagement").cast("double"), F.lit("engagement"))
         .alias("metric", "value", "category"))
-    counts = A.count_by(flat, "sentiment").select(
+    per_label = cells.groupBy("sentiment").agg(F.sum("n").alias("count"))
+    counts = per_label.select(
         F.concat(F.lit("sentiment_"), F.lower("sentiment")).alias("metric"), F.col("count").cast("double").alias("value"),
         F.lit("sentiment").alias("category"))
-    ratio = A.sentiment_summary(flat).select(F.lit("sentiment_ratio").alias("metric"),
+    ratio = A.label_summary(per_label).select(F.lit("sentiment_ratio").alias("metric"),
                                               F.col("sentiment_ratio").alias("value"), F.lit("sentiment").alias("category"))
     return general.unionByName(counts).unionByName(ratio).unionByName(engagement)
 
@@ -152,10 +167,13 @@ def dashboard_rows(posts: DataFrame) -> DataFrame:
 def summary_document(flat: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """The summary in one row, a column per leaf.
 
-    ``flags`` are the dedup flags of the posts (``processing_summary``).  Every part is a one-row
+    ``flags`` are the dedup flags of the posts (``processing_summary``).  The posts are read once: the columns
+    the parts need are written as a narrow table, which all of them read.  Every part is a one-row
     aggregate; they are put side by side on a constant key, the top-3 negative users as text.
     """
     key = "_one"
+    flat = _written(flat.select("seq", "id", "platform", "author", "timestamp", "sentiment", "sentiment_score", "sentiment_value",
+                                "engagement_total", "likes", "shares"))
     lab = F.col("sentiment")
     total = F.count(F.lit(1))
     counts = [F.count_if(lab == x).alias(x.lower()) for x in (*A.LABELS, "UNKNOWN")]

@@ -100,3 +100,44 @@ def test_heatmap_wide(make_posts):
             post(2, "b", likes=20, retweets=5, ts=dt.datetime(2024, 1, 10, 9))]
     w = A.engagement_heatmap(make_posts(rows), wide=True).first()
     assert w["day"] == "Wednesday" and w["9"] == 20.0 and w["10"] is None and len(w) == 25
+
+
+def test_statistics_from_value_cells_equal_pandas(make_posts):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    likes = rng.integers(0, 60, 300)
+    authors = [None if a == 0 else f"u{a}" for a in rng.zipf(1.6, 300) % 40]
+    rows = [post(i, "x" * (i % 17), author=authors[i], likes=int(likes[i]), retweets=int(likes[i]) // 3) for i in range(300)]
+    f = flat(make_posts, rows).persist()
+    e = np.array([r["engagement_total"] for r in f.select("engagement_total").collect()], float)
+    got = A.engagement_stats(f).first()
+    assert (got["median_engagement"], got["engagement_std"]) == (pytest.approx(np.median(e)), pytest.approx(e.std(ddof=1)))
+    assert got["high_engagement_posts"] == (e > e.mean() + e.std(ddof=1)).sum() and got["total_engagement"] == e.sum()
+    counts = np.sort(np.unique([a for a in authors if a], return_counts=True)[1])
+    a = A.author_stats(f).first()
+    assert (a["unique_authors"], a["median_posts"], a["single_post_authors"]) == (len(counts), np.median(counts), (counts == 1).sum())
+    assert a["author_concentration"] == pytest.approx(counts[-10:].sum() / 300)
+    c = A.content_stats(f).first()
+    lengths = np.array([i % 17 for i in range(300)])
+    assert (c["avg_length"], c["median_length"], c["max_length"]) == (pytest.approx(lengths.mean()), np.median(lengths), 16)
+
+
+def test_statistics_of_no_posts_and_of_one(make_posts):
+    none = flat(make_posts, [post(1, "a")]).limit(0)
+    e, a, c = (f(none).first() for f in (A.engagement_stats, A.author_stats, A.content_stats))
+    assert e["total_engagement"] is None and e["zero_engagement_posts"] == 0 and e["median_engagement"] is None
+    assert (a["unique_authors"], a["single_post_authors"], a["max_posts"]) == (0, 0, None)
+    assert c["with_title"] == 0 and c["median_length"] is None and A.viral_threshold(none).first()["threshold"] is None
+    one = A.engagement_stats(flat(make_posts, [post(1, "a", likes=5, retweets=0)])).first()
+    assert one["engagement_std"] is None and one["high_engagement_posts"] == 0
+    nobody = A.author_stats(flat(make_posts, [post(1, "a", author=None)])).first()
+    assert nobody["unique_authors"] == 0 and nobody["median_posts"] is None
+
+
+def test_summary_reads_the_posts_once(make_posts, tmp_path, spark):
+    from chorus.plans import export as E
+    flat(make_posts, [post(i, f"t{i}", author=f"u{i % 3}") for i in range(30)]).write.parquet(str(tmp_path / "flat"))
+    f = spark.read.parquet(str(tmp_path / "flat"))
+    for out in (E.summary_document(f), E.export_summary_statistics(f)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan and out.count() > 0  # parts read the written narrow table
