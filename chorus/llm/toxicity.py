@@ -16,6 +16,7 @@ Scoring is one narrow pass over whole texts with a few thousand weights sent to
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -81,22 +82,16 @@ def _row_features(texts: pa.Array, index: dict[str, int] | None, memo: dict):
     return pairs // (len(names) + 1), pairs % (len(names) + 1), names
 
 
-def _count(keep: frozenset | None):
-    """Rows (feature, n, toxic): in how many rows of the batch a feature occurs."""
-    def run(batches):
-        index = None if keep is None else {f: i for i, f in enumerate(sorted(keep))}
-        memo: dict = {}
-        for whole in batches:
-            for batch in chunks(whole, "text"):
-                y = batch.column("toxic").to_numpy()
-                r, f, names = _row_features(batch.column("text"), index, memo)
-                n = np.bincount(f, minlength=len(names))
-                t = np.bincount(f, weights=y[r], minlength=len(names)).astype(np.int64)
-                has = np.nonzero(n)[0]
-                listed = list(names)
-                yield pa.RecordBatch.from_arrays([pa.array([listed[i] for i in has], pa.string()), pa.array(n[has], pa.int64()),
-                                                  pa.array(t[has], pa.int64())], names=["feature", "n", "toxic"])
-    return run
+def _count(batches):
+    """Rows (feature, n, toxic): in how many rows of a slice of texts a feature occurs."""
+    for whole in batches:
+        for batch in chunks(whole, "text"):
+            y = batch.column("toxic").to_numpy()
+            r, f, names = _row_features(batch.column("text"), None, {})
+            n = np.bincount(f, minlength=len(names))
+            t = np.bincount(f, weights=y[r], minlength=len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.int64())],
+                                             names=["feature", "n", "toxic"])
 
 
 def _votes(index: dict[str, int]):
@@ -112,11 +107,11 @@ def _votes(index: dict[str, int]):
     return run
 
 
-def _chance(t: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
-    """Bound on -log of the chance of t or more toxic rows out of n at rate ``prior`` (0 where t/n <= prior)."""
-    p = np.clip(t / n, 1e-12, 1 - 1e-12)
-    kl = p * np.log(p / prior) + (1 - p) * np.log((1 - p) / (1 - prior))
-    return np.where(t / n > prior, n * kl, 0.0)
+def chance(t: Column, n: Column, prior: float) -> Column:
+    """Bound on -log of the chance of ``t`` or more toxic rows out of ``n`` at rate ``prior`` (0 where t/n <= prior)."""
+    p = F.least(F.greatest(t / n, F.lit(1e-12)), F.lit(1 - 1e-12))
+    kl = p * F.log(p / F.lit(prior)) + (1 - p) * F.log((1 - p) / F.lit(1 - prior))
+    return F.when(t / n > prior, n * kl).otherwise(F.lit(0.0))
 
 
 def label_model(fired: list[np.ndarray], given: np.ndarray, n_voters: int, rounds: int = 12) -> np.ndarray:
@@ -177,32 +172,36 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, max_features: int = 2_000, max_voters: int = 300,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model: feature names, weights, bias.  Rows of the test fold, without a label or without a text row
-    are not used; ids with several labels count as toxic if any says so."""
+    """The model: feature names, weights, bias, sample rows.
+
+    ``max_train_rows`` bounds the labelled ids and with them the sample, one text an id (the smallest where an
+    id repeats, so a repeated id weighs no more than another); it is all that reaches the driver.
+    ``max_features`` and ``max_voters`` are the size of the classifier and of the label model: the best of
+    the features that pass the test.  Rows of the test fold, without a label or without a text row are not used; ids
+    with several labels count as toxic if any says so; null ids and labels are left out; null texts are empty.
+    Without any usable label the lexicon alone scores.
+    """
     ready(docs)
     lab = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
            .groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("toxic")))
     lab = lab.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(max_train_rows)
     lab = lab.sparkSession.createDataFrame(lab.collect(), lab.schema)  # at most max_train_rows pairs
-    sample = stage(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-                   .join(F.broadcast(lab), "_id").select("text", "toxic"), "toxic")
+    mine = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = stage(mine.join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+                   .select("text", "toxic"), "toxic")
     size = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     rows, positive = size[0], size[1] or 0
     chosen: list[str] = ["=" + w for w in LEXICON]
     prior = (positive + 0.5) / (rows + 1) if rows else 0.05
     if positive:
-        schema = "feature string, n long, toxic long"
-        seen = sample.where("toxic = 1").mapInArrow(_count(None), schema).groupBy("feature").agg(F.sum("toxic").alias("toxic"))
-        seen = seen.where("toxic >= 3")
-        keep = frozenset(r["feature"] for r in seen.orderBy(F.desc("toxic"), "feature").limit(200_000).collect())
-        all_n = (sample.mapInArrow(_count(keep), schema).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect())
-        if all_n:
-            names = np.array([r["feature"] for r in all_n], object)
-            n, t = np.array([r["n"] for r in all_n], float), np.array([r["toxic"] for r in all_n], float)
-            z = _chance(t, n, prior)
-            good = (z >= np.log(len(names))) & (t / n >= 0.5)
-            order = sorted(np.nonzero(good)[0], key=lambda i: (-z[i], names[i]))
-            chosen = [names[i] for i in order[:max_features]] + [f for f in chosen if f not in set(names[order])]
+        counts = (sample.mapInArrow(_count, "feature string, n long, toxic long").groupBy("feature")
+                  .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("toxic >= 3"))
+        counts = stage(counts, "toxic-features")
+        tested = counts.count()
+        voters = (counts.withColumn("z", chance(F.col("toxic"), F.col("n"), prior))
+                  .where((F.col("z") >= math.log(max(tested, 1))) & (F.col("toxic") >= 0.5 * F.col("n"))))
+        best = [r["feature"] for r in voters.orderBy(F.round("z", 9).desc(), "feature").limit(max_features).collect()]
+        chosen = best + [f for f in chosen if f not in set(best)]
     index = {f: i for i, f in enumerate(chosen)}
     got = sample.mapInArrow(_votes(index), "toxic int, fired array<int>").collect()  # a short list a sample row
     fired = [np.array(r["fired"], np.int64) for r in got]
@@ -242,7 +241,14 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, columns unchanged (model fitted on these docs)."""
+    """The rows of ``docs`` that score below ``threshold``, columns unchanged (model fitted on these docs).
+
+    Null and empty texts score as a text without features and stay; repeated rows are judged alike, each
+    stays or goes; null ids are scored but not learnt from; no rows, no rows; without labels the lexicon alone
+    judges.  A column of ``docs`` called ``_toxicity`` clashes with the working column and raises an error.
+    """
     model = fit(docs, labels, **params)
     column = "_toxicity"
+    if column in docs.columns:
+        raise ValueError(f"{column} is the working column of reject_toxic")
     return score(docs, model, score_col=column).where(F.col(column) < threshold).select(*docs.columns)

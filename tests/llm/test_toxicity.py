@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chorus.llm import toxicity
 
@@ -69,12 +70,74 @@ def test_edges(spark, docs):
     assert got[1] >= 0.3 > got[2] == got[3] and got[None] == got[3]
     assert toxicity.score(docs([]), model).count() == 0
     dup = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
-    assert toxicity.fit(docs([(1, "zap"), (1, "zap"), (2, "x")]), dup)["rows"] == (0 if fold(1) else 2)
+    assert toxicity.fit(docs([(1, "zap"), (1, "zap"), (2, "x")]), dup)["rows"] == (0 if fold(1) else 1)  # one text an id
     assert toxicity.score(docs([(1, "x")] * 3), model).count() == 3
 
 
 @pytest.mark.parametrize("n,t", [(10, 10), (100, 20)])
-def test_chance_bound_grows_with_support(n, t):
-    one = toxicity._chance(np.array([t]), np.array([n]), 0.1)[0]
-    two = toxicity._chance(np.array([2 * t]), np.array([2 * n]), 0.1)[0]
-    assert two == pytest.approx(2 * one)
+def test_chance_bound_grows_with_support(spark, n, t):
+    f = lambda t, n: toxicity.chance(F.lit(t), F.lit(n), 0.1)
+    one, two = spark.range(1).select(f(t, n).alias("one"), f(2 * t, 2 * n).alias("two")).first()
+    assert two == pytest.approx(2 * one) and one > 0
+
+
+def plain_features(text):
+    """Feature set of a text, letter by letter."""
+    out = set()
+    for token in (text or "").lower().split(" "):
+        word = ""
+        for c in token + " ":
+            if c.isalpha():
+                word += c
+                continue
+            if len(word) > 2:
+                out.add("=" + word)
+                out |= {word[:k] + "*" for k in (4, 5, 6, 7) if len(word) > k}
+            word = ""
+    return out
+
+
+def test_scores_equal_a_plain_scorer(spark, docs):
+    rows, labels = corpus()
+    rows += [(9001, None), (9002, ""), (9003, "Zorgle, ZORGLE! blaxa-krunt\nthe IDIOT's river"), (9004, "river " * 20_000 + "zorgle"), (None, "blaxa")]
+    model = toxicity.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(model["features"], model["weights"]))
+    texts = dict(rows)
+    for r in toxicity.score(docs(rows), model).collect():
+        z = model["bias"] + sum(weight.get(f, 0.0) for f in plain_features((texts[r["doc_id"]] or "").replace("\n", " ")))
+        assert r["toxicity"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30)))), r["doc_id"]
+
+
+def test_counts_of_features_equal_a_plain_count(spark, docs):
+    rows, labels = corpus(120)
+    y = dict(labels)
+    df = spark.createDataFrame([(t, y[i]) for i, t in rows], "text string, toxic int").repartition(3)
+    got = {r["feature"]: (r["n"], r["t"]) for r in df.mapInArrow(toxicity._count, "feature string, n long, toxic long")
+           .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).collect()}
+    want = {}
+    for i, t in rows:
+        for f in plain_features(t):
+            n, k = want.get(f, (0, 0))
+            want[f] = (n + 1, k + y[i])
+    assert got == want
+
+
+def test_one_labelled_id_over_a_third_of_the_rows(spark, docs):
+    rows, labels = corpus()
+    hot = next(i for i, t in labels if t and not fold(i))
+    text = dict(rows)[hot]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain, many = toxicity.fit(docs(rows), lab), toxicity.fit(docs(rows + [(hot, text)] * 300), lab)
+    assert plain == many and plain["rows"] == sum(not fold(i) for i, _ in labels)
+    assert toxicity.fit(docs(rows), lab, max_train_rows=50)["rows"] == 50
+
+
+def test_empty_documents_and_clashing_columns(spark, docs):
+    rows, labels = corpus(50)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.reject_toxic(docs([]), lab).count() == 0
+    df = docs(rows).withColumn("toxic", F.lit("x")).withColumn("feature", F.lit(1)).withColumn("score", F.lit(2)).withColumn("_id", F.lit(3))
+    left = toxicity.reject_toxic(df, lab)
+    assert left.columns == df.columns and left.where("toxic <> 'x' or feature <> 1 or score <> 2 or _id <> 3").count() == 0
+    with pytest.raises(ValueError):
+        toxicity.reject_toxic(df.withColumn("_toxicity", F.lit(0)), lab)
