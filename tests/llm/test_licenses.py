@@ -102,6 +102,49 @@ def test_gated_scan_equals_all_rules(docs):
         assert (gated[i]["labels"], gated[i]["score"]) == want, text
 
 
+def test_every_signature_is_found_in_its_own_text(docs):
+    assert len(licenses.SIGNATURES) >= 60
+    rows = []
+    for label, pattern in licenses.SIGNATURES:
+        for text in wordings(pattern)[:2]:
+            rows.append((len(rows), label, "Foo.\n * " + ",\n * ".join(x.capitalize() for x in text.split()) + ". Bar"))
+    got = {r["doc_id"]: r for r in licenses.scan(docs([(i, t) for i, _, t in rows])).collect()}
+    for i, label, text in rows:
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, (label, text)
+
+
+BODIES = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+     documentation files (the "Software"), to deal in the Software without restriction ..."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that:
+     1. Redistributions of source code must retain the above copyright notice, this list of conditions and ..."""),
+    ("bsd-4-clause", "3. All advertising materials mentioning features or use of this software must display the following"),
+    ("apache", """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+     on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"""),
+    ("lgpl", "// You should have received a copy of the GNU Lesser General Public\n// License along with this library."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the"),
+    ("zlib", "3. This notice may not be removed. Altered source versions must be plainly marked as such, and must not be"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+def test_bodies_of_licences_and_ordinary_texts(docs):
+    ordinary = ["Er kommt mit. Die Lizenz liegt bei, mit Common Sense und Rights.", "the software is provided as a download", "this license plate",
+                "the library of common documentation in the European domain", "permission to use the kitchen"]
+    texts = [t for _, t in BODIES] + ordinary
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(BODIES))] == [label for label, _ in BODIES]
+    assert all(got[i] == "" for i in range(len(BODIES), len(texts)))
+
+
+def test_the_gate_finds_what_contains_finds(docs):
+    keys = {k for r in licenses.rules() for k in r[1]}
+    pattern = re.compile(licenses.gate(keys))
+    for text in (" cc0 cc by sa bsd 0bsd freebsd ", " gnu general public gnu library x ", " this licen this license agreement wtfplv2 ", "  ", " accc bydb "):
+        longest = set(m[1] for m in pattern.finditer(text))
+        assert {k for k in keys if any(x.startswith(k) for x in longest)} == {k for k in keys if f" {k}" in text}, text
+
+
 def test_repeated_rows_null_ids_no_rows(docs):
     got = licenses.scan(docs([(1, "mit license"), (1, "mit license"), (None, "mit license")])).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"] and all(r["labels"] == "mit" for r in got)
