@@ -47,4 +47,4 @@ def test_repeats_are_passages_of_over_fifty_words(spark):
 
 def test_every_operator_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
