@@ -1,9 +1,9 @@
 """Keyword frequencies.
 
 Tokens come from regular-expression cleaning of ``title + ' ' + content``;
-stop words are removed with a broadcast anti-join against a fixed-size
-table, and counting is a hash aggregate with map-side combine, so very
-frequent words cost one partial row per task.  The reference additionally
+each task counts the words of its texts before they move, so very frequent
+words cost one partial row per task; stop words are removed from the counts
+with a broadcast anti-join against a fixed-size table.  The reference additionally
 keeps only some word classes (nouns, adjectives, adverbs); its tagger is replaced
 by a ``word → tag`` table with suffix back-off (``word_tags``), off by default, that
 is joined to the counted words, so a frequent word is tagged once.
@@ -11,10 +11,13 @@ is joined to the counted words, so a frequent word is tagged once.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions import text as X
+from chorus.session import ensure_checkpoint_dir
 
 # The standard English stop-word list (NLTK corpus, in its order).
 ENGLISH_STOPWORDS = (
@@ -56,28 +59,68 @@ def stopword_table(spark, extra=()) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
+def _joined(title="title", content="content"):
+    return F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(content), F.lit("")))
+
+
+def _keyword_text():
+    words = X.word_splitter(www=False, digits=False)
+
+    def clean(t: str) -> str:
+        return " ".join(words(t).lower().split())
+    return clean
+
+
 def keyword_text(title="title", content="content"):
     """W1 cleaning: drop http(s) URLs and mentions, unhash, punctuation → space, delete digits, lower."""
-    t = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(content), F.lit("")))
-    t = F.regexp_replace(t, X.HTTP_URL, "")
-    t = F.regexp_replace(t, X.MENTION_OR_HASH, "")      # drop mentions, unhash
-    t = F.regexp_replace(t, X.NON_WORD_RUN, " ")        # punctuation and whitespace runs → one space
-    t = F.regexp_replace(t, X.DIGITS, "")
-    return F.lower(t)
+    return X.text_function(_joined(title, content), _keyword_text, "string")
 
 
 def keyword_tokens(posts: DataFrame, allowed_words: DataFrame | None = None) -> DataFrame:
-    """One row per meaningful token occurrence (``seq``, ``word``)."""
-    spark = posts.sparkSession
+    """One row per meaningful token occurrence (``seq``, ``word``); ``keyword_counts`` counts them without these rows."""
     # whitespace runs are single spaces here; empty pieces fail the length filter
     words = posts.select("seq", F.explode(F.split(keyword_text(), " ")).alias("word"))
     words = words.filter(F.char_length("word") >= MIN_WORD_LENGTH)
-    words = words.join(stopword_table(spark), "word", "left_anti")
+    words = words.join(stopword_table(posts.sparkSession), "word", "left_anti")
     if allowed_words is not None:
         words = words.join(allowed_words.select("word").distinct(), "word", "left_semi")
     return words
 
 
+_HELD = 4_000_000  # characters of text whose words a task counts at once
+
+
+def _counted(words, least: int, held: int):
+    def counted(texts):
+        found = pc.value_counts(pc.split_pattern(pa.array(texts, pa.large_string()), " ").flatten())
+        lower = [w.lower() for w in found.field("values").to_numpy(zero_copy_only=False)]
+        out = pa.RecordBatch.from_arrays([pa.array(lower, pa.string()), found.field("counts")], names=["word", "n"])
+        return out.filter(pc.greater_equal(pc.utf8_length(out.column("word")), least))
+
+    def run(batches):
+        for batch in batches:
+            texts, size = [], 0
+            for t in batch.column("t").to_pylist():
+                texts.append(words(t))
+                size += len(t)
+                if size >= held:
+                    yield counted(texts)
+                    texts, size = [], 0
+            yield counted(texts)
+    return run
+
+
+def keyword_counts(posts: DataFrame, allowed_words: DataFrame | None = None) -> DataFrame:
+    """``word, count`` of the meaningful tokens.  Each task counts the words of its texts, so a word moves
+    once a task, however often it stands there."""
+    texts = posts.select(F.make_valid_utf8(_joined()).alias("t"))
+    parts = texts.mapInArrow(_counted(X.word_splitter(www=False, digits=False), MIN_WORD_LENGTH, _HELD), "word string, n long")
+    counts = parts.groupBy("word").agg(F.sum("n").alias("count")).join(stopword_table(posts.sparkSession), "word", "left_anti")
+    if allowed_words is not None:
+        counts = counts.join(allowed_words.select("word").distinct(), "word", "left_semi")
+    return counts
+
+
 def suffix_tags(tags: DataFrame, longest: int = 4) -> DataFrame:
     """suffix, tag: for every ending of up to ``longest`` letters of the tagged words (shorter than the word) the
     tag most of them have (ties: the first in order)."""
@@ -107,8 +150,10 @@ def word_frequencies(posts: DataFrame, sentiment_filter: str | None = None,
     only words of the classes ``keep_tags`` stay."""
     if sentiment_filter:
         posts = posts.filter(F.col("sentiment.label") == sentiment_filter)
-    counts = keyword_tokens(posts, allowed_words).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    counts = keyword_counts(posts, allowed_words)
     if tags is not None:
+        ensure_checkpoint_dir(posts.sparkSession)
+        counts = counts.checkpoint(eager=True)  # the texts are counted once; the words meet their tags in two places
         classes = word_tags(counts, tags).where(F.col("tag").isin(*keep_tags))
         counts = counts.join(classes.select("word"), "word", "left_semi")
     if min_count <= 1:

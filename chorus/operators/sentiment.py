@@ -1,24 +1,26 @@
 """Lexicon sentiment scoring.
 
 The reference combines three per-row NLP libraries with a word lexicon, an
-emoji score and punctuation emphasis.  Here every component is a column
-expression over the cleaned text: tokens are looked up in lexicon maps with
-higher-order functions, so scoring is a narrow (shuffle-free) projection
-that runs wherever the posts are.  The library rule engines are re-aimed as
+emoji score and punctuation emphasis.  Here every component is a column of the
+text: one Arrow function cleans it, cuts it into tokens and gives the few that
+a lexicon knows, from which native expressions make the scores, so scoring is a
+narrow (shuffle-free) projection that runs wherever the posts are.  The library rule engines are re-aimed as
 a valence lexicon (N6) with the usual ``s / sqrt(s² + 15)`` normalisation;
 their negation and booster rules are not reproduced, so labels will differ
 from the reference's on real text — every downstream operator reads only the
 resulting ``sentiment`` column.
 
 Lexicons are parameters: small ``{word: polarity}`` / ``{word: valence}``
-dicts become map literals (the built-in ones below are seeds), and a lexicon
+dicts go along with the function (the built-in ones below are seeds), and a lexicon
 of any size is a table (``word, polarity, valence``) joined to the tokens:
 :func:`lexicon_table_scores`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorus.functions import columns as C
@@ -49,88 +51,113 @@ VALENCE_ALPHA = 15.0  # normalisation constant of the compound score
 THRESHOLD = 0.05      # |compound| below this is NEUTRAL
 
 
-def _map_literal(d: dict) -> Column:
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
+def _token_hits(lexicon: dict, valence: dict):
+    tokens = X.tokenizer()
 
+    def hits(t: str) -> dict:
+        found, toks = {}, tokens(t)
+        for w in toks:
+            if w in lexicon or w in valence:
+                found[w] = found.get(w, 0) + 1
+        return {"n": len(toks), "hits": [{"c": c, "p": lexicon.get(w), "v": valence.get(w)} for w, c in found.items()]}
+    return hits
 
-def tokens(cleaned) -> Column:
-    """Lower-case whitespace tokens of a cleaned text (empty text → no tokens).
-
-    ``clean_text`` already collapsed every whitespace run to one space, so a
-    literal split (Java's single-character fast path) equals ``str.split()``.
-    """
-    return F.array_remove(F.split(F.lower(cleaned), " "), "")
 
+def token_hits(text, lexicon: dict | None = None, valence: dict | None = None) -> Column:
+    """``n`` tokens of a cleaned text, and ``hits``: its different words that a lexicon knows, in order of first place,
+    with occurrence count ``c``, polarity ``p`` and valence ``v`` (null: not in that lexicon)."""
+    opinion, val = ({k: float(v) for k, v in d.items()} for d in (lexicon or OPINION_WORDS, valence or VALENCE_WORDS))
+    return X.text_function(text, lambda: _token_hits(opinion, val), "struct<n:int,hits:array<struct<c:int,p:double,v:double>>>")
 
-def _hits(toks: Column, d: dict) -> Column:
-    """Distinct lexicon words present in ``toks`` with their occurrence count.
-
-    ``array_intersect`` is a hash-set pass over the tokens; only the (few)
-    matched words are then counted, so cost does not grow with lexicon size.
-    """
-    words = F.array(*[F.lit(w) for w in d])
-    matched = F.array_intersect(toks, words)
-    return F.transform(matched, lambda w: F.struct(
-        w.alias("w"), (F.size(toks) - F.size(F.array_remove(toks, w))).alias("c")))
 
+def _emoji_scorer():
+    positive, negative = list(X.POSITIVE_EMOJI.values()), list(X.NEGATIVE_EMOJI.values())
 
-def _sum_lookup(toks: Column, lex: Column, d: dict) -> Column:
-    return F.aggregate(_hits(toks, d), F.lit(0.0),
-                       lambda acc, h: acc + h["c"] * F.coalesce(F.element_at(lex, h["w"]), F.lit(0.0)))
+    def score(t: str) -> float:
+        if t.isascii():
+            return 0.0
+        p, n = sum(e in t for e in positive), sum(e in t for e in negative)
+        return (p - n) / (p + n) if p + n else 0.0
+    return score
 
 
-def _count_lookup(toks: Column, lex: Column, d: dict, pred) -> Column:
-    return F.aggregate(_hits(toks, d), F.lit(0),
-                       lambda acc, h: acc + F.when(pred(F.element_at(lex, h["w"])), h["c"]).otherwise(0))
+def _emphasis():
+    def marks(t: str) -> float:
+        return float(t.count("!") - t.count("?"))
+    return marks
 
 
 def emoji_score(raw_text) -> Column:
     """Listed emoji present (distinct, not occurrences): ``(p − n) / (p + n)``, else 0."""
-    t = F.coalesce(raw_text, F.lit(""))
-    p = sum(F.when(F.contains(t, F.lit(cp)), 1).otherwise(0) for cp in X.POSITIVE_EMOJI.values())
-    n = sum(F.when(F.contains(t, F.lit(cp)), 1).otherwise(0) for cp in X.NEGATIVE_EMOJI.values())
-    return F.when(p + n > 0, (p - n) / (p + n)).otherwise(F.lit(0.0))
+    return X.text_function(raw_text, _emoji_scorer, "double")
 
 
 def emphasis(raw_text) -> Column:
     """``!`` count minus ``?`` count on the raw text."""
-    t = F.coalesce(raw_text, F.lit(""))
-    return (X.char_count(t, "!") - X.char_count(t, "?")).cast("double")
+    return X.text_function(raw_text, _emphasis, "double")
 
 
-def valence_scores(toks: Column, valence: dict | None = None):
-    """(compound, polarity) from a valence lexicon.
+_CHUNK = 500_000  # rows of words that a task hands on at once
 
-    compound = s / sqrt(s² + α) of the summed valence; polarity = mean
-    valence / 4 over matched tokens (0 when none match).
-    """
-    d = valence or VALENCE_WORDS
-    lex = _map_literal(d)
-    s = _sum_lookup(toks, lex, d)
-    matched = _count_lookup(toks, lex, d, lambda v: v.isNotNull())
-    compound = s / F.sqrt(s * s + F.lit(VALENCE_ALPHA))
-    polarity = F.when(matched > 0, s / matched / 4.0).otherwise(F.lit(0.0))
-    return compound, polarity
+
+def _word_rows(rows: int):
+    tokens = X.tokenizer()
+
+    def run(batches):
+        for batch in batches:
+            at, lengths, sizes, words, counts = 0, [], [], [], []
+
+            def emit(end):
+                each = pa.array(np.repeat(np.arange(at, end), sizes))
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("seq").take(each), batch.column("row").take(each), pa.array(np.repeat(lengths, sizes), pa.int32()),
+                     pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["seq", "row", "n", "word", "c"])
+            texts = batch.column("t").to_pylist()
+            for i, t in enumerate(texts):
+                toks, found = tokens(t), {}
+                for w in toks:
+                    found[w] = found.get(w, 0) + 1
+                lengths.append(len(toks))
+                sizes.append(max(len(found), 1))
+                words += found or [None]
+                counts += found.values() or [0]
+                if len(words) >= rows:
+                    yield emit(i + 1)
+                    at, lengths, sizes, words, counts = i + 1, [], [], [], []
+            if words:
+                yield emit(len(texts))
+    return run
+
+
+#: A lexicon of up to so many words is sent to every task; a larger one meets the words by a shuffle.
+_SMALL = 200_000
 
 
 def lexicon_table_scores(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """N1 and N6 with a lexicon table: ``seq, lexicon, vader, textblob``.
 
     ``lexicon`` has ``word`` (distinct), ``polarity`` and ``valence`` (either may be null).  Tokens are
-    counted per post before they meet the table, so a word that fills a third of a text moves once;
-    Spark broadcasts the table when its size allows.  Posts without a match score 0.
+    counted per post before they meet the table, so a word that fills a third of a text moves once.  Each text is
+    read once: its words carry its length, meet the table where they are (a lexicon of ``_SMALL`` words and more: by
+    a shuffle) and are summed per post before anything else moves.  Posts without a match score 0.
     """
-    toks = posts.select("seq", tokens(X.clean_text(C.scoring_text())).alias("toks"))
-    counts = toks.select("seq", F.explode("toks").alias("word")).groupBy("seq", "word").agg(F.count(F.lit(1)).alias("c"))
-    hits = counts.join(lexicon.select("word", "polarity", "valence"), "word").groupBy("seq").agg(
+    words = posts.select("seq", F.monotonically_increasing_id().alias("row"), F.make_valid_utf8(C.scoring_text()).alias("t")).mapInArrow(
+        _word_rows(_CHUNK), f"seq {posts.schema['seq'].dataType.simpleString()}, row long, n int, word string, c long")
+    table = lexicon.select("word", "polarity", "valence")
+    if table.limit(_SMALL + 1).count() <= _SMALL:
+        table = F.broadcast(table)
+    per_post = words.join(table, "word", "left").groupBy("seq", "row", "n").agg(
         F.sum(F.when(F.col("polarity") > 0, F.col("c")).when(F.col("polarity") < 0, -F.col("c")).otherwise(0)).alias("net"),
         F.sum(F.coalesce(F.col("valence") * F.col("c"), F.lit(0.0))).alias("s"),
         F.sum(F.when(F.col("valence").isNotNull(), F.col("c")).otherwise(0)).alias("m"))
-    j = toks.select("seq", F.size("toks").alias("n")).join(hits, "seq", "left")
-    s = F.coalesce("s", F.lit(0.0))
-    return j.select("seq", F.when(F.col("n") > 0, F.coalesce("net", F.lit(0)) / F.col("n")).otherwise(F.lit(0.0)).alias("lexicon"),
+    # posts of one number share their hits; a post without a number has none
+    same = Window.partitionBy("seq")
+    of = lambda c: F.when(F.col("seq").isNotNull(), F.sum(c).over(same)).otherwise(F.lit(0))
+    j = per_post.select("seq", "n", *[of(c).alias(c) for c in ("net", "s", "m")])
+    s = F.col("s")
+    return j.select("seq", F.when(F.col("n") > 0, F.col("net") / F.col("n")).otherwise(F.lit(0.0)).alias("lexicon"),
                     (s / F.sqrt(s * s + F.lit(VALENCE_ALPHA))).alias("vader"),
-                    F.when(F.col("m") > 0, F.col("s") / F.col("m") / 4.0).otherwise(F.lit(0.0)).alias("textblob"))
+                    F.when(F.col("m") > 0, s / F.col("m") / 4.0).otherwise(F.lit(0.0)).alias("textblob"))
 
 
 def threshold_label(compound) -> Column:
@@ -141,22 +168,13 @@ def threshold_label(compound) -> Column:
              .otherwise(F.lit("NEUTRAL")))
 
 
-def lexicon_hits(toks: Column, lexicon: dict | None = None, valence: dict | None = None) -> Column:
-    """Matched words of both lexicons with occurrence count, polarity and valence.
+def hit_scores(found: Column):
+    """(vader, textblob, lexicon) from :func:`token_hits`.
 
-    One hash-set intersection per post; per-word counting only for matches.
+    N6: compound = s / sqrt(s² + α) of the summed valence; polarity = mean valence / 4 over matched tokens (0 when
+    none match).  N1: positive minus negative tokens over all tokens.
     """
-    opinion, val = lexicon or OPINION_WORDS, valence or VALENCE_WORDS
-    words = list(dict.fromkeys([*opinion, *val]))
-    pol_map, val_map = _map_literal(opinion), _map_literal(val)
-    matched = F.array_intersect(toks, F.array(*[F.lit(w) for w in words]))
-    return F.transform(matched, lambda w: F.struct(
-        (F.size(toks) - F.size(F.array_remove(toks, w))).alias("c"),
-        F.element_at(pol_map, w).alias("p"), F.element_at(val_map, w).alias("v")))
-
-
-def hit_scores(hits: Column, n_tokens: Column):
-    """(vader, textblob, lexicon) from :func:`lexicon_hits` (same formulas as N1/N6)."""
+    hits, n_tokens = found["hits"], found["n"]
     agg = lambda f, zero: F.aggregate(hits, zero, f)
     pos = agg(lambda a, h: a + F.when(h["p"] > 0, h["c"]).otherwise(0), F.lit(0))
     neg = agg(lambda a, h: a + F.when(h["p"] < 0, h["c"]).otherwise(0), F.lit(0))
@@ -168,47 +186,36 @@ def hit_scores(hits: Column, n_tokens: Column):
     return vader, blob, lex
 
 
-def score_columns(text: Column, toks: Column, lexicon: dict | None = None, valence: dict | None = None,
-                  hits: Column | None = None) -> dict:
-    """All N-components of one text (and its tokens) as named columns."""
-    hits = hits if hits is not None else lexicon_hits(toks, lexicon, valence)
-    vader, blob, lex = hit_scores(hits, F.size(toks))
-    emo = emoji_score(text)
-    emph = emphasis(text)
-    combined = (vader + blob + lex) / 3 + 0.1 * emo + 0.02 * emph
-    return {"vader": vader, "textblob": blob, "lexicon": lex, "emoji": emo, "emphasis": emph,
-            "combined": combined}
-
-
 def score_posts(posts: DataFrame, lexicon: dict | None = None, valence: dict | None = None) -> DataFrame:
     """Attach the combined sentiment to every post (scoring text P11).
 
     ``sentiment`` = {label, score = |combined|, method 'comprehensive',
     compound, original_text = first 200 chars, details}.
     """
-    staged = (posts.withColumn("_text", C.scoring_text())
-                   .withColumn("_toks", tokens(X.clean_text(F.col("_text"))))
-                   .withColumn("_hits", lexicon_hits(F.col("_toks"), lexicon, valence)))
-    parts = score_columns(F.col("_text"), F.col("_toks"), lexicon, valence, hits=F.col("_hits"))
-    with_parts = staged.select("*", *[v.alias(f"_{k}") for k, v in parts.items()]).drop("_toks", "_hits")
+    text = F.col("_text")
+    found = posts.withColumn("_text", C.scoring_text()).select(
+        "*", token_hits(text, lexicon, valence).alias("_found"), emoji_score(text).alias("_emoji"), emphasis(text).alias("_emphasis"))
+    vader, blob, lex = hit_scores(F.col("_found"))
+    parts = found.withColumns({"_vader": vader, "_textblob": blob, "_lexicon": lex})
+    combined = (F.col("_vader") + F.col("_textblob") + F.col("_lexicon")) / 3 + 0.1 * F.col("_emoji") + 0.02 * F.col("_emphasis")
+    with_parts = parts.withColumn("_combined", combined)
     combined = F.col("_combined")
     details = F.create_map(*[x for k in ("vader", "textblob", "lexicon", "emoji", "emphasis")
                              for x in (F.lit(k), F.col(f"_{k}"))])
     sent = sentiment_struct(threshold_label(combined), F.abs(combined), F.lit("comprehensive"),
                             compound=combined, original_text=F.substring("_text", 1, 200), details=details)
     return with_parts.withColumn("sentiment", sent).drop(
-        "_text", *[f"_{k}" for k in ("vader", "textblob", "lexicon", "emoji", "emphasis", "combined")])
+        "_text", "_found", *[f"_{k}" for k in ("vader", "textblob", "lexicon", "emoji", "emphasis", "combined")])
 
 
 def vader_only(posts: DataFrame, valence: dict | None = None) -> DataFrame:
     """N5 over the valence compound: label, |compound|, method 'vader'."""
-    staged = (posts.withColumn("_text", C.scoring_text())
-                   .withColumn("_toks", tokens(X.clean_text(F.col("_text")))))
-    compound, _ = valence_scores(F.col("_toks"), valence)
+    staged = posts.withColumn("_text", C.scoring_text())
+    compound, _, _ = hit_scores(token_hits(F.col("_text"), None, valence))
     return staged.withColumn("_c", compound).withColumn(
         "sentiment", sentiment_struct(threshold_label(F.col("_c")), F.abs("_c"), F.lit("vader"),
                                       compound=F.col("_c"), original_text=F.substring("_text", 1, 200))
-    ).drop("_c", "_text", "_toks")
+    ).drop("_c", "_text")
 
 
 def label_counts(flat: DataFrame) -> DataFrame:

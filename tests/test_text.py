@@ -91,3 +91,41 @@ def test_word_classes_by_table_ending_and_default(spark):
     assert got == {"evening": "N", "ringing": "V", "quick": "A", "badly": "R", "zzz": "N", "x": "N"}
     none = W.word_tags(words, tags.limit(0)).collect()
     assert {r["tag"] for r in none} == {"N"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_handed_over_once_for_all_passes(make_posts):
+    posts = make_posts([post(1, "Good, good #day @bob https://x.y!"), post(2, None), post(3, "Été  © bad")])
+    c = X.clean_text(F.col("content"))
+    for df in (posts.select(c, F.length(c)), posts.select(*X.text_feature_columns(F.col("content"))), N.vader_only(posts), N.score_posts(posts)):
+        assert "ArrowEvalPython" in plan(df) and "regexp_replace" not in plan(df)
+    assert [r[0] for r in posts.select(c).collect()] == ["Good, good day bob", "", "Été copyright_sign bad"]
+    assert posts.select(*X.text_feature_columns(F.col("content"))).collect()[1]["num_words"] is None
+
+
+def test_words_are_counted_before_they_move(make_posts):
+    posts = make_posts([post(i, "Data, d4ta data spät SPÄT https://a.b www.data", title=None) for i in range(30)])
+    counts = W.word_frequencies(posts)
+    assert "MapInArrow" in plan(counts) and "Generate" not in plan(counts)
+    assert {r["word"]: r["count"] for r in counts.collect()} == {"data": 90, "dta": 30, "spät": 60}
+
+
+def test_lexicon_table_reads_texts_once(make_posts):
+    posts = make_posts([post(1, "good good bad", seq=1), post(2, "good", seq=1), post(3, "", seq=3), post(4, "zzz", seq=4)])
+    lexicon = posts.sparkSession.createDataFrame([("good", 1, 2.0), ("bad", -1, None)], "word string, polarity int, valence double")
+    scores = N.lexicon_table_scores(posts, lexicon)
+    assert plan(scores).count("MapInArrow") == 1
+    got = sorted((r["seq"], round(r["lexicon"], 6), round(r["textblob"], 6)) for r in scores.collect())
+    assert got == [(1, round(2 / 3, 6), 0.5), (1, 2.0, 0.5), (3, 0.0, 0.0), (4, 0.0, 0.0)]
+
+
+def test_scatter_sample_hands_on_no_whole_text(make_posts):
+    from chorus.operators import filters as FL
+    posts = make_posts([post(i, "x" * 300, label=None if i == 2 else "POSITIVE") for i in range(12)])
+    sample = FL.scatter_sample(posts)
+    assert " content#" not in plan(sample).split("Project")[0] and len(sample.collect()) == 11
+    limit = [line for line in plan(sample).splitlines() if "Limit" in line or "Sort [" in line]
+    assert limit and "substring" in plan(sample)[plan(sample).index("Sort ["):]
