@@ -149,8 +149,7 @@ def read_document(spark: SparkSession, path: str, schemas: dict[str, T.DataType]
         inside = (inside + b["odd"]) % 2
     depth_of = 1 if bare else 2
     found = records.mapInArrow(_elements(starts, depth_of), "block long, at long, kind string, text string")
-    ensure_checkpoint_dir(spark)
-    found = found.checkpoint(eager=True)
+    # the file holds still, so its elements are cut out again by whoever reads them instead of being written a second time
     marks = found.where("kind <> 'whole'").select("block", "at", "kind", F.when(F.col("kind") == "value", F.col("text")).alias("name")).collect()
     # at most two fragments a block, and the document's top-level values
     marks.sort(key=lambda r: (r["block"], {"tail": 0, "middle": 0, "value": 1, "head": 1}[r["kind"]], r["at"]))
@@ -197,8 +196,11 @@ def write_document(path: str, sections: dict[str, DataFrame | dict | list], orde
         if not isinstance(value, DataFrame):
             lines.append(plain(i, 0, opening + json.dumps(value, ensure_ascii=False, sort_keys=True) + comma))
             continue
-        rank = F.col(order) if order in value.columns else F.monotonically_increasing_id()
-        rows = value.select(rank.cast("long").alias("ord"), F.to_json(F.struct(*sorted(value.columns)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("line")).checkpoint(eager=True)
+        ordered = order in value.columns
+        rank = F.col(order) if ordered else F.monotonically_increasing_id()
+        rows = value.select(rank.cast("long").alias("ord"), F.to_json(F.struct(*sorted(value.columns)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("line"))
+        # numbers given here must hold for both passes; a column of the rows does, and its least value needs no line
+        rows = rows if ordered else rows.checkpoint(eager=True)
         first = rows.agg(F.min("ord").alias("first")).scalar()
         lines += [plain(i, 0, opening + "["), plain(i, 2, "]" + comma),
                   rows.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), "ord", F.when(F.col("ord") > first, F.concat(F.lit(","), "line")).otherwise(F.col("line")).alias("line"))]
