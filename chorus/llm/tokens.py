@@ -23,7 +23,7 @@ WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 def _byte_names() -> dict[int, str]:

@@ -34,7 +34,9 @@ LEXICON = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless",
            "salope", "ordure", "gilipollas", "cabrón", "imbécil")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6, 7)
-_KNOWN = 500_000
+_KNOWN = 150_000
+#: Counting numbers every feature of a slice, some thirty times its bytes in memory.
+_COUNT_BYTES = 1 << 20
 
 
 def features_of(token: str) -> list[str]:
@@ -82,16 +84,20 @@ def _row_features(texts: pa.Array, index: dict[str, int] | None, memo: dict):
     return pairs // (len(names) + 1), pairs % (len(names) + 1), names
 
 
+def _count_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
+    y = batch.column("toxic").to_numpy()
+    r, f, names = _row_features(batch.column("text"), None, {})
+    n = np.bincount(f, minlength=len(names))
+    t = np.bincount(f, weights=y[r], minlength=len(names)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.int64())],
+                                      names=["feature", "n", "toxic"])
+
+
 def _count(batches):
     """Rows (feature, n, toxic): in how many rows of a slice of texts a feature occurs."""
     for whole in batches:
-        for batch in chunks(whole, "text"):
-            y = batch.column("toxic").to_numpy()
-            r, f, names = _row_features(batch.column("text"), None, {})
-            n = np.bincount(f, minlength=len(names))
-            t = np.bincount(f, weights=y[r], minlength=len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.int64())],
-                                             names=["feature", "n", "toxic"])
+        for batch in chunks(whole, "text", _COUNT_BYTES):
+            yield _count_slice(batch)
 
 
 def _votes(index: dict[str, int]):
@@ -216,16 +222,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, max_fe
     return {"features": chosen, "weights": w.tolist(), "bias": b, "rows": rows}
 
 
-def _score(model, names, extra):
+def _score(model, names, text, extra):
     def run(batches):
         index, weights = {f: i for i, f in enumerate(model.value["features"])}, np.array(model.value["weights"])
         memo: dict = {}
         for whole in batches:
-            for batch in chunks(whole, names[-1]):
-                r, f, _ = _row_features(batch.column(names[-1]), index, memo)
+            for batch in chunks(whole, text):
+                r, f, _ = _row_features(batch.column(text), index, memo)
                 z = np.bincount(r, weights=weights[f], minlength=batch.num_rows) + model.value["bias"]
                 score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), score], names=[*names[:-1], extra])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), score], names=[*names, extra])
     return run
 
 
@@ -236,8 +242,10 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     sent = spark.sparkContext.broadcast(model)  # max_features names and weights
     docs = docs.drop(score_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    if text_col in docs.columns and docs.schema[text_col].dataType == T.StringType():  # texts go to the task once
+        return docs.mapInArrow(_score(sent, docs.columns, text_col, score_col), schema)
     own = "_text_of_score"
-    return docs.withColumn(own, F.col(text_col).cast("string")).mapInArrow(_score(sent, [*docs.columns, own], score_col), schema)
+    return docs.withColumn(own, F.col(text_col).cast("string")).mapInArrow(_score(sent, docs.columns, own, score_col), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:

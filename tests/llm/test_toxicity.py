@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,25 @@ def test_chance_bound_grows_with_support(spark, n, t):
     assert two == pytest.approx(2 * one) and one > 0
 
 
+def test_counting_holds_one_small_slice(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(300)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts), pa.int32())], names=["text", "toxic"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in toxicity._count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 0 and peak < 150e6, peak
+
+
+def test_scoring_sends_texts_once(spark, docs, capsys):
+    toxicity.score(docs([(1, "fine")]), {"features": ["=idiot"], "weights": [4.0], "bias": -3.0}).explain()
+    assert "_text_of_score" not in capsys.readouterr().out
+    binary = docs([(1, "you idiot")]).withColumn("text", F.col("text").cast("binary"))
+    got = toxicity.score(binary, {"features": ["=idiot"], "weights": [4.0], "bias": -3.0}).first()
+    assert got["toxicity"] > 0.3 and bytes(got["text"]) == b"you idiot"
+
+
 def plain_features(text):
     """Feature set of a text, letter by letter."""
     out = set()
