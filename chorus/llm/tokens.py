@@ -1,9 +1,11 @@
 """Token ids of whole texts by the ``tokenizers`` library, fast enough for a corpus scan.
 
 A text is cut at ASCII white space (the tokenizer drops white space, so no token spans it), equal
-words are tokenised once per batch, and the ids are gathered back by index.  Words of plain letters
-and punctuation go straight to the library's BPE model, piece by piece, through a bounded cache; all
-other words, and every other tokenizer file, go through the library's full ``encode``.
+words are tokenised once per batch, and the ids are gathered back by index.  Plain words are put in
+lower case and parted from the punctuation at their end (a piece of its own for the tokenizer), so
+that "Word", "word" and "word." are tokenised once.  Plain letters and punctuation go straight to the
+library's BPE model, piece by piece; all other words, and every other tokenizer file, go through the
+library's full ``encode``.  Ids of words met before come from a bounded Arrow table.
 """
 
 from __future__ import annotations
@@ -23,7 +25,18 @@ WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_CACHE_WORDS = 150_000
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BEFORE_MARKS = "^.*[a-z0-9ß-öø-ÿ]"
+_CACHE_WORDS = 400_000
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1``, ... (``count`` numbers) of every row, end to end."""
+    ends = np.cumsum(count, dtype=np.int64)
+    at = np.repeat((first - (ends - count)).astype(np.int32), count)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
 
 
 def _byte_names() -> dict[int, str]:
@@ -48,7 +61,7 @@ class Encoder:
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
         self.dtype = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.names = str.maketrans({chr(k): v for k, v in _byte_names().items()})
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.pool = np.zeros(0, self.dtype)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -64,43 +77,64 @@ class Encoder:
             return [i for p in _PIECES.findall(low) for i in self._piece(p)]
         return self.tok.encode(word, add_special_tokens=False).ids if word else []
 
-    def _look_up(self, words: list[str]):
-        """(index of every word, first id, number of ids, ids): words seen before are looked up, new ones
-        tokenised.  At most ``_CACHE_WORDS`` are kept (the first ones met, so the frequent ones); later
-        words are tokenised once per batch.  Memory is bounded whatever the corpus holds."""
-        known, fresh = self.known, []
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
-                fresh.append(w)
-        ids = [self._word(w) for w in fresh]
+    def _look_up(self, words: pa.Array):
+        """(first id, number of ids) of every one of different ``words``, and ids: words met before are looked
+        up, new ones tokenised.  At most ``_CACHE_WORDS`` are kept (the first ones met, so the frequent ones);
+        later words are tokenised once per batch.  Memory is bounded whatever the corpus holds."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        ids = [self._word(w) for w in new.to_pylist()]
         n = np.fromiter(map(len, ids), np.int32, len(ids))
         pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.dtype, int(n.sum()))])
-        first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
+        first = np.concatenate([self.first, len(self.pool) + np.cumsum(n, dtype=np.int64) - n])
         count = np.concatenate([self.count, n])
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        extra = max(0, len(known) - _CACHE_WORDS)
-        for w in fresh[len(fresh) - extra:]:
-            del known[w]
-        keep = len(known)
-        self.first, self.count = first[:keep], count[:keep]
-        self.pool = pool[:int(first[keep - 1] + count[keep - 1])].copy() if extra and keep else pool
-        return at, first, count, pool
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        rows = np.empty(len(words), np.int64)
+        rows[~fresh] = at.drop_null().to_numpy(zero_copy_only=False)
+        rows[fresh] = len(self.known) + np.arange(len(new))
+        room = min(len(new), _CACHE_WORDS - len(self.known))
+        if room > 0:
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            keep = len(self.known)
+            self.first, self.count = first[:keep], count[:keep]
+            self.pool = pool[:int(first[keep - 1] + count[keep - 1])].copy()
+        return first[rows], count[rows], pool
+
+    def _parted(self, words: pa.Array):
+        """(parts, part of every word, part of its end): the different parts that ``words`` are made of.
+
+        A plain word that ends in a letter or a digit and punctuation marks is cut between them; there a piece
+        of the tokenizer ends whatever follows.  Other words are whole, with an empty end."""
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.if_else(plain, pc.utf8_lower(words), words)
+        body = pc.if_else(plain, pc.utf8_rtrim(low, _MARKS), words)
+        cut = pc.less(pc.binary_length(body), pc.binary_length(low))
+        ends = pc.replace_substring_regex(low.filter(cut), _BEFORE_MARKS, "")
+        coded = pa.concat_arrays([pa.array([""]), body, ends]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        end = np.full(len(words), codes[0], codes.dtype)
+        end[cut.to_numpy(zero_copy_only=False)] = codes[1 + len(words):]
+        return coded.dictionary, codes[1:1 + len(words)], end
 
     def _words(self, texts: pa.Array):
         """(first id, number of ids) of every word, the ids, and every row's word offset."""
         flat = pc.replace_substring(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), "\r", " ")
         split = pc.split_pattern(flat, " ")
         coded = split.values.dictionary_encode()
+        parts, body, end = self._parted(coded.dictionary)
         was = gc.isenabled()
-        gc.disable()  # nothing here is cyclic; collections would walk every known word
+        gc.disable()  # nothing here is cyclic; collections would walk every new word
         try:
-            at, first, count, pool = self._look_up(coded.dictionary.to_pylist())
+            first, count, pool = self._look_up(parts)
         finally:
             if was:
                 gc.enable()
+        both = np.stack([body, end], 1).ravel()  # the ids of a different word: its body's and its end's
+        pool = pool[_ranges(first[both], count[both])]
+        count = count[body] + count[end]
+        first = np.cumsum(count, dtype=np.int64) - count
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        return first[at].astype(np.int32)[codes], count[at][codes], pool, split.offsets.to_numpy()
+        return first.astype(np.int32)[codes], count[codes], pool, split.offsets.to_numpy()
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of every row, without building the ids."""
@@ -124,10 +158,7 @@ class Encoder:
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         first, n, pool, rows = self._words(texts)
         ends = np.cumsum(n, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat((first - (ends - n)).astype(np.int32), n)
-        at += np.arange(total, dtype=np.int32)
-        out = pool[at]
+        out = pool[_ranges(first, n)]
         offsets = np.concatenate([[0], ends])[rows]
         if eos is not None:
             out = np.insert(out, offsets[1:], eos)

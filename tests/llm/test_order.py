@@ -75,3 +75,33 @@ def test_long_documents_nulls_and_empty_texts(spark, docs):
     assert sum(r["n_ids"] for r in got) == sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
     long = [r for r in got if r["first_doc"] == 1 and r["first_start"]]
     assert all(b["first_start"] - a["first_start"] == 64 for a, b in zip(long, long[1:]))
+
+
+def test_words_of_other_case_or_end_are_tokenised_once(monkeypatch):
+    import pyarrow as pa
+    seen, word = [], tokens.Encoder._word
+    monkeypatch.setattr(tokens.Encoder, "_word", lambda self, w: (seen.append(w), word(self, w))[1])
+    enc, lib = tokens.Encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    text = "House house. HOUSE, größe... Größe (house"
+    for _ in range(2):
+        ids, _ = enc.encode(pa.array([text]))
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == ["", "(house", ",", ".", "...", "größe", "house"]
+
+
+@pytest.mark.parametrize("cap", [0, 3, 1000])
+def test_parted_words_equal_the_library_whatever_is_kept(monkeypatch, cap):
+    import random
+
+    import pyarrow as pa
+    monkeypatch.setattr(tokens, "_CACHE_WORDS", cap)
+    enc, lib = tokens.Encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    draw = random.Random(7)
+    signs = "aAzZéÉßÞ09'\"<|>.,!-_…—̸́ﬁΣσİ日🙂\x0b\x7f  \n\t"
+    rows = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 30))) for _ in range(400)]
+    rows += ["don't! we'll. 's 's. it's' a.'s, <|endoftext|>. x<|. A.'S...", "", None]
+    for part in (rows[:200], rows[200:], rows):
+        ids, at = enc.encode(pa.array(part), eos=2)
+        assert len(enc.known) <= cap
+        for i, r in enumerate(part):
+            assert ids[at[i]:at[i + 1]].tolist() == lib.encode(r or "", add_special_tokens=False).ids + [2]
