@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import chunks, components, ready, stage
+from chorus.llm.common import chunks, components, ready, stage, union_all, unstage
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _SEEN = 1_000_000
+_SLICES = 4  # signatures are a few hundred a document: a slice of them is shuffled at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,6 +122,9 @@ def _class_key(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
+_SIGS = [f"sigs{i}" for i in range(_SLICES)]
+
+
 def _base(k, percent):
     def run(batches):
         seen: set[int] = set()  # copies met in one task send their signatures once
@@ -133,13 +137,17 @@ def _base(k, percent):
                     sigs.append(signatures(s, percent) if c is not None and c not in seen else np.zeros(0, np.uint64))
                     if len(seen) < _SEEN:
                         seen.add(c)
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+                owner = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
                 flat = np.concatenate([*sigs, np.zeros(0, np.uint64)])
+                mine = (flat % np.uint64(_SLICES)).astype(np.int64)
+                lists = []
+                for i in range(_SLICES):
+                    at = np.concatenate([[0], np.cumsum(np.bincount(owner[mine == i], minlength=len(sigs)))]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(at), _as_long(flat[mine == i])))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(keys, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(at), _as_long(flat))],
-                    names=["doc_id", "th", "n", "cid", "sigs"])
+                     pa.array(keys, pa.int64()), *lists],
+                    names=["doc_id", "th", "n", "cid", *_SIGS])
     return run
 
 
@@ -249,6 +257,13 @@ def _join_blocks(k, percent):
     return run
 
 
+def _region_edges(wide: DataFrame, sigs: str, parts: int) -> DataFrame:
+    """pivot, cid: the lowest class of each region with the region's other classes; one exchange serves both sides."""
+    sig = wide.select("cid", F.explode(sigs).alias("region")).repartition(parts, "region")
+    low = sig.groupBy("region").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most")
+    return sig.join(low, "region").where("cid <> pivot").select("pivot", "cid").distinct()
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int = 400_000, id_col: str = "doc_id",
                     text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows are doc_id, th (hash of the text), n_shingles, class_id (equal sets), component_id;
@@ -262,26 +277,35 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, chunk: int =
     spark = ready(docs)
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    base = stage(src.mapInArrow(_base(k, percent), "doc_id long, th long, n long, cid long, sigs array<long>"), "jaccard")
+    wide = stage(src.mapInArrow(_base(k, percent), "doc_id long, th long, n long, cid long, " + ", ".join(f"{c} array<long>" for c in _SIGS)), "jaccard")
+    base = stage(wide.select("doc_id", "th", "n", "cid"), "jaccard")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange serves both sides: lowest class of each region, and the region's other classes
-    sig = base.select("cid", F.explode("sigs").alias("region")).repartition(parts, "region")
-    low = sig.groupBy("region").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most")
-    edges = stage(sig.join(low, "region").where("cid <> pivot").select("pivot", "cid").distinct(), "jaccard")
+    edges = union_all([stage(_region_edges(wide, c, parts), "jaccard") for c in _SIGS])
+    unstage(wide)  # the signatures are most of what is staged, and edges are all that is asked of them
     family = components(edges, "pivot", "cid").select(F.col("node").alias("cid"), F.col("component").alias("family"))
     reps = base.where("n > 0").groupBy("cid").agg(F.min(F.struct("th", "doc_id")).alias("one"), F.max("n").alias("n")).join(family, "cid")
     reps = reps.select("cid", "family", "n", "one.th", F.col("one.doc_id").alias("rep"))
     reps = stage(reps.withColumn("x", F.expr(f"coalesce(sum(n) over (partition by family order by n, cid rows between unbounded preceding "
                                              f"and 1 preceding), 0L) div {chunk}L")), "jaccard")
-    sides = reps.groupBy("family", "x").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sides = reps.groupBy("family", "x").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("size"))
     other = sides.select("family", F.col("x").alias("y"), F.col("lo").alias("lo2"))
     blocks = sides.join(other, "family").where(f"x <= y and lo2 * {percent} <= hi * 100").select("family", "x", "y")
     ends = blocks.select("family", "x", "y", F.col("x").alias("side")).unionByName(
         blocks.where("x < y").select("family", "x", "y", F.col("y").alias("side")))
-    spread = reps.withColumnRenamed("x", "side").join(ends, ["family", "side"]).select(F.col("th").alias("rep_th"), "rep", "cid", "family", "x", "y")
-    rows = src.join(spread, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    rows = rows.select("family", "x", "y", "cid", "text").repartition(parts, "family", "x", "y")
-    links = stage(rows.sortWithinPartitions("family", "x", "y", "cid").mapInArrow(_join_blocks(k, percent), "a long, b long"), "jaccard")
+    spread = reps.select("family", F.col("x").alias("side"), "cid").join(ends, ["family", "side"]).select("cid", "family", "x", "y")
+    # a chunk's texts go to each of its blocks: about as many texts as there are classes are on disk at a time
+    own = sides.agg(F.sum("size")).scalar()
+    sent = ends.join(sides.select("family", F.col("x").alias("side"), "size"), ["family", "side"])
+    many = sent.agg(F.coalesce(F.ceil(F.sum("size") / own), F.lit(1))).first()[0]
+    one = reps.select(F.col("th").alias("rep_th"), "rep", "cid")
+    texts = stage(src.join(one, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text"), "jaccard")
+    links = []
+    for i in range(many):
+        mine = spread.where(F.pmod(F.xxhash64("family", "x", "y"), F.lit(many)) == i).join(texts, "cid")
+        rows = mine.select("family", "x", "y", "cid", "text").repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "cid")
+        links.append(stage(rows.mapInArrow(_join_blocks(k, percent), "a long, b long"), "jaccard"))
+    unstage(texts)
+    links = union_all(links)
     comp = components(links)
     best = base.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     named = best.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

@@ -92,3 +92,15 @@ def test_stage_keeps_one_of_each_group(spark, docs):
     ids = [r["doc_id"] for r in left.collect()]
     assert set(i for i in ids if i is not None) == {c for c in comp.values() if c is not None and c in comp and comp[c] == c}
     assert jaccard.drop_near_copies(docs([])).count() == 0
+
+
+def test_signatures_leave_the_disk_and_blocks_are_joined_in_slices(spark, docs, monkeypatch):
+    tables, real = [], jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: tables.append(real(df, name)) or tables[-1])
+    jaccard.jaccard_classes(docs(corpus()), 4, 85, chunk=900)
+    left = []
+    for t in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        left += [t] * path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert left and not any("text" in t.columns or any(kind == "array<bigint>" for _, kind in t.dtypes) for t in left)
+    assert sum(t.columns == ["pivot", "cid"] for t in left) > 1 and sum(t.columns == ["a", "b"] for t in left) > 1
