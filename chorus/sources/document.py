@@ -6,8 +6,9 @@ how deep, is not known there.  So a first pass summarises every block for both c
 change of depth), the driver runs through the summaries (one row a block), and the second pass cuts out the
 elements of the named arrays.  An element over a block border comes in fragments, which are joined by their place.
 
-*Writing* orders the lines of all sections and streams them through one task, since one file has one writer; the
-file is then moved to its name.  Nothing passes through the driver.  For results of any size use
+*Writing* orders a section's lines in many tasks, a slice of them at a time, and adds each slice's part files to the
+one file, which is then moved to its name: besides the document a slice is on disk.  One file has one writer, so the
+driver's file system copies the parts' bytes, a buffer at a time.  For results of any size use
 ``chorus.plans.export.write_analysis`` (folders).
 """
 
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chorus.session import ensure_checkpoint_dir, send_code
+from chorus.session import ensure_checkpoint_dir, send_code, shuffles_released
 
+_WRITE_SLICES = 8
 _QUOTE, _SLASH, _OPEN, _CLOSE, _LIST, _END = (ord(c) for c in '"\\{}[]')
 
 
@@ -189,35 +191,52 @@ def write_document(path: str, sections: dict[str, DataFrame | dict | list], orde
     null fields left out), anything else is written as it is.  An existing file is replaced."""
     spark = next(v.sparkSession for v in sections.values() if isinstance(v, DataFrame))
     ensure_checkpoint_dir(spark)
-    lines, last = [], len(sections) - 1
-    plain = lambda i, kind, text: spark.range(1).select(F.lit(i).alias("section"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("line"))
-    for i, (name, value) in enumerate(sections.items()):
-        opening, comma = ("{" if i == 0 else "") + json.dumps(name, ensure_ascii=False) + ": ", "}" if i == last else ","
-        if not isinstance(value, DataFrame):
-            lines.append(plain(i, 0, opening + json.dumps(value, ensure_ascii=False, sort_keys=True) + comma))
-            continue
-        ordered = order in value.columns
-        rank = F.col(order) if ordered else F.monotonically_increasing_id()
-        rows = value.select(rank.cast("long").alias("ord"), F.to_json(F.struct(*sorted(value.columns)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("line"))
-        # numbers given here must hold for both passes; a column of the rows does, and its least value needs no line
-        rows = rows if ordered else rows.checkpoint(eager=True)
-        first = rows.agg(F.min("ord").alias("first")).scalar()
-        lines += [plain(i, 0, opening + "["), plain(i, 2, "]" + comma),
-                  rows.select(F.lit(i).alias("section"), F.lit(1).alias("kind"), "ord", F.when(F.col("ord") > first, F.concat(F.lit(","), "line")).otherwise(F.col("line")).alias("line"))]
-    doc = lines[0]
-    for part in lines[1:]:
-        doc = doc.unionByName(part)
-    folder = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    doc.repartitionByRange(1, "section", "kind", "ord").sortWithinPartitions("section", "kind", "ord").select("line").write.text(folder)
-    jvm = spark.sparkContext._jvm
+    jvm, last = spark.sparkContext._jvm, len(sections) - 1
     here = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = here(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = fs.globStatus(here(f"{folder}/part-*"))[0].getPath()
-    if fs.exists(here(path)) and not fs.delete(here(path), False):
-        raise OSError(f"cannot replace {path}")
-    if not fs.rename(part, here(path)):
-        raise OSError(f"cannot move the document to {path}")
-    fs.delete(here(folder), True)
+    folder = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    out = fs.create(here(f"{folder}/document"))
+    try:
+        for i, (name, value) in enumerate(sections.items()):
+            opening, comma = ("{" if i == 0 else "") + json.dumps(name, ensure_ascii=False) + ": ", ("}" if i == last else ",") + "\n"
+            if not isinstance(value, DataFrame):
+                out.write((opening + json.dumps(value, ensure_ascii=False, sort_keys=True) + comma).encode())
+                continue
+            out.write((opening + "[\n").encode())
+            for n, lines in enumerate(_line_slices(value, order)):
+                with shuffles_released(spark):
+                    lines.write.text(f"{folder}/{i}-{n}")
+                for part in sorted(str(x.getPath()) for x in fs.globStatus(here(f"{folder}/{i}-{n}/part-*"))):
+                    rows = fs.open(here(part))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(rows, out, 1 << 20, False)
+                    rows.close()
+                    fs.delete(here(part), False)
+            out.write(("]" + comma).encode())
+        out.close()
+        if fs.exists(here(path)) and not fs.delete(here(path), False):
+            raise OSError(f"cannot replace {path}")
+        if not fs.rename(here(f"{folder}/document"), here(path)):
+            raise OSError(f"cannot move the document to {path}")
+    finally:
+        out.close()
+        fs.delete(here(folder), True)
+
+
+def _line_slices(value: DataFrame, order: str) -> list[DataFrame]:
+    """The lines of a section, in order, as frames of about as many rows each."""
+    ordered = order in value.columns
+    rank = F.col(order) if ordered else F.monotonically_increasing_id()
+    rows = value.select(rank.cast("long").alias("ord"), F.to_json(F.struct(*sorted(value.columns)), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("line"))
+    # numbers given here must hold for all passes; a column of the rows does, and its places need no line
+    rows = rows if ordered else rows.checkpoint(eager=True)
+    shares = [F.lit(k / _WRITE_SLICES) for k in range(1, _WRITE_SLICES)]
+    first, cuts = rows.agg(F.min("ord"), F.percentile_approx("ord", F.array(*shares), 10_000)).first()
+    cuts = sorted(set(cuts or []))
+    lines = rows.withColumn("line", F.when(F.col("ord") > first, F.concat(F.lit(","), "line")).otherwise(F.col("line")))
+    slices = [lines.where(F.lit(True) if not cuts else F.coalesce(F.col("ord") <= cuts[0], F.lit(True)))]
+    slices += [lines.where((F.col("ord") > low) & (F.col("ord") <= high)) for low, high in zip(cuts, cuts[1:])]
+    slices += [lines.where(F.col("ord") > cuts[-1])] if cuts else []
+    return [s.repartitionByRange("ord").sortWithinPartitions("ord").select("line") for s in slices]
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from chorus.plans.export import write_analysis_document, write_node_link
 from chorus.schema import POST_SCHEMA
+from chorus.sources import document
 from chorus.sources import ingest as I
 from chorus.sources.document import read_document
 
@@ -67,6 +68,20 @@ def test_posts_round_trip_through_one_document(spark, tmp_path, make_posts, smal
     assert seqs == [(i, str(i)) for i in range(9)]
 
 
+def test_a_document_is_written_a_slice_at_a_time(spark, tmp_path, make_posts):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: disk.getAllFiles().mkString(" ").count("shuffle_")
+    posts = make_posts([post(i * i, ODD[i % len(ODD)]) for i in range(40)]).repartition(3, "id")
+    slices = [[r["line"] for r in s.collect()] for s in document._line_slices(posts, "seq")]
+    assert len(slices) == 8 and max(map(len, slices)) < 10
+    path, before = tmp_path / "analysis.json", shuffles()
+    write_analysis_document({}, posts, str(path))
+    assert shuffles() <= before + 3  # of the last job that is not a slice's
+    assert [x.name for x in tmp_path.iterdir() if x.suffix != ".crc"] == ["analysis.json"]
+    assert [p["seq"] for p in json.loads(path.read_text())["posts"]] == [i * i for i in range(40)]
+    assert path.read_text().split("[\n", 1)[1] == "".join(x + "\n" for s in slices for x in s) + "]}\n"
+
+
 def test_node_link_document_keeps_types(spark, tmp_path):
     nodes = spark.createDataFrame([("a", 3, 0.5), ("b", None, 1.5)], "id string, posts long, score double")
     edges = spark.createDataFrame([("a", "b", 2.0)], "src string, dst string, weight double")
