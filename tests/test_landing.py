@@ -118,6 +118,14 @@ def test_analysis_document_shapes(spark, tmp_path, make_posts):
     assert I.read_analysis_posts(spark, str(tmp_path / "none.json"), POST_SCHEMA).count() == 0
 
 
+def test_read_texts_are_numbered_without_a_shuffle_or_a_plain_copy(spark, landing):
+    tweets = I.read_tweets(spark, f"{landing}/tweets", "q")
+    plan = tweets.select("seq", "content")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "FileScan parquet" in plan and "Scan ExistingRDD" not in plan
+    assert [r["id"] for r in tweets.orderBy("seq").collect()] == ["0", "1", "2", "3"]
+
+
 def test_percentiles_equal_the_built_in(spark):
     from chorus.operators.aggregate import percentiles
     df = spark.range(1000).select((F.col("id") * F.col("id") % 97).cast("double").alias("x"))
